@@ -338,9 +338,9 @@ class Wrangler:
 
     # -- reshape (W1-W11) ---------------------------------------------------
     def wrap(self, n: int | None = None, where=None, columns=None,
-             max_columns: int = 1000) -> "Wrangler":
+             max_columns: int = 1000, width: int | None = None) -> "Wrangler":
         from .operators import reshape
-        return reshape.wrap(self, n, where, columns, max_columns)
+        return reshape.wrap(self, n, where, columns, max_columns, width)
 
     def wrap_rows(self, n: int, max_columns: int = 1000) -> "Wrangler":
         from .operators import reshape

@@ -75,7 +75,7 @@ def last_index1(c: Column, value: str) -> Column:
     """1-based position of the last occurrence of literal ``value``; 0 if absent."""
     if value == "":
         return F.length(c) + 1
-    after_last = F.substring_index(c, F.lit(value), -1)
+    after_last = F.substring_index(c, value, -1)
     return F.when(
         F.instr(c, value) > 0, F.length(c) - F.length(after_last) - F.lit(len(value)) + 1
     ).otherwise(F.lit(0))

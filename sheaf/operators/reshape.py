@@ -25,13 +25,14 @@ def _check_width(n: int, limit: int, what: str) -> None:
 
 # -- wrap --------------------------------------------------------------------
 
-def wrap(w: Wrangler, n=None, where=None, columns=None, max_columns: int = 1000) -> Wrangler:
+def wrap(w: Wrangler, n=None, where=None, columns=None, max_columns: int = 1000,
+         width: int | None = None) -> Wrangler:
     """``wrap(n)``: W1 when ``n >= width`` (n rows -> one row) else W2 (each row's
     cells regrouped into n rows); ``wrap(where=regex)``: W3."""
     if (n is None) == (where is None):
         raise ValueError("give n= or where=")
     if where is not None:
-        return wrap_where(w, where, columns, max_columns)
+        return wrap_where(w, where, columns, max_columns, width)
     if n < 1:
         raise ValueError("n must be >= 1")
     if n < len(w.columns):
@@ -77,9 +78,11 @@ def wrap_cells(w: Wrangler, n: int) -> Wrangler:
     return w._with(df=out, order=w.order + (sub,) if w.order else ())
 
 
-def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000) -> Wrangler:
+def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
+               width: int | None = None) -> Wrangler:
     """Read cells column by column; a cell matching regex ``where`` starts a
-    new row; rows are padded to the longest. No blank first row."""
+    new row; rows are padded to the longest (or to ``width``, which then must
+    hold every row – a longer one raises). No blank first row."""
     w.require_batch("wrap(where=)")
     pat = where.pattern if isinstance(where, Regex) else where
     cols = w.resolve(columns)
@@ -95,7 +98,10 @@ def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000) -> Wra
     # position inside the group = rid - rid of the group's first cell
     df = df.withColumn(pos, F.col(rid) - F.coalesce(F.col(start), F.lit(0)))
     width_row = df.agg(F.max(pos).alias("w")).first()
-    width = (width_row["w"] + 1) if width_row and width_row["w"] is not None else 1
+    need = (width_row["w"] + 1) if width_row and width_row["w"] is not None else 1
+    if width is not None and need > width:
+        raise ValueError(f"wrap(where=) needs {need} columns, more than width={width}")
+    width = need if width is None else width
     _check_width(width, max_columns, "wrap(where=)")
     aggs = [F.coalesce(F.max(F.when(F.col(pos) == j, F.col(val))), F.lit("")).alias(f"c{j}")
             for j in range(width)]
@@ -237,6 +243,8 @@ def translate_rows(w: Wrangler, distance: int, top: bool) -> Wrangler:
     if blank is None:
         return w
     dtypes = dict(w.df.dtypes)
+    base = base.select(*[w.text(c).alias(c) if c in w.columns else F.col(c)
+                         for c in base.columns])
     blank = blank.select(
         *[F.lit("").alias(c) for c in w.columns], *w.part_cols,
         *[F.lit(None).cast(dtypes[c]).alias(c) for c in w.df.columns

@@ -63,13 +63,13 @@ def read_text(spark: SparkSession, path, rows: str = "\n", cols: str | None = No
     return w
 
 
-def lines_from(df: DataFrame, line, order_by, cols: str | None = ",",
+def lines_from(df: DataFrame, line, order_by=None, cols: str | None = ",",
                width: int | None = None) -> Wrangler:
-    """S1 on a text column Spark already holds (e.g. derived from a table)."""
-    w = Wrangler(df.select(line.alias("value") if not isinstance(line, str) else
-                           F.col(line).alias("value"),
-                           *([order_by] if isinstance(order_by, str) else order_by)),
-                 order_by=order_by)
+    """S1 on a text column Spark already holds (e.g. derived from a table):
+    split it like a loaded file; ``order_by`` gives the row order if any."""
+    value = F.col(line) if isinstance(line, str) else line
+    keys = [] if order_by is None else (order_by if isinstance(order_by, list) else [order_by])
+    w = Wrangler(df.select(value.alias("value"), *keys), order_by=order_by)
     w = w._with(df=w.df.select("value", *w.order))
     return split_lines(w, "value", cols, width)
 
