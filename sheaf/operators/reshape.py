@@ -97,14 +97,21 @@ def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
     df, _ = ordered_scan(lw, rid=rid, csum={grp: hit.cast("long")}, last_hit={start: hit})
     # position inside the group = rid - rid of the group's first cell
     df = df.withColumn(pos, F.col(rid) - F.coalesce(F.col(start), F.lit(0)))
-    width_row = df.agg(F.max(pos).alias("w")).first()
-    need = (width_row["w"] + 1) if width_row and width_row["w"] is not None else 1
-    if width is not None and need > width:
-        raise ValueError(f"wrap(where=) needs {need} columns, more than width={width}")
-    width = need if width is None else width
-    _check_width(width, max_columns, "wrap(where=)")
+    if width is None:
+        width_row = df.agg(F.max(pos).alias("w")).first()
+        width = (width_row["w"] + 1) if width_row and width_row["w"] is not None else 1
+        _check_width(width, max_columns, "wrap(where=)")
+        guard = None
+    else:
+        # no extra pass: a longer row fails the job instead of being cut
+        _check_width(width, max_columns, "wrap(where=)")
+        guard = F.max(pos) >= width
     aggs = [F.coalesce(F.max(F.when(F.col(pos) == j, F.col(val))), F.lit("")).alias(f"c{j}")
             for j in range(width)]
+    if guard is not None:
+        aggs[0] = F.when(guard, F.raise_error(F.lit(
+            f"wrap(where=) found a row longer than width={width}"))).otherwise(
+            F.coalesce(F.max(F.when(F.col(pos) == 0, F.col(val))), F.lit(""))).alias("c0")
     out = df.groupBy(*w.part_cols, grp).agg(*aggs)
     return Wrangler._raw(out, order=(grp,), qkey=grp)
 

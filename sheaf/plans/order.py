@@ -47,8 +47,21 @@ def _common_prefix_len(a: bytes, b: bytes) -> int:
     return n
 
 
-def surrogate(df: DataFrame, name: str) -> Column:
-    """Monotone (non-decreasing) double surrogate of column ``name``."""
+def string_skip(df: DataFrame, name: str) -> int:
+    """Bytes shared by the smallest and largest value (so by every value)."""
+    dtype = dict(df.dtypes)[name]
+    lo, hi = df.agg(F.min(name), F.max(name)).first()
+    if lo is None or hi is None:
+        return 0
+    enc = (lambda v: v.encode("utf-8")) if dtype == "string" else bytes
+    return _common_prefix_len(enc(lo), enc(hi))
+
+
+def surrogate(df: DataFrame, name: str, skip: int = 0) -> Column:
+    """Monotone (non-decreasing) double surrogate of column ``name``.
+
+    Strings/binary: the 7 bytes after the common prefix (``skip``) as a
+    base-256 number – byte order is Spark's string order."""
     dtype = dict(df.dtypes)[name]
     c = F.col(name)
     if dtype in _NUMERIC or dtype.startswith("decimal") or dtype == "boolean":
@@ -61,34 +74,46 @@ def surrogate(df: DataFrame, name: str) -> Column:
         return F.unix_date(c).cast("double")
     if dtype in ("string", "binary"):
         raw = F.encode(c, "UTF-8") if dtype == "string" else c
-        # Bytes after the prefix shared by min and max carry the spread.
-        lo, hi = df.agg(F.min(c), F.max(c)).first()
-        skip = 0
-        if lo is not None and hi is not None:
-            enc = (lambda s: s.encode("utf-8")) if dtype == "string" else bytes
-            skip = _common_prefix_len(enc(lo), enc(hi))
         seven = F.substring(raw, skip + 1, 7)
         return F.conv(F.rpad(F.hex(seven), 14, "0"), 16, 10).cast("double")
     raise TypeError(f"cannot order by a column of type {dtype}")
 
 
+# Bucket bounds are statistics: any monotone bucketing gives the same result,
+# stale bounds only unbalance buckets. They are cached per key plan.
+_STATS: dict = {}
+
+
 def compute_bounds(df: DataFrame, qkey: str, k: int) -> tuple:
-    """K-1 (deduplicated) quantile bounds of the surrogate – one small aggregate."""
-    if k <= 1:
-        return ()
-    sur = surrogate(df, qkey)
-    probs = [i / k for i in range(1, k)]
-    accuracy = max(10000, 20 * k)
-    row = df.select(sur.alias("__sur")).agg(
-        F.percentile_approx("__sur", probs, accuracy).alias("q")
-    ).first()
-    if row is None or row["q"] is None:
-        return ()
-    return tuple(sorted(set(float(x) for x in row["q"] if x is not None)))
-
-
-def add_bucket(df: DataFrame, qkey: str, bounds: tuple, out: str) -> DataFrame:
-    sur = F.coalesce(surrogate(df, qkey), F.lit(float("-inf")))
+    """(skip, bounds): K-1 deduplicated quantile bounds of the surrogate – one
+    small aggregate (plus a min/max for strings)."""
+    try:
+        cache_key = (df.select(qkey).semanticHash(), k)
+    except Exception:  # noqa: BLE001 - no plan hash: just recompute
+        cache_key = None
+    if cache_key is not None and cache_key in _STATS:
+        return _STATS[cache_key]
+    skip = string_skip(df, qkey) if dict(df.dtypes)[qkey] in ("string", "binary") else 0
+    bounds: tuple = ()
+    if k > 1:
+        sur = surrogate(df, qkey, skip)
+        probs = [i / k for i in range(1, k)]
+        accuracy = min(1_000_000, max(1000, 50 * k))
+        row = df.select(sur.alias("__sur")).agg(
+            F.percentile_approx("__sur", probs, accuracy).alias("q")).first()
+        if row is not None and row["q"] is not None:
+            bounds = tuple(sorted(set(float(x) for x in row["q"] if x is not None)))
+    out = (skip, bounds)
+    if cache_key is not None:
+        if len(_STATS) > 256:
+            _STATS.clear()
+        _STATS[cache_key] = out
+    return out
+
+
+def add_bucket(df: DataFrame, qkey: str, stats: tuple, out: str) -> DataFrame:
+    skip, bounds = stats
+    sur = F.coalesce(surrogate(df, qkey, skip), F.lit(float("-inf")))
     if not bounds:
         return df.withColumn(out, F.lit(0))
     if len(bounds) <= _INLINE_MAX:
@@ -116,12 +141,12 @@ def bucketed(w: "Wrangler") -> tuple[DataFrame, list[str], bool, "Wrangler"]:
     cols = list(w.prefix)
     bounded = not w.prefix_unbounded
     if w.qkey is not None:
-        bounds = w.bounds
-        if bounds is None:
-            bounds = compute_bounds(df, w.qkey, bucket_count(df.sparkSession))
-            w = w._with(bounds=bounds)
+        stats = w.bounds
+        if stats is None:
+            stats = compute_bounds(df, w.qkey, bucket_count(df.sparkSession))
+            w = w._with(bounds=stats)
         name = w.fresh("__bkt")
-        df = add_bucket(df, w.qkey, bounds, name)
+        df = add_bucket(df, w.qkey, stats, name)
         cols.append(name)
     return df, cols, bounded, w
 
@@ -145,15 +170,18 @@ def ordered_scan(
     * ``last_hit`` – ``{out: cond}`` row index of the last row at or before
       this one where ``cond`` holds (null before the first).
 
-    Plan: one shuffle by (part, bucket); the in-bucket window runs first, the
-    per-bucket side table is aggregated from its output (no extra exchange),
-    windowed over buckets, and joined back.
+    Plan: the side table is a partial aggregate of the input per (part,
+    bucket) – a scan plus a K-row shuffle – so the data itself is shuffled
+    once, by (part, bucket), for the in-bucket window; the side table, after
+    its own windows over buckets, is joined back.
     """
     ffill, bfill, csum, last_hit = ffill or {}, bfill or {}, csum or {}, last_hit or {}
     w.require_batch("an ordered verb")
     df, bcols, bounded, w = bucketed(w)
     part = w.part_cols
+    keys = [*part, *bcols]
     order = [F.col(c).asc_nulls_first() for c in w.order]
+    okey = F.struct(*[F.col(c) for c in w.order])
 
     tmp: dict[str, str] = {}
 
@@ -168,45 +196,36 @@ def ordered_scan(
         src[(kind, out)] = t(f"in_{kind}_{out}")
         df = df.withColumn(src[(kind, out)], expr)
 
-    win = Window.partitionBy(*part, *bcols).orderBy(*order)
-    upto = win.rowsBetween(Window.unboundedPreceding, 0)
-    after_row = win.rowsBetween(0, Window.unboundedFollowing)
-    rn = t("rn")
-    df = df.withColumn(rn, F.row_number().over(win))
-    local = {}
+    # -- side table: one partial aggregate over the input ---------------------
+    n_col = t("n")
+    aggs = [F.count(F.lit(1)).alias(n_col)]
     for kind, out, _ in specs:
         s = F.col(src[(kind, out)])
-        name = t(f"loc_{kind}_{out}")
+        name = t(f"agg_{kind}_{out}")
         if kind == "f":
-            local[name] = F.last(s, ignorenulls=True).over(upto)
+            aggs.append(F.max_by(s, F.when(s.isNotNull(), okey)).alias(name))
         elif kind == "b":
-            local[name] = F.first(s, ignorenulls=True).over(after_row)
+            aggs.append(F.min_by(s, F.when(s.isNotNull(), okey)).alias(name))
         elif kind == "c":
-            local[name] = F.sum(s).over(upto)
-        else:
-            local[name] = F.last(F.when(s, F.col(rn)), ignorenulls=True).over(upto)
-    if local:
-        df = df.withColumns(local)
-
-    n_col = t("n")
-    aggs = [F.max(rn).alias(n_col)]
-    for kind, out, _ in specs:
-        loc = F.col(tmp[f"loc_{kind}_{out}"])
-        name = t(f"agg_{kind}_{out}")
-        if kind in ("f", "c"):
-            aggs.append(F.max_by(loc, F.col(rn)).alias(name))
-        elif kind == "b":
-            aggs.append(F.min_by(loc, F.col(rn)).alias(name))
-        else:
-            aggs.append(F.max(loc).alias(name))
-    side = df.groupBy(*part, *bcols).agg(*aggs)
+            aggs.append(F.sum(s).alias(name))
+        else:  # order key of the bucket's last hit
+            aggs.append(F.max(F.when(s, okey)).alias(name))
+    side = df.groupBy(*keys).agg(*aggs)
+    hits = [(out, tmp[f"agg_h_{out}"]) for kind, out, _ in specs if kind == "h"]
+    if hits:
+        # in-bucket position of the last hit = rows at or before its key
+        lk = side.select(*keys, *[a for _, a in hits])
+        lk = F.broadcast(lk) if (bounded and not part) else lk
+        pos = df.select(*keys, okey.alias("__okey")).join(lk, on=keys).groupBy(*keys).agg(
+            *[F.count_if(F.col("__okey") <= F.col(a)).alias(t(f"pos_h_{out}")) for out, a in hits])
+        side = side.join(pos, on=keys, how="left")
 
     ws = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in bcols])
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     following = ws.rowsBetween(1, Window.unboundedFollowing)
     off = t("off")
     side = side.withColumn(off, F.coalesce(F.sum(n_col).over(before), F.lit(0)))
-    sel = [*part, *bcols, off]
+    sel = [*keys, off]
     if count:
         sel.append(F.sum(n_col).over(Window.partitionBy(*part)).alias(t("tot")))
     for kind, out, _ in specs:
@@ -219,11 +238,33 @@ def ordered_scan(
         elif kind == "c":
             sel.append(F.coalesce(F.sum(a).over(before), F.lit(0)).alias(name))
         else:
-            glob = F.when(a.isNotNull(), F.col(off) + a - 1)
+            p = F.col(tmp[f"pos_h_{out}"])
+            glob = F.when(a.isNotNull(), F.col(off) + p - 1)
             sel.append(F.last(glob, ignorenulls=True).over(before).alias(name))
     side = side.select(*sel)
     side = F.broadcast(side) if (bounded and not part) else side
-    df = df.join(side, on=[*part, *bcols], how="left")
+
+    # -- the data: one shuffle by (part, bucket), in-bucket window, carry --------
+    win = Window.partitionBy(*keys).orderBy(*order)
+    upto = win.rowsBetween(Window.unboundedPreceding, 0)
+    after_row = win.rowsBetween(0, Window.unboundedFollowing)
+    rn = t("rn")
+    df = df.withColumn(rn, F.row_number().over(win))
+    local = {}
+    for kind, out, _ in specs:
+        s = F.col(src[(kind, out)])
+        name = t(f"loc_{kind}_{out}")
+        if kind == "f":
+            local[name] = F.last(s, ignorenulls=True).over(upto)
+        elif kind == "b":
+            local[name] = F.first(s, ignorenulls=True).over(after_row)
+        elif kind == "c":
+            local[name] = F.sum(s).over(upto)
+        else:
+            local[name] = F.last(F.when(s, F.col(rn)), ignorenulls=True).over(upto)
+    if local:
+        df = df.withColumns(local)
+    df = df.join(side, on=keys, how="left")
 
     new_cols = {}
     if rid:
