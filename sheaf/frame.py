@@ -49,6 +49,7 @@ class Wrangler:
 
     # -- construction -------------------------------------------------------
     def _init(self, df, order, prefix, qkey, bounds, prefix_unbounded):
+        self._dtypes = None
         self.df = df
         self.order = tuple(order)
         self.prefix = tuple(prefix)
@@ -111,7 +112,9 @@ class Wrangler:
         return name
 
     def dtype(self, name: str) -> str:
-        return dict(self.df.dtypes)[name]
+        if self._dtypes is None:
+            self._dtypes = dict(self.df.dtypes)
+        return self._dtypes[name]
 
     def text(self, name: str) -> Column:
         """Column as string (verbs work on text; other types are cast)."""

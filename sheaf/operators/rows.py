@@ -19,21 +19,26 @@ _TOPK_MAX = 100_000  # rows fetched through a distributed top-k; beyond: row-id
 def row_at(w: Wrangler, i: int) -> Row | None:
     """Row ``i`` of the (global) order: data cells as text plus the order keys.
 
-    Small ``i``: a distributed top-(i+1) (``TakeOrderedAndProject``); large
-    ``i``: a row-id filter. At most one row reaches the driver.
+    First the order key of row ``i`` – a distributed top-(i+1) over the order
+    columns only (small ``i``) or a row-id filter (large ``i``) – then the
+    row itself by an equality filter on that key, which Catalyst pushes below
+    any cell transforms. At most one row reaches the driver.
     """
     w.require_batch("row access")
     if not w.order:
         raise ValueError("row positions need a row order (order_by=)")
-    sel = [w.text(c).alias(c) for c in w.columns] + [F.col(c) for c in w.order]
     if i < _TOPK_MAX:
-        rows = (w.df.orderBy(*[F.col(c).asc_nulls_first() for c in w.order])
-                .select(*sel).offset(i).limit(1).collect())
-        return rows[0] if rows else None
-    glob = Wrangler._raw(w.df.drop(*w.part_cols), w.order, w.prefix, w.qkey, w.bounds,
-                         w.prefix_unbounded)
-    df, rid, _ = glob._rid()
-    rows = df.filter(F.col(rid) == i).select(*sel).collect()
+        keys = (w.df.select(*w.order).orderBy(*[F.col(c).asc_nulls_first() for c in w.order])
+                .offset(i).limit(1).collect())
+    else:
+        glob = Wrangler._raw(w.df.drop(*w.part_cols), w.order, w.prefix, w.qkey, w.bounds,
+                             w.prefix_unbounded)
+        df, rid, _ = glob._rid()
+        keys = df.filter(F.col(rid) == i).select(*w.order).collect()
+    if not keys:
+        return None
+    sel = [w.text(c).alias(c) for c in w.columns] + [F.col(c) for c in w.order]
+    rows = w.df.filter(_same_keys(w, keys[0])).select(*sel).limit(1).collect()
     return rows[0] if rows else None
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..frame import PART, Wrangler
 from ..functions.udf import cell_fn
 from ..match import re_
+from ..sources.tables import read_table
 from ..sources.text import lines_from
 from . import jobs
 
@@ -31,8 +32,8 @@ def query(name: str, sql: str | None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, cols=None) -> DataFrame:
+    return read_table(spark, f"{sf_dir}/{name}.parquet", cols)
 
 
 def W(spark, d, name, cols, order_by=None, part=None) -> Wrangler:
@@ -43,7 +44,7 @@ def W(spark, d, name, cols, order_by=None, part=None) -> Wrangler:
     if isinstance(part, str):
         keys.append(part)
     extra = [k for k in dict.fromkeys(keys) if k not in cols]
-    w = Wrangler(table(spark, d, name).select(*cols, *extra), order_by=order_by, part=part)
+    w = Wrangler(table(spark, d, name, [*cols, *extra]), order_by=order_by, part=part)
     return w.drop(extra) if extra else w
 
 
@@ -811,7 +812,7 @@ SELECT CAST(l_partkey AS VARCHAR) AS l_partkey, CAST(l_suppkey AS VARCHAR) AS l_
        CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_returnflag, l_linestatus
 FROM lineitem WHERE NOT regexp_matches(CAST(l_partkey AS VARCHAR), '1[0-8]')""")
 def job_clean(spark, d):
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem", _LI_COLS)
     data = li.select(
         F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"),
                     F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string"),
@@ -837,7 +838,7 @@ def _scrub_sql() -> str:
 
 @query("job_scrub", _scrub_sql())
 def job_scrub(spark, d):
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
     lines = li.select(F.concat_ws(",", *[F.col(c).cast("string") for c in
                                          ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]])
                       .alias("line"))
@@ -861,7 +862,7 @@ SELECT id AS "ID",
        dt AS "DATETIME_1", com AS "COMMENT"
 FROM a""")
 def job_latlong(spark, d):
-    ev = table(spark, d, "events")
+    ev = table(spark, d, "events", ["event_id", "value", "user_id", "ts", "event_type"])
     line = F.concat(
         F.col("event_id").cast("string"), F.lit(',"'), F.format_string("%.2f", F.col("value")),
         F.lit('","'), F.col("user_id").cast("string"), F.lit("."),

@@ -39,12 +39,13 @@ def read_lines(spark: SparkSession, path, rows: str = "\n") -> Wrangler:
 def split_lines(w: Wrangler, column: str = "value", cols: str | None = ",",
                 width: int | None = None, max_columns: int = 10_000) -> Wrangler:
     """Split a line column on every match of regex ``cols`` into ``c0..cN``
-    (JVM split semantics, ragged rows padded with ''). Width: given, or the
-    widest row (one small aggregate)."""
+    (JVM split semantics, ragged rows padded with ''). Width: the widest row
+    (one small aggregate), or given – then a longer row keeps its remainder
+    in the last column (nothing is dropped) and no aggregate runs."""
     if cols is None:
         return w
     tmp = w._with(df=w.df.withColumnRenamed(column, "c"))
-    arr = jvm_split(F.col("c"), cols)
+    arr = jvm_split(F.col("c"), cols) if width is None else F.split(F.col("c"), cols, width)
     out = spread(tmp, {"c": arr}, width=width, max_columns=max_columns)
     n = len(out.columns) - (len(w.columns) - 1)
     ren = {f"c_{i + 1}": f"c{i}" for i in range(n)}
