@@ -277,24 +277,26 @@ def translate(w: Wrangler, column=None, direction: str = "down", distance: int =
         return translate_rows(cut, distance, top=False)
     w.require_batch("translate")
     shifted = w.resolve(column)
-    others = [c for c in w.columns if c not in shifted]
+    cols = w.columns
     df, rid, w2 = w._rid()
-    r2 = w2.fresh("__rid2", extra=[rid])
-    part = w.part_cols
-    left = df.select(*part, rid, *[w.text(c).alias(c) for c in others])
+    pos, side = w2.fresh("__pos", extra=[rid]), w2.fresh("__side", extra=[rid])
     delta = distance if direction == "down" else -distance
-    right = df.select(*[F.col(p).alias(p + "_r") for p in part],
-                      (F.col(rid) + delta).alias(r2), *[w.text(c).alias(c) for c in shifted])
+    # one pass over the rows: every row emits its unshifted cells at its own
+    # position and its shifted cells ``delta`` rows away; one regroup by
+    # position puts them together (at most two records per position).
+    def rec(at, moved):
+        cells = [(w.text(c) if (c in shifted) == moved else F.lit(None).cast("string")).alias(c)
+                 for c in cols]
+        return F.struct(at.alias(pos), *cells, F.lit(moved).alias(side))
+
+    recs = df.select(*w.part_cols, F.inline(F.array(rec(F.col(rid), False),
+                                                    rec(F.col(rid) + delta, True))))
     if direction == "up":
-        right = right.filter(F.col(r2) >= 0)
-    cond = [F.col(rid) == F.col(r2)] + [F.col(p) == F.col(p + "_r") for p in part]
-    how = "full_outer" if direction == "down" else "left"
-    j = left.join(right, on=cond, how=how)
-    new_rid = w2.fresh("__pos", extra=[rid, r2])
-    sel = []
-    for c in w.columns:
-        sel.append(F.coalesce(F.col(c), F.lit("")).alias(c))
-    sel += [F.coalesce(F.col(p), F.col(p + "_r")).alias(p) for p in part]
-    sel.append(F.coalesce(F.col(rid), F.col(r2)).alias(new_rid))
-    out = j.select(*sel)
-    return Wrangler._raw(out, order=(new_rid,), qkey=new_rid)
+        recs = recs.filter(F.col(pos) >= 0)
+    out = recs.groupBy(*w.part_cols, pos).agg(
+        *[F.coalesce(F.max(c), F.lit("")).alias(c) for c in cols],
+        F.min(F.col(side).cast("int")).alias(side))
+    if direction == "up":  # keep exactly the original positions
+        out = out.filter(F.col(side) == 0)
+    out = out.select(*cols, *w.part_cols, pos)
+    return Wrangler._raw(out, order=(pos,), qkey=pos)

@@ -247,7 +247,10 @@ def ordered_scan(
     # -- the data: one shuffle by (part, bucket), in-bucket window, carry --------
     win = Window.partitionBy(*keys).orderBy(*order)
     upto = win.rowsBetween(Window.unboundedPreceding, 0)
-    after_row = win.rowsBetween(0, Window.unboundedFollowing)
+    # "first non-null at or after" as a running last() over the reversed order:
+    # (current, unbounded following) frames are re-aggregated per row (quadratic)
+    rev = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in w.order])
+    after_row = rev.rowsBetween(Window.unboundedPreceding, 0)
     rn = t("rn")
     df = df.withColumn(rn, F.row_number().over(win))
     local = {}
@@ -257,7 +260,7 @@ def ordered_scan(
         if kind == "f":
             local[name] = F.last(s, ignorenulls=True).over(upto)
         elif kind == "b":
-            local[name] = F.first(s, ignorenulls=True).over(after_row)
+            local[name] = F.last(s, ignorenulls=True).over(after_row)
         elif kind == "c":
             local[name] = F.sum(s).over(upto)
         else:
