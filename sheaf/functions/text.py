@@ -108,6 +108,14 @@ def jvm_split(c: Column, pattern: str) -> Column:
     Spark's ``split`` keeps trailing empty strings; the JVM call drops them,
     and maps ``""`` to ``[""]``. ``","`` therefore gives ``[]``.
     """
+    single = _single_char(pattern)
+    if single is not None:
+        # one-character delimiter: matches cannot overlap, so trailing empty
+        # pieces are exactly trailing delimiters – strip them (codegen'd)
+        stripped = F.regexp_replace(c, F.lit("(?:" + pattern + ")+\\z"), F.lit(""))
+        return (F.when(c == F.lit(""), F.array(F.lit("")))
+                .when(stripped == F.lit(""), F.array().cast("array<string>"))
+                .otherwise(F.split(stripped, pattern, -1)))
     arr = F.split(c, pattern, -1)
     last_non_empty = F.array_max(
         F.transform(arr, lambda y, i: F.when(y != F.lit(""), i + 1).otherwise(F.lit(0)))
@@ -117,6 +125,15 @@ def jvm_split(c: Column, pattern: str) -> Column:
     )
 
 
+def _single_char(pattern: str) -> str | None:
+    """The literal character a regex stands for, if it is exactly one."""
+    if len(pattern) == 1 and pattern not in "\\^$.|?*+()[]{}":
+        return pattern
+    if len(pattern) == 2 and pattern[0] == "\\" and not pattern[1].isalnum():
+        return pattern[1]
+    return None
+
+
 def regex_prefix_len(c: Column, pattern: str) -> Column:
     """Code points before the first match of ``pattern``; null if no match."""
     pre = F.regexp_extract(c, "^((?s:.*?))(?:" + pattern + ")", 1)

@@ -31,11 +31,17 @@ _NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 _INLINE_MAX = 128  # above this many bounds, bucket with a binary search
 
 
+_DEFAULT_MAX_BUCKETS = 20_000
+
+
 def bucket_count(spark) -> int:
+    """K: ``sheaf.order.buckets`` if set, else 2 x shuffle partitions capped at
+    20,000 (a larger bucket only means a longer, spillable in-task window)."""
     conf = spark.conf.get("sheaf.order.buckets", None)
     if conf:
         return max(1, int(conf))
-    return max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(4, min(2 * parts, _DEFAULT_MAX_BUCKETS))
 
 
 def _common_prefix_len(a: bytes, b: bytes) -> int:
@@ -98,7 +104,9 @@ def compute_bounds(df: DataFrame, qkey: str, k: int) -> tuple:
     if k > 1:
         sur = surrogate(df, qkey, skip)
         probs = [i / k for i in range(1, k)]
-        accuracy = min(1_000_000, max(1000, 50 * k))
+        # rank error 1/accuracy of N: a quarter bucket keeps buckets balanced
+        # while the per-task sketch stays O(K)
+        accuracy = min(200_000, max(1000, 4 * k))
         row = df.select(sur.alias("__sur")).agg(
             F.percentile_approx("__sur", probs, accuracy).alias("q")).first()
         if row is not None and row["q"] is not None:

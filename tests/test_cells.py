@@ -106,12 +106,16 @@ def test_split_extract_family(spark, values, d, i):
 
 
 def test_jvm_split_edges(spark):
-    w = frame(spark, ["", ",", ",a", "a,,", "a,b", "😀,x,"])
-    assert got(w.split_all(",", "s")) == [("", ""), ("", ""), ("", "a"), ("a", ""), ("a", "b"),
-                                          ("😀", "x")]
+    w = frame(spark, ["", ",", ",a", "a,,", "a,b", "😀,x,", "a,,\n", "x\n,"])
+    assert got(w.split_all(",", "s")) == [("", "", ""), ("", "", ""), ("", "a", ""), ("a", "", ""),
+                                          ("a", "b", ""), ("😀", "x", ""), ("a", "", "\n"),
+                                          ("x\n", "", "")]
+    # multi-character delimiters take the general path
+    w2 = frame(spark, ["baaa", "aa", "xaay"])
+    assert got(w2.split_all("aa", "s")) == [("b", "a"), ("", ""), ("x", "y")]
     # explicit width keeps the rest in the last column instead of dropping it
     assert got(w.split_all(",", "s", width=1)) == [("",), (",",), (",a",), ("a,,",), ("a,b",),
-                                                   ("😀,x,",)]
+                                                   ("😀,x,",), ("a,,\n",), ("x\n,",)]
 
 
 def test_split_specs(spark):
