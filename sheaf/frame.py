@@ -353,9 +353,10 @@ class Wrangler:
         from .operators import reshape
         return reshape.wrap_cells(self, n)
 
-    def wrap_column(self, where, columns=None, max_columns: int = 1000) -> "Wrangler":
+    def wrap_column(self, where, columns=None, max_columns: int = 1000,
+                    width: int | None = None) -> "Wrangler":
         from .operators import reshape
-        return reshape.wrap_where(self, where, columns, max_columns)
+        return reshape.wrap_where(self, where, columns, max_columns, width)
 
     def fold(self, columns=None, rows=None, key: str = "key", value: str = "value",
              where: Callable[[Column], Column] | None = None) -> "Wrangler":

@@ -365,6 +365,24 @@ def split_between(spark, d):
             .split(between=("-", "E"), columns="o_orderpriority").to_df())
 
 
+@query("split_list", """
+WITH t AS (SELECT o_orderkey, o_orderpriority AS x, strpos(o_orderpriority, ' ') AS p FROM orders),
+     u AS (SELECT o_orderkey, CASE WHEN p > 0 THEN [substr(x, 1, p - 1), substr(x, p + 1)]
+                                   ELSE [x] END AS a FROM t),
+     v AS (SELECT o_orderkey, flatten(list_transform(a, lambda y:
+                CASE WHEN strpos(y, '-') > 0
+                     THEN [substr(y, 1, strpos(y, '-') - 1), substr(y, strpos(y, '-') + 1)]
+                     ELSE [y] END)) AS b FROM u)
+SELECT o_orderkey, coalesce(b[1], '') AS o_orderpriority_1, coalesce(b[2], '') AS o_orderpriority_2,
+       coalesce(b[3], '') AS o_orderpriority_3
+FROM v""")
+def split_list(spark, d):
+    # A list of specs, applied in C14 order to every piece (the five
+    # priorities give at most three pieces); width found by one aggregate
+    return (W(spark, d, "orders", ["o_orderkey", "o_orderpriority"])
+            .split(on=["-", " "], columns="o_orderpriority").to_df())
+
+
 # ---------------------------------------------------------- extract
 
 @query("extract_char", """
@@ -433,6 +451,17 @@ def extract_range(spark, d):
             .extract(between=("{", "}"), columns="props").to_df())
 
 
+@query("extract_all", """
+WITH t AS (SELECT event_id, regexp_replace(props, '[0-9]', '', 'g') AS r,
+                  regexp_extract_all(props, '[0-9]') AS m FROM events)
+SELECT event_id, r AS props_1, coalesce(m[1], '') AS props_2, coalesce(m[2], '') AS props_3
+FROM t""")
+def extract_all(spark, d):
+    # E4 all: the cell without every match, then one column per match
+    return (W(spark, d, "events", ["event_id", "props"])
+            .extract(on=re_("[0-9]"), max="all", columns="props").to_df())
+
+
 # ------------------------------------------------------- rows/columns
 
 @query("delete_any", """
@@ -603,6 +632,14 @@ def row_id_text_key(spark, d):
     return W(spark, d, "customer", ["c_custkey"], order_by="c_name").with_row_id().to_df()
 
 
+@query("promote_names", """
+SELECT p_partkey AS key, p_name AS name, p_brand FROM part""")
+def promote_names(spark, d):
+    # H1: a shorter list names the first columns and keeps the rest
+    return W(spark, d, "part", ["p_partkey", "p_name", "p_brand"]).promote(
+        names=["key", "name"]).to_df()
+
+
 @query("promote_row", """
 SELECT r_regionkey AS "0", r_name AS "AFRICA" FROM region WHERE r_regionkey <> 0""")
 def promote_row(spark, d):
@@ -671,6 +708,13 @@ def wrap_regex(spark, d):
             .wrap(where=_WRAP_RE, width=_WRAP_W).to_df())
 
 
+@query("wrap_column", _wrap_regex_sql())
+def wrap_column(spark, d):
+    # The cell-wrapping of W3 restricted to the listed columns
+    return (W(spark, d, "events", ["event_type", "user_id"], order_by="event_id")
+            .wrap_column(_WRAP_RE, columns=["event_type"], width=_WRAP_W).to_df())
+
+
 @query("fold", """
 SELECT p_partkey, p_size, 'p_name' AS key, p_name AS value FROM part
 UNION ALL SELECT p_partkey, p_size, 'p_brand', p_brand FROM part
@@ -688,6 +732,15 @@ def fold_rows(spark, d):
             .fold(["n_name", "n_regionkey"], rows=[0]).to_df())
 
 
+@query("fold_where", """
+SELECT n_nationkey, 'NATION_0' AS key, n_name AS value FROM nation WHERE n_nationkey <> 0
+UNION ALL SELECT n_nationkey, '0', CAST(n_regionkey AS VARCHAR) FROM nation WHERE n_nationkey <> 0""")
+def fold_where(spark, d):
+    # Key rows chosen by a predicate on the first folded column
+    return (W(spark, d, "nation", ["n_nationkey", "n_name", "n_regionkey"], order_by="n_nationkey")
+            .fold(["n_name", "n_regionkey"], where=lambda c: c == "NATION_0").to_df())
+
+
 _UNFOLD_VALUES = ["click", "error", "purchase", "signup", "view"]
 
 
