@@ -45,11 +45,12 @@ class Wrangler:
             order = tuple(hidden)
         if part is not None:
             df = df.withColumn(PART, F.col(part) if isinstance(part, str) else part)
-        self._init(df, order, (), order[0] if order else None, None, False)
+        self._init(df, order, (), order[0] if order else None, None, False, 0)
 
     # -- construction -------------------------------------------------------
-    def _init(self, df, order, prefix, qkey, bounds, prefix_unbounded):
+    def _init(self, df, order, prefix, qkey, bounds, prefix_unbounded, depth=0):
         self._dtypes = None
+        self.depth = depth  # ordered scans in the lineage since the last checkpoint
         self.df = df
         self.order = tuple(order)
         self.prefix = tuple(prefix)
@@ -58,15 +59,16 @@ class Wrangler:
         self.prefix_unbounded = prefix_unbounded
 
     @classmethod
-    def _raw(cls, df, order=(), prefix=(), qkey=None, bounds=None, prefix_unbounded=False):
+    def _raw(cls, df, order=(), prefix=(), qkey=None, bounds=None, prefix_unbounded=False,
+             depth=0):
         w = cls.__new__(cls)
-        w._init(df, order, prefix, qkey, bounds, prefix_unbounded)
+        w._init(df, order, prefix, qkey, bounds, prefix_unbounded, depth)
         return w
 
     _KEEP = object()
 
     def _with(self, df=_KEEP, order=_KEEP, prefix=_KEEP, qkey=_KEEP, bounds=_KEEP,
-              prefix_unbounded=_KEEP) -> "Wrangler":
+              prefix_unbounded=_KEEP, depth=_KEEP) -> "Wrangler":
         k = Wrangler._KEEP
         return Wrangler._raw(
             self.df if df is k else df,
@@ -75,8 +77,19 @@ class Wrangler:
             self.qkey if qkey is k else qkey,
             self.bounds if bounds is k else bounds,
             self.prefix_unbounded if prefix_unbounded is k else prefix_unbounded,
+            self.depth if depth is k else depth,
         )
 
+    def checkpoint(self) -> "Wrangler":
+        """Cut the lineage: a reliable checkpoint into the session's
+        ``spark.checkpoint.dir`` (survives executor loss). Without a configured
+        folder the plan is kept as is (results are the same, only recomputed)."""
+        from .session import checkpoint_dir
+
+        if self.is_streaming or checkpoint_dir(self.spark) is None:
+            return self
+        return self._with(df=self.df.checkpoint(eager=True), depth=0)
+
     def unordered(self, df: DataFrame | None = None) -> "Wrangler":
         d = self.df if df is None else df
         d = d.drop(*[c for c in d.columns if c.startswith(HIDDEN)])

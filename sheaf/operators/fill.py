@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..frame import Wrangler
 from ..functions.text import blank as is_empty
 from ..plans.order import ordered_scan
-from .common import _rows
+from .common import _rows, key_lookup_applies, row_hit
 
 
 def blank_test(blank) -> Callable[[Column], Column]:
@@ -65,11 +65,9 @@ def fill_side(w: Wrangler, direction: str, columns=None, rows=None, blank=None)
         exprs[n] = F.coalesce(*cands, w.text(n))
     if rows is None:
         return w.select_cells(exprs)
-    df, rid, w2 = w._rid()
-    hit = F.col(rid).isin(_rows(rows))
-    res = w2._with(df=df).select_cells(
-        {n: F.when(hit, e).otherwise(w.text(n)) for n, e in exprs.items()})
-    return res._with(df=res.df.drop(rid))
+    out, hit, helper = row_hit(w, rows)
+    res = out.select_cells({n: F.when(hit, e).otherwise(w.text(n)) for n, e in exprs.items()})
+    return res._with(df=res.df.drop(helper)) if helper else res
 
 
 def fill_column(w: Wrangler, source, target, blank=None) -> Wrangler:
@@ -86,6 +84,18 @@ def fill_row(w: Wrangler, source: int, target, columns=None, blank=None) -> Wran
     test = blank_test(blank)
     names = w.resolve(columns)
     tgt = _rows(target)
+    if key_lookup_applies(w, [source] + tgt):
+        # one source row (read once) and a key lookup for the targets: no shuffle
+        from .rows import row_at
+
+        src_row = row_at(w, source)
+        out, hit, helper = row_hit(w, tgt)
+        if src_row is None:
+            return w
+        res = out.select_cells(
+            {n: F.when(hit & test(w.text(n)) & F.lit(src_row[n]).isNotNull(),
+                       F.lit(src_row[n])).otherwise(w.text(n)) for n in names})
+        return res._with(df=res.df.drop(helper)) if helper else res
     df, rid, w2 = w._rid()
     srcn = {n: w2.fresh(f"__src{i}", extra=[rid]) for i, n in enumerate(names)}
     src = df.filter(F.col(rid) == source).select(

@@ -55,10 +55,11 @@ def union(a: Wrangler, b: Wrangler) -> Wrangler:
 
     out = side(a, 0).unionByName(side(b, 1))
     if not same_order:
-        return Wrangler._raw(out)
+        return Wrangler._raw(out, depth=max(a.depth, b.depth))
     src = f"{HIDDEN}src"
     return Wrangler._raw(out, order=(src,) + a.order, prefix=(src,) + a.prefix, qkey=a.qkey,
-                         prefix_unbounded=a.prefix_unbounded or b.prefix_unbounded)
+                         prefix_unbounded=a.prefix_unbounded or b.prefix_unbounded,
+                         depth=max(a.depth, b.depth))
 
 
 def merge_parts(w: Wrangler, keys: list | None = None) -> Wrangler:

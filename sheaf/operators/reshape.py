@@ -56,7 +56,7 @@ def wrap_rows(w: Wrangler, n: int, max_columns: int = 1000) -> Wrangler:
             v = F.max(F.when(F.col(k) == j, w.text(c)))
             aggs.append(F.coalesce(v, F.lit("")).alias(f"c{j * len(cols) + m}"))
     out = df.groupBy(*w.part_cols, g).agg(*aggs)
-    return Wrangler._raw(out, order=(g,), qkey=g)
+    return Wrangler._raw(out, order=(g,), qkey=g, depth=w2.depth)
 
 
 def wrap_cells(w: Wrangler, n: int) -> Wrangler:
@@ -90,11 +90,11 @@ def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
     keep = [c for c in w.df.columns if c not in w.columns]
     long = w.df.select(*keep, F.posexplode(F.array(*[w.text(c) for c in cols])).alias(m, val))
     lw = Wrangler._raw(long, order=(m,) + w.order, prefix=(m,) + w.prefix, qkey=w.qkey,
-                       bounds=w.bounds, prefix_unbounded=w.prefix_unbounded)
+                       bounds=w.bounds, prefix_unbounded=w.prefix_unbounded, depth=w.depth)
     rid, grp, start, pos = (lw.fresh("__lr"), lw.fresh("__grp"), lw.fresh("__start"),
                             lw.fresh("__pos"))
     hit = F.coalesce(F.col(val).rlike(pat), F.lit(False))
-    df, _ = ordered_scan(lw, rid=rid, csum={grp: hit.cast("long")}, last_hit={start: hit})
+    df, lw2 = ordered_scan(lw, rid=rid, csum={grp: hit.cast("long")}, last_hit={start: hit})
     # position inside the group = rid - rid of the group's first cell
     df = df.withColumn(pos, F.col(rid) - F.coalesce(F.col(start), F.lit(0)))
     if width is None:
@@ -113,7 +113,7 @@ def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
             f"wrap(where=) found a row longer than width={width}"))).otherwise(
             F.coalesce(F.max(F.when(F.col(pos) == 0, F.col(val))), F.lit(""))).alias("c0")
     out = df.groupBy(*w.part_cols, grp).agg(*aggs)
-    return Wrangler._raw(out, order=(grp,), qkey=grp)
+    return Wrangler._raw(out, order=(grp,), qkey=grp, depth=lw2.depth)
 
 
 # -- fold / unfold -------------------------------------------------------------
@@ -195,10 +195,10 @@ def unfold(w: Wrangler, column, measure, values: list | None = None,
             order.append(name)
         out = out.select(*[c for c in out.columns if c != first_key],
                          *[F.col(first_key)[c].alias(o) for c, o in zip(w.order, order)])
-        return Wrangler._raw(out, order=tuple(order), qkey=order[0])
+        return Wrangler._raw(out, order=tuple(order), qkey=order[0], depth=w.depth)
     out = out.select(*w.part_cols, *rest,
                      *[F.coalesce(F.col(str(v)), F.lit("")).alias(str(v)) for v in values])
-    return Wrangler._raw(out)
+    return Wrangler._raw(out, depth=w.depth)
 
 
 def transpose(w: Wrangler, max_rows: int = 1000) -> Wrangler:
@@ -210,12 +210,12 @@ def transpose(w: Wrangler, max_rows: int = 1000) -> Wrangler:
     n = w.df.limit(max_rows + 1).count()
     _check_width(n, max_rows, "transpose")
     cols = w.columns
-    df, rid, _ = w._rid()
+    df, rid, w2 = w._rid()
     m, val = w.fresh("__m", extra=[rid]), w.fresh("__v", extra=[rid])
     long = df.select(rid, F.posexplode(F.array(*[w.text(c) for c in cols])).alias(m, val))
     out = (long.groupBy(m).pivot(rid, list(range(n))).agg(F.first(val)))
     out = out.select(*[F.col(str(i)).alias(f"c{i}") for i in range(n)], m)
-    return Wrangler._raw(out, order=(m,), qkey=m)
+    return Wrangler._raw(out, order=(m,), qkey=m, depth=w2.depth)
 
 
 # -- translate -------------------------------------------------------------------
@@ -299,4 +299,4 @@ def translate(w: Wrangler, column=None, direction: str = "down", distance: int =
     if direction == "up":  # keep exactly the original positions
         out = out.filter(F.col(side) == 0)
     out = out.select(*cols, *w.part_cols, pos)
-    return Wrangler._raw(out, order=(pos,), qkey=pos)
+    return Wrangler._raw(out, order=(pos,), qkey=pos, depth=w2.depth)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..frame import PART, Wrangler
 from ..match import Regex
-from .common import _rows
+from .common import row_hit
 
 _TOPK_MAX = 100_000  # rows fetched through a distributed top-k; beyond: row-id filter
 
@@ -32,7 +32,7 @@ def row_at(w: Wrangler, i: int) -> Row | None:
                 .offset(i).limit(1).collect())
     else:
         glob = Wrangler._raw(w.df.drop(*w.part_cols), w.order, w.prefix, w.qkey, w.bounds,
-                             w.prefix_unbounded)
+                             w.prefix_unbounded, w.depth)
         df, rid, _ = glob._rid()
         keys = df.filter(F.col(rid) == i).select(*w.order).collect()
     if not keys:
@@ -133,12 +133,11 @@ def delete(w: Wrangler, pred: Callable[[Column], Column] | None = None, columns=
         if cond is None:
             raise ValueError("nothing to delete: give pred=, where= or rows=")
         return w._with(df=w.df.filter(~F.coalesce(cond, F.lit(False))))
-    hit_rows = _rows(rows)
-    df, rid, w2 = w._rid()
-    hit = F.col(rid).isin(hit_rows)
+    out, hit, helper = row_hit(w, rows)
     if cond is not None:
         hit = hit & F.coalesce(cond, F.lit(False))
-    return w2._with(df=df.filter(~hit).drop(rid))
+    df = out.df.filter(~F.coalesce(hit, F.lit(False)))
+    return out._with(df=df.drop(helper) if helper else df)
 
 
 def merge(w: Wrangler, columns, glue: str = ",", name: str | None = None,

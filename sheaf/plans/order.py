@@ -18,6 +18,7 @@ Each bucket holds ~N/K rows whatever the key skew of ``_part``; K grows with
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from typing import TYPE_CHECKING
 
@@ -185,6 +186,7 @@ def ordered_scan(
     """
     ffill, bfill, csum, last_hit = ffill or {}, bfill or {}, csum or {}, last_hit or {}
     w.require_batch("an ordered verb")
+    w = _cut_lineage(w)
     df, bcols, bounded, w = bucketed(w)
     part = w.part_cols
     keys = [*part, *bcols]
@@ -293,4 +295,17 @@ def ordered_scan(
             new_cols[out] = F.coalesce((F.col(off) + loc - 1).cast("long"), carry.cast("long"))
     df = df.withColumns(new_cols)
     drop = [c for c in tmp.values() if c in df.columns] + [c for c in bcols if c not in w.prefix]
-    return df.drop(*drop), w
+    return df.drop(*drop), w._with(depth=w.depth + 1)
+
+
+def _cut_lineage(w: "Wrangler") -> "Wrangler":
+    """Each ordered scan reads its input twice (side aggregate and data), so a
+    chain of them would recompute the lineage 2^depth times; past
+    ``sheaf.order.checkpointDepth`` (default 2) the input is checkpointed."""
+    limit = int(w.spark.conf.get("sheaf.order.checkpointDepth", "2"))
+    if w.depth < limit:
+        return w
+    cut = w.checkpoint()
+    if cut is w:
+        warnings.warn("no spark.checkpoint.dir: deep ordered chains are recomputed")
+    return cut

@@ -36,3 +36,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``
+    (or one already set on the context); never invents a machine-local one."""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        sc.setCheckpointDir(d)
+        return d
+    return None

@@ -127,3 +127,22 @@ def test_streaming_frames_refuse_ordered_verbs(spark, tmp_path):
         s.fill_down()
     with pytest.raises(ValueError):
         s.split_all(",")
+
+
+def test_deep_ordered_chain_is_checkpointed(spark):
+    ev = events(spark).select("event_id", "event_type")
+    w = Wrangler(ev, order_by="event_id")
+    blanked = w.edit(fn=lambda c: F.when(c == "error", F.lit("")).otherwise(c), columns="event_type")
+    two = blanked.fill_down("event_type").fill_up("event_type")
+    assert two.depth == 2
+    chain = two.with_row_id("a")  # third scan: the input is checkpointed first
+    assert chain.depth == 1
+    deeper = chain.with_row_id("b")
+    assert deeper.depth == 2
+    pdf = deeper.to_df().toPandas().sort_values("event_id")
+    assert list(pdf["a"]) == list(pdf["b"]) == list(range(len(pdf)))
+    src = ev.toPandas().sort_values("event_id")
+    v = src["event_type"].replace("error", pd.NA)
+    assert list(pdf["event_type"]) == list(v.ffill().bfill().fillna(""))
+    # row-addressed verbs without a partition key use a key lookup, not a scan
+    assert w.delete(rows=[0, 3]).depth == 0
