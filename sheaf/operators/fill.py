@@ -96,22 +96,26 @@ def fill_row(w: Wrangler, source: int, target, columns=None, blank=None) -> Wran
             {n: F.when(hit & test(w.text(n)) & F.lit(src_row[n]).isNotNull(),
                        F.lit(src_row[n])).otherwise(w.text(n)) for n in names})
         return res._with(df=res.df.drop(helper)) if helper else res
+    # Per partition: spread the source row's cells over its partition with a
+    # forward and a backward fill in row order (bucketed, so a partition
+    # holding a third of all rows is still spread over all tasks; no join on
+    # the partition key).
     df, rid, w2 = w._rid()
-    srcn = {n: w2.fresh(f"__src{i}", extra=[rid]) for i, n in enumerate(names)}
-    src = df.filter(F.col(rid) == source).select(
-        *w.part_cols, *[w.text(n).alias(s) for n, s in srcn.items()])
-    if w.has_part:
-        joined = df.join(src, on=w.part_cols, how="left")
-    else:
-        # exactly one row (row ids are unique): a bounded broadcast hash join
-        one = w2.fresh("__one", extra=[rid, *srcn.values()])
-        joined = df.withColumn(one, F.lit(1)).join(
-            F.broadcast(src.withColumn(one, F.lit(1))), on=one, how="left").drop(one)
+    marked = w2._with(df=df)
+    fwd = {w2.fresh(f"__sf{i}", extra=[rid]): n for i, n in enumerate(names)}
+    bwd = {w2.fresh(f"__sb{i}", extra=[rid, *fwd]): n for i, n in enumerate(names)}
+    is_src = F.col(rid) == source
+    df2, w3 = ordered_scan(
+        marked,
+        ffill={o: F.when(is_src, w.text(n)) for o, n in fwd.items()},
+        bfill={o: F.when(is_src, w.text(n)) for o, n in bwd.items()})
     hit = F.col(rid).isin(tgt)
-    res = w2._with(df=joined).select_cells(
-        {n: F.when(hit & test(w.text(n)) & F.col(s).isNotNull(), F.col(s)).otherwise(w.text(n))
-         for n, s in srcn.items()})
-    return res._with(df=res.df.drop(rid, *srcn.values()))
+    exprs = {}
+    for (fo, n), bo in zip(fwd.items(), bwd):
+        src = F.coalesce(F.col(fo), F.col(bo))
+        exprs[n] = F.when(hit & test(w.text(n)) & src.isNotNull(), src).otherwise(w.text(n))
+    res = w3._with(df=df2).select_cells(exprs)
+    return res._with(df=res.df.drop(rid, *fwd, *bwd))
 
 
 def fill(w: Wrangler, direction: str = "down", columns=None, rows=None, blank=None) -> Wrangler:

@@ -146,3 +146,19 @@ def test_deep_ordered_chain_is_checkpointed(spark):
     assert list(pdf["event_type"]) == list(v.ffill().bfill().fillna(""))
     # row-addressed verbs without a partition key use a key lookup, not a scan
     assert w.delete(rows=[0, 3]).depth == 0
+
+
+def test_fill_row_per_partition(spark):
+    ev = events(spark).select(
+        "event_id",
+        F.when(F.col("event_id") % 3 == 0, F.lit("hot")).otherwise(
+            (F.col("user_id") % 5).cast("string")).alias("g"),
+        F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.col("event_type")).alias("t"))
+    w = Wrangler(ev, order_by="event_id", part="g")
+    got = w.fill_row(2, [0, 1, 3, 4, 5], columns="t").to_df().toPandas().sort_values("event_id")
+    src = ev.toPandas().sort_values("event_id")
+    src["rn"] = src.groupby("g").cumcount()
+    source = src[src["rn"] == 2].set_index("g")["t"]
+    exp = [source.get(g, "") if (rn in (0, 1, 3, 4, 5) and t == "" and g in source.index) else t
+           for g, rn, t in zip(src["g"], src["rn"], src["t"])]
+    assert list(got["t"]) == exp
