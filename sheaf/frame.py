@@ -90,11 +90,6 @@ class Wrangler:
             return self
         return self._with(df=self.df.checkpoint(eager=True), depth=0)
 
-    def unordered(self, df: DataFrame | None = None) -> "Wrangler":
-        d = self.df if df is None else df
-        d = d.drop(*[c for c in d.columns if c.startswith(HIDDEN)])
-        return Wrangler._raw(d)
-
     # -- introspection ------------------------------------------------------
     @property
     def columns(self) -> list[str]:

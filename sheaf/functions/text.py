@@ -28,15 +28,6 @@ def quote_regex(value: str) -> str:
     return "".join("\\" + ch if ch in _PUNCT else ch for ch in value)
 
 
-def quote_replacement(value: str) -> str:
-    """Escape ``value`` for the replacement argument of ``regexp_replace``."""
-    return value.replace("\\", "\\\\").replace("$", "\\$")
-
-
-def lit_s(value: str) -> Column:
-    return F.lit(value)
-
-
 def rest(c: Column, start1) -> Column:
     """Substring from 1-based ``start1`` (Column or int, must be >= 1) to the end."""
     return F.substr(c, start1 if isinstance(start1, Column) else F.lit(start1))

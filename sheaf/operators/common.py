@@ -67,9 +67,3 @@ def map_cells(w: Wrangler, columns, fn: Callable[[Column], Column], rows=None) -
     res = out.select_cells(exprs)
     return res._with(df=res.df.drop(helper)) if helper else res
 
-
-def unique_name(existing: list[str], name: str) -> str:
-    n = name
-    while n in existing:
-        n += "_"
-    return n

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..frame import Wrangler
 from ..functions import text as T
-from ..match import (AFTER, BEFORE, BETWEEN, ON, Regex, Spec, as_pattern, check_max,
-                     is_pattern, make_specs, order_specs)
+from ..match import (AFTER, ON, Regex, Spec, as_pattern, check_max, is_pattern, make_specs,
+                     order_specs)
 from .common import map_cells
 
 

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from ..frame import Wrangler
 from ..functions import text as T
-from ..match import (AFTER, BEFORE, BETWEEN, ON, Regex, Spec, as_pattern, is_pattern,
-                     make_specs, order_specs)
+from ..match import (AFTER, BEFORE, BETWEEN, ON, Spec, as_pattern, is_pattern, make_specs,
+                     order_specs)
 from ..plans.width import expand, spread
 from .cut import _valid, cut_range, range_bounds
 
-E = F.lit("")
+
+
+def E() -> Column:
+    return F.lit("")
 
 
 # -- SW-style two-way forms ------------------------------------------------
@@ -32,7 +35,7 @@ def split_index(w: Wrangler, index: int, columns=None) -> Wrangler:
     def parts(c):
         ok = F.length(c) > index
         return [F.when(ok, T.head(c, index)).otherwise(c),
-                F.when(ok, T.rest(c, index + 2)).otherwise(E)]
+                F.when(ok, T.rest(c, index + 2)).otherwise(E())]
 
     return expand(w, {n: parts(w.text(n)) for n in w.resolve(columns)})
 
@@ -40,7 +43,7 @@ def split_index(w: Wrangler, index: int, columns=None) -> Wrangler:
 def _split_at(c: Column, p: Column, length) -> list[Column]:
     ok = p > 0
     return [F.when(ok, T.head(c, p - 1)).otherwise(c),
-            F.when(ok, T.rest(c, p + length)).otherwise(E)]
+            F.when(ok, T.rest(c, p + length)).otherwise(E())]
 
 
 def split_value(w: Wrangler, value: str, columns=None) -> Wrangler:
@@ -156,7 +159,7 @@ def split(w: Wrangler, on=None, after=None, before=None, between=None, columns=N
         for n in names:
             c = w.text(n)
             ok, left, right = _two(c, specs[0])
-            out[n] = [F.when(ok, left).otherwise(c), F.when(ok, right).otherwise(E)]
+            out[n] = [F.when(ok, left).otherwise(c), F.when(ok, right).otherwise(E())]
         return expand(w, out)
     fn = _compose([_split_pieces(s, max) for s in specs])
     return spread(w, {n: fn(w.text(n)) for n in names}, max_columns=max_columns)
@@ -170,13 +173,13 @@ def extract_index(w: Wrangler, index: int, columns=None) -> Wrangler:
         raise ValueError(f"negative index {index}")
     return expand(w, {n: [w.text(n), F.when(F.length(w.text(n)) > index,
                                             F.substr(w.text(n), F.lit(index + 1), F.lit(1)))
-                          .otherwise(E)] for n in w.resolve(columns)})
+                          .otherwise(E())] for n in w.resolve(columns)})
 
 
 def extract_value(w: Wrangler, value: str, columns=None) -> Wrangler:
     """(cell, ``value`` if it occurs else '')."""
     return expand(w, {n: [w.text(n), F.when(F.instr(w.text(n), value) > 0, F.lit(value))
-                          .otherwise(E)] for n in w.resolve(columns)})
+                          .otherwise(E())] for n in w.resolve(columns)})
 
 
 def extract_fn(w: Wrangler, fn: Callable[[Column], Column], columns=None) -> Wrangler:
@@ -185,7 +188,7 @@ def extract_fn(w: Wrangler, fn: Callable[[Column], Column], columns=None) -> Wra
     for n in w.resolve(columns):
         c = w.text(n)
         r = fn(c)
-        out[n] = [c, F.when(F.coalesce(F.instr(c, r), F.lit(0)) > 0, r).otherwise(E)]
+        out[n] = [c, F.when(F.coalesce(F.instr(c, r), F.lit(0)) > 0, r).otherwise(E())]
     return expand(w, out)
 
 
@@ -211,7 +214,7 @@ def _extract_pieces(spec: Spec, max: str) -> Callable[[Column], Column]:
                 A, B = as_pattern(t[0]), as_pattern(t[1])
                 if where == ON:
                     pat = f"(?:{A})(?s:.*?)(?:{B})"
-                    return lambda p: F.concat(F.array(F.regexp_replace(p, F.lit(pat), E)),
+                    return lambda p: F.concat(F.array(F.regexp_replace(p, F.lit(pat), E())),
                                               F.regexp_extract_all(p, F.lit(pat), F.lit(0)))
                 pat = f"(?<=(?:{A}))(?s:.*?)(?=(?:{B}))"
                 return lambda p: F.concat(
@@ -219,7 +222,7 @@ def _extract_pieces(spec: Spec, max: str) -> Callable[[Column], Column]:
                     F.regexp_extract_all(p, F.lit(pat), F.lit(0)))
         else:
             P = as_pattern(t)
-            return lambda p: F.concat(F.array(F.regexp_replace(p, F.lit(P), E)),
+            return lambda p: F.concat(F.array(F.regexp_replace(p, F.lit(P), E())),
                                       F.regexp_extract_all(p, F.lit(P), F.lit(0)))
 
     def first(p: Column) -> Column:
@@ -244,7 +247,7 @@ def extract(w: Wrangler, on=None, between=None, after=None, before=None, columns
         for n in names:
             c = w.text(n)
             ok, left, right = _extract_two(c, specs[0])
-            out[n] = [F.when(ok, left).otherwise(c), F.when(ok, right).otherwise(E)]
+            out[n] = [F.when(ok, left).otherwise(c), F.when(ok, right).otherwise(E())]
         return expand(w, out)
     fn = _compose([_extract_pieces(s, max) for s in specs])
     return spread(w, {n: fn(w.text(n)) for n in names}, max_columns=max_columns)

@@ -42,3 +42,13 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     ok, msg, _ = CHECK.compare(E.queries()[name](spark, SF), con, E.oracle_sql().get(name))
     assert ok, msg
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
+            "print(len(E.queries()), len(E.oracle_sql()))" % ROOT)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]

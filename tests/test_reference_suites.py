@@ -1,7 +1,5 @@
 """The reference's example suites, ported with exact shape checks (FIXTURES.md §1)."""
 
-import pytest
-
 from sheaf import re_, read_text
 from tests.conftest import rows
 
