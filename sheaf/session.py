@@ -41,7 +41,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``
     (or one already set on the context); never invents a machine-local one."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Connect session: the server owns the folder
+        return spark.conf.get("spark.checkpoint.dir", None)
     d = sc.getCheckpointDir()
     if d:
         return d

@@ -40,6 +40,14 @@ def row_groups(path: str) -> int | None:
     return n
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - e.g. a Connect session has no SparkContext
+        conf = spark.conf.get("spark.default.parallelism", None)
+        return int(conf or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
                min_splits: int | None = None) -> DataFrame:
     """Read parquet (pruned to ``columns``) with at least ``min_splits``
@@ -47,7 +55,7 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     df = spark.read.parquet(path)
     if columns:
         df = df.select(*columns)
-    target = min_splits or spark.sparkContext.defaultParallelism
+    target = min_splits or default_parallelism(spark)
     rg = row_groups(path)
     if rg is not None and rg < target:
         df = df.repartition(target)
