@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..frame import PART, Wrangler
 from ..match import Regex
 from ..plans.order import ordered_scan
-from .common import _rows
+from .common import row_hit
 
 
 def _check_width(n: int, limit: int, what: str) -> None:
@@ -132,15 +132,19 @@ def fold(w: Wrangler, columns=None, rows=None, key: str = "key", value: str = "v
     base = w
     if rows is not None or where is not None:
         w.require_batch("fold with key rows")
-        df, rid, w2 = w._rid()
-        sel = (F.col(rid).isin(_rows(rows)) if rows is not None
-               else F.coalesce(where(w.text(cols[0])), F.lit(False)))
-        picked = df.filter(sel).orderBy(*w.part_cols, rid).select(
+        if rows is not None:
+            w2, sel, helper = row_hit(w, rows)
+        else:
+            w2, sel, helper = w, F.coalesce(where(w.text(cols[0])), F.lit(False)), None
+        df = w2.df
+        key_order = [*w.part_cols, *w.order] if w.order else [*w.part_cols]
+        picked = df.filter(sel).orderBy(*key_order).select(
             *[w.text(c).alias(c) for c in cols]).limit(max_key_rows + 1).collect()
         if len(picked) > max_key_rows:
             raise ValueError(f"more than {max_key_rows} key rows")
         key_rows = picked
-        base = w2._with(df=df.filter(~sel).drop(rid))
+        rest = df.filter(~sel)
+        base = w2._with(df=rest.drop(helper) if helper else rest)
     if key_rows is None:
         keys = [[F.lit(c)] for c in cols]
         key_names = [key]
@@ -272,8 +276,7 @@ def translate(w: Wrangler, column=None, direction: str = "down", distance: int =
     if column is None:
         if direction == "down":
             return translate_rows(w, distance, top=True)
-        df, rid, w2 = w._rid()
-        cut = w2._with(df=df.filter(F.col(rid) >= distance).drop(rid))
+        cut = w.delete(rows=list(range(distance))) if distance > 0 else w
         return translate_rows(cut, distance, top=False)
     w.require_batch("translate")
     shifted = w.resolve(column)
