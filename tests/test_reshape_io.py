@@ -119,3 +119,17 @@ def test_streaming_row_local_verbs(spark, tmp_path):
     assert got == [("1", "", "y"), ("3", "", "n")]
     with pytest.raises(ValueError):
         stream_text(spark, str(src), cols=",")
+
+
+def test_streaming_file_sink_partitioned(spark, tmp_path):
+    from sheaf.streaming.live import write_stream
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("k1,a b\nk2,c d\nk1,e f\n")
+    w = stream_text(spark, str(src), cols=",", width=2).split_value(" ", "c1").partition(column="c0")
+    q = write_stream(w, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    q.awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    got = sorted(tuple(r) for r in out.select("_part", "c1_1", "c1_2").collect())
+    assert got == [("k1", "a", "b"), ("k1", "e", "f"), ("k2", "c", "d")]
