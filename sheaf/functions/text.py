@@ -43,15 +43,43 @@ def remove_range(c: Column, start0: Column, end0: Column) -> Column:
     return F.concat(head(c, start0), rest(c, end0 + 1))
 
 
+_REGEX_META = set("\\^$.|?*+()[]{}")
+
+
+def plain_literal(pattern: str) -> str | None:
+    """The pattern itself when it contains no regex metacharacter (then it
+    matches exactly its own text), else None."""
+    if pattern and not (set(pattern) & _REGEX_META):
+        return pattern
+    return None
+
+
 def first_regex_removed(c: Column, pattern: str) -> Column:
     """Remove the first match of ``pattern`` (Java ``replaceFirst(p, "")``).
 
     The lazy, scoped prefix finds the leftmost match; the ``^`` anchor stops
-    later matches. Back-references inside ``pattern`` shift by one.
+    later matches. Back-references inside ``pattern`` shift by one. A pattern
+    with no metacharacter takes the cheaper literal path.
     """
+    lit = plain_literal(pattern)
+    if lit is not None:
+        return remove_first_literal(c, lit)
     return F.regexp_replace(c, F.lit("^((?s:.*?))(?:" + pattern + ")"), F.lit("$1"))
 
 
+def regex_found(c: Column, pattern: str) -> Column:
+    """``c`` contains a match of ``pattern`` (``rlike`` is a find)."""
+    lit = plain_literal(pattern)
+    return F.instr(c, lit) > 0 if lit is not None else c.rlike(pattern)
+
+
+def all_regex_removed(c: Column, pattern: str) -> Column:
+    lit = plain_literal(pattern)
+    if lit is not None:
+        return F.replace(c, F.lit(lit), F.lit(""))
+    return F.regexp_replace(c, F.lit(pattern), F.lit(""))
+
+
 def keep_through_regex(c: Column, pattern: str) -> Column:
     """Keep text up to and including the first match; unchanged if none."""
     return F.regexp_replace(c, F.lit("^((?s:.*?)(?:" + pattern + "))(?s:.*)$"), F.lit("$1"))

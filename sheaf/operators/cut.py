@@ -92,7 +92,7 @@ def cut_one(c: Column, spec: Spec, max: str) -> Column:
     assert isinstance(t, Regex)
     if where == ON:
         if max == "all":
-            return F.regexp_replace(c, F.lit(t.pattern), F.lit(""))
+            return T.all_regex_removed(c, t.pattern)
         return T.first_regex_removed(c, t.pattern)
     if where == AFTER:
         return T.keep_through_regex(c, t.pattern)

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..frame import PART, Wrangler
+from ..functions.text import regex_found
 from ..match import Regex
 from ..plans.order import ordered_scan
 from .common import row_hit
@@ -93,7 +94,7 @@ def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
                        bounds=w.bounds, prefix_unbounded=w.prefix_unbounded, depth=w.depth)
     rid, grp, start, pos = (lw.fresh("__lr"), lw.fresh("__grp"), lw.fresh("__start"),
                             lw.fresh("__pos"))
-    hit = F.coalesce(F.col(val).rlike(pat), F.lit(False))
+    hit = F.coalesce(regex_found(F.col(val), pat), F.lit(False))
     df, lw2 = ordered_scan(lw, rid=rid, csum={grp: hit.cast("long")}, last_hit={start: hit})
     # position inside the group = rid - rid of the group's first cell
     df = df.withColumn(pos, F.col(rid) - F.coalesce(F.col(start), F.lit(0)))

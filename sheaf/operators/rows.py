@@ -10,6 +10,7 @@ from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 
 from ..frame import PART, Wrangler
+from ..functions.text import regex_found
 from ..match import Regex
 from .common import row_hit
 
@@ -128,7 +129,7 @@ def delete(w: Wrangler, pred: Callable[[Column], Column] | None = None, columns=
         cond = reduce(lambda a, b: a | b, [pred(w.text(c)) for c in names])
     elif where is not None:
         pat = where.pattern if isinstance(where, Regex) else where
-        cond = reduce(lambda a, b: a | b, [w.text(c).rlike(pat) for c in names])
+        cond = reduce(lambda a, b: a | b, [regex_found(w.text(c), pat) for c in names])
     if rows is None:
         if cond is None:
             raise ValueError("nothing to delete: give pred=, where= or rows=")
