@@ -349,9 +349,10 @@ class Wrangler:
 
     # -- reshape (W1-W11) ---------------------------------------------------
     def wrap(self, n: int | None = None, where=None, columns=None,
-             max_columns: int = 1000, width: int | None = None) -> "Wrangler":
+             max_columns: int = 1000, width: int | None = None,
+             as_array: bool = False) -> "Wrangler":
         from .operators import reshape
-        return reshape.wrap(self, n, where, columns, max_columns, width)
+        return reshape.wrap(self, n, where, columns, max_columns, width, as_array)
 
     def wrap_rows(self, n: int, max_columns: int = 1000) -> "Wrangler":
         from .operators import reshape

@@ -27,13 +27,13 @@ def _check_width(n: int, limit: int, what: str) -> None:
 # -- wrap --------------------------------------------------------------------
 
 def wrap(w: Wrangler, n=None, where=None, columns=None, max_columns: int = 1000,
-         width: int | None = None) -> Wrangler:
+         width: int | None = None, as_array: bool = False) -> Wrangler:
     """``wrap(n)``: W1 when ``n >= width`` (n rows -> one row) else W2 (each row's
     cells regrouped into n rows); ``wrap(where=regex)``: W3."""
     if (n is None) == (where is None):
         raise ValueError("give n= or where=")
     if where is not None:
-        return wrap_where(w, where, columns, max_columns, width)
+        return wrap_where(w, where, columns, max_columns, width, as_array)
     if n < 1:
         raise ValueError("n must be >= 1")
     if n < len(w.columns):
@@ -80,7 +80,7 @@ def wrap_cells(w: Wrangler, n: int) -> Wrangler:
 
 
 def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
-               width: int | None = None) -> Wrangler:
+               width: int | None = None, as_array: bool = False) -> Wrangler:
     """Read cells column by column; a cell matching regex ``where`` starts a
     new row; rows are padded to the longest (or to ``width``, which then must
     hold every row – a longer one raises). No blank first row."""
@@ -98,6 +98,15 @@ def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
     df, lw2 = ordered_scan(lw, rid=rid, csum={grp: hit.cast("long")}, last_hit={start: hit})
     # position inside the group = rid - rid of the group's first cell
     df = df.withColumn(pos, F.col(rid) - F.coalesce(F.col(start), F.lit(0)))
+    if as_array:
+        # one array column instead of a wide row; the longest row is checked
+        # first, so collect_list only ever holds a bounded group
+        need_row = df.agg(F.max(pos).alias("w")).first()
+        need = (need_row["w"] + 1) if need_row and need_row["w"] is not None else 1
+        _check_width(need, max_columns, "wrap(where=, as_array=True)")
+        cells = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(val).alias("v"))))
+        out = df.groupBy(*w.part_cols, grp).agg(cells.getField("v").alias("cells"))
+        return Wrangler._raw(out, order=(grp,), qkey=grp, depth=lw2.depth)
     if width is None:
         width_row = df.agg(F.max(pos).alias("w")).first()
         width = (width_row["w"] + 1) if width_row and width_row["w"] is not None else 1

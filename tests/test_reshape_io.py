@@ -133,3 +133,11 @@ def test_streaming_file_sink_partitioned(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     got = sorted(tuple(r) for r in out.select("_part", "c1_1", "c1_2").collect())
     assert got == [("k1", "a", "b"), ("k1", "e", "f"), ("k2", "c", "d")]
+
+
+def test_wrap_where_as_array(spark):
+    df = spark.createDataFrame([(0, "1", "2"), (1, "2", "4"), (2, "3", "5")],
+                               "k long, a string, b string")
+    w = Wrangler(df, order_by="k").drop("k").wrap(where="2", as_array=True)
+    assert w.columns == ["cells"]
+    assert [r[0] for r in w.ordered_df().collect()] == [["1"], ["2", "3"], ["2", "4", "5"]]
