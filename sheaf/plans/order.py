@@ -226,9 +226,9 @@ def ordered_scan(
         # in-bucket position of the last hit = rows at or before its key
         lk = side.select(*keys, *[a for _, a in hits])
         lk = F.broadcast(lk) if (bounded and not part) else lk
-        pos = df.select(*keys, okey.alias("__okey")).join(lk, on=keys).groupBy(*keys).agg(
+        pos = _join(df.select(*keys, okey.alias("__okey")), lk, keys, "inner").groupBy(*keys).agg(
             *[F.count_if(F.col("__okey") <= F.col(a)).alias(t(f"pos_h_{out}")) for out, a in hits])
-        side = side.join(pos, on=keys, how="left")
+        side = _join(side, pos, keys, "left")
 
     ws = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in bcols])
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
@@ -277,7 +277,7 @@ def ordered_scan(
             local[name] = F.last(F.when(s, F.col(rn)), ignorenulls=True).over(upto)
     if local:
         df = df.withColumns(local)
-    df = df.join(side, on=keys, how="left")
+    df = _join(df, side, keys, "left")
 
     new_cols = {}
     if rid:
@@ -298,6 +298,16 @@ def ordered_scan(
     return df.drop(*drop), w._with(depth=w.depth + 1)
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join on ``keys`` that also pairs null keys (a null partition key is
+    a partition like any other); right-hand key columns are dropped."""
+    l, r = left.alias("__l"), right.alias("__r")
+    cond = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
+    rest = [c for c in right.columns if c not in keys]
+    return l.join(r, on=cond, how=how).select(
+        *[F.col(f"__l.{c}") for c in left.columns], *[F.col(f"__r.{c}") for c in rest])
+
+
 def _cut_lineage(w: "Wrangler") -> "Wrangler":
     """Each ordered scan reads its input twice (side aggregate and data), so a
     chain of them would recompute the lineage 2^depth times; past

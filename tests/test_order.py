@@ -189,3 +189,18 @@ def test_ordered_results_independent_of_shuffle_partitions(spark, parts):
     width = max(len(r) for r in rows)
     exp = sorted(tuple(r + [""] * (width - len(r))) for r in rows)
     assert sorted(tuple(r) for r in got.itertuples(index=False)) == exp
+
+
+def test_null_partition_key_is_a_partition(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a", "" if i % 3 else f"v{i}")
+                                for i in range(12)], "k long, g string, t string")
+    w = Wrangler(df, order_by="k", part="g")
+    got = {r["k"]: (r["row_id"], r["t"]) for r in
+           w.fill_down("t").with_row_id().to_df().collect()}
+    for g in ("a", None):
+        ks = [k for k in range(12) if (None if k % 2 else "a") == g]
+        last = ""
+        for i, k in enumerate(ks):
+            t = "" if k % 3 else f"v{k}"
+            last = t or last
+            assert got[k] == (i, last)
