@@ -91,28 +91,61 @@ def surrogate(df: DataFrame, name: str, skip: int = 0) -> Column:
 _STATS: dict = {}
 
 
-def compute_bounds(df: DataFrame, qkey: str, k: int) -> tuple:
-    """(skip, bounds): K-1 deduplicated quantile bounds of the surrogate – one
-    small aggregate (plus a min/max for strings)."""
+_EXACT = {"tinyint", "smallint", "int", "float", "double", "date", "boolean"}
+_EXACT_BELOW_2_52 = {"bigint", "timestamp", "timestamp_ntz"}
+
+
+def _exact_surrogate(dtype: str, values) -> bool:
+    """True when equal surrogates imply equal keys for these values."""
+    if dtype in _EXACT:
+        return True
+    return dtype in _EXACT_BELOW_2_52 and all(abs(v) < 2.0 ** 52 for v in values)
+
+
+def _quantiles(df: DataFrame, sur: Column, k: int) -> tuple[list, int]:
+    """Raw (not deduplicated) K-quantiles of ``sur`` and the row count, one pass."""
+    probs = [i / k for i in range(1, k)]
+    # rank error 1/accuracy of N: a quarter bucket keeps buckets balanced
+    # while the per-task sketch stays O(K)
+    accuracy = min(200_000, max(1000, 4 * k))
+    row = df.select(sur.alias("__sur")).agg(
+        F.percentile_approx("__sur", probs, accuracy).alias("q"),
+        F.count(F.lit(1)).alias("n")).first()
+    if row is None or row["q"] is None:
+        return [], 0
+    return [float(x) for x in row["q"] if x is not None], int(row["n"])
+
+
+def compute_bounds(df: DataFrame, qkey: str, k: int, key2: str | None = None) -> tuple:
+    """(skip, bounds, sub): K-1 deduplicated quantile bounds of the surrogate of
+    ``qkey`` – one small aggregate (plus a min/max for strings).
+
+    A value repeated in the raw quantiles holds at least 1/K of all rows; when
+    the order has a second key (and equal surrogates mean equal keys) those
+    rows are sub-bucketed by quantiles of ``key2`` (``sub``), so one hot first
+    key does not make one huge bucket.
+    """
     try:
-        cache_key = (df.select(qkey).semanticHash(), k)
+        cache_key = (df.select(qkey, *([key2] if key2 else [])).semanticHash(), k, key2)
     except Exception:  # noqa: BLE001 - no plan hash: just recompute
         cache_key = None
     if cache_key is not None and cache_key in _STATS:
         return _STATS[cache_key]
-    skip = string_skip(df, qkey) if dict(df.dtypes)[qkey] in ("string", "binary") else 0
+    dtypes = dict(df.dtypes)
+    skip = string_skip(df, qkey) if dtypes[qkey] in ("string", "binary") else 0
     bounds: tuple = ()
+    sub = None
     if k > 1:
         sur = surrogate(df, qkey, skip)
-        probs = [i / k for i in range(1, k)]
-        # rank error 1/accuracy of N: a quarter bucket keeps buckets balanced
-        # while the per-task sketch stays O(K)
-        accuracy = min(200_000, max(1000, 4 * k))
-        row = df.select(sur.alias("__sur")).agg(
-            F.percentile_approx("__sur", probs, accuracy).alias("q")).first()
-        if row is not None and row["q"] is not None:
-            bounds = tuple(sorted(set(float(x) for x in row["q"] if x is not None)))
-    out = (skip, bounds)
+        raw, _ = _quantiles(df, sur, k)
+        bounds = tuple(sorted(set(raw)))
+        heavy = tuple(sorted(v for v in set(raw) if raw.count(v) >= 2))
+        if heavy and key2 is not None and _exact_surrogate(dtypes[qkey], heavy):
+            hot = df.filter(sur.isin(list(heavy)))
+            skip2 = string_skip(hot, key2) if dtypes[key2] in ("string", "binary") else 0
+            raw2, _ = _quantiles(hot, surrogate(hot, key2, skip2), k)
+            sub = (heavy, key2, skip2, tuple(sorted(set(raw2))))
+    out = (skip, bounds, sub)
     if cache_key is not None:
         if len(_STATS) > 256:
             _STATS.clear()
@@ -120,9 +153,7 @@ def compute_bounds(df: DataFrame, qkey: str, k: int) -> tuple:
     return out
 
 
-def add_bucket(df: DataFrame, qkey: str, stats: tuple, out: str) -> DataFrame:
-    skip, bounds = stats
-    sur = F.coalesce(surrogate(df, qkey, skip), F.lit(float("-inf")))
+def _bucket(df: DataFrame, sur: Column, bounds: tuple, out: str) -> DataFrame:
     if not bounds:
         return df.withColumn(out, F.lit(0))
     if len(bounds) <= _INLINE_MAX:
@@ -141,6 +172,20 @@ def add_bucket(df: DataFrame, qkey: str, stats: tuple, out: str) -> DataFrame:
     return res.withColumn(out, F.col(out + "_d").cast("int")).drop(tmp, out + "_d")
 
 
+def add_bucket(df: DataFrame, qkey: str, stats: tuple, out: str) -> tuple[DataFrame, list[str]]:
+    skip, bounds, sub = stats
+    sur = F.coalesce(surrogate(df, qkey, skip), F.lit(float("-inf")))
+    df = _bucket(df, sur, bounds, out)
+    if not sub:
+        return df, [out]
+    heavy, key2, skip2, bounds2 = sub
+    out2 = out + "_2"
+    sur2 = F.coalesce(surrogate(df, key2, skip2), F.lit(float("-inf")))
+    df = _bucket(df, sur2, bounds2, out2)
+    df = df.withColumn(out2, F.when(sur.isin(list(heavy)), F.col(out2)).otherwise(F.lit(-1)))
+    return df, [out, out2]
+
+
 def bucketed(w: "Wrangler") -> tuple[DataFrame, list[str], bool, "Wrangler"]:
     """(frame with bucket columns, bucket column names, side-table-is-bounded, wrangler
     carrying cached bounds)."""
@@ -150,13 +195,15 @@ def bucketed(w: "Wrangler") -> tuple[DataFrame, list[str], bool, "Wrangler"]:
     cols = list(w.prefix)
     bounded = not w.prefix_unbounded
     if w.qkey is not None:
+        i = w.order.index(w.qkey)
+        key2 = w.order[i + 1] if i + 1 < len(w.order) else None
         stats = w.bounds
         if stats is None:
-            stats = compute_bounds(df, w.qkey, bucket_count(df.sparkSession))
+            stats = compute_bounds(df, w.qkey, bucket_count(df.sparkSession), key2)
             w = w._with(bounds=stats)
         name = w.fresh("__bkt")
-        df = add_bucket(df, w.qkey, stats, name)
-        cols.append(name)
+        df, bcols = add_bucket(df, w.qkey, stats, name)
+        cols += bcols
     return df, cols, bounded, w
 
 

@@ -204,3 +204,23 @@ def test_null_partition_key_is_a_partition(spark):
             t = "" if k % 3 else f"v{k}"
             last = t or last
             assert got[k] == (i, last)
+
+
+def test_hot_first_order_key_is_sub_bucketed(spark):
+    # a third of all rows share the first order key
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).cast("long").alias("a"),
+        (F.col("id") * 7 % 3001).alias("b"), F.col("id"))
+    spark.conf.set("sheaf.order.buckets", "8")
+    order_plan._STATS.clear()
+    try:
+        w = Wrangler(df, order_by=["a", "b"])
+        bdf, bcols, _, _ = order_plan.bucketed(w)
+        sizes = [r["count"] for r in bdf.groupBy(*bcols).count().collect()]
+        got = w.with_row_id().to_df().toPandas()
+    finally:
+        spark.conf.unset("sheaf.order.buckets")
+    assert len(bcols) == 2
+    assert max(sizes) < 3000 / 3  # the hot key is spread over several buckets
+    exp = got.sort_values(["a", "b"]).reset_index(drop=True)
+    assert list(exp["row_id"]) == list(range(3000))
