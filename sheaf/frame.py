@@ -50,6 +50,7 @@ class Wrangler:
     # -- construction -------------------------------------------------------
     def _init(self, df, order, prefix, qkey, bounds, prefix_unbounded, depth=0):
         self._dtypes = None
+        self.created: tuple = ()  # columns made by the verb that returned this frame
         self.depth = depth  # ordered scans in the lineage since the last checkpoint
         self.df = df
         self.order = tuple(order)
@@ -205,9 +206,20 @@ class Wrangler:
         from .operators import rows
         return rows.demote(self, row)
 
-    def rename(self, mapping: dict[str, str]) -> "Wrangler":
+    def rename(self, mapping) -> "Wrangler":
+        """Rename columns: ``{old: new}``, or a sequence of new names for the
+        columns the previous verb created (``w["T"].split(" ").rename(("D", "T"))``)."""
+        if not isinstance(mapping, dict):
+            names = list(mapping)
+            if len(names) != len(self.created):
+                raise ValueError(f"{len(names)} names for the {len(self.created)} columns "
+                                 f"{list(self.created)} the previous verb made")
+            mapping = dict(zip(self.created, names))
         for k in mapping:
             self.resolve(k)
+        final = [mapping.get(c, c) for c in self.columns]
+        if len(set(final)) != len(final):
+            raise ValueError(f"names would not be unique: {final}")
         return self._with(df=self.df.withColumnsRenamed(mapping))
 
     def __getitem__(self, column) -> "ColumnHandle":

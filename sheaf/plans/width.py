@@ -30,17 +30,21 @@ def _names(existing: list[str], base: str, n: int) -> list[str]:
 def expand(w: Wrangler, parts: dict[str, list[Column]]) -> Wrangler:
     """Replace each column ``c`` in ``parts`` by its (static) pieces ``c_1..c_n``."""
     sel = []
+    made = []
     existing = list(w.df.columns)
     for c in w.df.columns:
         if c in parts:
             src = F.col(c)
             names = _names(existing, c, len(parts[c]))
             existing += names
+            made += names
             sel += [F.when(src.isNull(), F.lit(None).cast("string")).otherwise(e).alias(n)
                     for e, n in zip(parts[c], names)]
         else:
             sel.append(F.col(c))
-    return w._with(df=w.df.select(*sel))
+    out = w._with(df=w.df.select(*sel))
+    out.created = tuple(made)
+    return out
 
 
 def spread(w: Wrangler, arrays: dict[str, Column], width: int | dict | None = None,
@@ -71,14 +75,18 @@ def spread(w: Wrangler, arrays: dict[str, Column], width: int | dict | None = No
             raise ValueError(
                 f"column {c!r} would become {n} columns (> max_columns={max_columns})")
     sel = []
+    made = []
     existing = list(df1.columns)
     for c in w.df.columns:
         if c in arrays:
             a = F.col(tmp[c])
             names = _names(existing, c, widths[c])
             existing += names
+            made += names
             sel += [F.when(a.isNotNull(), F.coalesce(F.get(a, i), F.lit(""))).alias(n)
                     for i, n in enumerate(names)]
         else:
             sel.append(F.col(c))
-    return w._with(df=df1.select(*sel))
+    out = w._with(df=df1.select(*sel))
+    out.created = tuple(made)
+    return out

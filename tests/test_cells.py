@@ -175,3 +175,11 @@ def test_column_handle_and_python_udf(spark):
     assert got(w.cut_fn(boom, "s")) == [("2024-01-01 ",), ("bad",), (None,)]
     assert got(w.delete(pred=cell_pred(lambda v: v.startswith("b")), columns="s")) == [
         ("2024-01-01 10:00",), (None,)]
+
+
+def test_handle_split_then_rename(spark):
+    w = frame(spark, ["2024-01-01 10:00", "2024-02-03 11:30"])
+    r = w["s"].split_value(" ").rename(("DATE", "TIME"))
+    assert r.columns == ["k", "DATE", "TIME"]
+    assert got(r) == [("2024-01-01", "10:00"), ("2024-02-03", "11:30")]
+    assert r.rename({"TIME": "T"}).columns == ["k", "DATE", "T"]
