@@ -91,17 +91,6 @@ def surrogate(df: DataFrame, name: str, skip: int = 0) -> Column:
 _STATS: dict = {}
 
 
-_EXACT = {"tinyint", "smallint", "int", "float", "double", "date", "boolean"}
-_EXACT_BELOW_2_52 = {"bigint", "timestamp", "timestamp_ntz"}
-
-
-def _exact_surrogate(dtype: str, values) -> bool:
-    """True when equal surrogates imply equal keys for these values."""
-    if dtype in _EXACT:
-        return True
-    return dtype in _EXACT_BELOW_2_52 and all(abs(v) < 2.0 ** 52 for v in values)
-
-
 def _quantiles(df: DataFrame, sur: Column, k: int) -> tuple[list, int]:
     """Raw (not deduplicated) K-quantiles of ``sur`` and the row count, one pass."""
     probs = [i / k for i in range(1, k)]
@@ -120,10 +109,11 @@ def compute_bounds(df: DataFrame, qkey: str, k: int, key2: str | None = None) ->
     """(skip, bounds, sub): K-1 deduplicated quantile bounds of the surrogate of
     ``qkey`` – one small aggregate (plus a min/max for strings).
 
-    A value repeated in the raw quantiles holds at least 1/K of all rows; when
-    the order has a second key (and equal surrogates mean equal keys) those
-    rows are sub-bucketed by quantiles of ``key2`` (``sub``), so one hot first
-    key does not make one huge bucket.
+    A surrogate value repeated in the raw quantiles holds at least 1/K of all
+    rows. When the order has a second key, the single first-key value behind
+    it (found by a bounded aggregate over those rows) is sub-bucketed by
+    quantiles of ``key2`` (``sub``), so one hot first key does not make one
+    huge bucket.
     """
     try:
         cache_key = (df.select(qkey, *([key2] if key2 else [])).semanticHash(), k, key2)
@@ -137,14 +127,26 @@ def compute_bounds(df: DataFrame, qkey: str, k: int, key2: str | None = None) ->
     sub = None
     if k > 1:
         sur = surrogate(df, qkey, skip)
-        raw, _ = _quantiles(df, sur, k)
+        raw, n = _quantiles(df, sur, k)
         bounds = tuple(sorted(set(raw)))
-        heavy = tuple(sorted(v for v in set(raw) if raw.count(v) >= 2))
-        if heavy and key2 is not None and _exact_surrogate(dtypes[qkey], heavy):
-            hot = df.filter(sur.isin(list(heavy)))
-            skip2 = string_skip(hot, key2) if dtypes[key2] in ("string", "binary") else 0
-            raw2, _ = _quantiles(hot, surrogate(hot, key2, skip2), k)
-            sub = (heavy, key2, skip2, tuple(sorted(set(raw2))))
+        heavy = sorted(v for v in set(raw) if raw.count(v) >= 2 and abs(v) != float("inf"))
+        if heavy and key2 is not None:
+            hot = df.filter(sur.isin(heavy))
+            # exact first-key values holding >= 1/K of the rows (at most K of them)
+            cands = (hot.groupBy(F.col(qkey).alias("v"), sur.alias("s"))
+                     .agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= max(1, n // k))
+                     .limit(2 * k + 1).collect())
+            per_s: dict = {}
+            for r in cands:
+                if r["v"] is not None:
+                    per_s.setdefault(r["s"], []).append(r["v"])
+            pairs = tuple((sv, vs[0]) for sv, vs in sorted(per_s.items()) if len(vs) == 1)
+            if pairs:
+                vals = [v for _, v in pairs]
+                hot = df.filter(F.col(qkey).isin(vals))
+                skip2 = string_skip(hot, key2) if dtypes[key2] in ("string", "binary") else 0
+                raw2, _ = _quantiles(hot, surrogate(hot, key2, skip2), k)
+                sub = (pairs, key2, skip2, tuple(sorted(set(raw2))))
     out = (skip, bounds, sub)
     if cache_key is not None:
         if len(_STATS) > 256:
@@ -178,11 +180,19 @@ def add_bucket(df: DataFrame, qkey: str, stats: tuple, out: str) -> tuple[DataFr
     df = _bucket(df, sur, bounds, out)
     if not sub:
         return df, [out]
-    heavy, key2, skip2, bounds2 = sub
+    pairs, key2, skip2, bounds2 = sub
     out2 = out + "_2"
     sur2 = F.coalesce(surrogate(df, key2, skip2), F.lit(float("-inf")))
     df = _bucket(df, sur2, bounds2, out2)
-    df = df.withColumn(out2, F.when(sur.isin(list(heavy)), F.col(out2)).otherwise(F.lit(-1)))
+    # inside the bucket of a hot value v: keys below v first (-1), then v's rows
+    # by the second key, then keys above v that share v's surrogate (top)
+    k1, top = F.col(qkey), F.lit(len(bounds2) + 1)
+    expr = None
+    for sv, v in pairs:
+        cond_hot, cond_above = k1 == F.lit(v), (sur == F.lit(sv)) & (k1 > F.lit(v))
+        expr = (F.when(cond_hot, F.col(out2)) if expr is None else expr.when(cond_hot, F.col(out2)))
+        expr = expr.when(cond_above, top)
+    df = df.withColumn(out2, expr.otherwise(F.lit(-1)))
     return df, [out, out2]
 
 

@@ -224,3 +224,25 @@ def test_hot_first_order_key_is_sub_bucketed(spark):
     assert max(sizes) < 3000 / 3  # the hot key is spread over several buckets
     exp = got.sort_values(["a", "b"]).reset_index(drop=True)
     assert list(exp["row_id"]) == list(range(3000))
+
+
+def test_hot_string_first_order_key_is_sub_bucketed(spark):
+    # a third of the rows share one string first key; others collide on the
+    # surrogate bytes only after a long common prefix
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("shared-prefix-HOT"))
+        .otherwise(F.concat(F.lit("shared-prefix-"), F.lpad(F.col("id").cast("string"), 6, "0")))
+        .alias("a"),
+        (F.col("id") * 7 % 3001).alias("b"), F.col("id"))
+    spark.conf.set("sheaf.order.buckets", "8")
+    order_plan._STATS.clear()
+    try:
+        w = Wrangler(df, order_by=["a", "b"])
+        bdf, bcols, _, _ = order_plan.bucketed(w)
+        sizes = [r["count"] for r in bdf.groupBy(*bcols).count().collect()]
+        got = w.with_row_id().to_df().toPandas()
+    finally:
+        spark.conf.unset("sheaf.order.buckets")
+    assert len(bcols) == 2 and max(sizes) < 1000
+    exp = got.sort_values(["a", "b"]).reset_index(drop=True)
+    assert list(exp["row_id"]) == list(range(3000))
