@@ -428,9 +428,9 @@ class Wrangler:
 
     # -- sinks (S4-S6) ---------------------------------------------------------
     def write_text(self, path: str, sep: str = ",", header: bool = True,
-                   mode: str = "overwrite") -> None:
+                   mode: str = "overwrite", ordered: bool | None = None) -> None:
         from .sources import sinks
-        sinks.write_text(self, path, sep, header, mode)
+        sinks.write_text(self, path, sep, header, mode, ordered)
 
     def preview(self, n: int = 20) -> str:
         from .sources import sinks

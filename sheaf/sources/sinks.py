@@ -8,17 +8,24 @@ from ..frame import PART, Wrangler
 
 
 def write_text(w: Wrangler, path: str, sep: str = ",", header: bool = True,
-               mode: str = "overwrite") -> None:
+               mode: str = "overwrite", ordered: bool | None = None) -> None:
     """One line per row, cells joined by ``sep`` (no quoting), header line
     first in every output file; one folder per ``_part`` key.
 
-    Implemented with the CSV writer over a single pre-joined column: its
-    header option gives the per-file header line, and with a delimiter and
-    quote the data never contains, it writes the joined line verbatim.
+    ``ordered`` (default: when the table has a row order) keeps the row order
+    across the output files. Implemented with the CSV writer over a single
+    pre-joined column: its header option gives the per-file header line, and
+    with a delimiter and quote the data never contains, it writes the joined
+    line verbatim.
     """
     head = sep.join(w.columns)
     line = F.concat_ws(sep, *[F.coalesce(w.text(c), F.lit("")) for c in w.columns])
-    df = w.df.select(line.alias(head if header else "value"), *w.part_cols)
+    src = w.df
+    if (w.order if ordered is None else ordered) and w.order:
+        # rows in table order: a range-partitioned (sampled) global sort, so the
+        # part files read in name order give the table order
+        src = src.orderBy(*w.part_cols, *[F.col(c).asc_nulls_first() for c in w.order])
+    df = src.select(line.alias(head if header else "value"), *w.part_cols)
     writer = (df.write.mode(mode)
               .option("header", header)
               .option("sep", "\u0001")

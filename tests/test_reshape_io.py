@@ -4,6 +4,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf import Wrangler, read_lines, read_text
 from sheaf.sources.text import output_name
@@ -141,3 +142,15 @@ def test_wrap_where_as_array(spark):
     w = Wrangler(df, order_by="k").drop("k").wrap(where="2", as_array=True)
     assert w.columns == ["cells"]
     assert [r[0] for r in w.ordered_df().collect()] == [["1"], ["2", "3"], ["2", "4", "5"]]
+
+
+def test_write_text_keeps_row_order(spark, tmp_path):
+    df = spark.range(200).select((199 - F.col("id")).alias("k"), F.col("id").cast("string").alias("v"))
+    w = Wrangler(df.repartition(7), order_by="k").drop("k")
+    out = str(tmp_path / "ordered")
+    w.write_text(out)
+    lines = []
+    for f in sorted(glob.glob(out + "/part-*")):
+        content = open(f).read().splitlines()
+        lines += content[1:]
+    assert lines == [str(i) for i in range(199, -1, -1)]
