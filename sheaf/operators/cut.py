@@ -60,7 +60,9 @@ def cut_range(c: Column, a, b, where: str, max: str) -> Column:
     if is_pattern(a) and is_pattern(b):
         A, B = as_pattern(a), as_pattern(b)
         if where == ON:
-            pat = f"(?:{A})(?s:.*?)(?:{B})"
+            # the end is searched from the START of the first match, as the
+            # positional form does (so it may overlap it)
+            pat = f"(?=(?:{A}))(?s:.*?)(?:{B})"
             if max == "all":
                 return F.regexp_replace(c, F.lit(pat), F.lit(""))
             return T.first_regex_removed(c, pat)

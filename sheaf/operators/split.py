@@ -121,7 +121,7 @@ def _split_pieces(spec: Spec, max: str) -> Callable[[Column], Column]:
         if isinstance(t, tuple):
             if is_pattern(t[0]) and is_pattern(t[1]):
                 A, B = as_pattern(t[0]), as_pattern(t[1])
-                pat = (f"(?:{A})(?s:.*?)(?:{B})" if where == ON
+                pat = (f"(?=(?:{A}))(?s:.*?)(?:{B})" if where == ON
                        else f"(?<=(?:{A}))(?s:.*?)(?=(?:{B}))")
                 return lambda p: T.jvm_split(p, pat)
         else:
@@ -213,7 +213,7 @@ def _extract_pieces(spec: Spec, max: str) -> Callable[[Column], Column]:
             if is_pattern(t[0]) and is_pattern(t[1]):
                 A, B = as_pattern(t[0]), as_pattern(t[1])
                 if where == ON:
-                    pat = f"(?:{A})(?s:.*?)(?:{B})"
+                    pat = f"(?=(?:{A}))(?s:.*?)(?:{B})"
                     return lambda p: F.concat(F.array(F.regexp_replace(p, F.lit(pat), E())),
                                               F.regexp_extract_all(p, F.lit(pat), F.lit(0)))
                 pat = f"(?<=(?:{A}))(?s:.*?)(?=(?:{B}))"
