@@ -184,3 +184,18 @@ def test_handle_split_then_rename(spark):
     assert r.columns == ["k", "DATE", "TIME"]
     assert got(r) == [("2024-01-01", "10:00"), ("2024-02-03", "11:30")]
     assert r.rename({"TIME": "T"}).columns == ["k", "DATE", "T"]
+
+
+def test_lookaround_and_range_all_forms(spark):
+    w = frame(spark, ["a-b-c", "x", "{k:1}{j:2}"])
+    assert got(w.split(after="-", max="all", columns="s")) == [
+        ("a-", "b-", "c"), ("x", "", ""), ("{k:1}{j:2}", "", "")]
+    assert got(w.split(before="-", max="all", columns="s")) == [
+        ("a", "-b", "-c"), ("x", "", ""), ("{k:1}{j:2}", "", "")]
+    assert got(w.extract(between=("{", "}"), max="all", columns="s")) == [
+        ("a-b-c", "", ""), ("x", "", ""), ("{}{}", "k:1", "j:2")]
+    assert got(w.cut(on=("{", ":"), max="all", columns="s")) == [("a-b-c",), ("x",), ("1}2}",)]
+    assert got(w.cut(after=re_("-[a-z]"), columns="s")) == [("a-b",), ("x",), ("{k:1}{j:2}",)]
+    assert got(w.cut(before=re_("[0-9]"), columns="s")) == [("a-b-c",), ("x",), ("1}{j:2}",)]
+    # the end is searched from the start of the first match, so it may be that match
+    assert got(w.split(on=("-", "-"), columns="s")) == [("a", "b-c"), ("x", ""), ("{k:1}{j:2}", "")]

@@ -154,3 +154,22 @@ def test_write_text_keeps_row_order(spark, tmp_path):
         content = open(f).read().splitlines()
         lines += content[1:]
     assert lines == [str(i) for i in range(199, -1, -1)]
+
+
+def test_unordered_union_unfold_and_partitioned_translate(spark):
+    a = Wrangler(spark.createDataFrame([("k1", "t", "1"), ("k1", "u", "2"), ("k2", "t", "3")],
+                                       "g string, key string, v string"))
+    assert sorted(tuple(r) for r in a.unfold("key", "v").to_df().collect()) == [
+        ("k1", "1", "2"), ("k2", "3", "")]
+    u = a.union(Wrangler(spark.createDataFrame([("z",)], "q string")))
+    assert sorted(tuple(r) for r in u.to_df().collect()) == [
+        ("k1", "t", "1"), ("k1", "u", "2"), ("k2", "t", "3"), ("z", "", "")]
+    df = spark.createDataFrame([(i, "p" if i < 3 else "q", f"v{i}") for i in range(5)],
+                               "k long, g string, v string")
+    w = Wrangler(df, order_by="k", part="g").drop(["k", "g"])
+    down = w.translate("v", "down", 1).to_df().collect()
+    assert sorted((r["_part"], r["v"]) for r in down) == [
+        ("p", ""), ("p", "v0"), ("p", "v1"), ("p", "v2"), ("q", ""), ("q", "v3"), ("q", "v4")]
+    rows_ = w.translate_down(1).to_df().collect()
+    assert sorted((r["_part"], r["v"]) for r in rows_) == [
+        ("p", ""), ("p", "v0"), ("p", "v1"), ("p", "v2"), ("q", ""), ("q", "v3"), ("q", "v4")]
