@@ -246,3 +246,27 @@ def test_hot_string_first_order_key_is_sub_bucketed(spark):
     assert len(bcols) == 2 and max(sizes) < 1000
     exp = got.sort_values(["a", "b"]).reset_index(drop=True)
     assert list(exp["row_id"]) == list(range(3000))
+
+
+def test_hot_key_with_surrogate_collisions_keeps_order(spark):
+    # every key shares its first 8 bytes, so all collide on the surrogate;
+    # keys below ("...-0nnnn") and above ("...-znnnn") the hot value
+    ids = F.lpad(F.col("id").cast("string"), 5, "0")
+    a = (F.when(F.col("id") % 3 == 0, F.lit("MMMMMMMM-HOT"))
+         .when(F.col("id") % 3 == 1, F.concat(F.lit("MMMMMMMM-0"), ids))
+         .otherwise(F.concat(F.lit("MMMMMMMM-z"), ids)))
+    df = spark.range(3000).select(F.lit("A").alias("x"), a.alias("a"),
+                                  (F.col("id") * 7 % 3001).alias("b"))
+    edge = spark.createDataFrame([("A", "A", 0), ("A", "Z", 0)], "x string, a string, b long")
+    df = df.unionByName(edge.select(*[F.col(c).cast(t) for c, t in df.dtypes]))
+    spark.conf.set("sheaf.order.buckets", "8")
+    order_plan._STATS.clear()
+    try:
+        w = Wrangler(df, order_by=["a", "b"])
+        _, bcols, _, w2 = order_plan.bucketed(w)
+        got = w.with_row_id().to_df().toPandas()
+    finally:
+        spark.conf.unset("sheaf.order.buckets")
+    assert len(bcols) == 2 and w2.bounds[2][0][0][1] == "MMMMMMMM-HOT"
+    exp = got.sort_values(["a", "b"]).reset_index(drop=True)
+    assert list(exp["row_id"]) == list(range(len(exp)))
