@@ -173,3 +173,20 @@ def test_unordered_union_unfold_and_partitioned_translate(spark):
     rows_ = w.translate_down(1).to_df().collect()
     assert sorted((r["_part"], r["v"]) for r in rows_) == [
         ("p", ""), ("p", "v0"), ("p", "v1"), ("p", "v2"), ("q", ""), ("q", "v3"), ("q", "v4")]
+
+
+def test_read_table_parallelism_floor(spark, tmp_path):
+    from sheaf.sources.tables import read_table, row_groups
+
+    path = "/root/testdata/sf0.01/part.parquet"
+    assert row_groups(path) == 1
+    df = read_table(spark, path, ["p_partkey", "p_name"], min_splits=6)
+    assert df.columns == ["p_partkey", "p_name"]
+    assert df.rdd.getNumPartitions() == 6
+    assert df.count() == spark.read.parquet(path).count()
+    # many row groups: the plan is left alone
+    many = str(tmp_path / "many")
+    spark.range(4000).repartition(8).write.parquet(many)
+    assert row_groups(many) >= 8
+    assert read_table(spark, many, min_splits=4).rdd.getNumPartitions() == \
+        spark.read.parquet(many).rdd.getNumPartitions()
