@@ -50,9 +50,14 @@ def main() -> None:
         return time.perf_counter() - t0
 
     results: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for name in chosen:
-        run(name)  # warm-up
-        times = [run(name) for _ in range(repeats)]
+        try:
+            run(name)  # warm-up
+            times = [run(name) for _ in range(repeats)]
+        except Exception as e:  # noqa: BLE001 - report, keep the JSON line
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            continue
         results[name] = round(statistics.median(times), 4)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
@@ -65,6 +70,8 @@ def main() -> None:
         "repeats": repeats,
         "spark": spark.version,
     }
+    if failed:
+        out["failed"] = failed
     spark.stop()
     print(json.dumps(out))
 
