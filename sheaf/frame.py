@@ -376,7 +376,13 @@ class Wrangler:
 
     def wrap_column(self, where, columns=None, max_columns: int = 1000,
                     width: int | None = None) -> "Wrangler":
+        """Wrap only the listed columns – by a pattern (W3) or every ``n``
+        rows when ``where`` is an int (W1); other columns are not kept."""
         from .operators import reshape
+        if isinstance(where, int) and not isinstance(where, bool):
+            keep = self.resolve(columns)
+            dropped = [c for c in self.columns if c not in keep]
+            return reshape.wrap_rows(self.drop(dropped) if dropped else self, where, max_columns)
         return reshape.wrap_where(self, where, columns, max_columns, width)
 
     def fold(self, columns=None, rows=None, key: str = "key", value: str = "value",

@@ -190,3 +190,7 @@ def test_read_table_parallelism_floor(spark, tmp_path):
     assert row_groups(many) >= 8
     assert read_table(spark, many, min_splits=4).rdd.getNumPartitions() == \
         spark.read.parquet(many).rdd.getNumPartitions()
+
+
+def test_wrap_column_n_form(small):
+    assert rows(small.wrap_column(2, columns=["w", "y"])) == [("a", "c", "e", "g"), ("i", "k", "", "")]
