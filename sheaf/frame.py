@@ -362,9 +362,9 @@ class Wrangler:
     # -- reshape (W1-W11) ---------------------------------------------------
     def wrap(self, n: int | None = None, where=None, columns=None,
              max_columns: int = 1000, width: int | None = None,
-             as_array: bool = False) -> "Wrangler":
+             as_array: bool = False, by: str = "column") -> "Wrangler":
         from .operators import reshape
-        return reshape.wrap(self, n, where, columns, max_columns, width, as_array)
+        return reshape.wrap(self, n, where, columns, max_columns, width, as_array, by)
 
     def wrap_rows(self, n: int, max_columns: int = 1000) -> "Wrangler":
         from .operators import reshape
@@ -375,7 +375,7 @@ class Wrangler:
         return reshape.wrap_cells(self, n)
 
     def wrap_column(self, where, columns=None, max_columns: int = 1000,
-                    width: int | None = None) -> "Wrangler":
+                    width: int | None = None, by: str = "column") -> "Wrangler":
         """Wrap only the listed columns – by a pattern (W3) or every ``n``
         rows when ``where`` is an int (W1); other columns are not kept."""
         from .operators import reshape
@@ -383,7 +383,7 @@ class Wrangler:
             keep = self.resolve(columns)
             dropped = [c for c in self.columns if c not in keep]
             return reshape.wrap_rows(self.drop(dropped) if dropped else self, where, max_columns)
-        return reshape.wrap_where(self, where, columns, max_columns, width)
+        return reshape.wrap_where(self, where, columns, max_columns, width, by=by)
 
     def fold(self, columns=None, rows=None, key: str = "key", value: str = "value",
              where: Callable[[Column], Column] | None = None) -> "Wrangler":

@@ -27,13 +27,13 @@ def _check_width(n: int, limit: int, what: str) -> None:
 # -- wrap --------------------------------------------------------------------
 
 def wrap(w: Wrangler, n=None, where=None, columns=None, max_columns: int = 1000,
-         width: int | None = None, as_array: bool = False) -> Wrangler:
+         width: int | None = None, as_array: bool = False, by: str = "column") -> Wrangler:
     """``wrap(n)``: W1 when ``n >= width`` (n rows -> one row) else W2 (each row's
     cells regrouped into n rows); ``wrap(where=regex)``: W3."""
     if (n is None) == (where is None):
         raise ValueError("give n= or where=")
     if where is not None:
-        return wrap_where(w, where, columns, max_columns, width, as_array)
+        return wrap_where(w, where, columns, max_columns, width, as_array, by)
     if n < 1:
         raise ValueError("n must be >= 1")
     if n < len(w.columns):
@@ -80,17 +80,24 @@ def wrap_cells(w: Wrangler, n: int) -> Wrangler:
 
 
 def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
-               width: int | None = None, as_array: bool = False) -> Wrangler:
-    """Read cells column by column; a cell matching regex ``where`` starts a
-    new row; rows are padded to the longest (or to ``width``, which then must
-    hold every row – a longer one raises). No blank first row."""
+               width: int | None = None, as_array: bool = False,
+               by: str = "column") -> Wrangler:
+    """Read cells column by column (``by='row'``: row by row, the W4 row
+    form); a cell matching regex ``where`` starts a new row; rows are padded to
+    the longest (or to ``width``, which then must hold every row – a longer one
+    raises). No blank first row."""
     w.require_batch("wrap(where=)")
     pat = where.pattern if isinstance(where, Regex) else where
     cols = w.resolve(columns)
     m, val = w.fresh("__m"), w.fresh("__v")
     keep = [c for c in w.df.columns if c not in w.columns]
     long = w.df.select(*keep, F.posexplode(F.array(*[w.text(c) for c in cols])).alias(m, val))
-    lw = Wrangler._raw(long, order=(m,) + w.order, prefix=(m,) + w.prefix, qkey=w.qkey,
+    if by not in ("column", "row"):
+        raise ValueError("by must be 'column' or 'row'")
+    # cells in column-major (the default) or row-major order
+    order = (m,) + w.order if by == "column" else w.order + (m,)
+    prefix = (m,) + w.prefix if by == "column" else w.prefix
+    lw = Wrangler._raw(long, order=order, prefix=prefix, qkey=w.qkey,
                        bounds=w.bounds, prefix_unbounded=w.prefix_unbounded, depth=w.depth)
     rid, grp, start, pos = (lw.fresh("__lr"), lw.fresh("__grp"), lw.fresh("__start"),
                             lw.fresh("__pos"))

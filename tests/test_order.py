@@ -270,3 +270,11 @@ def test_hot_key_with_surrogate_collisions_keeps_order(spark):
     assert len(bcols) == 2 and w2.bounds[2][0][0][1] == "MMMMMMMM-HOT"
     exp = got.sort_values(["a", "b"]).reset_index(drop=True)
     assert list(exp["row_id"]) == list(range(len(exp)))
+
+
+def test_wrap_where_row_major(spark):
+    df = spark.createDataFrame([(0, "1", "2"), (1, "2", "4"), (2, "3", "5")],
+                               "k long, a string, b string")
+    w = Wrangler(df, order_by="k").drop("k").wrap(where="2", by="row")
+    assert [tuple(r) for r in w.ordered_df().collect()] == [
+        ("1", "", "", ""), ("2", "", "", ""), ("2", "4", "3", "5")]
