@@ -8,7 +8,9 @@ union – and write the result. Every verb compiles to DataFrame expressions.
 
 from .frame import PART, ColumnHandle, Wrangler
 from .match import Regex, re_
+from .sources.tables import read_table
 from .sources.text import lines_from, read_lines, read_text
+from .streaming.live import stream_table, stream_text, write_stream
 
 __all__ = ["Wrangler", "ColumnHandle", "PART", "Regex", "re_", "read_text", "read_lines",
-           "lines_from"]
+           "lines_from", "read_table", "stream_text", "stream_table", "write_stream"]
