@@ -52,3 +52,20 @@ def test_entry_imports_without_a_session():
             "print(len(E.queries()), len(E.oracle_sql()))" % ROOT)
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import subprocess
+    import sys
+
+    env = dict(os.environ, BENCH_SF_DIR=SF, BENCH_QUERIES="cut_index,row_id", BENCH_REPEATS="1",
+               BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(ROOT, "bench.py")], capture_output=True,
+                         text=True, timeout=600, env=env)
+    assert out.returncode == 0, out.stderr[-2000:]
+    lines = [l for l in out.stdout.splitlines() if l.strip()]
+    assert len(lines) == 1
+    d = json.loads(lines[0])
+    assert {"metric", "value", "unit", "queries", "sf"} <= set(d)
+    assert set(d["queries"]) == {"cut_index", "row_id"} and d["unit"] == "sec"
