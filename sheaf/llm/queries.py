@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash
+from . import bpe, kneser_ney, packing, pii, quality, simhash, tokens
 from .common import ship
 
 
@@ -15,20 +15,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op1(table(spark, sf_dir, "documents"))
+
+
+def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.op6(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op9(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op7_quality_rules, op9_best_fit_packing)}
+    return {f.__name__: f for f in (
+        op1_bpe_encode_decode, op2_pii_weak_supervision, op3_simhash_near_dedup, op6_lm_scoring, op7_quality_rules, op8_token_counts,
+        op9_best_fit_packing)}
 
 
 def oracles() -> dict[str, str]:
