@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kneser_ney, packing, pii, quality, simhash, tokens
+from . import ann, bpe, chat, kneser_ney, licences, packing, pii, quality, simhash, tokens
 from .common import ship
 
 
@@ -27,6 +27,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op4(table(spark, sf_dir, "embeddings"))
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.op6(table(spark, sf_dir, "documents"))
 
@@ -43,11 +51,15 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op10(spark, table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_bpe_encode_decode, op2_pii_weak_supervision, op3_simhash_near_dedup, op6_lm_scoring, op7_quality_rules, op8_token_counts,
-        op9_best_fit_packing)}
+        op1_bpe_encode_decode, op2_pii_weak_supervision, op3_simhash_near_dedup, op4_approximate_neighbours, op5_licence_scan, op6_lm_scoring, op7_quality_rules, op8_token_counts,
+        op9_best_fit_packing, op10_chat_formatting)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op10_chat_formatting": chat.ORACLE}
