@@ -34,7 +34,7 @@ SHINGLE = 3
 DISTANCE = 2
 SEED = 42
 #: Entries of one range of the index (bounds a task; more entries make more ranges).
-RANGE_ROWS = 32768
+RANGE_ROWS = 131072
 _BLOCK = 1 << 16
 
 
