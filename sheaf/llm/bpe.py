@@ -21,9 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD_BPE, load_tokenizer, pick, stored
-from .words import HOT_WORDS, encode_words, hot_words, word_counts, words_of
+from .common import WORD_BPE, load_tokenizer, pick, stored, with_row_key
+from .words import HOT_WORDS, ID_TYPE, encode_words, hot_words, word_counts, words_of
 
 
 class HotTable:
@@ -99,12 +100,12 @@ def _merged(batches: Iterator[pa.RecordBatch], hot: HotTable) -> Iterator[tuple]
 def encode(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_col: str = "text",
            tokenizer: str = WORD_BPE, hot: int = HOT_WORDS) -> DataFrame:
     """Encodes every row of ``docs``. ``finish`` turns an iterator of ``(id, [ids of each
-    word as little-endian 32-bit integers])`` into record batches of ``schema``, in which
-    ``{id}`` stands for the type of the id; see ``ids_table`` and ``digests``."""
+    word, packed as ID_TYPE])`` and the Arrow type of the id into record batches
+    of ``schema``, in which ``{id}`` stands for that type; see ``ids_table`` and ``digests``."""
     spark = docs.sparkSession
     d = pick(docs, id=id_col, text=text_col)
-    kind = d.schema["id"].dataType.simpleString()
-    d = d.withColumn("h", F.hash(F.coalesce("text", F.lit(""))))  # tells rows apart that share an id
+    kind, arrow = d.schema["id"].dataType.simpleString(), to_arrow_type(d.schema["id"].dataType)
+    d = with_row_key(d)
     table = stored(encode_words(word_counts(d, "text"), tokenizer))
     top = stored(hot_words(table, hot).select("word", "ids"))
     sent = HotTable(spark, top)
@@ -116,14 +117,14 @@ def encode(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_co
            .join(rest, "word").select("id", "h", "pos", F.col("ids").alias("data")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = ranked.unionAll(far).repartition(n, "id", "h").sortWithinPartitions("id", "h", "pos")
-    return both.mapInArrow(lambda it: finish(_merged(it, sent)), schema.replace("{id}", kind))
+    return both.mapInArrow(lambda it: finish(_merged(it, sent), arrow), schema.replace("{id}", kind))
 
 
-def ids_table(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+def ids_table(rows: Iterator[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """``finish`` for ids themselves: ``id {id}, ids array<int>``."""
     for i, parts in rows:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([i]), pa.array([np.frombuffer(b"".join(parts), "<u4").astype(np.int32)], pa.list_(pa.int32()))],
+            [pa.array([i], id_type), pa.array([np.frombuffer(b"".join(parts), ID_TYPE).astype(np.int32)], pa.list_(pa.int32()))],
             names=["id", "ids"])
 
 
@@ -133,7 +134,7 @@ def pieces(tokenizer: str = WORD_BPE) -> list[str]:
     return [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
 
 
-def digests(rows: Iterator[tuple], tokenizer: str = WORD_BPE, batch: int = 512) -> Iterator[pa.RecordBatch]:
+def digests(rows: Iterator[tuple], id_type: pa.DataType, tokenizer: str = WORD_BPE, batch: int = 512) -> Iterator[pa.RecordBatch]:
     """``finish`` for digests: ``id, n_tokens, ids_sha256, decoded_sha256``. Each id joins the
     id-to-piece table, which is in memory on every worker; pieces are set in order with a
     space between, as the library decodes without a decoder."""
@@ -142,14 +143,14 @@ def digests(rows: Iterator[tuple], tokenizer: str = WORD_BPE, batch: int = 512)
 
     def flush():
         cols = list(zip(*out, strict=True)) or [()] * 4
-        types = (None, pa.int64(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) if t else pa.array(c) for c, t in zip(cols, types, strict=True)],
+        types = (id_type, pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
                                           names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     for i, parts in rows:
-        raw = b"".join(parts)
-        text = b" ".join([piece[x] for x in np.frombuffer(raw, "<u4").tolist()])
-        out.append((i, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest()))
+        ids = np.frombuffer(b"".join(parts), ID_TYPE)
+        raw, text = ids.astype("<u4").tobytes(), b" ".join([piece[x] for x in ids.tolist()])
+        out.append((i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest()))
         if len(out) >= batch:
             yield flush()
             out.clear()
@@ -173,6 +174,6 @@ def decode(ids: DataFrame, id_col: str = "id", ids_col: str = "ids", tokenizer:
 
 
 def op1(docs: DataFrame, tokenizer: str = WORD_BPE) -> DataFrame:
-    out = encode(docs, lambda rows: digests(rows, tokenizer),
+    out = encode(docs, lambda rows, kind: digests(rows, kind, tokenizer),
                  "id {id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", tokenizer=tokenizer)
     return out.withColumnRenamed("id", "doc_id")

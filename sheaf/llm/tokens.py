@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BPE, pick, stored
+from .common import WORD_BPE, pick, stored, with_row_key
 from .words import HOT_WORDS, hot_words, measure_words, word_counts, words_of
 
 LIMIT = 2048
@@ -24,7 +24,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  hot: int = HOT_WORDS) -> DataFrame:
     """``(id, n_bytes, n_tokens)`` for every row of ``docs``."""
     d = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumn("h", F.hash("text"))  # tells rows apart that share an id
+    d = with_row_key(d)
     table = stored(measure_words(word_counts(d, "text"), tokenizer))
     top = stored(hot_words(table, hot).select("word", "n_ids"))
     rest = table.join(F.broadcast(top.select("word")), "word", "left_anti").select("word", "n_ids")
