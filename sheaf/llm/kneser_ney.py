@@ -105,6 +105,8 @@ def _texts(batches: Iterator[pa.RecordBatch], at: int, size: int = 4 << 20) -> I
 def _dealt(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted keys with counts as one row of packed bytes per shard: counts below 255 take
     one byte, larger ones a place and a number."""
+    if not len(keys):
+        return
     order = np.argsort(shard, kind="stable")
     shards, starts = np.unique(shard[order], return_index=True)
     for s, part in zip(shards.tolist(), np.split(order, starts[1:]), strict=True):
@@ -313,7 +315,7 @@ class Scorer:
         self.model, self.words = model, Words(model)
         n = 1 << model["bits"]
         self.counts = [_map(model["folder"], f"word-{s}.counts", "<i8") for s in range(n)]
-        self.stats = [_map(model["folder"], f"word-{s}.stats", "<i8").reshape(4, -1) if model["vocabulary"] else None
+        self.stats = [_map(model["folder"], f"word-{s}.stats", "<i8").reshape(4, -1)
                       for s in range(n)]
         self.pairs = [tuple(_map(model["folder"], f"pair-{s}.{x}", t) for x, t in
                             (("keys", "<u8"), ("small", np.uint8), ("big", "<i8"))) for s in range(2 * n)]
@@ -340,6 +342,8 @@ class Scorer:
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         q, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(q), np.float64)
+        if not len(q):
+            return out
         shard = _pair_shards(q, self.model)
         order = np.argsort(shard, kind="stable")
         present, starts = np.unique(shard[order], return_index=True)

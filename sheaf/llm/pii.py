@@ -204,7 +204,7 @@ def expectation_maximisation(v: np.ndarray, kind: np.ndarray, n: np.ndarray, rou
 def design(kind: np.ndarray, v: np.ndarray, f: np.ndarray) -> np.ndarray:
     """Features of the span classifier: a constant, kind, votes by kind, length, digits, separators."""
     one = np.eye(len(KINDS))[kind]
-    return np.concatenate([np.ones((len(kind), 1)), one, (one[:, :, None] * v[:, None, :]).reshape(len(kind), -1),
+    return np.concatenate([np.ones((len(kind), 1)), one, (one[:, :, None] * v[:, None, :]).reshape(len(kind), len(KINDS) * len(LABELERS)),
                            np.eye(8)[f[:, 0]], np.eye(3)[f[:, 1]], f[:, 2:3]], 1)
 
 

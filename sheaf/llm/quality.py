@@ -170,3 +170,27 @@ def op7(docs: DataFrame, policy: list[str] | None = None) -> DataFrame:
                       base.alias("base_failed"),
                       (~base & verdict(F.col("failure_bits"), policy or POLICIES[PRODUCTION])).alias("kept"),
                       "failure_bits", "n_lines", "top_word")
+
+
+def oracle_sql(policy: list[str] | None = None) -> str:
+    """The same rows in DuckDB SQL over the view ``documents``."""
+    bits = " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, (_, c) in enumerate(RULES))
+    base, full = mask(POLICIES["base-1"]), mask(policy or POLICIES[PRODUCTION])
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS ls FROM d),
+grams AS (SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM
+        (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, unnest(range({WINDOW})) AS k FROM twice) GROUP BY r),
+top AS (SELECT r, max(n) AS n FROM (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(ws) AS x FROM w) GROUP BY r, x) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x09-\x0D\x20]+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+        CAST(len(ls) AS BIGINT) AS n_lines, coalesce(top.n, 0) AS top_word
+      FROM w LEFT JOIN covered USING (r) LEFT JOIN top USING (r)),
+b AS (SELECT *, CAST({bits} AS BIGINT) AS failure_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failure_bits & {base}) <> 0 AS base_failed,
+  (failure_bits & {base | full}) = 0 AS kept, failure_bits, n_lines, top_word FROM b
+"""

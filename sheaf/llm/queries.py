@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op10_chat_formatting": chat.ORACLE}
+    return {"op7_quality_rules": quality.oracle_sql(), "op10_chat_formatting": chat.ORACLE}

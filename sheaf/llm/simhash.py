@@ -165,13 +165,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """One document of each group (that with the smallest id, one of its rows if it is
     repeated), all columns as they are. Groups without any id keep one row."""
-    rid, fp = fresh(docs, "row_no"), "fp"
+    rid = fresh(docs, "row_no")
     numbered = stored(docs.withColumn(rid, F.monotonically_increasing_id()))
     found = near_duplicates(_with_order(numbered, id_col, rid), "id", text_col, **params)
-    del fp
-    best = found.groupBy("component").agg(F.min("id").alias("id")).select(F.col("id.n").alias("n"))
-    return (numbered.join(best, col(rid) == F.col("n"), "left_semi")
-            .select(*[col(c) for c in docs.columns]))
+    best = found.groupBy("component").agg(F.min("id").alias("id")).select(F.col("id.n").alias(rid))
+    return numbered.join(best, rid, "left_semi").select(*[col(c) for c in docs.columns])
 
 
 def _with_order(docs: DataFrame, id_col: str, rid: str) -> DataFrame:
