@@ -9,6 +9,7 @@ runs until a sink (or one of the documented small eager aggregates) does.
 
 from __future__ import annotations
 
+import re
 from typing import Any, Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,30 @@ PART = "_part"
 HIDDEN = "__"
 
 
+_PLAIN = re.compile(r"[a-z][a-z0-9_]*\Z")
+_CODED = "x0"
+
+
+def inner(name: str) -> str:
+    """The DataFrame column that holds the data column ``name``. Any text can be a header
+    (dots, quotes, names that differ by case only, names of hidden columns): names that are
+    not plain lower-case identifiers are spelled in hex, so the plans only see safe ones."""
+    if _PLAIN.match(name) and not name.startswith(_CODED):
+        return name
+    return _CODED + name.encode("utf-8", "surrogatepass").hex()
+
+
+def outer(column: str) -> str:
+    """The header of a data column: the inverse of ``inner``."""
+    if column.startswith(_CODED):
+        return bytes.fromhex(column[len(_CODED):]).decode("utf-8", "surrogatepass")
+    return column
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _listify(x) -> list:
     if x is None:
         return []
@@ -35,16 +60,19 @@ class Wrangler:
     """
 
     def __init__(self, df: DataFrame, order_by=None, part=None):
-        order: tuple = ()
-        if order_by is not None:
-            hidden = []
-            for i, key in enumerate(_listify(order_by)):
-                name = f"{HIDDEN}ord{i}"
-                df = df.withColumn(name, F.col(key) if isinstance(key, str) else key)
-                hidden.append(name)
-            order = tuple(hidden)
-        if part is not None:
-            df = df.withColumn(PART, F.col(part) if isinstance(part, str) else part)
+        names = df.columns
+        if len(set(names)) != len(names):
+            raise ValueError(f"column names are not unique: {names}")
+
+        def key_column(k) -> Column:
+            return quoted(k) if isinstance(k, str) else k
+
+        keys = [key_column(k) for k in _listify(order_by)]
+        order = tuple(f"{HIDDEN}ord{i}" for i in range(len(keys)))
+        more = [key_column(part)] if part is not None else []
+        # by position: user names may clash with each other (case) or with hidden ones
+        df = df.select("*", *keys, *more).toDF(
+            *[inner(c) for c in names], *order, *([PART] if more else []))
         self._init(df, order, (), order[0] if order else None, None, False, 0)
 
     # -- construction -------------------------------------------------------
@@ -93,9 +121,15 @@ class Wrangler:
 
     # -- introspection ------------------------------------------------------
     @property
-    def columns(self) -> list[str]:
+    def cells(self) -> list[str]:
+        """DataFrame columns that hold data."""
         return [c for c in self.df.columns if not c.startswith(HIDDEN) and c != PART]
 
+    @property
+    def columns(self) -> list[str]:
+        """The header."""
+        return [outer(c) for c in self.cells]
+
     @property
     def has_part(self) -> bool:
         return PART in self.df.columns
@@ -131,8 +165,8 @@ class Wrangler:
         return c if self.dtype(name) == "string" else c.cast("string")
 
     def resolve(self, spec) -> list[str]:
-        """H4: int | name | list of those | None (= all) -> column names."""
-        cols = self.columns
+        """H4: int | name | list of those | None (= all) -> DataFrame columns."""
+        cols = self.cells
         if spec is None:
             return list(cols)
         out: list[str] = []
@@ -144,9 +178,9 @@ class Wrangler:
                     raise ValueError(f"column index {s} out of range 0..{len(cols) - 1}")
                 name = cols[s]
             elif isinstance(s, str):
-                if s not in cols:
-                    raise ValueError(f"unknown column {s!r}; columns are {cols}")
-                name = s
+                name = inner(s) if inner(s) in cols else s
+                if name not in cols:
+                    raise ValueError(f"unknown column {s!r}; columns are {self.columns}")
             else:
                 raise ValueError(f"bad column {s!r}")
             if name not in out:
@@ -161,15 +195,18 @@ class Wrangler:
             )
 
     def to_df(self, with_part: bool = True) -> DataFrame:
-        cols = self.columns + (self.part_cols if with_part else [])
-        return self.df.select(*cols)
+        return self.df.select(*self._shown(with_part))
+
+    def _shown(self, with_part: bool) -> list[Column]:
+        return [F.col(c).alias(outer(c)) for c in self.cells] + [
+            F.col(c) for c in (self.part_cols if with_part else [])]
 
     def ordered_df(self, with_part: bool = True) -> DataFrame:
         """Data columns sorted in row order (a global sort: for sinks/previews)."""
         d = self.df
         if self.order:
             d = d.orderBy(*self.part_cols, *[F.col(c).asc_nulls_first() for c in self.order])
-        return d.select(*(self.columns + (self.part_cols if with_part else [])))
+        return d.select(*self._shown(with_part))
 
     def select_cells(self, exprs: dict[str, Column]) -> "Wrangler":
         """Replace the given data columns in place, keep everything else."""
@@ -186,7 +223,7 @@ class Wrangler:
         from .plans.order import ordered_scan
 
         self.require_batch("row_id")
-        df, w = ordered_scan(self, rid=name)
+        df, w = ordered_scan(self, rid=inner(name))
         return w._with(df=df)
 
     def _rid(self) -> tuple[DataFrame, str, "Wrangler"]:
@@ -215,12 +252,15 @@ class Wrangler:
                 raise ValueError(f"{len(names)} names for the {len(self.created)} columns "
                                  f"{list(self.created)} the previous verb made")
             mapping = dict(zip(self.created, names))
-        for k in mapping:
-            self.resolve(k)
-        final = [mapping.get(c, c) for c in self.columns]
+        new = {self.resolve(k)[0]: inner(v) for k, v in mapping.items()}
+        final = [new.get(c, c) for c in self.cells]
         if len(set(final)) != len(final):
-            raise ValueError(f"names would not be unique: {final}")
-        return self._with(df=self.df.withColumnsRenamed(mapping))
+            raise ValueError(f"names would not be unique: {[outer(c) for c in final]}")
+        return self.renamed(new)
+
+    def renamed(self, new: dict[str, str]) -> "Wrangler":
+        """Data columns renamed all at once (so that names may be swapped)."""
+        return self._with(df=self.df.toDF(*[new.get(c, c) for c in self.df.columns]))
 
     def __getitem__(self, column) -> "ColumnHandle":
         """H5: ``w["X"].split(" ")`` forwards ``columns="X"``."""
@@ -381,14 +421,15 @@ class Wrangler:
         from .operators import reshape
         if isinstance(where, int) and not isinstance(where, bool):
             keep = self.resolve(columns)
-            dropped = [c for c in self.columns if c not in keep]
+            dropped = [c for c in self.cells if c not in keep]
             return reshape.wrap_rows(self.drop(dropped) if dropped else self, where, max_columns)
         return reshape.wrap_where(self, where, columns, max_columns, width, by=by)
 
     def fold(self, columns=None, rows=None, key: str = "key", value: str = "value",
-             where: Callable[[Column], Column] | None = None) -> "Wrangler":
+             where: Callable[[Column], Column] | None = None,
+             max_key_rows: int = 1000) -> "Wrangler":
         from .operators import reshape
-        return reshape.fold(self, columns, rows, key, value, where)
+        return reshape.fold(self, columns, rows, key, value, where, max_key_rows)
 
     def unfold(self, column, measure, values: list | None = None,
                max_values: int = 1000) -> "Wrangler":
@@ -449,19 +490,42 @@ class Wrangler:
     def persist(self) -> "Wrangler":
         return self._with(df=self.df.persist())
 
+    def unpersist(self) -> "Wrangler":
+        return self._with(df=self.df.unpersist())
+
 
 class ColumnHandle:
     """H5: verbs bound to one column."""
 
+    #: Verbs that name their column otherwise than ``columns=``.
+    ARGUMENT = {"partition": "column", "unfold": "column", "translate": "column", "fill_column": "target"}
+    #: Verbs on the whole table: the handle passes them on as they are.
+    TABLE = frozenset({"promote", "demote", "merge_all", "wrap_rows", "wrap_cells", "transpose", "translate_left",
+                       "translate_right", "translate_up", "translate_down", "union", "merge_parts", "with_row_id",
+                       "write_text", "preview", "force", "persist", "unpersist", "checkpoint", "to_df", "ordered_df"})
+
     def __init__(self, w: Wrangler, name: str):
         self.w, self.name = w, name
 
+    def rename(self, name: str) -> Wrangler:
+        return self.w.rename({outer(self.name): name})
+
     def __getattr__(self, verb: str) -> Any:
         method = getattr(self.w, verb)
+        if not callable(method) or verb in self.TABLE:
+            return method
+        argument = self.ARGUMENT.get(verb, "columns")
 
         def bound(*args, **kwargs):
-            kwargs.setdefault("columns", self.name) if verb != "partition" else kwargs.setdefault(
-                "column", self.name)
+            if verb == "fill_column":  # w["target"].fill_column(source)
+                return method(*args, **{argument: self.name, **kwargs})
+            if verb == "unfold":  # w["key"].unfold(measure)
+                return method(self.name, *args, **kwargs)
+            if verb == "translate":  # w["v"].translate(direction, distance)
+                return method(self.name, *args, **kwargs)
+            if verb == "drop":
+                return method(self.name)
+            kwargs.setdefault(argument, self.name)
             return method(*args, **kwargs)
 
         return bound

@@ -11,6 +11,7 @@ Positions follow the Spark convention of the function used: ``instr``,
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column
@@ -54,17 +55,50 @@ def plain_literal(pattern: str) -> str | None:
     return None
 
 
-def first_regex_removed(c: Column, pattern: str) -> Column:
-    """Remove the first match of ``pattern`` (Java ``replaceFirst(p, "")``).
+def group_count(pattern: str) -> int:
+    """Capture groups of ``pattern``."""
+    plain = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", pattern, flags=re.S)
+    return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", plain))
 
-    The lazy, scoped prefix finds the leftmost match; the ``^`` anchor stops
-    later matches. Back-references inside ``pattern`` shift by one. A pattern
-    with no metacharacter takes the cheaper literal path.
-    """
+
+def shift_groups(pattern: str, by: int) -> str:
+    """``pattern`` with the numbers of its back-references raised, for use behind ``by`` groups."""
+    def one(m: re.Match) -> str:
+        return "\\" + str(int(m[1]) + by) if m[1].isdigit() and m[1] != "0" else m[0]
+    return re.sub(r"\\([1-9]|.)", one, pattern, flags=re.S) if by else pattern
+
+
+def _consumes(pattern: str) -> bool:
+    """True when every match certainly has at least one character."""
+    try:
+        from re import _parser
+
+        return _parser.parse(pattern).getwidth()[0] > 0
+    except Exception:  # noqa: BLE001 - Java-only syntax: not certain
+        return False
+
+
+def first_match(c: Column, pattern: str) -> tuple[Column, Column, Column]:
+    """(found, text before, text after) of the first match, from one ``split(c, P, 2)``: the
+    user's pattern stays whole, so the numbers of its groups and back-references do too. A
+    ``split`` passes over an empty match at the start; unless the pattern always consumes
+    something, that case is asked for."""
+    parts = F.split(c, pattern, 2)
+    found, pre, post = F.size(parts) == 2, F.get(parts, 0), F.get(parts, 1)
+    if _consumes(pattern):
+        return found, pre, post
+    empty = F.regexp_extract(c, "^(?:" + pattern + ")", 0) == F.lit("")
+    at_start = c.rlike("^(?:" + pattern + ")") & empty
+    return at_start | found, F.when(at_start, F.lit("")).otherwise(pre), F.when(at_start, c).otherwise(post)
+
+
+def first_regex_removed(c: Column, pattern: str) -> Column:
+    """Remove the first match of ``pattern`` (Java ``replaceFirst(p, "")``)."""
     lit = plain_literal(pattern)
     if lit is not None:
         return remove_first_literal(c, lit)
-    return F.regexp_replace(c, F.lit("^((?s:.*?))(?:" + pattern + ")"), F.lit("$1"))
+    found, pre, post = first_match(c, pattern)
+    return F.when(found, F.concat(pre, post)).otherwise(c)
 
 
 def regex_found(c: Column, pattern: str) -> Column:
@@ -82,12 +116,14 @@ def all_regex_removed(c: Column, pattern: str) -> Column:
 
 def keep_through_regex(c: Column, pattern: str) -> Column:
     """Keep text up to and including the first match; unchanged if none."""
-    return F.regexp_replace(c, F.lit("^((?s:.*?)(?:" + pattern + "))(?s:.*)$"), F.lit("$1"))
+    found, _, post = first_match(c, pattern)
+    return F.when(found, head(c, F.length(c) - F.length(post))).otherwise(c)
 
 
 def keep_from_regex(c: Column, pattern: str) -> Column:
     """Keep text from the start of the first match; unchanged if none."""
-    return F.regexp_replace(c, F.lit("^(?s:.*?)(?=(?:" + pattern + "))"), F.lit(""))
+    found, pre, _ = first_match(c, pattern)
+    return F.when(found, rest(c, F.length(pre) + 1)).otherwise(c)
 
 
 def last_index1(c: Column, value: str) -> Column:
@@ -155,14 +191,30 @@ def _single_char(pattern: str) -> str | None:
 
 def regex_prefix_len(c: Column, pattern: str) -> Column:
     """Code points before the first match of ``pattern``; null if no match."""
-    pre = F.regexp_extract(c, "^((?s:.*?))(?:" + pattern + ")", 1)
-    return F.when(c.rlike(pattern), F.length(pre))
+    found, pre, _ = first_match(c, pattern)
+    return F.when(found, F.length(pre))
 
 
 def regex_through_len(c: Column, pattern: str) -> Column:
     """Code points up to the end of the first match of ``pattern``; null if none."""
-    thru = F.regexp_extract(c, "^((?s:.*?)(?:" + pattern + "))", 1)
-    return F.when(c.rlike(pattern), F.length(thru))
+    found, _, post = first_match(c, pattern)
+    return F.when(found, F.length(c) - F.length(post))
+
+
+def pieces_after(c: Column, pattern: str) -> Column:
+    """The text cut behind every match of ``pattern``; no trailing empty piece."""
+    rests, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    cut = F.transform(rests, lambda x, i: F.concat(x, F.coalesce(F.get(found, i), F.lit(""))))
+    last = F.element_at(cut, -1) == F.lit("")
+    return F.when(c == F.lit(""), F.array(F.lit(""))).otherwise(
+        F.when(last & (F.size(cut) > 1), F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut))
+
+
+def pieces_before(c: Column, pattern: str) -> Column:
+    """The text cut in front of every match of ``pattern``; no leading empty piece."""
+    rests, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    cut = F.transform(rests, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.get(found, i - 1), x)))
+    return F.when((F.get(cut, 0) == F.lit("")) & (F.size(cut) > 1), F.slice(cut, F.lit(2), F.size(cut) - 1)).otherwise(cut)
 
 
 def blank(c: Column) -> Column:

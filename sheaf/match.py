@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from itertools import product
 from typing import Any
 
 from .functions.text import quote_regex
@@ -70,53 +71,48 @@ def _check_target(t) -> None:
 
 
 def make_specs(on=None, after=None, before=None, between=None) -> list[Spec]:
-    """Bundle the keyword arguments into specs, in listing order.
-
-    ``after`` and ``before`` together mean *between* every (after, before) pair.
-    """
-    specs = [Spec(t, ON) for t in _as_list(on)]
-    specs += [Spec(t, BETWEEN) for t in _as_list(between)]
+    """The rules that the arguments describe, checked. Both an ``after`` and a ``before`` ask
+    for what lies between any of the one and any of the other."""
+    rules = {ON: _as_list(on), BETWEEN: _as_list(between), AFTER: _as_list(after), BEFORE: _as_list(before)}
     if after is not None and before is not None:
-        specs += [Spec((a, b), BETWEEN) for a in _as_list(after) for b in _as_list(before)]
-    else:
-        specs += [Spec(t, AFTER) for t in _as_list(after)]
-        specs += [Spec(t, BEFORE) for t in _as_list(before)]
-    for s in specs:
-        if s.where == BETWEEN and not isinstance(s.target, tuple):
-            raise ValueError("between needs a (start, end) pair")
-        if isinstance(s.target, tuple) and s.where in (AFTER, BEFORE):
-            raise ValueError("a range cannot be used with after/before alone")
-        t = s.target
-        if s.where == BETWEEN and isinstance(t, tuple) and isinstance(t[0], int) and t[0] == -1:
-            # after=-1 means "from the start of the cell"
-            pass
-        else:
-            _check_target(t)
+        rules[BETWEEN] += list(product(rules.pop(AFTER), rules.pop(BEFORE)))
+    specs = [Spec(t, where) for where, targets in rules.items() for t in targets]
     if not specs:
         raise ValueError("no match rule given")
-    if len(set(specs)) != len(specs):
+    for s in specs:
+        _check_spec(s)
+    if len(set(specs)) < len(specs):
         warnings.warn(f"duplicate match rules: {specs}")
     return specs
 
 
-def _sort_key(spec: Spec) -> int:
-    t = spec.target
-    if isinstance(t, int):
-        return t
-    if isinstance(t, tuple):
-        a, b = t
-        if isinstance(b, int):
-            return b
-        if isinstance(a, int):
-            return a
-    return -1
+def _check_spec(s: Spec) -> None:
+    is_range = isinstance(s.target, tuple)
+    if is_range and s.where in (AFTER, BEFORE):
+        raise ValueError("a range cannot be used with after/before alone")
+    if s.where == BETWEEN and not is_range:
+        raise ValueError("between needs a (start, end) pair")
+    if s.where == BETWEEN and s.target[0] == -1:
+        return  # "from the start of the cell"
+    _check_target(s.target)
+
+
+def position(s: Spec) -> int | None:
+    """The last fixed position that a rule names, if any."""
+    ends = s.target if isinstance(s.target, tuple) else (s.target,)
+    fixed = [e for e in ends if isinstance(e, int)]
+    return fixed[-1] if fixed else None
 
 
 def order_specs(specs: list[Spec]) -> list[Spec]:
-    """C14: positional specs first, by position descending, so earlier
-    positions still refer to the original text; the others in reverse
-    listing order (a stable ascending sort, then reversed)."""
-    return list(reversed(sorted(specs, key=_sort_key)))
+    """C14: the rules as they apply. Rules with positions come first, from the back of the
+    cell to its front, so that each still finds the text it was given for; the others follow,
+    the last listed first. Equal positions also apply the last listed first."""
+    turned = specs[::-1]
+    at = {s: position(s) for s in specs}
+    placed = [s for s in turned if at[s] is not None and at[s] >= 0]
+    other = [s for s in turned if at[s] is None or at[s] < 0]
+    return sorted(placed, key=position, reverse=True) + other
 
 
 def check_max(specs: list[Spec], max: str) -> None:

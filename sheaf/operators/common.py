@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column
@@ -19,41 +18,27 @@ def _rows(rows) -> list[int]:
     return rows
 
 
-_KEY_LOOKUP_MAX = 1000  # highest row index addressed through its order key
 
-
-def key_lookup_applies(w: Wrangler, rows) -> bool:
-    rows = _rows(rows)
-    return not (w.has_part or not w.order or w.is_streaming or max(rows) >= _KEY_LOOKUP_MAX)
-
-
-def rows_by_key(w: Wrangler, rows) -> Column | None:
-    """Boolean Column selecting the rows with the given indices, found by their
-    order keys: a key-only top-(max+1) (at most 1,000 keys to the driver), no
-    shuffle and no second read of the lineage. None when it does not apply
-    (partitioned table, no order, a stream or a large index): use row ids."""
-    rows = _rows(rows)
-    if not key_lookup_applies(w, rows):
-        return None
-    keys = (w.df.select(*w.order).orderBy(*[F.col(c).asc_nulls_first() for c in w.order])
-            .limit(max(rows) + 1).collect())
-    wanted = [keys[r] for r in sorted(set(rows)) if r < len(keys)]
-    if not wanted:
-        return F.lit(False)
-    if len(w.order) == 1 and all(k[0] is not None for k in wanted):
-        return F.col(w.order[0]).isin([k[0] for k in wanted])
-    return reduce(lambda a, b: a | b, [
-        reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(k[c])) for c in w.order])
-        for k in wanted])
+def check_range(w: Wrangler, rows) -> None:
+    w.require_batch("a row-addressed verb")
+    if not w.order:
+        raise ValueError("row positions need a row order (order_by=)")
+    if rows and not w.has_part:
+        found = w.df.limit(max(rows) + 1).count()
+        if found <= max(rows):
+            raise ValueError(f"row {max(rows)} is out of range: the table has {found} rows")
 
 
 def row_hit(w: Wrangler, rows) -> tuple[Wrangler, Column, str | None]:
-    """(wrangler, condition for the addressed rows, helper column to drop)."""
-    sel = rows_by_key(w, rows)
-    if sel is not None:
-        return w, sel, None
+    """(wrangler, condition for the addressed rows, helper column to drop). An index is the
+    row's number in the order, ties and all; no rows address nothing. An index beyond the
+    table raises; with a partition key, one beyond a partition addresses no row of it."""
+    rows = _rows(rows)
+    if not rows:
+        return w, F.lit(False), None
+    check_range(w, rows)
     df, rid, w2 = w._rid()
-    return w2._with(df=df), F.col(rid).isin(_rows(rows)), rid
+    return w2._with(df=df), F.col(rid).isin(rows), rid
 
 
 def map_cells(w: Wrangler, columns, fn: Callable[[Column], Column], rows=None) -> Wrangler:

@@ -62,13 +62,17 @@ def cut_range(c: Column, a, b, where: str, max: str) -> Column:
         if where == ON:
             # the end is searched from the START of the first match, as the
             # positional form does (so it may overlap it)
-            pat = f"(?=(?:{A}))(?s:.*?)(?:{B})"
+            pat = f"(?=(?:{A}))(?s:.*?)(?:{T.shift_groups(B, T.group_count(A))})"
             if max == "all":
                 return F.regexp_replace(c, F.lit(pat), F.lit(""))
             return T.first_regex_removed(c, pat)
         if max == "all":
-            return F.regexp_replace(c, F.lit(f"((?:{A}))(?s:.*?)(?=(?:{B}))"), F.lit("$1"))
-        return F.regexp_replace(c, F.lit(f"^((?s:.*?)(?:{A}))(?s:.*?)(?=(?:{B}))"), F.lit("$1"))
+            return F.regexp_replace(c, F.lit(
+                f"((?:{T.shift_groups(A, 1)}))(?s:.*?)(?=(?:{T.shift_groups(B, 1 + T.group_count(A))}))"), F.lit("$1"))
+        found, _, post = T.first_match(c, A)
+        hit, gap, _ = T.first_match(post, B)
+        kept = F.concat(T.head(c, F.length(c) - F.length(post)), T.rest(post, F.length(gap) + 1))
+        return F.when(found & hit, kept).otherwise(c)
     # positional ends: first range only (a fixed position does not repeat)
     first, second = range_bounds(c, a, b, where)
     return F.when(_valid(c, first, second), T.remove_range(c, first, second)).otherwise(c)

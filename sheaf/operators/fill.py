@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..frame import Wrangler
 from ..functions.text import blank as is_empty
 from ..plans.order import ordered_scan
-from .common import _rows, key_lookup_applies, row_hit
+from .common import _rows, check_range, row_hit
 
 
 def blank_test(blank) -> Callable[[Column], Column]:
@@ -56,7 +56,7 @@ def fill_side(w: Wrangler, direction: str, columns=None, rows=None, blank=None)
     """G3 (left: from lower columns) / G4 (right: from higher columns), among the
     addressed columns in table order; optionally only in ``rows``."""
     test = blank_test(blank)
-    names = [c for c in w.columns if c in set(w.resolve(columns))]
+    names = [c for c in w.cells if c in set(w.resolve(columns))]
     if direction == "right":
         names = names[::-1]
     exprs = {}
@@ -84,19 +84,10 @@ def fill_row(w: Wrangler, source: int, target, columns=None, blank=None) -> Wran
     test = blank_test(blank)
     names = w.resolve(columns)
     tgt = _rows(target)
-    if key_lookup_applies(w, [source] + tgt):
-        # one source row (read once) and a key lookup for the targets: no shuffle
-        from .rows import row_at
-
-        src_row = row_at(w, source)
-        out, hit, helper = row_hit(w, tgt)
-        if src_row is None:
-            return w
-        res = out.select_cells(
-            {n: F.when(hit & test(w.text(n)) & F.lit(src_row[n]).isNotNull(),
-                       F.lit(src_row[n])).otherwise(w.text(n)) for n in names})
-        return res._with(df=res.df.drop(helper)) if helper else res
-    # Per partition: spread the source row's cells over its partition with a
+    check_range(w, [source, *tgt])
+    if not tgt:
+        return w
+    # Spread the source row's cells over its table or partition with a
     # forward and a backward fill in row order (bucketed, so a partition
     # holding a third of all rows is still spread over all tasks; no join on
     # the partition key).

@@ -27,7 +27,7 @@ def union(a: Wrangler, b: Wrangler) -> Wrangler:
     """M3: append ``b``'s rows under ``a``'s header, by position. A narrower side
     is padded with ''; extra columns of ``b`` get default names. Row order:
     all of ``a`` (in its order) then all of ``b``."""
-    ac, bc = a.columns, b.columns
+    ac, bc = a.cells, b.cells
     width = max(len(ac), len(bc))
     names = list(ac) + [f"c{i}" for i in range(len(ac), width)]
     taken = set(ac)
@@ -45,7 +45,7 @@ def union(a: Wrangler, b: Wrangler) -> Wrangler:
     part = [PART] if (a.has_part or b.has_part) else []
 
     def side(w, tag):
-        sel = cells(w, w.columns)
+        sel = cells(w, w.cells)
         if part:
             sel.append((F.col(PART) if w.has_part else F.lit(None).cast("string")).alias(PART))
         if same_order:

@@ -12,10 +12,10 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..frame import PART, Wrangler
+from ..frame import PART, Wrangler, inner, outer
 from ..functions.text import regex_found
 from ..match import Regex
-from ..plans.order import ordered_scan
+from ..plans.order import ordered_scan, sort_keys
 from .common import row_hit
 
 
@@ -36,7 +36,7 @@ def wrap(w: Wrangler, n=None, where=None, columns=None, max_columns: int = 1000,
         return wrap_where(w, where, columns, max_columns, width, as_array, by)
     if n < 1:
         raise ValueError("n must be >= 1")
-    if n < len(w.columns):
+    if n < len(w.cells):
         return wrap_cells(w, n)
     return wrap_rows(w, n, max_columns)
 
@@ -46,7 +46,7 @@ def wrap_rows(w: Wrangler, n: int, max_columns: int = 1000) -> Wrangler:
     (r0c0, r0c1, r1c0, ...); a short last group is padded with ''."""
     if n < 1:
         raise ValueError("n must be >= 1")
-    cols = w.columns
+    cols = w.cells
     _check_width(n * len(cols), max_columns, "wrap")
     df, rid, w2 = w._rid()
     g, k = w2.fresh("__g", extra=[rid]), w2.fresh("__k", extra=[rid])
@@ -62,7 +62,7 @@ def wrap_rows(w: Wrangler, n: int, max_columns: int = 1000) -> Wrangler:
 
 def wrap_cells(w: Wrangler, n: int) -> Wrangler:
     """Row [a, b, c, d], n=2 -> rows [a, c], [b, d] (row-local, no shuffle)."""
-    cols = w.columns
+    cols = w.cells
     if n < 1:
         raise ValueError("n must be >= 1")
     width = -(-len(cols) // n)
@@ -87,10 +87,9 @@ def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
     the longest (or to ``width``, which then must hold every row – a longer one
     raises). No blank first row."""
     w.require_batch("wrap(where=)")
-    pat = where.pattern if isinstance(where, Regex) else where
     cols = w.resolve(columns)
     m, val = w.fresh("__m"), w.fresh("__v")
-    keep = [c for c in w.df.columns if c not in w.columns]
+    keep = [c for c in w.df.columns if c not in w.cells]
     long = w.df.select(*keep, F.posexplode(F.array(*[w.text(c) for c in cols])).alias(m, val))
     if by not in ("column", "row"):
         raise ValueError("by must be 'column' or 'row'")
@@ -101,7 +100,11 @@ def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
                        bounds=w.bounds, prefix_unbounded=w.prefix_unbounded, depth=w.depth)
     rid, grp, start, pos = (lw.fresh("__lr"), lw.fresh("__grp"), lw.fresh("__start"),
                             lw.fresh("__pos"))
-    hit = F.coalesce(regex_found(F.col(val), pat), F.lit(False))
+    if callable(where):  # W4: a predicate on the cell
+        hit = where(F.col(val))
+    else:
+        hit = regex_found(F.col(val), where.pattern if isinstance(where, Regex) else where)
+    hit = F.coalesce(hit, F.lit(False))
     df, lw2 = ordered_scan(lw, rid=rid, csum={grp: hit.cast("long")}, last_hit={start: hit})
     # position inside the group = rid - rid of the group's first cell
     df = df.withColumn(pos, F.col(rid) - F.coalesce(F.col(start), F.lit(0)))
@@ -143,83 +146,106 @@ def fold(w: Wrangler, columns=None, rows=None, key: str = "key", value: str = "v
     the rows where ``where(first folded cell)`` holds); those rows are removed.
     """
     cols = w.resolve(columns)
-    ids = [c for c in w.columns if c not in cols]
+    ids = [c for c in w.cells if c not in cols]
+    key, value = inner(key), inner(value)
     k = w.fresh("__fk")
-    key_rows = None
-    base = w
+    key_rows: list[list[Column]] | None = None  # per key row, its cell for every folded column
+    base, helpers = w, []
     if rows is not None or where is not None:
         w.require_batch("fold with key rows")
-        if rows is not None:
-            w2, sel, helper = row_hit(w, rows)
-        else:
-            w2, sel, helper = w, F.coalesce(where(w.text(cols[0])), F.lit(False)), None
-        df = w2.df
-        key_order = [*w.part_cols, *w.order] if w.order else [*w.part_cols]
-        picked = df.filter(sel).orderBy(*key_order).select(
-            *[w.text(c).alias(c) for c in cols]).limit(max_key_rows + 1).collect()
-        if len(picked) > max_key_rows:
-            raise ValueError(f"more than {max_key_rows} key rows")
-        key_rows = picked
-        rest = df.filter(~sel)
-        base = w2._with(df=rest.drop(helper) if helper else rest)
+        base, helpers, key_rows = _key_rows(w, cols, rows, where, max_key_rows)
     if key_rows is None:
-        keys = [[F.lit(c)] for c in cols]
-        key_names = [key]
+        keys, key_names = [[F.lit(outer(c))] for c in cols], [key]
     else:
-        keys = [[F.lit(r[c]) for r in key_rows] for c in cols]
-        key_names = [key] if len(key_rows) == 1 else [f"{key}_{i + 1}" for i in range(len(key_rows))]
+        keys = [[r[j] for r in key_rows] for j in range(len(cols))]
+        key_names = [key] if len(key_rows) == 1 else [inner(f"{outer(key)}_{i + 1}") for i in range(len(key_rows))]
     structs = [F.struct(*[kv.alias(kn) for kv, kn in zip(ks, key_names)],
                         base.text(c).alias(value), F.lit(i).alias(k))
                for i, (c, ks) in enumerate(zip(cols, keys))]
-    keep = [c for c in base.df.columns if c not in cols]
+    keep = [c for c in base.df.columns if c not in cols and c not in helpers]
     out = base.df.select(*keep, F.inline(F.array(*structs)))
     out = out.select(*ids, *key_names, value, *[c for c in out.columns
                                                   if c not in ids + key_names + [value]])
     return base._with(df=out, order=base.order + (k,) if base.order else ())
 
 
+def _key_rows(w: Wrangler, cols: list[str], rows, where, limit: int):
+    """The table without its key rows, helper columns, and per key row the folded cells.
+
+    Without a partition key these are at most ``limit`` literals. With one, every partition
+    has its own key rows: the cells of its i-th are spread over the partition's rows by a
+    forward and a backward fill (the plan of ``fill_row``), no list and no join on the key."""
+    if rows is not None:
+        w2, sel, helper = row_hit(w, rows)
+    else:
+        w2, sel, helper = w, F.coalesce(where(w.text(cols[0])), F.lit(False)), None
+    drop = [helper] if helper else []
+    if not w.has_part:
+        found = w2.df.filter(sel)
+        found = found.orderBy(*sort_keys(w)) if w.order else found.orderBy(*[w.text(c) for c in cols])
+        got = found.select(*[w.text(c).alias(c) for c in cols]).limit(limit + 1).collect()
+        if len(got) > limit:
+            raise ValueError(f"more than {limit} key rows")
+        base = w2._with(df=w2.df.filter(~sel).drop(*drop))
+        return base, [], [[F.lit(r[c]) for c in cols] for r in got]
+    if not w.order:
+        raise ValueError("key rows per partition need a row order (order_by=)")
+    hit, nth = w2.fresh("__hit"), w2.fresh("__nth")
+    marked = w2._with(df=w2.df.withColumn(hit, sel))
+    df, w3 = ordered_scan(marked, csum={nth: F.col(hit).cast("long")})
+    top = df.agg(F.max(nth)).first()[0] or 0
+    if top > limit:
+        raise ValueError(f"more than {limit} key rows in a partition")
+    w3 = w3._with(df=df)
+    names, ahead, back = [], {}, {}
+    for i in range(1, top + 1):
+        for c in cols:
+            f, b = (w3.fresh(f"__k{d}{len(names)}", extra=names) for d in "fb")
+            names += [f, b]
+            cell = F.when(F.col(hit) & (F.col(nth) == i), w.text(c))
+            ahead[f], back[b] = cell, cell
+    df, w4 = ordered_scan(w3, ffill=ahead, bfill=back)
+    base = w4._with(df=df.filter(~F.col(hit)))
+    cells = [F.coalesce(F.col(f), F.col(b)) for f, b in zip(ahead, back)]
+    return base, [*drop, hit, nth, *names], [cells[i * len(cols):(i + 1) * len(cols)] for i in range(top)]
+
+
 def unfold(w: Wrangler, column, measure, values: list | None = None,
            max_values: int = 1000) -> Wrangler:
-    """Pivot – each distinct value of ``column`` becomes a column holding
-    ``measure`` (the first in row order); other columns form the row key."""
-    (key,) = w.resolve(column)
+    """Pivot – each distinct value of the key column(s) ``column`` becomes a column
+    holding ``measure`` (the first in row order, '' if none); the other columns form the row
+    key. A null key is the column ``null``; several key columns give names joined by ``_``."""
+    keys = w.resolve(column)
     (meas,) = w.resolve(measure)
-    rest = [c for c in w.columns if c not in (key, meas)]
+    rest = [c for c in w.cells if c not in keys and c != meas]
     if values is None:
         w.require_batch("unfold without values=")
-        got = (w.df.select(w.text(key).alias("k")).distinct().orderBy("k")
-               .limit(max_values + 1).collect())
-        values = [r["k"] for r in got]
+        got = (w.df.select(*[w.text(c).alias(c) for c in keys]).distinct()
+               .orderBy(*keys).limit(max_values + 1).collect())
+        values = [tuple(r) for r in got]
+    else:
+        values = [v if isinstance(v, tuple) else (v,) for v in values]
     _check_width(len(values), max_values, "unfold")
+    names = ["_".join("null" if x is None else str(x) for x in v) for v in values]
+    if len(set(names)) != len(names) or {inner(n) for n in names} & set(rest):
+        raise ValueError(f"unfold would give columns that are not unique: {names}")
+    okey = F.struct(*[F.col(c) for c in w.order]) if w.order else None
+    aggs = []
+    for v, n in zip(values, names):  # every column is addressed by its place, never by its value
+        here = F.lit(True)
+        for c, x in zip(keys, v):
+            here = here & w.text(c).eqNullSafe(F.lit(None if x is None else str(x)))
+        cell = F.min_by(w.text(meas), F.when(here, okey)) if w.order else F.min(F.when(here, w.text(meas)))
+        aggs.append(F.coalesce(cell, F.lit("")).alias(inner(n)))
+    if not w.order:
+        out = w.df.groupBy(*w.part_cols, *rest).agg(*aggs) if aggs else w.df.select(*w.part_cols, *rest).distinct()
+        return Wrangler._raw(out.select(*w.part_cols, *rest, *[inner(n) for n in names]), depth=w.depth)
     first_key = w.fresh("__first")
-    if w.order:
-        okey = F.struct(*[F.col(c) for c in w.order])
-        agg = F.min_by(w.text(meas), okey)
-        extra = [F.min(okey).alias(first_key)]
-    else:
-        agg = F.min(w.text(meas))
-        extra = []
-    df = w.df.withColumn(key, w.text(key))
-    grouped = df.groupBy(*w.part_cols, *rest)
-    out = grouped.pivot(key, values).agg(agg.alias("m"), *extra) if extra else \
-        grouped.pivot(key, values).agg(agg)
-    # with two aggregates pivot names columns "<value>_m" / "<value>_<first>"
-    if extra:
-        firsts = [F.col(f"{v}_{first_key}") for v in values]
-        out = out.select(*w.part_cols, *rest,
-                         *[F.coalesce(F.col(f"{v}_m"), F.lit("")).alias(str(v)) for v in values],
-                         F.least(*firsts).alias(first_key) if len(firsts) > 1 else
-                         firsts[0].alias(first_key))
-        order = []
-        for i, c in enumerate(w.order):
-            name = f"__ord{i}"
-            order.append(name)
-        out = out.select(*[c for c in out.columns if c != first_key],
-                         *[F.col(first_key)[c].alias(o) for c, o in zip(w.order, order)])
-        return Wrangler._raw(out, order=tuple(order), qkey=order[0], depth=w.depth)
-    out = out.select(*w.part_cols, *rest,
-                     *[F.coalesce(F.col(str(v)), F.lit("")).alias(str(v)) for v in values])
-    return Wrangler._raw(out, depth=w.depth)
+    out = w.df.groupBy(*w.part_cols, *rest).agg(*aggs, F.min(okey).alias(first_key))
+    order = [f"__ord{i}" for i in range(len(w.order))]
+    out = out.select(*w.part_cols, *rest, *[inner(n) for n in names],
+                     *[F.col(first_key)[c].alias(o) for c, o in zip(w.order, order)])
+    return Wrangler._raw(out, order=tuple(order), qkey=order[0], depth=w.depth)
 
 
 def transpose(w: Wrangler, max_rows: int = 1000) -> Wrangler:
@@ -230,7 +256,7 @@ def transpose(w: Wrangler, max_rows: int = 1000) -> Wrangler:
         raise ValueError("transpose works on one table: merge_parts() first")
     n = w.df.limit(max_rows + 1).count()
     _check_width(n, max_rows, "transpose")
-    cols = w.columns
+    cols = w.cells
     df, rid, w2 = w._rid()
     m, val = w.fresh("__m", extra=[rid]), w.fresh("__v", extra=[rid])
     long = df.select(rid, F.posexplode(F.array(*[w.text(c) for c in cols])).alias(m, val))
@@ -246,8 +272,8 @@ def translate_cols(w: Wrangler, distance: int, left: bool) -> Wrangler:
     if distance < 0:
         raise ValueError("distance must be >= 0")
     blanks = [F.lit("").alias(w.fresh(f"blank{i}")) for i in range(distance)]
-    data = [F.col(c) for c in w.columns]
-    other = [F.col(c) for c in w.df.columns if c not in w.columns]
+    data = [F.col(c) for c in w.cells]
+    other = [F.col(c) for c in w.df.columns if c not in w.cells]
     sel = (blanks + data if left else data + blanks) + other
     return w._with(df=w.df.select(*sel))
 
@@ -271,12 +297,12 @@ def translate_rows(w: Wrangler, distance: int, top: bool) -> Wrangler:
     if blank is None:
         return w
     dtypes = dict(w.df.dtypes)
-    base = base.select(*[w.text(c).alias(c) if c in w.columns else F.col(c)
+    base = base.select(*[w.text(c).alias(c) if c in w.cells else F.col(c)
                          for c in base.columns])
     blank = blank.select(
-        *[F.lit("").alias(c) for c in w.columns], *w.part_cols,
+        *[F.lit("").alias(c) for c in w.cells], *w.part_cols,
         *[F.lit(None).cast(dtypes[c]).alias(c) for c in w.df.columns
-          if c not in w.columns and c != PART],
+          if c not in w.cells and c != PART],
         F.lit(-1 if top else 1).alias(t), F.col(ti))
     out = base.unionByName(blank)
     return w._with(df=out, order=(t, ti) + w.order, prefix=(t,) + w.prefix)
@@ -297,7 +323,7 @@ def translate(w: Wrangler, column=None, direction: str = "down", distance: int =
         return translate_rows(cut, distance, top=False)
     w.require_batch("translate")
     shifted = w.resolve(column)
-    cols = w.columns
+    cols = w.cells
     df, rid, w2 = w._rid()
     pos, side = w2.fresh("__pos", extra=[rid]), w2.fresh("__side", extra=[rid])
     delta = distance if direction == "down" else -distance

@@ -9,37 +9,28 @@ from typing import Callable
 from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 
-from ..frame import PART, Wrangler
+from ..frame import Wrangler, inner, outer
 from ..functions.text import regex_found
 from ..match import Regex
+from ..plans.order import ordered_scan, sort_keys
 from .common import row_hit
 
-_TOPK_MAX = 100_000  # rows fetched through a distributed top-k; beyond: row-id filter
-
 
 def row_at(w: Wrangler, i: int) -> Row | None:
-    """Row ``i`` of the (global) order: data cells as text plus the order keys.
-
-    First the order key of row ``i`` – a distributed top-(i+1) over the order
-    columns only (small ``i``) or a row-id filter (large ``i``) – then the
-    row itself by an equality filter on that key, which Catalyst pushes below
-    any cell transforms. At most one row reaches the driver.
-    """
+    """Row ``i`` of the (global) order: data cells as text plus the order keys. Only this
+    row reaches the driver; ties are ordered as in every ordered verb."""
     w.require_batch("row access")
     if not w.order:
         raise ValueError("row positions need a row order (order_by=)")
-    if i < _TOPK_MAX:
-        keys = (w.df.select(*w.order).orderBy(*[F.col(c).asc_nulls_first() for c in w.order])
-                .offset(i).limit(1).collect())
+    cells = [w.text(c).alias(c) for c in w.cells]
+    if i == 0:
+        picked = w.df.orderBy(*sort_keys(w)).limit(1)
     else:
         glob = Wrangler._raw(w.df.drop(*w.part_cols), w.order, w.prefix, w.qkey, w.bounds,
                              w.prefix_unbounded, w.depth)
         df, rid, _ = glob._rid()
-        keys = df.filter(F.col(rid) == i).select(*w.order).collect()
-    if not keys:
-        return None
-    sel = [w.text(c).alias(c) for c in w.columns] + [F.col(c) for c in w.order]
-    rows = w.df.filter(_same_keys(w, keys[0])).select(*sel).limit(1).collect()
+        picked = df.filter(F.col(rid) == i)
+    rows = picked.select(*cells, *[F.col(c) for c in w.order]).collect()
     return rows[0] if rows else None
 
 
@@ -47,25 +38,32 @@ def _same_keys(w: Wrangler, r: Row) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in w.order])
 
 
+def _without(w: Wrangler, i: int, r: Row) -> Wrangler:
+    """The table without row ``i`` (``r``). A key that no other row shares is a stable
+    address; otherwise, and for text sources, whose keys depend on how files are cut into
+    splits, the row is found by its number when the plan runs."""
+    if not w.prefix_unbounded and w.df.filter(_same_keys(w, r)).limit(2).count() == 1:
+        return w._with(df=w.df.filter(~_same_keys(w, r)))
+    df, rid, w2 = w._rid()
+    return w2._with(df=df.filter(F.col(rid) != i).drop(rid))
+
+
 def promote(w: Wrangler, names=None, row=None) -> Wrangler:
     """H1 (``names``) / H2 (``row``, default 0): set the header."""
     if names is not None and row is not None:
         raise ValueError("give names= or row=, not both")
-    cols = w.columns
+    cols = w.cells
     if names is not None:
         names = list(names)
         if len(set(names)) != len(names):
             raise ValueError(f"duplicate header names {names}")
         if len(names) > len(cols):
             raise ValueError(f"{len(names)} names for {len(cols)} columns")
-        mapping = dict(zip(cols, names))
-        final = [mapping.get(c, c) for c in cols]
+        new = {c: inner(n) for c, n in zip(cols, names)}
+        final = [new.get(c, c) for c in cols]
         if len(set(final)) != len(final):
-            raise ValueError(f"header would not be unique: {final}")
-        tmp = {c: f"__ren{i}" for i, c in enumerate(cols)}
-        df = w.df.withColumnsRenamed(tmp).withColumnsRenamed(
-            {tmp[c]: f for c, f in zip(cols, final)})
-        return w._with(df=df)
+            raise ValueError(f"header would not be unique: {[outer(c) for c in final]}")
+        return w.renamed(new)
     i = 0 if row is None else row
     if i < 0:
         raise ValueError(f"negative row {i}")
@@ -75,45 +73,40 @@ def promote(w: Wrangler, names=None, row=None) -> Wrangler:
     header = [r[c] if r[c] not in (None, "") else f"c{k}" for k, c in enumerate(cols)]
     if len(set(header)) != len(header):
         raise ValueError(f"row {i} would give a non-unique header: {header}")
-    rest = w._with(df=w.df.filter(~_same_keys(w, r)))
-    return promote(rest, names=header)
+    return promote(_without(w, i, r), names=header)
 
 
 def demote(w: Wrangler, row: int = 0) -> Wrangler:
-    """H3: insert the header as data row ``row`` (per ``_part``); columns become c0..cN."""
+    """H3: insert the header as data row ``row`` (per ``_part``); columns become c0..cN. The
+    new row takes its place from the row there, which is found when the plan runs."""
     w.require_batch("demote")
     if row < 0:
         raise ValueError(f"negative row {row}")
-    cols = w.columns
+    if not w.order:
+        raise ValueError("demote needs a row order (order_by=)")
+    cols = w.cells
     generic = [f"c{k}" for k in range(len(cols))]
     ins = w.fresh("__ins")
     base = w.df.select(*[w.text(c).alias(g) for c, g in zip(cols, generic)],
                        *[c for c in w.df.columns if c not in cols]).withColumn(ins, F.lit(0))
-    if not w.order:
-        raise ValueError("demote needs a row order (order_by=)")
-    if w.has_part:
-        from ..plans.order import ordered_scan
-
-        rid, tot = w.fresh("__rid"), w.fresh("__tot")
-        df, w2 = ordered_scan(w, rid=rid, count=tot)
-        anchor = df.filter((F.col(rid) == row) | ((F.col(rid) == row - 1) & (F.col(tot) == row)))
-        new = anchor.select(*[F.lit(c).alias(g) for c, g in zip(cols, generic)], PART,
-                            *w.order,
-                            F.when(F.col(rid) == row, F.lit(-1)).otherwise(F.lit(1)).alias(ins))
-        out = base.unionByName(new, allowMissingColumns=True)
-        return w._with(df=out, order=w.order + (ins,))
-    r = row_at(w, row)
-    place = -1
-    if r is None:
-        r = row_at(w, row - 1) if row > 0 else None
-        if r is None and row > 0:
+    header = [F.lit(outer(c)).alias(g) for c, g in zip(cols, generic)]
+    if not w.has_part:
+        found = w.df.limit(row + 1).count()
+        if found < row:
             raise ValueError(f"cannot demote to row {row}: the table is shorter")
-        place = 1
-    schema = base.select(*generic, *w.order, ins).schema
-    vals = tuple(cols) + tuple((r[c] if r is not None else None) for c in w.order) + (place,)
-    new = w.spark.createDataFrame([vals], schema=schema)
+        if found == 0:  # no row to stand beside
+            types = dict(w.df.dtypes)
+            new = w.spark.range(1).select(*header, *[F.lit(None).cast(types[c]).alias(c) for c in w.order],
+                                          F.lit(-1).alias(ins))
+            out = base.unionByName(new, allowMissingColumns=True)
+            return w._with(df=out, order=w.order + (ins,))
+    rid, tot = w.fresh("__rid"), w.fresh("__tot")
+    df, w2 = ordered_scan(w, rid=rid, count=tot)
+    anchor = df.filter((F.col(rid) == row) | ((F.col(rid) == row - 1) & (F.col(tot) == row)))
+    new = anchor.select(*header, *w.part_cols, *w.order,
+                        F.when(F.col(rid) == row, F.lit(-1)).otherwise(F.lit(1)).alias(ins))
     out = base.unionByName(new, allowMissingColumns=True)
-    return w._with(df=out, order=w.order + (ins,))
+    return w._with(df=out, order=w.order + (ins,), depth=w2.depth)
 
 
 def delete(w: Wrangler, pred: Callable[[Column], Column] | None = None, columns=None,
@@ -152,13 +145,13 @@ def merge(w: Wrangler, columns, glue: str = ",", name: str | None = None,
     if len(names) < 2:
         warnings.warn("merge needs at least two columns; nothing merged")
         return w
-    cols = w.columns
+    cols = w.cells
     idx = sorted(cols.index(c) for c in names)
     ordered = [cols[i] for i in idx]
-    out_name = name or "".join(ordered)
+    out_name = inner(name or "".join(map(outer, ordered)))
     others = [c for c in cols if c not in names]
     if out_name in others:
-        raise ValueError(f"merged column name {out_name!r} already exists")
+        raise ValueError(f"merged column name {outer(out_name)!r} already exists")
     merged = F.concat_ws(glue, *[F.coalesce(w.text(c), F.lit("")) for c in ordered]).alias(out_name)
     neighbours = all(b == a + 1 for a, b in zip(idx, idx[1:]))
     sel = []

@@ -71,13 +71,13 @@ def split_right(w: Wrangler, value: str, columns=None) -> Wrangler:
 def split_all(w: Wrangler, pattern: str, columns=None, width: int | None = None,
               max_columns: int = 1000) -> Wrangler:
     """P5: split at every match of regex ``pattern`` (JVM split semantics),
-    padded to the widest row. With ``width`` the cell is split into at most
-    ``width`` pieces (the last keeps the rest) and no aggregate runs."""
+    padded to the widest row. With ``width`` no aggregate runs; a cell of more
+    than ``width`` pieces then fails the job."""
     names = w.resolve(columns)
     if width is not None:
         if width < 1:
             raise ValueError("width must be >= 1")
-        arrays = {n: F.split(w.text(n), pattern, width) for n in names}
+        arrays = {n: T.jvm_split(w.text(n), pattern) for n in names}
         return spread(w, arrays, width=width, max_columns=max_columns)
     arrays = {n: T.jvm_split(w.text(n), pattern) for n in names}
     return spread(w, arrays, max_columns=max_columns)
@@ -120,14 +120,15 @@ def _split_pieces(spec: Spec, max: str) -> Callable[[Column], Column]:
     if max == "all" and not isinstance(t, int):
         if isinstance(t, tuple):
             if is_pattern(t[0]) and is_pattern(t[1]):
-                A, B = as_pattern(t[0]), as_pattern(t[1])
+                A = as_pattern(t[0])
+                B = T.shift_groups(as_pattern(t[1]), T.group_count(A))
                 pat = (f"(?=(?:{A}))(?s:.*?)(?:{B})" if where == ON
                        else f"(?<=(?:{A}))(?s:.*?)(?=(?:{B}))")
                 return lambda p: T.jvm_split(p, pat)
         else:
             P = as_pattern(t)
-            pat = {ON: P, AFTER: f"(?<=(?:{P}))", BEFORE: f"(?=(?:{P}))"}[where]
-            return lambda p: T.jvm_split(p, pat)
+            of = {ON: T.jvm_split, AFTER: T.pieces_after, BEFORE: T.pieces_before}[where]
+            return lambda p: of(p, P)
 
     def first(p: Column) -> Column:
         ok, left, right = _two(p, spec)
@@ -211,7 +212,8 @@ def _extract_pieces(spec: Spec, max: str) -> Callable[[Column], Column]:
     if max == "all" and not isinstance(t, int):
         if isinstance(t, tuple):
             if is_pattern(t[0]) and is_pattern(t[1]):
-                A, B = as_pattern(t[0]), as_pattern(t[1])
+                A = as_pattern(t[0])
+                B = T.shift_groups(as_pattern(t[1]), T.group_count(A))
                 if where == ON:
                     pat = f"(?=(?:{A}))(?s:.*?)(?:{B})"
                     return lambda p: F.concat(F.array(F.regexp_replace(p, F.lit(pat), E())),

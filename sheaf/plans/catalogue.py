@@ -267,13 +267,11 @@ _SPLIT_ALL_W = 6
 
 
 def _split_all_sql() -> str:
-    cols = ",\n       ".join(f"coalesce(l[{k}], '') AS url_{k}" for k in range(1, _SPLIT_ALL_W))
+    cols = ",\n       ".join(f"coalesce(l[{k}], '') AS url_{k}" for k in range(1, _SPLIT_ALL_W + 1))
     return f"""
 WITH t AS (SELECT page_id, string_split(url, '/') AS l FROM pages)
 SELECT page_id,
-       {cols},
-       CASE WHEN len(l) >= {_SPLIT_ALL_W} THEN array_to_string(l[{_SPLIT_ALL_W}:], '/')
-            ELSE '' END AS url_{_SPLIT_ALL_W}
+       {cols}
 FROM t"""
 
 
@@ -283,10 +281,12 @@ def split_all(spark, d):
             .split_all("/", "url", width=_SPLIT_ALL_W).to_df())
 
 
-@query("split_all_auto", None)
+@query("split_all_auto", """
+SELECT page_id, replace(url, '/', '') AS url FROM pages""")
 def split_all_auto(spark, d):
-    # Width discovered by one aggregate (static SQL cannot express it)
-    return W(spark, d, "pages", ["page_id", "url"]).split_all("/", "url").to_df()
+    # The width is discovered; the pieces are joined again so that SQL can check them
+    w = W(spark, d, "pages", ["page_id", "url"]).split_all("/", "url")
+    return w.merge(list(w.created), glue="", name="url").to_df()
 
 
 @query("split_regex", """
@@ -708,11 +708,17 @@ def wrap_regex(spark, d):
             .wrap(where=_WRAP_RE, width=_WRAP_W).to_df())
 
 
-@query("wrap_column", _wrap_regex_sql())
+@query("wrap_column", """
+WITH cells AS (
+  SELECT event_id * 2 AS i, event_type AS v FROM events
+  UNION ALL SELECT event_id * 2 + 1, CAST(user_id AS VARCHAR) FROM events),
+marked AS (SELECT i, v, sum(CASE WHEN v IN ('click', 'view') THEN 1 ELSE 0 END) OVER (ORDER BY i) AS g FROM cells)
+SELECT string_agg(v, '|' ORDER BY i) AS cells FROM marked GROUP BY g""")
 def wrap_column(spark, d):
-    # The cell-wrapping of W3 restricted to the listed columns
-    return (W(spark, d, "events", ["event_type", "user_id"], order_by="event_id")
-            .wrap_column(_WRAP_RE, columns=["event_type"], width=_WRAP_W).to_df())
+    # A predicate on the cells of two columns, read row by row; only these columns stay
+    w = (W(spark, d, "events", ["event_type", "user_id", "props"], order_by="event_id")
+         .wrap(where=lambda c: c.isin("click", "view"), columns=["event_type", "user_id"], by="row", as_array=True))
+    return w.to_df().select(F.array_join("cells", "|").alias("cells"))
 
 
 @query("fold", """
@@ -733,12 +739,182 @@ def fold_rows(spark, d):
 
 
 @query("fold_where", """
-SELECT n_nationkey, 'NATION_0' AS key, n_name AS value FROM nation WHERE n_nationkey <> 0
-UNION ALL SELECT n_nationkey, '0', CAST(n_regionkey AS VARCHAR) FROM nation WHERE n_nationkey <> 0""")
+SELECT n.n_nationkey, k1.n_name AS key_1, k2.n_name AS key_2, n.n_name AS value
+FROM nation n, nation k1, nation k2
+WHERE k1.n_nationkey = 1 AND k2.n_nationkey = 12 AND n.n_nationkey NOT IN (1, 12)
+UNION ALL SELECT n.n_nationkey, CAST(k1.n_regionkey AS VARCHAR), CAST(k2.n_regionkey AS VARCHAR), CAST(n.n_regionkey AS VARCHAR)
+FROM nation n, nation k1, nation k2
+WHERE k1.n_nationkey = 1 AND k2.n_nationkey = 12 AND n.n_nationkey NOT IN (1, 12)""")
 def fold_where(spark, d):
-    # Key rows chosen by a predicate on the first folded column
+    # Two key rows chosen by a predicate on the first folded column
     return (W(spark, d, "nation", ["n_nationkey", "n_name", "n_regionkey"], order_by="n_nationkey")
-            .fold(["n_name", "n_regionkey"], where=lambda c: c == "NATION_0").to_df())
+            .fold(["n_name", "n_regionkey"], where=lambda c: c.isin("NATION_1", "NATION_12")).to_df())
+
+
+@query("fold_part", """
+WITH r AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+k AS (SELECT conv_id, role, text FROM r WHERE n = 1)
+SELECT r.turn, k.role AS key, r.role AS value, r.conv_id AS _part FROM r JOIN k USING (conv_id) WHERE n > 1
+UNION ALL SELECT r.turn, k.text, r.text, r.conv_id FROM r JOIN k USING (conv_id) WHERE n > 1""")
+def fold_part(spark, d):
+    # W5 per partition: every conversation's first row gives its own keys
+    return (W(spark, d, "conversations", ["turn", "role", "text"], order_by="turn", part="conv_id")
+            .fold(["role", "text"], rows=[0]).to_df())
+
+
+@query("unfold_any_value", """
+SELECT l_linestatus, coalesce(max(o) FILTER (WHERE k = 'a.1'), '') AS "a.1", coalesce(max(o) FILTER (WHERE k = 'a.2'), '') AS "a.2",
+       coalesce(max(o) FILTER (WHERE k IS NULL), '') AS "null", coalesce(max(o) FILTER (WHERE k = 'A.1'), '') AS "A.1"
+FROM (SELECT l_linestatus, CASE WHEN l_linenumber < 3 THEN 'a.' || l_linenumber WHEN l_linenumber = 3 THEN 'A.1' END AS k,
+             '1' AS o FROM lineitem) GROUP BY l_linestatus""")
+def unfold_any_value(spark, d):
+    n = F.col("l_linenumber")
+    key = F.when(n < 3, F.concat(F.lit("a."), n.cast("string"))).when(n == 3, F.lit("A.1"))
+    li = table(spark, d, "lineitem", ["l_linestatus", "l_linenumber"]).select("l_linestatus", key.alias("k"), F.lit("1").alias("o"))
+    return Wrangler(li).unfold("k", "o").to_df()
+
+
+@query("row_id_hot", """
+SELECT event_id, row_number() OVER (ORDER BY event_type, event_id) - 1 AS row_id FROM events""")
+def row_id_hot(spark, d):
+    # a first key of five values, each with a fifth of all rows
+    return W(spark, d, "events", ["event_id"], order_by=["event_type", "event_id"]).with_row_id().to_df()
+
+
+@query("delete_rows_far", """
+SELECT event_id, event_type FROM events
+QUALIFY row_number() OVER (ORDER BY event_type, event_id) - 1 NOT IN (0, 7, 999)""")
+def delete_rows_far(spark, d):
+    return (W(spark, d, "events", ["event_id", "event_type"], order_by=["event_type", "event_id"])
+            .delete(rows=[999, 0, 7]).delete(rows=[]).to_df())
+
+
+_DOUBLED = "|".join(c * 2 for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+@query("cut_backref", f"""
+SELECT p_partkey, regexp_replace(p_type, '{_DOUBLED}', '') AS p_type FROM part""")
+def cut_backref(spark, d):
+    return W(spark, d, "part", ["p_partkey", "p_type"]).cut_regex(r"([a-z])\1", "p_type").to_df()
+
+
+@query("split_after_all", """
+SELECT event_id, rtrim(regexp_replace(props, '([0-9]+)', '\\1|', 'g'), '|') AS props FROM events""")
+def split_after_all(spark, d):
+    w = W(spark, d, "events", ["event_id", "props"]).split(after=re_("[0-9]{1,9}"), max="all", columns="props")
+    return _joined(w, "props")
+
+
+@query("split_before_all", """
+SELECT event_id, ltrim(regexp_replace(props, '([0-9]+)', '|\\1', 'g'), '|') AS props FROM events""")
+def split_before_all(spark, d):
+    w = W(spark, d, "events", ["event_id", "props"]).split(before=re_("[0-9]+"), max="all", columns="props")
+    return _joined(w, "props")
+
+
+def _joined(w: Wrangler, name: str) -> DataFrame:
+    """Pieces joined again by a mark, padding dropped, so that SQL can check them."""
+    return w.merge(list(w.created), glue="|", name=name).to_df().withColumn(name, F.rtrim(F.col(name), F.lit("|")))
+
+
+@query("cut_before_inclusive", """
+SELECT c_custkey, CASE WHEN length(c_name) >= 18 THEN substr(c_name, 19) ELSE c_name END AS c_name FROM customer""")
+def cut_before_inclusive(spark, d):
+    return W(spark, d, "customer", ["c_custkey", "c_name"]).cut_before(18, "c_name", inclusive=True).to_df()
+
+
+@query("cut_after_regex", """
+SELECT event_id, CASE WHEN regexp_matches(props, '[0-9]+') THEN regexp_extract(props, '^.*?[0-9]+') ELSE props END AS props FROM events""")
+def cut_after_regex(spark, d):
+    return W(spark, d, "events", ["event_id", "props"]).cut(after=re_("[0-9]+"), columns="props").to_df()
+
+
+@query("cut_before_regex", """
+SELECT event_id, regexp_replace(props, '^[^0-9]*([0-9])', '\\1') AS props FROM events""")
+def cut_before_regex(spark, d):
+    return W(spark, d, "events", ["event_id", "props"]).cut(before=re_("[0-9]+"), columns="props").to_df()
+
+
+@query("cut_on_ints", """
+SELECT p_partkey, CASE WHEN length(p_type) >= 5 THEN substr(p_type, 1, 1) || substr(p_type, 6) ELSE p_type END AS p_type FROM part""")
+def cut_on_ints(spark, d):
+    # C12 with positions: from character 1, four characters
+    return W(spark, d, "part", ["p_partkey", "p_type"]).cut(on=(1, 3), columns="p_type").to_df()
+
+
+@query("cut_between_all", """
+SELECT event_id, regexp_replace(props, ':[^,]*,', ':,', 'g') AS props FROM events""")
+def cut_between_all(spark, d):
+    return (W(spark, d, "events", ["event_id", "props"])
+            .cut(between=(re_(":"), ","), max="all", columns="props").to_df())
+
+
+@query("delete_regex_rows", """
+SELECT event_id, event_type FROM events
+QUALIFY NOT (regexp_matches(event_type, 'c') AND row_number() OVER (ORDER BY event_id) - 1 IN (0, 1, 2, 3, 4, 5, 6, 7))""")
+def delete_regex_rows(spark, d):
+    return (W(spark, d, "events", ["event_id", "event_type"], order_by="event_id")
+            .delete(where="c", columns="event_type", rows=list(range(8))).to_df())
+
+
+_BLANKS = """SELECT event_id, CASE WHEN event_type = 'view' THEN 'n/a' ELSE event_type END AS a,
+  CASE WHEN event_type = 'click' THEN 'n/a' ELSE CAST(user_id AS VARCHAR) END AS b FROM events"""
+
+
+def _blanks(spark, d, **kw) -> Wrangler:
+    ev = table(spark, d, "events", ["event_id", "event_type", "user_id"])
+    t = F.col("event_type")
+    return Wrangler(ev.select("event_id", F.when(t == "view", F.lit("n/a")).otherwise(t).alias("a"),
+                              F.when(t == "click", F.lit("n/a")).otherwise(F.col("user_id").cast("string")).alias("b")), **kw)
+
+
+@query("fill_left_value", f"""
+SELECT event_id, a, CASE WHEN b = 'n/a' THEN a ELSE b END AS b FROM ({_BLANKS})""")
+def fill_left_value(spark, d):
+    return _blanks(spark, d).fill_left(["a", "b"], blank="n/a").to_df()
+
+
+@query("fill_right_pred", f"""
+SELECT event_id, CASE WHEN length(a) = 3 THEN b ELSE a END AS a, b FROM ({_BLANKS})""")
+def fill_right_pred(spark, d):
+    return _blanks(spark, d).fill_right(["a", "b"], blank=lambda c: c == "n/a").to_df()
+
+
+@query("fill_column_value", f"""
+SELECT event_id, a, CASE WHEN b = 'n/a' THEN a ELSE b END AS b FROM ({_BLANKS})""")
+def fill_column_value(spark, d):
+    return _blanks(spark, d)["b"].fill_column("a", blank="n/a").to_df()
+
+
+@query("fill_row_part", """
+WITH r AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS t, user_id,
+                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)
+SELECT r.event_id, CASE WHEN r.n = 2 AND r.t = '' AND s.t IS NOT NULL THEN s.t ELSE r.t END AS t, r.user_id AS _part
+FROM r LEFT JOIN (SELECT user_id, t FROM r WHERE n = 1) s USING (user_id)""")
+def fill_row_part(spark, d):
+    ev = table(spark, d, "events", ["event_id", "event_type", "user_id"])
+    t = F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.col("event_type"))
+    w = Wrangler(ev.select("event_id", t.alias("t"), "user_id"), order_by="event_id", part="user_id").drop("user_id")
+    return w.fill_row(1, 2, columns="t").to_df()
+
+
+@query("demote_part", """
+SELECT CAST(event_id AS VARCHAR) AS c0, event_type AS c1, user_id AS _part FROM events
+UNION ALL SELECT DISTINCT 'event_id', 'event_type', user_id FROM events""")
+def demote_part(spark, d):
+    return (W(spark, d, "events", ["event_id", "event_type"], order_by="event_id", part="user_id").demote(0).to_df())
+
+
+@query("translate_cols_right", """
+SELECT p_partkey, p_name, '' AS blank0, '' AS blank1 FROM part""")
+def translate_cols_right(spark, d):
+    return W(spark, d, "part", ["p_partkey", "p_name"]).translate_right(2).to_df()
+
+
+@query("translate_rows_down", """
+SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region UNION ALL SELECT '', '' UNION ALL SELECT '', ''""")
+def translate_rows_down(spark, d):
+    return W(spark, d, "region", ["r_regionkey", "r_name"], order_by="r_regionkey").translate_down(2).to_df()
 
 
 _UNFOLD_VALUES = ["click", "error", "purchase", "signup", "view"]
@@ -928,12 +1104,13 @@ def job_latlong(spark, d):
 
 @query("job_force", """
 SELECT regexp_replace(CAST(p_partkey AS VARCHAR), '1', '') AS p_partkey,
-       regexp_replace(p_name, '1', '') AS p_name, regexp_replace(p_brand, '1', '') AS p_brand
+       regexp_replace(p_name, '1', '') AS p_name, regexp_replace(p_brand, '1', '') AS p_brand,
+       count(*) OVER () AS forced_1, count(*) OVER () AS forced_3, count(*) OVER () AS forced_4
 FROM part""")
 def job_force(spark, d):
     w = W(spark, d, "part", ["p_partkey", "p_name", "p_brand"])
-    first, _ = jobs.incremental_force(w)
-    return first.to_df()
+    first, counts = jobs.incremental_force(w)
+    return first.to_df().select("*", *[F.lit(n).cast("long").alias(f"forced_{i}") for i, n in zip((1, 3, 4), counts)])
 
 
 def queries() -> dict[str, Query]:

@@ -69,6 +69,7 @@ def scrub_digits(w: Wrangler) -> Wrangler:
     return w.cut_regex('"').cut_regex("1").cut_regex("3").split_value("5")
 
 
+# Fixed values of the lat/long job: its header.
 LATLONG_NAMES = ["ID", "LATITUDE", "LONGITUDE", "DATETIME", "COMMENT"]
 
 
@@ -83,12 +84,14 @@ def clean_latlong(w: Wrangler) -> Wrangler:
 
 def incremental_force(w: Wrangler) -> tuple[Wrangler, list[int]]:
     """Four cut steps forced after the 1st, 3rd and 4th; the first step is
-    persisted so the later forces do not re-read the source. Returns the first
-    step's table (what the job writes) and the three counts."""
+    persisted so the later forces do not re-read the source, and released at the
+    end. Returns the first step's table (what the job writes) and the three counts."""
     first = w.cut_regex("1").persist()
-    counts = [first.force()]
-    second = first.cut_regex("2").cut_regex("3")
-    counts.append(second.force())
-    third = second.cut_regex("4")
-    counts.append(third.force())
+    try:
+        counts = [first.force()]
+        second = first.cut_regex("2").cut_regex("3")
+        counts.append(second.force())
+        counts.append(second.cut_regex("4").force())
+    finally:
+        first.unpersist()
     return first, counts

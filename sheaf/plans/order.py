@@ -3,13 +3,13 @@
 ``Window.orderBy(k)`` with no partition pulls every row into one task. Verbs
 that depend on row order (row ids, fill up/down, running match counts) instead
 
-1. cut the order into K contiguous buckets whose bounds are *literals*
-   (approximate quantiles of a monotone numeric surrogate of the first order
-   key), so the bucket expression is deterministic across re-computation;
+1. cut the order into K contiguous buckets whose bounds are *literals*, keys
+   sampled by hash and compared as they sort, so the bucket expression is
+   deterministic across re-computation and even for any type and skew;
 2. aggregate a tiny per-bucket side table (count, last / first non-null value,
    sums) – at most K rows per partition key;
 3. run windows over that side table to get each bucket's offset and carry-in,
-   and join it back (broadcast only when its size is bounded by K);
+   and join it back (by plain equality; Spark broadcasts it if it is small);
 4. run the real window partitioned by (part, bucket) and add the carry.
 
 Each bucket holds ~N/K rows whatever the key skew of ``_part``; K grows with
@@ -19,7 +19,6 @@ Each bucket holds ~N/K rows whatever the key skew of ``_part``; K grows with
 from __future__ import annotations
 
 import warnings
-from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,193 +27,116 @@ from pyspark.sql import functions as F
 if TYPE_CHECKING:  # pragma: no cover
     from ..frame import Wrangler
 
-_NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
-_INLINE_MAX = 128  # above this many bounds, bucket with a binary search
+#: Sampled keys per bucket: with 16 a bucket of over 3N/K rows is a one-in-a-million event.
+SAMPLE_PER_BUCKET = 16
+#: Rows per bucket that more buckets than 2 x shuffle partitions are made for.
+BUCKET_ROWS = 4_000_000
+_FAN = 16
 
 
-_DEFAULT_MAX_BUCKETS = 20_000
-
-
-def bucket_count(spark) -> int:
-    """K: ``sheaf.order.buckets`` if set, else 2 x shuffle partitions capped at
-    20,000 (a larger bucket only means a longer, spillable in-task window)."""
+def bucket_count(spark, rows: int) -> int:
+    """K: ``sheaf.order.buckets`` if set, else 2 x shuffle partitions, or more where buckets
+    would pass ``BUCKET_ROWS`` rows."""
     conf = spark.conf.get("sheaf.order.buckets", None)
     if conf:
         return max(1, int(conf))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(4, min(2 * parts, _DEFAULT_MAX_BUCKETS))
-
-
-def _common_prefix_len(a: bytes, b: bytes) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def string_skip(df: DataFrame, name: str) -> int:
-    """Bytes shared by the smallest and largest value (so by every value)."""
-    dtype = dict(df.dtypes)[name]
-    lo, hi = df.agg(F.min(name), F.max(name)).first()
-    if lo is None or hi is None:
-        return 0
-    enc = (lambda v: v.encode("utf-8")) if dtype == "string" else bytes
-    return _common_prefix_len(enc(lo), enc(hi))
-
-
-def surrogate(df: DataFrame, name: str, skip: int = 0) -> Column:
-    """Monotone (non-decreasing) double surrogate of column ``name``.
-
-    Strings/binary: the 7 bytes after the common prefix (``skip``) as a
-    base-256 number – byte order is Spark's string order."""
-    dtype = dict(df.dtypes)[name]
-    c = F.col(name)
-    if dtype in _NUMERIC or dtype.startswith("decimal") or dtype == "boolean":
-        return c.cast("double")
-    if dtype == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if dtype == "timestamp_ntz":
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if dtype == "date":
-        return F.unix_date(c).cast("double")
-    if dtype in ("string", "binary"):
-        raw = F.encode(c, "UTF-8") if dtype == "string" else c
-        seven = F.substring(raw, skip + 1, 7)
-        return F.conv(F.rpad(F.hex(seven), 14, "0"), 16, 10).cast("double")
-    raise TypeError(f"cannot order by a column of type {dtype}")
-
-
-# Bucket bounds are statistics: any monotone bucketing gives the same result,
-# stale bounds only unbalance buckets. They are cached per key plan.
-_STATS: dict = {}
-
-
-def _quantiles(df: DataFrame, sur: Column, k: int) -> tuple[list, int]:
-    """Raw (not deduplicated) K-quantiles of ``sur`` and the row count, one pass."""
-    probs = [i / k for i in range(1, k)]
-    # rank error 1/accuracy of N: a quarter bucket keeps buckets balanced
-    # while the per-task sketch stays O(K)
-    accuracy = min(200_000, max(1000, 4 * k))
-    row = df.select(sur.alias("__sur")).agg(
-        F.percentile_approx("__sur", probs, accuracy).alias("q"),
-        F.count(F.lit(1)).alias("n")).first()
-    if row is None or row["q"] is None:
-        return [], 0
-    return [float(x) for x in row["q"] if x is not None], int(row["n"])
-
-
-def compute_bounds(df: DataFrame, qkey: str, k: int, key2: str | None = None) -> tuple:
-    """(skip, bounds, sub): K-1 deduplicated quantile bounds of the surrogate of
-    ``qkey`` – one small aggregate (plus a min/max for strings).
-
-    A surrogate value repeated in the raw quantiles holds at least 1/K of all
-    rows. When the order has a second key, the single first-key value behind
-    it (found by a bounded aggregate over those rows) is sub-bucketed by
-    quantiles of ``key2`` (``sub``), so one hot first key does not make one
-    huge bucket.
-    """
-    try:
-        cache_key = (df.select(qkey, *([key2] if key2 else [])).semanticHash(), k, key2)
-    except Exception:  # noqa: BLE001 - no plan hash: just recompute
-        cache_key = None
-    if cache_key is not None and cache_key in _STATS:
-        return _STATS[cache_key]
-    dtypes = dict(df.dtypes)
-    skip = string_skip(df, qkey) if dtypes[qkey] in ("string", "binary") else 0
-    bounds: tuple = ()
-    sub = None
-    if k > 1:
-        sur = surrogate(df, qkey, skip)
-        raw, n = _quantiles(df, sur, k)
-        bounds = tuple(sorted(set(raw)))
-        heavy = sorted(v for v in set(raw) if raw.count(v) >= 2 and abs(v) != float("inf"))
-        if heavy and key2 is not None:
-            hot = df.filter(sur.isin(heavy))
-            # exact first-key values holding >= 1/K of the rows (at most K of them)
-            cands = (hot.groupBy(F.col(qkey).alias("v"), sur.alias("s"))
-                     .agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= max(1, n // k))
-                     .limit(2 * k + 1).collect())
-            per_s: dict = {}
-            for r in cands:
-                if r["v"] is not None:
-                    per_s.setdefault(r["s"], []).append(r["v"])
-            pairs = tuple((sv, vs[0]) for sv, vs in sorted(per_s.items()) if len(vs) == 1)
-            if pairs:
-                vals = [v for _, v in pairs]
-                hot = df.filter(F.col(qkey).isin(vals))
-                skip2 = string_skip(hot, key2) if dtypes[key2] in ("string", "binary") else 0
-                raw2, _ = _quantiles(hot, surrogate(hot, key2, skip2), k)
-                sub = (pairs, key2, skip2, tuple(sorted(set(raw2))))
-    out = (skip, bounds, sub)
-    if cache_key is not None:
-        if len(_STATS) > 256:
-            _STATS.clear()
-        _STATS[cache_key] = out
-    return out
-
-
-def _bucket(df: DataFrame, sur: Column, bounds: tuple, out: str) -> DataFrame:
+    return max(4, 2 * parts, -(-rows // BUCKET_ROWS))
+
+
+def sort_keys(w: "Wrangler") -> list[Column]:
+    """The row order; rows with equal keys are ordered by a hash of their cells, so that
+    every run puts them alike (equal rows are interchangeable)."""
+    keys = [F.col(c).asc_nulls_first() for c in w.order]
+    return keys if w.prefix_unbounded else [*keys, tie_break(w.df)]
+
+
+def tie_break(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c) for c, t in df.dtypes if "map<" not in t and t != "variant"])
+
+
+def compute_bounds(df: DataFrame, keys: list[str]) -> tuple:
+    """At most K-1 bounds, real values of the ordered key ``keys``, evenly spread over a
+    sample of keys chosen by their hash (so a retry takes the same). Rows are compared with
+    them as they sort, column by column: any bounds give right results, and these give even
+    buckets whatever the type and skew of the leading column."""
+    n = df.count()
+    k = bucket_count(df.sparkSession, n)
+    if k <= 1 or n == 0:
+        return ()
+    want, grain = SAMPLE_PER_BUCKET * k, 1 << 40
+    sample = df.select(*keys)
+    if n > want:
+        sample = sample.where(F.pmod(F.xxhash64(*keys), F.lit(grain)) < F.lit(int(grain * want / n)))
+    rows = sample.distinct().orderBy(*[F.col(c).asc_nulls_first() for c in keys]).collect()
+    picked = [tuple(rows[len(rows) * i // k]) for i in range(1, k)] if rows else []
+    return tuple(dict.fromkeys(picked))
+
+
+def bucket_of(df: DataFrame, keys: list[str], bounds: tuple) -> Column:
+    """Number of bounds at or below the row's key, by a search tree of literals."""
+    types = dict(df.dtypes)
     if not bounds:
-        return df.withColumn(out, F.lit(0))
-    if len(bounds) <= _INLINE_MAX:
-        expr = reduce(
-            lambda acc, b: acc + F.when(sur > F.lit(b), F.lit(1)).otherwise(F.lit(0)),
-            bounds,
-            F.lit(0),
-        )
-        return df.withColumn(out, expr)
-    from pyspark.ml.feature import Bucketizer
-
-    tmp = out + "_in"
-    splits = [float("-inf")] + list(bounds) + [float("inf")]
-    bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out + "_d", handleInvalid="keep")
-    res = bz.transform(df.withColumn(tmp, sur))
-    return res.withColumn(out, F.col(out + "_d").cast("int")).drop(tmp, out + "_d")
-
-
-def add_bucket(df: DataFrame, qkey: str, stats: tuple, out: str) -> tuple[DataFrame, list[str]]:
-    skip, bounds, sub = stats
-    sur = F.coalesce(surrogate(df, qkey, skip), F.lit(float("-inf")))
-    df = _bucket(df, sur, bounds, out)
-    if not sub:
-        return df, [out]
-    pairs, key2, skip2, bounds2 = sub
-    out2 = out + "_2"
-    sur2 = F.coalesce(surrogate(df, key2, skip2), F.lit(float("-inf")))
-    df = _bucket(df, sur2, bounds2, out2)
-    # inside the bucket of a hot value v: keys below v first (-1), then v's rows
-    # by the second key, then keys above v that share v's surrogate (top)
-    k1, top = F.col(qkey), F.lit(len(bounds2) + 1)
-    expr = None
-    for sv, v in pairs:
-        cond_hot, cond_above = k1 == F.lit(v), (sur == F.lit(sv)) & (k1 > F.lit(v))
-        expr = (F.when(cond_hot, F.col(out2)) if expr is None else expr.when(cond_hot, F.col(out2)))
-        expr = expr.when(cond_above, top)
-    df = df.withColumn(out2, expr.otherwise(F.lit(-1)))
-    return df, [out, out2]
-
-
-def bucketed(w: "Wrangler") -> tuple[DataFrame, list[str], bool, "Wrangler"]:
-    """(frame with bucket columns, bucket column names, side-table-is-bounded, wrangler
-    carrying cached bounds)."""
+        return F.lit(0)
+    keys = keys[: len(bounds[0])]
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
+
+    def literal(bound: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(keys, bound))])
+
+    lits = [literal(b) for b in bounds]
+    none = F.slice(F.array(lits[0]), F.lit(1), F.lit(0))
+    size = _FAN
+    while size < len(bounds) + 1:
+        size *= _FAN
+    at = F.lit(0)
+    while size > 1:  # block i of this level covers the buckets i*size .. (i+1)*size - 1
+        child = size // _FAN
+        blocks = []
+        for start in range(0, len(bounds) + 1, size):
+            own = [lits[x] for x in range(start + child - 1, min(start + size - 1, len(lits)), child)]
+            blocks.append(F.array(*own) if own else none)
+        steps = F.get(F.array(*blocks), at)
+        at = at * _FAN + F.size(F.filter(steps, lambda b: b <= key))
+        size = child
+    return at
+
+
+def bucketed(w: "Wrangler") -> tuple[DataFrame, list[str], "Wrangler"]:
+    """(frame with a bucket column, columns that name a row's bucket, wrangler with bounds)."""
     if not w.order:
         raise ValueError("this verb needs a row order: pass order_by= or read a text source")
-    df = w.df
-    cols = list(w.prefix)
-    bounded = not w.prefix_unbounded
+    df, cols = w.df, list(w.prefix)
     if w.qkey is not None:
-        i = w.order.index(w.qkey)
-        key2 = w.order[i + 1] if i + 1 < len(w.order) else None
-        stats = w.bounds
-        if stats is None:
-            stats = compute_bounds(df, w.qkey, bucket_count(df.sparkSession), key2)
-            w = w._with(bounds=stats)
+        keys = list(w.order[w.order.index(w.qkey):])
+        bounds = w.bounds
+        if bounds is None:
+            bounds = compute_bounds(df, keys)
+            w = w._with(bounds=bounds)
         name = w.fresh("__bkt")
-        df, bcols = add_bucket(df, w.qkey, stats, name)
-        cols += bcols
-    return df, cols, bounded, w
+        df = df.withColumn(name, bucket_of(df, keys, bounds))
+        cols.append(name)
+    return df, cols, w
+
+
+def never_null(df: DataFrame, cols: list[str], taken: "Wrangler") -> tuple[DataFrame, list[str], list[str]]:
+    """Grouping columns for ``cols`` without nulls, so that groups join by plain equality and
+    keep the partitioning of the window: a null becomes an empty value, and for the partition
+    key, where that is a key too, a flag tells them apart."""
+    types, out, made = dict(df.dtypes), [], []
+    for c in cols:
+        name = taken.fresh(f"__g{len(made)}", extra=made)
+        kind = types[c]
+        empty = F.lit("" if kind == "string" else 0).cast(kind)
+        df = df.withColumn(name, F.coalesce(F.col(c), empty))
+        made.append(name)
+        out.append(name)
+        if c in taken.part_cols:
+            flag = taken.fresh(f"__g{len(made)}", extra=made)
+            df = df.withColumn(flag, F.col(c).isNull())
+            made.append(flag)
+            out.append(flag)
+    return df, out, made
 
 
 def ordered_scan(
@@ -244,11 +166,17 @@ def ordered_scan(
     ffill, bfill, csum, last_hit = ffill or {}, bfill or {}, csum or {}, last_hit or {}
     w.require_batch("an ordered verb")
     w = _cut_lineage(w)
-    df, bcols, bounded, w = bucketed(w)
-    part = w.part_cols
-    keys = [*part, *bcols]
-    order = [F.col(c).asc_nulls_first() for c in w.order]
-    okey = F.struct(*[F.col(c) for c in w.order])
+    tie = [] if w.prefix_unbounded else [w.fresh("__tie")]  # keys of a text source are unique
+    if tie:
+        w = w._with(df=w.df.withColumn(tie[0], tie_break(w.df)))
+    df, bcols, w = bucketed(w)
+    df, part, made = never_null(df, w.part_cols, w)
+    n_part = len(part)
+    df, keys, more = never_null(df, [c for c in w.prefix], w._with(df=df))
+    keys = [*part, *keys, *[c for c in bcols if c not in w.prefix]]
+    bcols, made = keys[n_part:], [*made, *more, *[c for c in bcols if c not in w.prefix], *tie]
+    order = [F.col(c).asc_nulls_first() for c in [*w.order, *tie]]
+    okey = F.struct(*[F.col(c) for c in [*w.order, *tie]])
 
     tmp: dict[str, str] = {}
 
@@ -282,7 +210,6 @@ def ordered_scan(
     if hits:
         # in-bucket position of the last hit = rows at or before its key
         lk = side.select(*keys, *[a for _, a in hits])
-        lk = F.broadcast(lk) if (bounded and not part) else lk
         pos = _join(df.select(*keys, okey.alias("__okey")), lk, keys, "inner").groupBy(*keys).agg(
             *[F.count_if(F.col("__okey") <= F.col(a)).alias(t(f"pos_h_{out}")) for out, a in hits])
         side = _join(side, pos, keys, "left")
@@ -309,14 +236,13 @@ def ordered_scan(
             glob = F.when(a.isNotNull(), F.col(off) + p - 1)
             sel.append(F.last(glob, ignorenulls=True).over(before).alias(name))
     side = side.select(*sel)
-    side = F.broadcast(side) if (bounded and not part) else side
 
     # -- the data: one shuffle by (part, bucket), in-bucket window, carry --------
     win = Window.partitionBy(*keys).orderBy(*order)
     upto = win.rowsBetween(Window.unboundedPreceding, 0)
     # "first non-null at or after" as a running last() over the reversed order:
     # (current, unbounded following) frames are re-aggregated per row (quadratic)
-    rev = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in w.order])
+    rev = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in [*w.order, *tie]])
     after_row = rev.rowsBetween(Window.unboundedPreceding, 0)
     rn = t("rn")
     df = df.withColumn(rn, F.row_number().over(win))
@@ -351,18 +277,13 @@ def ordered_scan(
         else:
             new_cols[out] = F.coalesce((F.col(off) + loc - 1).cast("long"), carry.cast("long"))
     df = df.withColumns(new_cols)
-    drop = [c for c in tmp.values() if c in df.columns] + [c for c in bcols if c not in w.prefix]
+    drop = [c for c in tmp.values() if c in df.columns] + made
     return df.drop(*drop), w._with(depth=w.depth + 1)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join on ``keys`` that also pairs null keys (a null partition key is
-    a partition like any other); right-hand key columns are dropped."""
-    l, r = left.alias("__l"), right.alias("__r")
-    cond = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
-    rest = [c for c in right.columns if c not in keys]
-    return l.join(r, on=cond, how=how).select(
-        *[F.col(f"__l.{c}") for c in left.columns], *[F.col(f"__r.{c}") for c in rest])
+    """Equi-join on the grouping columns, which hold no nulls."""
+    return left.join(right, on=keys, how=how)
 
 
 def _cut_lineage(w: "Wrangler") -> "Wrangler":

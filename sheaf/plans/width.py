@@ -12,18 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..frame import Wrangler
+from ..frame import Wrangler, inner, outer
 
 
 def _names(existing: list[str], base: str, n: int) -> list[str]:
     out = []
     taken = set(existing)
     for i in range(1, n + 1):
-        name = f"{base}_{i}"
-        while name in taken:
+        name = f"{outer(base)}_{i}"
+        while inner(name) in taken:
             name += "_"
-        taken.add(name)
-        out.append(name)
+        taken.add(inner(name))
+        out.append(inner(name))
     return out
 
 
@@ -55,6 +55,12 @@ def spread(w: Wrangler, arrays: dict[str, Column], width: int | dict | None = No
     ``max(size(arr))`` over all the arrays together.
     """
     tmp = {c: w.fresh(f"__arr{i}") for i, c in enumerate(arrays)}
+    if width is not None:
+        # a row with more pieces than the given width fails the job; nothing is dropped
+        given_of = width if isinstance(width, dict) else {c: width for c in arrays}
+        arrays = {c: F.when(F.size(a) > given_of[c], F.raise_error(F.lit(
+            f"column {outer(c)!r} has more than width={given_of[c]} pieces"))).otherwise(a)
+            if c in given_of else a for c, a in arrays.items()}
     df1 = w.df.select(*[arrays[c].alias(tmp[c]) if c in arrays else F.col(c)
                         for c in w.df.columns])
     if width is None or isinstance(width, dict):
@@ -73,7 +79,7 @@ def spread(w: Wrangler, arrays: dict[str, Column], width: int | dict | None = No
     for c, n in widths.items():
         if n > max_columns:
             raise ValueError(
-                f"column {c!r} would become {n} columns (> max_columns={max_columns})")
+                f"column {outer(c)!r} would become {n} columns (> max_columns={max_columns})")
     sel = []
     made = []
     existing = list(df1.columns)

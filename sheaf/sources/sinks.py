@@ -2,56 +2,54 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..frame import PART, Wrangler
+from ..plans.order import sort_keys
 
 
 def write_text(w: Wrangler, path: str, sep: str = ",", header: bool = True,
                mode: str = "overwrite", ordered: bool | None = None) -> None:
-    """One line per row, cells joined by ``sep`` (no quoting), header line
-    first in every output file; one folder per ``_part`` key.
-
-    ``ordered`` (default: when the table has a row order) keeps the row order
-    across the output files. Implemented with the CSV writer over a single
-    pre-joined column: its header option gives the per-file header line, and
-    with a delimiter and quote the data never contains, it writes the joined
-    line verbatim.
+    """One line per row, cells joined by ``sep`` (no quoting); the header is the first
+    line of the table, that is of the first file in name order (with a partition key, of each
+    key's folder). Read back as a text source, a folder gives header and rows as they were,
+    blank lines included.
+
+    ``ordered`` (default: when the table has a row order) keeps the row order across the
+    output files, through a range-partitioned (sampled) sort.
     """
-    head = sep.join(w.columns)
-    line = F.concat_ws(sep, *[F.coalesce(w.text(c), F.lit("")) for c in w.columns])
+    line = F.concat_ws(sep, *[F.coalesce(w.text(c), F.lit("")) for c in w.cells])
     src = w.df
     if (w.order if ordered is None else ordered) and w.order:
-        # rows in table order: a range-partitioned (sampled) global sort, so the
-        # part files read in name order give the table order
-        src = src.orderBy(*w.part_cols, *[F.col(c).asc_nulls_first() for c in w.order])
-    df = src.select(line.alias(head if header else "value"), *w.part_cols)
-    writer = (df.write.mode(mode)
-              .option("header", header)
-              .option("sep", "\u0001")
-              .option("quote", "")
-              .option("escape", "")
-              .option("ignoreLeadingWhiteSpace", False)
-              .option("ignoreTrailingWhiteSpace", False)
-              .option("emptyValue", "")
-              .option("nullValue", ""))
+        src = src.orderBy(*w.part_cols, *sort_keys(w))
+    df = src.select(line.alias("value"), *w.part_cols)
+    if header:
+        names = F.lit(sep.join(w.columns)).alias("value")
+        if w.has_part:
+            top = w.df.select(*w.part_cols).distinct().coalesce(1).select(names, *w.part_cols)
+        else:
+            top = w.spark.range(0, 1, 1, 1).select(names)
+        df = top.union(df)  # the partitions of a union keep their order: the header's is the first
+    writer = df.write.mode(mode)
     if w.has_part:
         writer = writer.partitionBy(PART)
-    writer.csv(path)
+    writer.text(path)
 
 
 def preview(w: Wrangler, n: int = 20) -> str:
     """Header plus the first ``n`` rows in order (bounded: a top-k)."""
-    rows = w.ordered_df().limit(n).collect()
-    cols = w.columns
-    lines = [",".join(cols)] + [",".join("" if r[c] is None else str(r[c]) for c in cols)
-                                for r in rows]
+    rows = w.ordered_df(with_part=False).limit(n).collect()
+    lines = [",".join(w.columns)] + [",".join("" if v is None else str(v) for v in r) for r in rows]
     return "\n".join(lines)
 
 
 def force(w: Wrangler) -> int:
-    """Run the plan now; returns the row count."""
-    return w.df.count()
+    """Run the whole plan now, every cell of it; returns the row count."""
+    seen = Observation()
+    shown = w.to_df().observe(seen, F.count(F.lit(1)).alias("n"))
+    shown.write.format("noop").mode("overwrite").save()
+    return seen.get["n"]
 
 
 def run_noop(w: Wrangler) -> None:

@@ -1,62 +1,13 @@
-"""Table sources: parquet with a parallelism floor.
-
-Spark splits parquet at row-group boundaries, so a file with one row group is
-read by one task however many cores there are. When the input is a small
-local listing whose footers show fewer row groups than the default
-parallelism, the frame is spread round-robin right after the scan (a
-deterministic repartition, safe under task retry). Large inputs – many files,
-or remote storage – are left exactly as Spark plans them.
-"""
+"""Table sources: parquet, pruned to the wanted columns. How it is cut into tasks is Spark's
+business (``spark.sql.files.maxPartitionBytes``): nothing is shuffled after the scan."""
 
 from __future__ import annotations
 
-import glob
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
-_MAX_FOOTERS = 64
-_RG: dict[str, int | None] = {}
-
-
-def row_groups(path: str) -> int | None:
-    """Total parquet row groups under a local ``path``; None when unknown,
-    remote, or too many files to read footers on the driver."""
-    if path in _RG:
-        return _RG[path]
-    n = None
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if "://" not in local and os.path.exists(local):
-        files = ([local] if os.path.isfile(local)
-                 else glob.glob(os.path.join(local, "**", "*.parquet"), recursive=True))
-        if 0 < len(files) <= _MAX_FOOTERS:
-            try:
-                import pyarrow.parquet as pq
-
-                n = sum(pq.ParquetFile(f).metadata.num_row_groups for f in files)
-            except Exception:  # noqa: BLE001 - unknown layout: leave the plan alone
-                n = None
-    _RG[path] = n
-    return n
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - e.g. a Connect session has no SparkContext
-        conf = spark.conf.get("spark.default.parallelism", None)
-        return int(conf or spark.conf.get("spark.sql.shuffle.partitions"))
+from ..frame import quoted
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
-               min_splits: int | None = None) -> DataFrame:
-    """Read parquet (pruned to ``columns``) with at least ``min_splits``
-    (default: the default parallelism) input partitions."""
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    if columns:
-        df = df.select(*columns)
-    target = min_splits or default_parallelism(spark)
-    rg = row_groups(path)
-    if rg is not None and rg < target:
-        df = df.repartition(target)
-    return df
+    return df.select(*map(quoted, columns)) if columns else df

@@ -14,7 +14,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import HIDDEN, Wrangler
+from ..frame import HIDDEN, Wrangler, quoted
 from ..functions.text import jvm_split
 from ..plans.width import spread
 
@@ -40,25 +40,25 @@ def split_lines(w: Wrangler, column: str = "value", cols: str | None = ",",
                 width: int | None = None, max_columns: int = 10_000) -> Wrangler:
     """Split a line column on every match of regex ``cols`` into ``c0..cN``
     (JVM split semantics, ragged rows padded with ''). Width: the widest row
-    (one small aggregate), or given – then a longer row keeps its remainder
-    in the last column (nothing is dropped) and no aggregate runs."""
+    (one small aggregate), or given – then no aggregate runs and a longer row
+    fails the job."""
     if cols is None:
         return w
     tmp = w._with(df=w.df.withColumnRenamed(column, "c"))
-    arr = jvm_split(F.col("c"), cols) if width is None else F.split(F.col("c"), cols, width)
-    out = spread(tmp, {"c": arr}, width=width, max_columns=max_columns)
-    n = len(out.columns) - (len(w.columns) - 1)
+    out = spread(tmp, {"c": jvm_split(F.col("c"), cols)}, width=width, max_columns=max_columns)
+    n = len(out.columns) - (len(w.cells) - 1)
     ren = {f"c_{i + 1}": f"c{i}" for i in range(n)}
     return out._with(df=out.df.withColumnsRenamed(ren))
 
 
 def read_text(spark: SparkSession, path, rows: str = "\n", cols: str | None = None,
-              width: int | None = None, names: list[str] | None = None) -> Wrangler:
+              width: int | None = None, names: list[str] | None = None,
+              max_columns: int = 10_000) -> Wrangler:
     """Load delimited text as an all-string table. ``cols`` is a regex
     (JVM ``split``); no quoting rules, unlike ``read.csv``."""
     w = read_lines(spark, path, rows)
     if cols is not None:
-        w = split_lines(w, "value", cols, width)
+        w = split_lines(w, "value", cols, width, max_columns)
     if names is not None:
         w = w.promote(names=names)
     return w
@@ -68,9 +68,11 @@ def lines_from(df: DataFrame, line, order_by=None, cols: str | None = ",",
                width: int | None = None) -> Wrangler:
     """S1 on a text column Spark already holds (e.g. derived from a table):
     split it like a loaded file; ``order_by`` gives the row order if any."""
-    value = F.col(line) if isinstance(line, str) else line
+    value = quoted(line) if isinstance(line, str) else line
     keys = [] if order_by is None else (order_by if isinstance(order_by, list) else [order_by])
-    w = Wrangler(df.select(value.alias("value"), *keys), order_by=order_by)
+    keys = [quoted(k) if isinstance(k, str) else k for k in keys]
+    named = [f"__key{i}" for i in range(len(keys))]
+    w = Wrangler(df.select(value.alias("value"), *[k.alias(n) for k, n in zip(keys, named)]), order_by=named or None)
     w = w._with(df=w.df.select("value", *w.order))
     return split_lines(w, "value", cols, width)
 

@@ -1,3 +1,4 @@
+import pytest
 """Row-local verbs vs a pure-Python model on random strings (SURVEY §5 (c))."""
 
 from hypothesis import HealthCheck, given, settings
@@ -114,9 +115,28 @@ def test_jvm_split_edges(spark):
     # multi-character delimiters take the general path
     w2 = frame(spark, ["baaa", "aa", "xaay"])
     assert got(w2.split_all("aa", "s")) == [("b", "a"), ("", ""), ("x", "y")]
-    # explicit width keeps the rest in the last column instead of dropping it
-    assert got(w.split_all(",", "s", width=1)) == [("",), (",",), (",a",), ("a,,",), ("a,b",),
-                                                   ("😀,x,",), ("a,,\n",), ("x\n,",)]
+    # an explicit width that some row exceeds fails instead of merging or dropping pieces
+    with pytest.raises(Exception, match="more than width=1"):
+        w.split_all(",", "s", width=1).to_df().collect()
+    assert got(w.split_all(",", "s", width=4))[0] == ("", "", "", "")
+
+
+def test_back_references_keep_their_numbers(spark):
+    w = frame(spark, ["abccd", "aabb", "abc"])
+    assert got(w.cut_regex(r"(.)\1", "s")) == [("abd",), ("bb",), ("abc",)]
+    assert got(w.cut(after=re_(r"(.)\1"), columns="s")) == [("abcc",), ("aa",), ("abc",)]
+    assert got(w.cut(before=re_(r"(.)\1"), columns="s")) == [("ccd",), ("aabb",), ("abc",)]
+    assert got(w.split(on=re_(r"(.)\1"), columns="s")) == [("ab", "d"), ("", "bb"), ("abc", "")]
+    assert got(w.cut_regex("b*", "s")) == [("abccd",), ("aabb",), ("abc",)]  # the first match is empty
+    assert got(frame(spark, ["xaay11z"]).cut(between=(re_(r"(a)\1"), re_(r"(1)\1")), max="all", columns="s")) == [("xaa11z",)]
+
+
+def test_split_all_after_and_before(spark):
+    w = frame(spark, ["x12a34b", "12", "abc", ""])
+    assert got(w.split(after=re_("[0-9]{1,5}"), max="all", columns="s")) == [
+        ("x12", "a34", "b"), ("12", "", ""), ("abc", "", ""), ("", "", "")]
+    assert got(w.split(before=re_("[0-9]+"), max="all", columns="s")) == [
+        ("x", "12a", "34b"), ("12", "", ""), ("abc", "", ""), ("", "", "")]
 
 
 def test_split_specs(spark):

@@ -81,16 +81,10 @@ def test_union_and_parts(spark, small):
 def test_write_text_roundtrip(spark, tmp_path, small):
     out = str(tmp_path / "out")
     small.write_text(out)
-    data = []
-    for f in sorted(glob.glob(out + "/part-*")):
-        lines = open(f).read().splitlines()
-        if lines:
-            assert lines[0] == "w,x,y,z"  # every output file starts with the header
-            data += lines[1:]
-    assert sorted(data) == ["a,b,c,d", "e,f,g,h", "i,j,k,l"]
-    one = sorted(glob.glob(out + "/part-*"), key=os.path.getsize)[-1]
-    back = read_text(spark, one, cols=",").promote(row=0)
-    assert back.columns == ["w", "x", "y", "z"]
+    lines = [x for f in sorted(glob.glob(out + "/part-*")) for x in open(f).read().splitlines()]
+    assert lines == ["w,x,y,z", "a,b,c,d", "e,f,g,h", "i,j,k,l"]  # one header for the table
+    back = read_text(spark, out, cols=",").promote(row=0)
+    assert back.columns == ["w", "x", "y", "z"] and rows(back) == rows(small)
     parted = str(tmp_path / "parted")
     small.partition(column="w").write_text(parted)
     assert sorted(d for d in os.listdir(parted) if d.startswith("_part=")) == [
@@ -152,8 +146,8 @@ def test_write_text_keeps_row_order(spark, tmp_path):
     lines = []
     for f in sorted(glob.glob(out + "/part-*")):
         content = open(f).read().splitlines()
-        lines += content[1:]
-    assert lines == [str(i) for i in range(199, -1, -1)]
+        lines += content
+    assert lines == ["v", *[str(i) for i in range(199, -1, -1)]]
 
 
 def test_unordered_union_unfold_and_partitioned_translate(spark):
@@ -175,21 +169,111 @@ def test_unordered_union_unfold_and_partitioned_translate(spark):
         ("p", ""), ("p", "v0"), ("p", "v1"), ("p", "v2"), ("q", ""), ("q", "v3"), ("q", "v4")]
 
 
-def test_read_table_parallelism_floor(spark, tmp_path):
-    from sheaf.sources.tables import read_table, row_groups
+def test_read_table_leaves_the_scan_alone(spark):
+    from sheaf.sources.tables import read_table
 
-    path = "/root/testdata/sf0.01/part.parquet"
-    assert row_groups(path) == 1
-    df = read_table(spark, path, ["p_partkey", "p_name"], min_splits=6)
+    df = read_table(spark, "/root/testdata/sf0.01/part.parquet", ["p_partkey", "p_name"])
     assert df.columns == ["p_partkey", "p_name"]
-    assert df.rdd.getNumPartitions() == 6
-    assert df.count() == spark.read.parquet(path).count()
-    # many row groups: the plan is left alone
-    many = str(tmp_path / "many")
-    spark.range(4000).repartition(8).write.parquet(many)
-    assert row_groups(many) >= 8
-    assert read_table(spark, many, min_splits=4).rdd.getNumPartitions() == \
-        spark.read.parquet(many).rdd.getNumPartitions()
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_text_round_trips(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a"), (1, ""), (2, "b"), (3, "")], "k int, v string")
+    w = Wrangler(df, order_by="k").drop("k")
+    w.write_text(str(tmp_path / "one"))
+    back = read_text(spark, str(tmp_path / "one")).promote(row=0)
+    assert back.columns == ["v"] and rows(back) == [("a",), ("",), ("b",), ("",)]
+    w.write_text(str(tmp_path / "bare"), header=False)
+    assert rows(read_text(spark, str(tmp_path / "bare"))) == [("a",), ("",), ("b",), ("",)]
+    many = spark.range(100).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("v"))
+    for i, w in enumerate((Wrangler(many.repartition(4)), Wrangler(many.repartition(4), order_by=F.col("k").cast("int")))):
+        w.write_text(str(tmp_path / f"many{i}"))
+        back = read_text(spark, str(tmp_path / f"many{i}"), cols=",").promote(row=0)
+        assert back.columns == ["k", "v"]
+        got = [r[0] for r in rows(back)]
+        assert sorted(got, key=int) == [str(k) for k in range(100)] and (i == 0 or got == [str(k) for k in range(100)])
+    p = Wrangler(many.withColumn("g", F.col("k").cast("int") % 3), order_by=F.col("k").cast("int"), part="g").drop("g")
+    p.write_text(str(tmp_path / "parts"))
+    back = read_text(spark, str(tmp_path / "parts" / "_part=1"), cols=",").promote(row=0)
+    assert [r[0] for r in rows(back)] == [str(k) for k in range(1, 100, 3)]
+
+
+def test_promoted_row_does_not_depend_on_splits(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("k,v\n" + "".join(f"{i},x{i}\n" for i in range(1500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        w = read_text(spark, str(path), cols=",").promote(row=0)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        assert w.columns == ["k", "v"] and w.to_df().count() == 1500
+        assert w.to_df().where("k = 'k'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+HARD = ["a.b", "Name", "name", "__id", "_part", "x`y", "sp ace", "é", "x0ff", "key", "dup.1", ""]
+
+
+def test_any_header_is_a_column_name(spark):
+    names = [n or "c11" for n in HARD]
+    df = spark.createDataFrame([(0, *[f"v {i}" for i in range(12)]), (1, *[""] * 12), (2, *[f"w {i}" for i in range(12)])],
+                               "k int, " + ", ".join(f"c{i} string" for i in range(12)))
+    w = Wrangler(df, order_by="k").drop("k").promote(names=HARD[:11])
+    assert w.columns == names and w.to_df().columns == names
+    assert w.cut_all(" ", "a.b").to_df().collect()[0][0] == "v0"
+    assert rows(w.fill_down("Name"))[1][1] == "v 1" and rows(w.fill_up("name"))[1][2] == "w 2"
+    assert w.split_value(" ", "__id").columns[3:5] == ["__id_1", "__id_2"]
+    assert w.merge(["Name", "name"], glue="+").columns[1] == "Namename"
+    assert w.drop("a.b").columns == names[1:] and w.rename({"x`y": "a,b"}).columns[5] == "a,b"
+    assert w.rename({"Name": "name", "name": "Name"}).columns[1:3] == ["name", "Name"]
+    assert w["_part"].cut_all("v").columns == names and w["sp ace"].rename("SP.ACE").columns[6] == "SP.ACE"
+    d = w.demote(0)
+    assert rows(d)[0] == tuple(names) and d.promote(row=0).columns == names
+    folded = w.delete(rows=[1, 2]).fold(["a.b", "Name", "name"], key="column", value="cell")
+    assert sorted(r["column"] for r in folded.to_df().collect()) == ["Name", "a.b", "name"]
+    assert w.translate_left(1).columns[1:] == names and w.wrap_cells(2).columns[0] == "c0"
+    assert w.union(w).columns == names and w.partition(lambda c: c, "a.b").has_part
+    assert w.fill_left(["Name", "name"]).columns == names and w.extract_index(0, "é").columns[7:9] == ["é_1", "é_2"]
+    again = Wrangler(w.to_df(), order_by="__id", part="a.b")
+    assert again.columns == names and again.with_row_id().to_df().count() == 3
+
+
+def test_fold_and_unfold_take_any_value(spark):
+    df = spark.createDataFrame([(0, "r", "x.y", "1"), (1, "r", None, "2"), (2, "s", "Name", "3"), (3, "s", "name", "4"),
+                                (4, "s", "name", "5")], "k int, id string, key string, m string")
+    w = Wrangler(df, order_by="k").drop("k").unfold("key", "m")
+    assert w.columns == ["id", "null", "Name", "name", "x.y"]
+    assert rows(w) == [("r", "2", "", "", "1"), ("s", "", "3", "4", "")]
+    two = Wrangler(df, order_by="k").drop("k").unfold(["id", "key"], "m")
+    assert two.columns == ["r_null", "r_x.y", "s_Name", "s_name"] and rows(two) == [("2", "1", "3", "4")]
+    back = w.fold(["null", "Name", "name", "x.y"])
+    assert {tuple(r) for r in rows(back)} >= {("r", "x.y", "1"), ("s", "Name", "3"), ("r", "null", "2")}
+
+
+def test_fold_key_rows_per_partition(spark):
+    df = spark.createDataFrame([(0, "p", "h1", "i1"), (1, "p", "a", "b"), (2, "q", "h2", "i2"), (3, "q", "c", "d"), (4, "q", "e", "f")],
+                               "k int, g string, x string, y string")
+    w = Wrangler(df, order_by="k", part="g").drop(["k", "g"]).fold(["x", "y"], rows=[0])
+    got = {(r["_part"], r["key"], r["value"]) for r in w.to_df().collect()}
+    assert got == {("p", "h1", "a"), ("p", "i1", "b"), ("q", "h2", "c"), ("q", "i2", "d"), ("q", "h2", "e"), ("q", "i2", "f")}
+    free = Wrangler(df.select("x", "y")).fold(["x", "y"], where=lambda c: c == "h1").to_df().collect()
+    assert len(free) == 8 and {r["key"] for r in free} == {"h1", "i1"}
+
+
+def test_wrap_column_by_predicate_and_handle(spark):
+    df = spark.createDataFrame([(0, "1", "2"), (1, "2", "4"), (2, "3", "5")], "k int, a string, b string")
+    w = Wrangler(df, order_by="k").drop("k")
+    assert rows(w.wrap_column(lambda c: c == "2")) == rows(w.wrap_column("2"))
+    assert rows(w["a"].translate("down", 1)) == rows(w.translate("a", "down", 1))
+    assert rows(w["b"].fill_column("a", blank="4")) == rows(w.fill_column("a", "b", blank="4"))
+    assert w["a"].unfold("b").columns == ["1", "2", "3"] and w["a"].drop().columns == ["b"]
+
+
+def test_force_runs_every_cell(spark):
+    df = spark.range(10).select(F.col("id").cast("string").alias("s"))
+    assert Wrangler(df).force() == 10
+    with pytest.raises(Exception, match="forced"):
+        Wrangler(df).edit(fn=lambda c: F.when(c == "7", F.raise_error(F.lit("forced"))).otherwise(c)).force()
 
 
 def test_wrap_column_n_form(small):
