@@ -51,6 +51,7 @@ OTHERS = ["Licensed under a separate agreement with the publisher.", "Released u
           "Version 3 was published in May.", "The general public is invited.", "Terms of use apply.", "Attribution is required."]
 #: Bounds of the training sample and of the anchors' evidence (paragraphs of the corpus).
 SAMPLE = 2000
+ITERATIONS = 40
 THRESHOLD = 0.5
 CONFIRM = 0.6
 TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
@@ -61,9 +62,8 @@ def words(c: Column) -> Column:
 
 
 def pairs(w: Column) -> Column:
-    return F.when(F.size(w) > 1, F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-                                             lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))).otherwise(
-        F.array().cast("array<string>"))
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def grams(w: Column) -> Column:
@@ -99,9 +99,9 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
         ~F.lower("line").rlike("licen[cs]|copyright|gpl|apache|creative commons|mozilla|\\bmit\\b|\\bbsd\\b|\\bcc\\b"))
     drawn = corpus.select(F.substr(F.col("line"), F.lit(1), F.lit(4000)).alias("line"), F.xxhash64("line").alias("h")).orderBy("h", "line").limit(sample)
     other = stored(plain.unionAll(drawn.select("line")).withColumn("w", words(F.col("line"))))
-    seen = {r.x for r in known.join(other.select(F.explode("w").alias("x")).distinct(),
-                                    F.array_contains("w", F.col("x"))).select("x").distinct().collect()}
     own = known.select("notice", F.explode("w").alias("x")).distinct().collect()
+    mine = literal_rows(spark, [{"x": x} for x in sorted({r.x for r in own})], "x string")
+    seen = {r.x for r in mine.join(other.select(F.explode("w").alias("x")), "x", "left_semi").collect()}
     anchors = {r.x for r in own if r.x not in seen}
     for notice in {r.notice for r in own}:  # each notice keeps one: its rarest word otherwise
         mine = sorted({r.x for r in own if r.notice == notice})
@@ -109,17 +109,17 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
             anchors.add(max(mine, key=lambda x: (len(x), x)))
     rows = stored(known.select("family", grams(F.col("w")).alias("g"))
                   .unionAll(other.select(F.lit(UNKNOWN).alias("family"), grams(F.col("w")).alias("g")))
-                  .withColumn("held", F.pmod(F.xxhash64("g", "family"), F.lit(5)) == 0))
+                  .withColumn("held", F.pmod(F.xxhash64("g", "family"), F.lit(5)) == 0).coalesce(1))
     classes = [UNKNOWN, *sorted(FAMILIES)]
     label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")).cast("double") - 1
     vectors = CountVectorizer(inputCol="g", outputCol="x", binary=True, minDF=2.0).fit(rows.where(F.col("family") != UNKNOWN))
     train = vectors.transform(rows.where(~F.col("held")).withColumn("label", label))
-    lr = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-3, maxIter=80, standardization=False)
+    lr = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-3, maxIter=ITERATIONS, standardization=False)
     model = lr.fit(train)
-    n_seen = model.numClasses
-    weights = [{"gram": g, "w": [float(model.coefficientMatrix[c, i]) if c < n_seen else 0.0 for c in range(len(classes))]}
+    n_seen, coefficients, intercepts = model.numClasses, model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    weights = [{"gram": g, "w": [float(coefficients[c, i]) if c < n_seen else 0.0 for c in range(len(classes))]}
                for i, g in enumerate(vectors.vocabulary)]
-    bias = [float(model.interceptVector[c]) if c < n_seen else -100.0 for c in range(len(classes))]
+    bias = [float(intercepts[c]) if c < n_seen else -100.0 for c in range(len(classes))]
     out = {"classes": classes, "weights": weights, "bias": bias, "anchors": sorted(anchors), "temperature": 1.0}
     out["temperature"] = _temperature(rows.where("held"), out)
     return out
@@ -159,32 +159,28 @@ def _temperature(held: DataFrame, model: dict) -> float:
 def classify(docs: DataFrame, model: dict, keys: list[str], text: str = "text", threshold: float = THRESHOLD,
              confirm: float = CONFIRM) -> DataFrame:
     """Licence paragraphs of ``docs``: ``keys``, ``pos``, ``family``, ``p``, ``likeness`` (share of
-    the best notice's word pairs that the paragraph holds) and ``confirmed``."""
+    the best notice's word pairs that the paragraph holds) and ``confirmed``. Equal paragraphs
+    are classified once, however many documents share them."""
     spark = docs.sparkSession
     anchors = F.array(*[F.lit(a) for a in model["anchors"]])
     some = docs.where(F.arrays_overlap(words(F.col(text)), anchors)).select(*keys, text)
-    lines = paragraphs(some, text).withColumn("words_", words(F.col("line")))
-    lines = lines.where(F.arrays_overlap(F.col("words_"), anchors))
-    by = [*keys, "pos"]
-    lines = lines.select(*by, grams(F.col("words_")).alias("g"), F.array_distinct(pairs(F.col("words_"))).alias("two"))
-    z = logits(lines, model, by)
+    lines = paragraphs(some, text).where(F.arrays_overlap(words(F.col("line")), anchors))
+    each = lines.select("line").distinct().withColumn("w", words(F.col("line")))
+    z = logits(each.select("line", grams(F.col("w")).alias("g")), model, ["line"])
     p = probabilities(F.col("z"), F.lit(model["temperature"]))
     classes = F.array(*[F.lit(c) for c in model["classes"]])
     best = z.withColumn("p_", p).withColumn("p", F.array_max("p_"))
     best = best.withColumn("family", F.get(classes, F.array_position("p_", F.col("p")).cast("int") - 1))
-    best = best.where((F.col("family") != UNKNOWN) & (F.col("p") >= threshold)).select(*by, "family", "p", "copies")
+    best = best.where((F.col("family") != UNKNOWN) & (F.col("p") >= threshold)).select("line", "family", "p")
     known = literal_rows(spark, notices(), "family string, notice string").select(
         "family", F.array_distinct(pairs(words(F.col("notice")))).alias("t"))
     known = known.where(F.size("t") > 0)
-    best = best.select(*[F.col(k).alias(f"{k}_") for k in by], "family", "p", "copies")
-    on = F.lit(True)
-    for k in by:
-        on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    compared = lines.join(best, on).select(*by, "family", "p", "copies", "two")
-    compared = compared.join(F.broadcast(known), "family").withColumn(
+    two = F.array_distinct(pairs(words(F.col("line"))))
+    compared = best.withColumn("two", two).join(F.broadcast(known), "family").withColumn(
         "likeness", F.size(F.array_intersect("two", "t")) / F.size("t"))
-    out = compared.groupBy(*by, "family", "p", "copies").agg(F.max("likeness").alias("likeness"))
-    return out.withColumn("confirmed", F.col("likeness") >= confirm)
+    found = compared.groupBy("line", "family", "p").agg(F.max("likeness").alias("likeness"))
+    found = found.withColumn("confirmed", F.col("likeness") >= confirm)
+    return lines.join(found, "line").drop("line")
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
