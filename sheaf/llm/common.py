@@ -35,13 +35,18 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share. Only a
     session without that setting (tests) gets a temporary folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sheaf-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sheaf-llm-")
+        base = _OWN[app]
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
