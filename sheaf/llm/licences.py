@@ -195,7 +195,9 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     t = rows.unionAll(hits).groupBy("id", "h").agg(
         F.sum("copies").alias("copies"), F.sum("n").alias("n_paragraphs"), F.count("family").alias("n_confirmed"),
         F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licences"))
-    return t.select("id", "n_paragraphs", "n_confirmed", "licences", F.explode(F.sequence(one, F.col("copies"))).alias("i")).drop("i")
+    # equal rows were counted together
+    return t.select("id", F.expr("n_paragraphs div copies").alias("n_paragraphs"),
+                    F.expr("n_confirmed div copies").alias("n_confirmed"), "licences", F.explode(F.sequence(one, F.col("copies"))).alias("i")).drop("i")
 
 
 def op5(docs: DataFrame) -> DataFrame:
