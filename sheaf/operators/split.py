@@ -16,7 +16,7 @@ from ..frame import Wrangler
 from ..functions import text as T
 from ..match import (AFTER, BEFORE, BETWEEN, ON, Spec, as_pattern, is_pattern, make_specs,
                      order_specs)
-from ..plans.width import expand, spread
+from ..plans.width import expand, split_within, spread
 from .cut import _valid, cut_range, range_bounds
 
 
@@ -77,8 +77,9 @@ def split_all(w: Wrangler, pattern: str, columns=None, width: int | None = None,
     if width is not None:
         if width < 1:
             raise ValueError("width must be >= 1")
-        arrays = {n: T.jvm_split(w.text(n), pattern) for n in names}
-        return spread(w, arrays, width=width, max_columns=max_columns)
+        cut = {n: split_within(w.text(n), pattern, width) for n in names}
+        return spread(w, {n: a for n, (a, _) in cut.items()}, width=width, max_columns=max_columns,
+                      too_long=next(iter(cut.values()))[1])
     arrays = {n: T.jvm_split(w.text(n), pattern) for n in names}
     return spread(w, arrays, max_columns=max_columns)
 

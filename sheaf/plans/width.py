@@ -47,20 +47,25 @@ def expand(w: Wrangler, parts: dict[str, list[Column]]) -> Wrangler:
     return out
 
 
+def split_within(c: Column, pattern: str, width: int):
+    """(pieces of ``c`` up to ``width``, test that a cell has more). One ``split`` a cell: its
+    last piece holds what lies beyond the width, which may only be delimiters, since trailing
+    empty pieces do not count."""
+    def too_long(a: Column) -> Column:
+        beyond = F.get(a, width)
+        return beyond.isNotNull() & ~beyond.rlike("^(?:" + pattern + ")*\\z")
+
+    return F.split(c, pattern, width + 1), too_long
+
+
 def spread(w: Wrangler, arrays: dict[str, Column], width: int | dict | None = None,
-           max_columns: int = 1000) -> Wrangler:
+           max_columns: int = 1000, too_long=None) -> Wrangler:
     """Replace each column ``c`` in ``arrays`` by ``c_1..c_W`` padded with ''.
 
     ``width`` given -> no aggregate (works on streams); else one eager
     ``max(size(arr))`` over all the arrays together.
     """
     tmp = {c: w.fresh(f"__arr{i}") for i, c in enumerate(arrays)}
-    if width is not None:
-        # a row with more pieces than the given width fails the job; nothing is dropped
-        given_of = width if isinstance(width, dict) else {c: width for c in arrays}
-        arrays = {c: F.when(F.size(a) > given_of[c], F.raise_error(F.lit(
-            f"column {outer(c)!r} has more than width={given_of[c]} pieces"))).otherwise(a)
-            if c in given_of else a for c, a in arrays.items()}
     df1 = w.df.select(*[arrays[c].alias(tmp[c]) if c in arrays else F.col(c)
                         for c in w.df.columns])
     if width is None or isinstance(width, dict):
@@ -80,6 +85,12 @@ def spread(w: Wrangler, arrays: dict[str, Column], width: int | dict | None = No
         if n > max_columns:
             raise ValueError(
                 f"column {outer(c)!r} would become {n} columns (> max_columns={max_columns})")
+    if too_long is not None:
+        # a row that does not fit the given width fails the job; nothing is dropped. The check
+        # reads the arrays that the projection below it has made.
+        df1 = df1.select(*[F.when(too_long(F.col(x)), F.raise_error(F.lit(
+            f"more than width={width} pieces"))).otherwise(F.col(x)).alias(x)
+            if x in tmp.values() else F.col(x) for x in df1.columns])
     sel = []
     made = []
     existing = list(df1.columns)

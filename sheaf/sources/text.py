@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..frame import HIDDEN, Wrangler, quoted
 from ..functions.text import jvm_split
-from ..plans.width import spread
+from ..plans.width import split_within, spread
 
 FILE, BLOCK, POS = f"{HIDDEN}file", f"{HIDDEN}block", f"{HIDDEN}pos"
 
@@ -45,7 +45,11 @@ def split_lines(w: Wrangler, column: str = "value", cols: str | None = ",",
     if cols is None:
         return w
     tmp = w._with(df=w.df.withColumnRenamed(column, "c"))
-    out = spread(tmp, {"c": jvm_split(F.col("c"), cols)}, width=width, max_columns=max_columns)
+    if width is None:
+        out = spread(tmp, {"c": jvm_split(F.col("c"), cols)}, max_columns=max_columns)
+    else:
+        pieces, too_long = split_within(F.col("c"), cols, width)
+        out = spread(tmp, {"c": pieces}, width=width, max_columns=max_columns, too_long=too_long)
     n = len(out.columns) - (len(w.cells) - 1)
     ren = {f"c_{i + 1}": f"c{i}" for i in range(n)}
     return out._with(df=out.df.withColumnsRenamed(ren))
