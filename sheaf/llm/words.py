@@ -34,7 +34,9 @@ HOT_BYTES = 24
 def words_of(text: str) -> Column:
     """Array of the words of a text column, in order; null counts as empty."""
     t = F.coalesce(F.col(text), F.lit(""))
-    t = F.when(F.instr(t, "<|") > 0, t).otherwise(F.translate(t, UPPER, LOWER))
+    ascii_only = F.octet_length(t) == F.length(t)  # lower() is quick there, and lowers A-Z only
+    low = F.when(ascii_only, F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
+    t = F.when(F.instr(t, "<|") > 0, t).otherwise(low)
     return F.filter(F.split(t, CUT), lambda w: w != "")
 
 
