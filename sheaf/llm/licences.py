@@ -89,7 +89,7 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
-    """Trains on the notices and ``sample`` paragraphs of ``docs`` (those with the smallest
+    """Trains on the notices and ``sample`` different paragraphs of ``docs`` (drawn by their
     hashes among paragraphs that name no licence). Everything returned is bounded by the lists
     above and ``sample``."""
     spark = docs.sparkSession
@@ -97,7 +97,13 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
     plain = literal_rows(spark, [{"line": x} for x in OTHERS], "line string")
     corpus = paragraphs(pick(docs, text=text_col)).where(
         ~F.lower("line").rlike("licen[cs]|copyright|gpl|apache|creative commons|mozilla|\\bmit\\b|\\bbsd\\b|\\bcc\\b"))
-    drawn = corpus.select(F.substr(F.col("line"), F.lit(1), F.lit(4000)).alias("line"), F.xxhash64("line").alias("h")).orderBy("h", "line").limit(sample)
+    # different paragraphs, so that a common one counts once: those whose hash lies below a
+    # bound that about four times the sample pass, then the smallest hashes among them
+    hashed = corpus.select(F.substr(F.col("line"), F.lit(1), F.lit(4000)).alias("line"), F.xxhash64("line").alias("h"))
+    n = hashed.agg(F.approx_count_distinct("h").alias("n")).first().n
+    if n > 4 * sample:
+        hashed = hashed.where(F.pmod("h", F.lit(1 << 40)) < F.lit((1 << 40) * 4 * sample // n))
+    drawn = hashed.dropDuplicates(["h"]).orderBy("h").limit(sample)
     other = stored(plain.unionAll(drawn.select("line")).withColumn("w", words(F.col("line"))))
     own = known.select("notice", F.explode("w").alias("x")).distinct().collect()
     mine = literal_rows(spark, [{"x": x} for x in sorted({r.x for r in own})], "x string")
