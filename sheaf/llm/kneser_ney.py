@@ -1,10 +1,11 @@
-"""Interpolated modified Kneser-Ney language model (order 2) in sorted hash arrays.
-
-Training counts words, then word pairs, as Spark jobs: each task sorts and sums its own
-keys, cuts them into shards, and one task per shard merges and writes sorted arrays into
-the model folder. Words are keyed by a 64-bit hash; a word's place in the sorted array is
-its number, so a pair is the exact 64-bit key ``context number * 2^32 + word number``.
-Workers map the arrays into memory to score texts; no part of the model passes through the
+"""Interpolated modified Kneser-Ney language model (order 2 or 3) in sorted hash arrays.
+
+Training counts words, then word pairs, then triples, as Spark jobs: each task sorts and
+sums its own keys, cuts them into shards, and one task per shard merges and writes sorted
+arrays into the model folder. Words are keyed by a 64-bit hash; a word's place in the sorted
+array is its number, so a pair is the exact 64-bit key ``context number * 2^32 + word number``.
+A triple lies in the shard of its first pair, as ``place of the pair in its shard * 2^32 +
+word number``, also exact. Keys travel delta-coded and compressed. Workers map the arrays into memory to score texts; no part of the model passes through the
 driver but shard sizes, a few sums and the list of very frequent contexts (at most four a
 shard), whose pairs are dealt over shards by their second word.
 
@@ -14,7 +15,10 @@ part too. Probability of a word w after context v, with discounts D from counts
 follows, with the uniform distribution over all known words and one unknown below it. An
 unknown context leaves q(w).
 
-Order 2, because pairs already take most of the disk budget; see the README for figures.
+In order 3 that is the lower level p2(w|v), with the number of different words before (v, w)
+in place of c(v,w) (the count itself where v is a text's start, which nothing comes before),
+and after the pair (u, v) the probability is ``max(c(u,v,w) - D, 0) / c(u,v) + g(u,v) *
+p2(w|v)``. An unknown pair, and a text's first token, leave p2(w|v).
 
 Nulls and special cases: a null text is empty (its end token is scored); a null id counts as
 training; with nothing to train on every token has probability 1/(V+1) = 1.
@@ -38,6 +42,7 @@ FOLDS, HELD_OUT = 7, 2
 END = xxhash.xxh64_intdigest(b"\n")
 #: Tokens sorted together before a task merges them into its counts.
 BLOCK = 1 << 21
+ORDERS = (2, 3)
 _BITS32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -102,6 +107,35 @@ def _texts(batches: Iterator[pa.RecordBatch], at: int, size: int = 4 << 20) -> I
                 start, room = i + 1, size
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys, best sorted, as differences of their halves in compressed byte planes."""
+    high, low = (keys >> _BITS32).astype("<u4"), (keys & _LOW32).astype("<u4")
+    step = np.diff(high, prepend=np.uint32(0))
+    same = np.concatenate([[False], (step[1:] == 0) & (low[1:] >= low[:-1])])
+    move = np.where(same, low - np.concatenate([low[:1], low[:-1]]), low)
+    marks = np.packbits(same)
+    planes = np.concatenate([x.view(np.uint8).reshape(-1, 4).T.ravel() for x in (step, move)] + [marks])
+    return len(keys).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], 8 * n + (n + 7) // 8, codec="zstd", asbytes=True), np.uint8)
+    step, move = (np.ascontiguousarray(x.T).view("<u4").ravel() for x in raw[: 8 * n].reshape(2, 4, n))
+    first = np.flatnonzero(np.unpackbits(raw[8 * n :], count=n) == 0)
+    total = np.cumsum(move, dtype=np.uint64)
+    low = total - np.repeat(total[first] - move[first], np.diff(np.append(first, n)))
+    return np.cumsum(step, dtype=np.uint32).astype(np.uint64) << _BITS32 | low
+
+
+def _row(shard: int, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    big = np.flatnonzero(c >= 255)
+    return pa.RecordBatch.from_pydict({
+        "shard": pa.array([shard], pa.int64()), "k": pa.array([_packed(k)], pa.binary()),
+        "c": pa.array([np.minimum(c, 255).astype(np.uint8).tobytes()], pa.binary()),
+        "big": pa.array([np.stack([big, c[big]]).astype("<i8").tobytes()], pa.binary())})
+
+
 def _dealt(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted keys with counts as one row of packed bytes per shard: counts below 255 take
     one byte, larger ones a place and a number."""
@@ -110,21 +144,22 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[
     order = np.argsort(shard, kind="stable")
     shards, starts = np.unique(shard[order], return_index=True)
     for s, part in zip(shards.tolist(), np.split(order, starts[1:]), strict=True):
-        k, c = keys[part], counts[part]
-        big = np.flatnonzero(c >= 255)
-        yield pa.RecordBatch.from_pydict({
-            "shard": pa.array([s], pa.int64()), "k": pa.array([k.astype("<u8").tobytes()], pa.binary()),
-            "c": pa.array([np.minimum(c, 255).astype(np.uint8).tobytes()], pa.binary()),
-            "big": pa.array([np.stack([big, c[big]]).astype("<i8").tobytes()], pa.binary())})
+        yield _row(s, keys[part], counts[part])
 
 
 _BLOBS = "shard bigint, k binary, c binary, big binary"
 
 
+def _table(rows: Iterator[pa.RecordBatch]) -> pa.Table:
+    out = list(rows)
+    return pa.Table.from_batches(out) if out else pa.table({
+        "shard": pa.array([], pa.int64()), **{x: pa.array([], pa.binary()) for x in ("k", "c", "big")}})
+
+
 def _blobs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for k, c, big in zip(t["k"].to_pylist(), t["c"].to_pylist(), t["big"].to_pylist(), strict=True):
-        keys.append(np.frombuffer(k, "<u8"))
+        keys.append(_unpacked(k))
         n = np.frombuffer(c, np.uint8).astype(np.int64)
         at = np.frombuffer(big, "<i8").reshape(2, -1)
         n[at[0]] = at[1]
@@ -148,6 +183,30 @@ def _map(folder: str, name: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r")
 
 
+def _write_counts(folder: str, name: str, c: np.ndarray) -> None:
+    """Counts as a byte each, those from 255 on also as a place and a number."""
+    big = np.flatnonzero(c >= 255)
+    _write(folder, f"{name}.small", np.minimum(c, 255).astype(np.uint8))
+    _write(folder, f"{name}.big", np.stack([big, c[big]]).astype("<i8").ravel())
+
+
+class Counts:
+    """Mapped counts, read at places."""
+
+    def __init__(self, folder: str, name: str):
+        self.small = _map(folder, f"{name}.small", np.uint8)
+        self.places, self.numbers = _map(folder, f"{name}.big", "<i8").reshape(2, -1)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        if not len(self.small):
+            return np.zeros(len(at), np.int64)
+        n = self.small[at].astype(np.int64)
+        if len(self.places):
+            over = np.flatnonzero(n == 255)
+            n[over] = self.numbers[np.searchsorted(self.places, at[over])]
+        return n
+
+
 def _word_shard(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
@@ -218,33 +277,130 @@ def _count_pairs(batches, model: dict) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_pairs(key: tuple, t: pa.Table, model: dict) -> pa.Table:
-    """Writes a shard of pairs. Returns, per shard of words, how many pairs with count 1, 2 and
-    more each context has and how many contexts each word has, as packed bytes."""
     s, (k, c) = key[0].as_py(), _blobs(t)
-    big = np.flatnonzero(c >= 255)
-    folder = model["folder"]
-    _write(folder, f"pair-{s}.keys", k.astype("<u8"))
-    _write(folder, f"pair-{s}.small", np.minimum(c, 255).astype(np.uint8))
-    _write(folder, f"pair-{s}.big", np.stack([big, c[big]]).astype("<i8").ravel())
-    context, word = (k >> _BITS32).astype(np.int64), (k & _LOW32).astype(np.int64)
-    ids = np.concatenate([context, word])
-    kind = np.concatenate([np.minimum(c, 3), np.zeros(len(k), np.int64)])  # 0: a context of the word
-    u, n = np.unique((ids << 2 | kind).astype(np.uint64), return_counts=True)
-    base = np.array([*model["base"], model["vocabulary"] + 1], np.int64)
-    where = np.searchsorted(base, (u >> np.uint64(2)).astype(np.int64), side="right") - 1
-    where = np.minimum(where, (1 << model["bits"]) - 1)  # the start context counts with the last shard
-    out = list(_dealt(u, n.astype(np.int64), where))
-    table = pa.Table.from_batches(out) if out else pa.table({
-        "shard": pa.array([], pa.int64()), **{x: pa.array([], pa.binary()) for x in ("k", "c", "big")}})
-    return table
+    _write(model["folder"], f"pair-{s}.keys", k.astype("<u8"))
+    _write_counts(model["folder"], f"pair-{s}", c)
+    return pa.table({"n": [len(k)]})
+
+
+class Pairs:
+    """The mapped pair arrays: shard and place of a pair, and facts at these."""
+
+    def __init__(self, model: dict):
+        self.model, n = model, 2 << model["bits"]
+        self.keys = [_map(model["folder"], f"pair-{s}.keys", "<u8") for s in range(n)]
+        self.counts = [Counts(model["folder"], f"pair-{s}") for s in range(n)]
+        self.before = [Counts(model["folder"], f"before-{s}") for s in range(n)] if model["order"] > 2 else self.counts
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shard of each key, and place in it or -1."""
+        q, back = np.unique(keys, return_inverse=True)
+        shard, at = _pair_shards(q, self.model), np.full(len(q), -1, np.int64)
+        for s, part in _by_shard(shard):
+            k = self.keys[s]
+            if len(k):
+                place = np.minimum(np.searchsorted(k, q[part]), len(k) - 1)
+                at[part] = np.where(k[place] == q[part], place, -1)
+        return shard[back], at[back]
+
+    def evidence(self, s: int, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """What the level of pairs counts: pairs themselves in order 2 and after a text's start,
+        else the different words before a pair."""
+        return np.where(start, self.counts[s][at], self.before[s][at])
+
+
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and the places that hold it, in order."""
+    if len(shard):
+        order = np.argsort(shard, kind="stable")
+        present, starts = np.unique(shard[order], return_index=True)
+        yield from zip(present.tolist(), np.split(order, starts[1:]), strict=True)
+
+
+def _after(sizes: np.ndarray) -> np.ndarray:
+    """Places of the tokens that are not a text's first."""
+    inner = np.ones(int(sizes.sum()), bool)
+    inner[np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)] = False
+    return np.flatnonzero(inner)
+
+
+def _count_triples(batches, model: dict) -> Iterator[pa.RecordBatch]:
+    """A row per shard for every two blocks of tokens: triples hardly repeat, so larger sums
+    would take more memory and save little."""
+    words, pairs, keys, shards, held = Words(model), Pairs(model), [], [], 0
+
+    def dealt():
+        k, shard = np.concatenate(keys), np.concatenate(shards)
+        for s, part in _by_shard(shard):
+            u, n = np.unique(k[part], return_counts=True)
+            yield _row(s, u, n.astype(np.int64))
+
+    for _, texts in _texts(batches, 0):
+        h, sizes = hashed(texts)
+        ids = words.numbers(h)
+        before = contexts(ids, sizes, model["vocabulary"])
+        last = _after(sizes)
+        shard, at = pairs.find((before[last - 1].astype(np.uint64) << _BITS32) | ids[last - 1].astype(np.uint64))
+        keys.append((at.astype(np.uint64) << _BITS32) | ids[last].astype(np.uint64))
+        shards.append(shard.astype(np.int32))
+        held += len(last)
+        if held >= 2 * BLOCK:
+            yield from dealt()
+            keys, shards, held = [], [], 0
+    if held:
+        yield from dealt()
+
+
+def _merge_triples(key: tuple, t: pa.Table, model: dict) -> pa.Table:
+    """Writes the triples whose first pair is in a shard: words and counts, per pair the end of
+    its triples and how many of them count 1 and 2. Returns, per shard of the last two words'
+    pair, how many different words come before it."""
+    s, (k, c) = key[0].as_py(), _blobs(t)
+    folder, keys = model["folder"], _map(model["folder"], f"pair-{s}.keys", "<u8")
+    at, word = (k >> _BITS32).astype(np.int64), k & _LOW32
+    _write(folder, f"triple-{s}.words", word.astype("<u4"))
+    _write_counts(folder, f"triple-{s}", c)
+    _write(folder, f"triple-{s}.ends", np.cumsum(np.bincount(at, minlength=len(keys))).astype("<u4" if len(k) < 1 << 32 else "<u8"))
+    for i, name in ((1, "once"), (2, "twice")):
+        _write_counts(folder, f"{name}-{s}", np.bincount(at[c == i], minlength=len(keys)))
+    u, n = np.unique((keys[at] & _LOW32) << _BITS32 | word, return_counts=True)
+    return _table(_dealt(u, n.astype(np.int64), _pair_shards(u, model)))
+
+
+def _merge_before(key: tuple, t: pa.Table, model: dict) -> pa.Table:
+    s, (k, n) = key[0].as_py(), _blobs(t)
+    keys = _map(model["folder"], f"pair-{s}.keys", "<u8")
+    before = np.zeros(len(keys), np.int64)
+    before[np.searchsorted(keys, k)] = n
+    _write_counts(model["folder"], f"before-{s}", before)
+    return pa.table({"n": [len(k)]})
+
+
+def _pair_facts(batches, model: dict) -> Iterator[pa.RecordBatch]:
+    """Per shard of words, from shards of pairs: by context the pairs with evidence 1, 2 and more
+    and the sum of evidence, and by word its contexts, as packed bytes."""
+    pairs, base = Pairs(model), np.array([*model["base"], model["vocabulary"] + 1], np.int64)
+    for b in batches:
+        for s in b.column(0).to_pylist():
+            k = np.asarray(pairs.keys[s])
+            context, word = (k >> _BITS32).astype(np.int64), (k & _LOW32).astype(np.int64)
+            c = pairs.evidence(s, np.arange(len(k)), context == model["vocabulary"])
+            ids = np.concatenate([context, word, context])
+            kind = np.concatenate([np.minimum(c, 3), np.zeros(len(k), np.int64), np.full(len(k), 4)])
+            n = np.concatenate([np.ones(2 * len(k), np.int64), c])
+            u, n = summed([(ids << 3 | kind).astype(np.uint64)], [n])
+            where = np.searchsorted(base, (u >> np.uint64(3)).astype(np.int64), side="right") - 1
+            where = np.minimum(where, (1 << model["bits"]) - 1)  # the start context counts with the last shard
+            yield from _dealt(u, n, where)
 
 
 def _merge_stats(key: tuple, t: pa.Table, model: dict) -> pa.Table:
-    """Aligned with a shard of words: pairs of each context by count, contexts of each word."""
+    """Aligned with a shard of words: contexts of each word, pairs of each context by evidence and
+    the sum of that."""
     s, (k, n) = key[0].as_py(), _blobs(t)
     size = model["sizes"][s] + (1 if s == (1 << model["bits"]) - 1 else 0)
-    at, kind = (k >> np.uint64(2)).astype(np.int64) - model["base"][s], (k & np.uint64(3)).astype(np.int64)
-    stats = np.zeros((4, size), "<i8")
+    at, kind = (k >> np.uint64(3)).astype(np.int64) - model["base"][s], (k & np.uint64(7)).astype(np.int64)
+    stats = np.zeros((5, size), "<i8")
     stats[kind, at] = n
     _write(model["folder"], f"word-{s}.stats", stats.ravel())
     return pa.table({"seen": [np.bincount(np.minimum(stats[0], 5), minlength=6).tolist()], "types": [int(stats[0].sum())]})
@@ -262,9 +418,12 @@ def discounts(n: list[int]) -> list[float]:
     return d
 
 
-def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, folder: str | None = None) -> dict:
-    """Counts all rows of ``docs`` and writes the model into ``folder`` (a shared mount; by
-    default a new folder below spark.checkpoint.dir). Returns the model's description."""
+def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, folder: str | None = None,
+          order: int = 2) -> dict:
+    """Counts all rows of ``docs`` and writes the model of ``order`` into ``folder`` (a shared mount;
+    by default a new folder below spark.checkpoint.dir). Returns the model's description."""
+    if order not in ORDERS:
+        raise ValueError(f"order {order}: one of {ORDERS}")
     spark = docs.sparkSession
     folder = mounted(folder or shared_folder(spark))
     want = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -284,28 +443,64 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, fo
         raise ValueError("over 2^32 distinct words: pair keys would not be exact")
     # contexts with more tokens than an even share of a shard; at most four a shard in all
     hot = sorted(base[r.shard] + a for r in got for a, c in zip(r.at, r.times, strict=True) if c * 4 * n_shards > tokens)
-    model = {"folder": folder, "bits": bits, "sizes": sizes, "base": base, "vocabulary": vocabulary, "tokens": tokens,
+    model = {"folder": folder, "order": order, "bits": bits, "sizes": sizes, "base": base, "vocabulary": vocabulary, "tokens": tokens,
              "texts": sum(end),
              "hot": np.array([*hot, vocabulary], np.int64)}
-    stats = (texts.mapInArrow(lambda it: _count_pairs(it, model), _BLOBS).groupBy("shard")
-             .applyInArrow(lambda k, t: _merge_pairs(k, t, model), _BLOBS).groupBy("shard")
+    (texts.mapInArrow(lambda it: _count_pairs(it, model), _BLOBS).groupBy("shard")
+     .applyInArrow(lambda k, t: _merge_pairs(k, t, model), "n bigint").agg(F.sum("n")).collect())
+    if order > 2:
+        (texts.mapInArrow(lambda it: _count_triples(it, model), _BLOBS).groupBy("shard")
+         .applyInArrow(lambda k, t: _merge_triples(k, t, model), _BLOBS).groupBy("shard")
+         .applyInArrow(lambda k, t: _merge_before(k, t, model), "n bigint").agg(F.sum("n")).collect())
+    each = spark.range(0, 2 * n_shards, 1, min(2 * n_shards, want))
+    stats = (each.mapInArrow(lambda it: _pair_facts(it, model), _BLOBS).groupBy("shard")
              .applyInArrow(lambda k, t: _merge_stats(k, t, model), "seen array<bigint>, types bigint").collect())
     seen = np.sum([r.seen for r in stats], 0) if stats else np.zeros(6)
     model["types"] = int(sum(r.types for r in stats))
     model["word_discounts"] = discounts([int(x) for x in seen[1:5]])
-    of = spark.range(0, 2 * n_shards, 1, min(2 * n_shards, want)).mapInArrow(
-        lambda it: _pair_counts(it, folder), "n array<bigint>").collect()
-    model["pair_discounts"] = discounts([int(x) for x in np.sum([r.n for r in of], 0)[1:5]])
+    of = each.mapInArrow(lambda it: _counts_of_counts(it, model), "pairs array<bigint>, triples array<bigint>").collect()
+    model["pair_discounts"] = discounts([int(x) for x in np.sum([r.pairs for r in of], 0)[1:5]])
+    model["triple_discounts"] = discounts([int(x) for x in np.sum([r.triples for r in of], 0)[1:5]])
     model["seen"] = [int(x) for x in seen]
     return model
 
 
-def _pair_counts(batches, folder: str) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(6, np.int64)
+def _counts_of_counts(batches, model: dict) -> Iterator[pa.RecordBatch]:
+    pairs, total = Pairs(model), np.zeros((2, 6), np.int64)
     for b in batches:
         for s in b.column(0).to_pylist():
-            total += np.bincount(np.minimum(_map(folder, f"pair-{s}.small", np.uint8), 5), minlength=6)
-    yield pa.RecordBatch.from_pydict({"n": pa.array([total.tolist()], pa.list_(pa.int64()))})
+            context = (np.asarray(pairs.keys[s]) >> _BITS32).astype(np.int64)
+            c = pairs.evidence(s, np.arange(len(context)), context == model["vocabulary"])
+            total[0] += np.bincount(np.minimum(c, 5), minlength=6)
+            total[1] += np.bincount(np.minimum(_map(model["folder"], f"triple-{s}.small", np.uint8), 5), minlength=6)
+    kind = pa.list_(pa.int64())
+    yield pa.RecordBatch.from_pydict({"pairs": pa.array([total[0].tolist()], kind), "triples": pa.array([total[1].tolist()], kind)})
+
+
+class Triples:
+    """The mapped triples whose first pair is in a shard."""
+
+    def __init__(self, model: dict, s: int):
+        folder = model["folder"]
+        self.words, self.counts = _map(folder, f"triple-{s}.words", "<u4"), Counts(folder, f"triple-{s}")
+        self.ends = _map(folder, f"triple-{s}.ends", "<u4" if len(self.words) < 1 << 32 else "<u8")
+        self.once, self.twice = Counts(folder, f"once-{s}"), Counts(folder, f"twice-{s}")
+
+    def facts(self, place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Count of the triple (0 if unknown or the word is -1), and how many triples of the pair
+        at ``place`` count 1, 2 and more."""
+        end = self.ends[place].astype(np.int64)
+        begin = np.where(place > 0, self.ends[np.maximum(place - 1, 0)], 0).astype(np.int64)
+        low, high, top = begin.copy(), end.copy(), len(self.words) - 1
+        while (low < high).any():
+            middle = (low + high) >> 1
+            less = (low < high) & (self.words[np.minimum(middle, top)] < word)
+            high = np.where((low < high) & ~less, middle, high)
+            low = np.where(less, middle + 1, low)
+        low = np.minimum(low, top)
+        known = (low < end) & (self.words[low] == word)
+        one, two = self.once[place], self.twice[place]
+        return np.where(known, self.counts[low], 0), one, two, end - begin - one - two
 
 
 class Scorer:
@@ -315,15 +510,15 @@ class Scorer:
         self.model, self.words = model, Words(model)
         n = 1 << model["bits"]
         self.counts = [_map(model["folder"], f"word-{s}.counts", "<i8") for s in range(n)]
-        self.stats = [_map(model["folder"], f"word-{s}.stats", "<i8").reshape(4, -1)
+        self.stats = [_map(model["folder"], f"word-{s}.stats", "<i8").reshape(5, -1)
                       for s in range(n)]
-        self.pairs = [tuple(_map(model["folder"], f"pair-{s}.{x}", t) for x, t in
-                            (("keys", "<u8"), ("small", np.uint8), ("big", "<i8"))) for s in range(2 * n)]
+        self.pairs, self.triples = Pairs(model), [Triples(model, s) for s in range(2 * n)] if model["order"] > 2 else []
         self.base = np.array([*model["base"], model["vocabulary"] + 1], np.int64)
 
     def word_facts(self, ids: np.ndarray) -> np.ndarray:
-        """Per number (sorted, distinct, not -1): count, contexts, pairs counted 1, 2 and more."""
-        out = np.zeros((5, len(ids)), np.float64)
+        """Per number (sorted, distinct, not -1): count, contexts, pairs with evidence 1, 2 and more,
+        and the sum of that."""
+        out = np.zeros((6, len(ids)), np.float64)
         last = (1 << self.model["bits"]) - 1
         cuts = np.searchsorted(ids, self.base[:-1])
         cuts = np.concatenate([cuts, [len(ids)]])
@@ -335,31 +530,36 @@ class Scorer:
             out[0, cuts[s] : cuts[s + 1]][real] = self.counts[s][part[real]]
             if self.stats[s].size:
                 ok = part < self.stats[s].shape[1]
-                for j in range(4):
+                for j in range(5):
                     out[j + 1, cuts[s] : cuts[s + 1]][ok] = self.stats[s][j][part[ok]]
         return out
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         q, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(q), np.float64)
-        if not len(q):
-            return out
-        shard = _pair_shards(q, self.model)
-        order = np.argsort(shard, kind="stable")
-        present, starts = np.unique(shard[order], return_index=True)
-        for s, part in zip(present.tolist(), np.split(order, starts[1:]), strict=True):
-            k, small, big = self.pairs[s]
-            if not len(k):
-                continue
-            at = np.minimum(np.searchsorted(k, q[part]), len(k) - 1)
-            n = np.where(k[at] == q[part], small[at], 0).astype(np.float64)
-            if len(big):
-                places, numbers = big.reshape(2, -1)
-                over = np.flatnonzero(n == 255)
-                n[over] = numbers[np.searchsorted(places, at[over])]
-            out[part] = n
+        shard, at = self.pairs.find(q)
+        start = (q >> _BITS32) == self.model["vocabulary"]
+        real = np.flatnonzero(at >= 0)
+        for s, part in _by_shard(shard[real]):
+            part = real[part]
+            out[part] = self.pairs.evidence(s, at[part], start[part])
         return out[back]
 
+    def with_triples(self, p: np.ndarray, ids: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Probabilities after the two words before, from those after one (``p``)."""
+        p, d, last = p.copy(), np.array(self.model["triple_discounts"]), _after(sizes)
+        last = last[(before[last - 1] >= 0) & (ids[last - 1] >= 0)]
+        shard, at = self.pairs.find((before[last - 1].astype(np.uint64) << _BITS32) | ids[last - 1].astype(np.uint64))
+        real = np.flatnonzero(at >= 0)
+        for s, part in _by_shard(shard[real]):
+            part = real[part]
+            where, place = last[part], at[part]
+            total = self.pairs.counts[s][place]
+            n, one, two, more = self.triples[s].facts(place, ids[where])
+            left = (d[1] * one + d[2] * two + d[3] * more) / total
+            p[where] = np.maximum(n - d[np.minimum(n, 3)], 0) / total + left * p[where]
+        return p
+
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, known tokens, base score and log10 probability."""
         m = self.model
@@ -368,7 +568,7 @@ class Scorer:
         v = m["vocabulary"]
         before = contexts(ids, sizes, v)
         u, back = np.unique(np.concatenate([ids, before]), return_inverse=True)
-        facts = np.zeros((5, len(u)))
+        facts = np.zeros((6, len(u)))
         known = u >= 0
         facts[:, known] = self.word_facts(u[known])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
@@ -384,7 +584,7 @@ class Scorer:
         p = q[w]
         d = np.array(m["pair_discounts"])
         followed = facts[2] + facts[3] + facts[4]
-        total = np.where(u == v, m["texts"], facts[0])
+        total = facts[5]
         g = np.divide(d[1] * facts[2] + d[2] * facts[3] + d[3] * facts[4], total, out=np.ones(len(u)), where=total > 0)
         seen = (followed[c] > 0) & (total[c] > 0) & (before >= 0)
         n = np.zeros(len(ids))
@@ -392,6 +592,8 @@ class Scorer:
         n[both] = self.pair_counts((before[both].astype(np.uint64) << _BITS32) | ids[both].astype(np.uint64))
         disc = np.maximum(n - d[np.minimum(n, 3).astype(int)], 0)
         p = np.where(seen, disc / np.maximum(total[c], 1) + g[c] * p, p)
+        if m["order"] > 2:
+            p = self.with_triples(p, ids, before, sizes)
         if not len(sizes):
             z = np.empty(0)
             return sizes, sizes, z, z
@@ -417,6 +619,6 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                         "train_tokens bigint, base_score double, score double")
 
 
-def op6(docs: DataFrame) -> DataFrame:
+def op6(docs: DataFrame, order: int = 3) -> DataFrame:
     training = pick(docs, id="doc_id", text="text").where(~held_out("id"))
-    return score(docs, train(training)).withColumnRenamed("id", "doc_id")
+    return score(docs, train(training, order=order)).withColumnRenamed("id", "doc_id")

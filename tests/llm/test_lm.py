@@ -107,3 +107,73 @@ def test_query_columns(spark):
     assert kn.op6(hostile(spark)).dtypes == [
         ("doc_id", "bigint"), ("held_out", "boolean"), ("n_tokens", "bigint"), ("n_known", "bigint"),
         ("train_tokens", "bigint"), ("base_score", "double"), ("score", "double")]
+
+
+class Plain3(Plain):
+    """Order 3: pairs count the different words before them, but for those that begin a text."""
+
+    def __init__(self, docs):
+        super().__init__(docs)
+        self.raw, self.triples = self.pairs, Counter()
+        for t in docs:
+            w = ["<s>", *split(t)]
+            self.triples.update(zip(w, w[1:], w[2:]))
+        self.pairs = Counter((b, c) for _, b, c in self.triples)
+        self.pairs.update({k: n for k, n in self.raw.items() if k[0] == "<s>"})
+        assert set(self.pairs) == set(self.raw)
+        self.follow, self.after, self.sums = defaultdict(list), defaultdict(list), Counter()
+        for (a, _), n in self.pairs.items():
+            self.follow[a].append(n)
+            self.sums[a] += n
+        for (a, b, _), n in self.triples.items():
+            self.after[a, b].append(n)
+        self.dp, self.dt = self.disc(self.pairs), self.disc(self.triples)
+
+    def p2(self, b, w):
+        if b not in self.follow:
+            return self.q(w)
+        n, total = self.pairs[b, w], self.sums[b]
+        return max(n - self.dp[min(n, 3)], 0) / total + sum(self.dp[min(x, 3)] for x in self.follow[b]) / total * self.q(w)
+
+    def p(self, a, b, w):
+        if (a, b) not in self.after:
+            return self.p2(b, w)
+        n, total = self.triples[a, b, w], sum(self.after[a, b])
+        return max(n - self.dt[min(n, 3)], 0) / total + sum(self.dt[min(x, 3)] for x in self.after[a, b]) / total * self.p2(b, w)
+
+
+def log3(m, t):
+    w = [None, "<s>", *split(t)]  # nothing comes before a text's start
+    return sum(math.log10(m.p(*x)) for x in zip(w, w[1:], w[2:]))
+
+
+@pytest.mark.parametrize("shards", [1, 5, 16])
+def test_scores_of_order_3(spark, shards):
+    ship(spark)
+    docs = hostile(spark, EXTRA)
+    rows = kn.score(docs, kn.train(docs.where(~kn.held_out("doc_id")), shards=shards, order=3)).collect()
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts(EXTRA)]
+    m = Plain3([t for (_, t), h in zip(texts(EXTRA), held, strict=True) if not h])
+    want = sorted((i if i is not None else -1, round(log3(m, t), 6)) for i, t in texts(EXTRA))
+    assert sorted((r.id if r.id is not None else -1, round(r.score, 6)) for r in rows) == want
+    for a, b in (("w3", "w5"), ("<s>", "w0"), (None, "<s>"), ("the", "cat"), ("never", "seen")):
+        assert abs(sum(m.p(a, b, w) for w in [*m.c, "unknown"]) - 1) < 1e-9
+
+
+def test_the_query_sees_two_words_back(spark):
+    """After "b" both "c" and "d" follow as often; only the word before tells which."""
+    ship(spark)
+    docs = spark.createDataFrame([(i, "a b c" if i % 2 else "x b d") for i in range(100)]
+                                 + [(1000, "a b c"), (1001, "a b d")], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in kn.op6(docs).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001] + 0.5
+    with pytest.raises(ValueError):
+        kn.train(docs, order=4)
+
+
+def test_packed_keys():
+    rng = np.random.default_rng(0)
+    for k in (rng.integers(0, 1 << 63, 1000, np.uint64), np.arange(5, dtype=np.uint64), np.array([2**64 - 1], np.uint64),
+              (rng.integers(0, 9, 1000, np.uint64) << np.uint64(32)) | rng.integers(0, 1 << 32, 1000, np.uint64)):
+        for keys in (k, np.sort(k)):
+            assert (kn._unpacked(kn._packed(keys)) == keys).all()
