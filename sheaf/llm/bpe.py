@@ -70,31 +70,24 @@ def _ranked(batches: Iterator[pa.RecordBatch], hot: HotTable) -> Iterator[pa.Rec
 
 def _merged(batches: Iterator[pa.RecordBatch], hot: HotTable) -> Iterator[tuple]:
     """Per document ``(id, [ids of each word])`` from rows sorted by (id, h, pos): first its
-    ranks (once for every copy of the row), then the words that travelled."""
+    ranks, then the words that travelled."""
     ids = hot.table()["ids"].to_pylist()
-    key, copies, ranks, rest, last = None, 0, None, [], -1
+    key, ranks, rest = None, None, []
 
     def done():
         words = iter(rest)
-        parts = [ids[r] if r >= 0 else next(words) for r in ranks.tolist()]
-        for _ in range(copies):
-            yield key[0], parts
+        return key, [ids[r] if r >= 0 else next(words) for r in ranks.tolist()]
 
     for b in batches:
-        for i, h, pos, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (i, h) != key:
-                if copies:
-                    yield from done()
-                key, copies, rest, last = (i, h), 0, [], -1
+        for i, _, pos, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if pos < 0:
-                copies += 1
-                if copies == 1:
-                    ranks = _ranks(data)
-            elif pos != last:
+                if ranks is not None:
+                    yield done()
+                key, ranks, rest = i, _ranks(data), []
+            else:
                 rest.append(data)
-                last = pos
-    if copies:
-        yield from done()
+    if ranks is not None:
+        yield done()
 
 
 def encode(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_col: str = "text",
@@ -110,7 +103,7 @@ def encode(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_co
     top = stored(hot_words(table, hot).select("word", "ids"))
     sent = HotTable(spark, top)
     split = d.select("id", "h", words_of("text").alias("words"))
-    ranked = split.mapInArrow(lambda it: _ranked(it, sent), f"id {kind}, h int, pos int, data binary")
+    ranked = split.mapInArrow(lambda it: _ranked(it, sent), f"id {kind}, h bigint, pos int, data binary")
     rest = table.select("word", "ids").join(F.broadcast(top.select("word")), "word", "left_anti")
     far = (split.select("id", "h", F.posexplode("words").alias("pos", "word"))
            .join(F.broadcast(top.select("word")), "word", "left_anti")

@@ -60,10 +60,12 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def with_row_key(d: DataFrame) -> DataFrame:
-    """Adds ``h``, which tells rows of ``d`` (``id``, ``text``) apart that share an id: a hash
-    of the text, or 0 in all rows if no id repeats, which costs nothing to move."""
+    """Adds ``h`` (bigint), so that ``(id, h)`` is another for every row of ``d``: the row's number
+    in a stored copy of ``d``, or 0 in all rows if no id repeats, which needs no copy."""
     repeated = d.groupBy("id").count().where("count > 1").limit(1).count()
-    return d.withColumn("h", F.hash("text") if repeated else F.lit(0))
+    if repeated:
+        return stored(d.withColumn("h", F.monotonically_increasing_id()))
+    return d.withColumn("h", F.lit(0).cast("long"))
 
 
 def mounted(folder: str) -> str:

@@ -28,19 +28,17 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = stored(measure_words(word_counts(d, "text"), tokenizer))
     top = stored(hot_words(table, hot).select("word", "n_ids"))
     rest = table.join(F.broadcast(top.select("word")), "word", "left_anti").select("word", "n_ids")
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    rows = d.select("id", "h", F.octet_length("text").cast("long").alias("n_bytes"), one.alias("copies"), zero.alias("n"))
+    zero = F.lit(0).cast("long")
+    rows = d.select("id", "h", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n"))
     each = d.select("id", "h", F.explode(words_of("text")).alias("word"))
     often = (each.join(F.broadcast(top), "word").groupBy("id", "h").agg(F.sum("n_ids").alias("n")))
     seldom = (each.join(F.broadcast(top.select("word")), "word", "left_anti").groupBy("word", "id", "h")
               .agg(F.count(F.lit(1)).alias("f")).join(rest, "word")
               .groupBy("id", "h").agg(F.sum(F.col("f") * F.col("n_ids")).alias("n")))
-    parts = [x.select("id", "h", zero.alias("n_bytes"), zero.alias("copies"), "n") for x in (often, seldom)]
+    parts = [x.select("id", "h", zero.alias("n_bytes"), "n") for x in (often, seldom)]
     total = (rows.unionAll(parts[0]).unionAll(parts[1]).groupBy("id", "h")
-             .agg(F.max("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"), F.sum("n").alias("n")))
-    # equal rows were counted together
-    return total.select("id", "n_bytes", F.expr("n div copies").alias("n_tokens"),
-                        F.explode(F.sequence(one, F.col("copies"))).alias("copy")).drop("copy")
+             .agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")))
+    return total.select("id", "n_bytes", "n_tokens")
 
 
 def op8(docs: DataFrame, tokenizer: str = WORD_BPE, limit: int = LIMIT) -> DataFrame:

@@ -17,6 +17,7 @@ ALPHABET = ["the", "The", "cat", "cat,", "x.", ".,", "it's", "n't", "<|endoftext
             "é", "́", "!", "a.b,c", "😀", "don't.", "'S", "\x1c", "İ", "ﬁ,", " ", "A.́"]
 RANDOM = [(100 + k, "".join(rng.choice(ALPHABET) + rng.choice(["", " ", "\n", "\t", "  "]) for _ in range(rng.randrange(60))))
           for k in range(60)]
+COLLIDE = ("row zq18478", "row the cat 479361")  # one value of Spark's hash()
 
 
 def ids(text):
@@ -55,6 +56,20 @@ def test_token_counts(docs, hot):
     assert got == Counter((i, len(t.encode()), len(ids(t))) for i, t in texts(RANDOM))
 
 
+def test_texts_of_one_id_whose_hashes_collide(spark):
+    """Equal 32-bit hashes under one id and under null ids."""
+    ship(spark)
+    rows = [(i, t) for i in (1, None) for t in (*COLLIDE, COLLIDE[0], "another", None)] + [(2, "unique")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert docs.where(F.col("text").isin(*COLLIDE)).select(F.hash("text")).distinct().count() == 1
+    want = Counter((i, tuple(ids(t or ""))) for i, t in rows)
+    for hot in (0, 5):
+        got = Counter((r.id, tuple(r.ids)) for r in bpe.encode(docs, bpe.ids_table, "id {id}, ids array<int>", hot=hot).collect())
+        assert got == want
+        got = Counter(tuple(r) for r in tokens.token_counts(docs, hot=hot).collect())
+        assert got == Counter((i, len((t or "").encode()), len(ids(t or ""))) for i, t in rows)
+
+
 def test_empty_tables(spark):
     ship(spark)
     assert bpe.op1(empty(spark)).count() == 0
