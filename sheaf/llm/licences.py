@@ -1,16 +1,14 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions only.
 
-Paragraphs (lines) are described by the presence of word 1- and 2-grams that occur in known
-licence notices. A multinomial logistic regression, trained here on notices made by rule from
-the lists below and on a bounded sample of the corpus's other paragraphs (class "unknown"),
-gives each paragraph a probability per family; a temperature fitted on held-back rows
-calibrates them. A paragraph whose best family stays below the threshold is unknown. A
-predicted family is confirmed when the paragraph contains most of the word pairs of one of
-the family's notices.
-
-Only paragraphs with at least one anchor can be licence notices: anchors are the words of the
-notices that no paragraph of the unknown sample holds, and every notice has at least one. All
-texts are searched for anchors whole; the weights then meet the few n-grams that are left.
+Paragraphs end at blank lines; wrapped lines are joined. A paragraph of several lines is
+looked at as a whole and line by line, since a short notice may stand among other lines. Each
+of these is described by the presence of word 1- and 2-grams of known licence texts: notices
+made by rule, headings and characteristic body paragraphs, from the lists below. A multinomial
+logistic regression, trained on these and on a bounded sample of the corpus's other
+paragraphs (class "unknown"), gives a probability per family; a temperature fitted on
+held-back rows calibrates them. What stays below the threshold is unknown. A predicted family
+is confirmed by most of the word pairs of one of its notices, headings or body paragraphs, or
+by all of one of its names. Every paragraph is scored where it is read: nothing is left out.
 
 Nulls and special cases: a null text counts as empty (no licences); rows with null or
 repeated ids keep a row each; other columns are ignored.
@@ -22,6 +20,7 @@ import json
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +48,64 @@ OTHERS = ["Licensed under a separate agreement with the publisher.", "Released u
           "All rights reserved.", "A driver license is required.", "The work was released last year under a new name.",
           "This work is part of a series.", "You may use this file as an example.", "Version 2.0 of the file is available.",
           "Version 3 was published in May.", "The general public is invited.", "Terms of use apply.", "Attribution is required."]
-#: Bounds of the training sample and of the anchors' evidence (paragraphs of the corpus).
+HEADINGS: dict[str, list[str]] = {
+    "apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"],
+    "bsd": ["BSD 3-Clause License", "BSD 2-Clause License", "The 3-Clause BSD License", "New BSD License", "BSD License"],
+    "cc-by": ["Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International Public License", "Attribution 4.0 International"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International", "Creative Commons Attribution-NonCommercial 4.0 International Public License",
+                 "Attribution-NonCommercial 4.0 International"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+                 "Attribution-ShareAlike 4.0 International"],
+    "cc0": ["Creative Commons Legal Code CC0 1.0 Universal", "CC0 1.0 Universal"],
+    "gpl-2": ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "gpl-3": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "lgpl": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "mit": ["MIT License", "The MIT License", "The MIT License (MIT)", "Expat License"],
+    "mpl-2.0": ["Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"],
+}
+_GNU = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free "
+        "Software Foundation; either version {} of the License, or (at your option) any later version.")
+BODIES: dict[str, list[str]] = {
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
+        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License."],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+        "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
+    "cc-by": ["You are free to share and adapt the material for any purpose, even commercially, under the following terms: Attribution. You "
+              "must give appropriate credit, provide a link to the license, and indicate if changes were made."],
+    "cc-by-nc": ["You are free to share and adapt the material under the following terms: Attribution, NonCommercial. You may not use the "
+                 "material for commercial purposes."],
+    "cc-by-sa": ["You are free to share and adapt the material under the following terms: Attribution, ShareAlike. If you remix, transform, or "
+                 "build upon the material, you must distribute your contributions under the same license as the original."],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+            "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights "
+            "to the work worldwide under copyright law."],
+    "gpl-2": [_GNU.format("program", "General Public License", "2")],
+    "gpl-3": [_GNU.format("program", "General Public License", "3")],
+    "lgpl": [_GNU.format("library", "Lesser General Public License", v) for v in ("2.1", "3")],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do "
+        "so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+                "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+}
+#: Bound of the training sample (paragraphs of the corpus).
 SAMPLE = 2000
 ITERATIONS = 40
 THRESHOLD = 0.5
@@ -81,11 +137,22 @@ def notices() -> list[dict]:
     return [{"family": f, "notice": g.format(n)} for f, names in FAMILIES.items() for n in names for g in GRANTS]
 
 
+def templates() -> list[dict]:
+    """What confirms a family, and the share of its word pairs (of a single word: itself) needed:
+    all of a name, else ``None`` for the caller's share."""
+    out = [{"family": n["family"], "text": n["notice"], "need": None} for n in notices()]
+    out += [{"family": f, "text": t, "need": None} for known in (HEADINGS, BODIES) for f, ts in known.items() for t in ts]
+    return out + [{"family": f, "text": n, "need": 1.0} for f, names in FAMILIES.items() for n in names]
+
+
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Lines with a word, with all other columns of ``docs`` kept."""
+    """Paragraphs with a word (``pos``: number in the document; ``line``: the paragraph, and if it
+    has several lines each of them), with all other columns of ``docs`` kept."""
     rest = [c for c in docs.columns if c != text]
-    lines = docs.select(*rest, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike("[A-Za-z0-9]"))
+    some = docs.select(*rest, F.posexplode(F.split(F.col(text), "\n[ \t\r\f\x0B]*\n")).alias("pos", "paragraph"))
+    lines = F.filter(F.split("paragraph", "\n"), lambda x: x.rlike("[A-Za-z0-9]"))
+    several = F.when(F.size(lines) > 1, F.concat(F.array("paragraph"), lines)).otherwise(lines)
+    return some.select(*rest, "pos", F.explode(several).alias("line"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
@@ -96,7 +163,8 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
     known = literal_rows(spark, notices(), "family string, notice string").withColumn("w", words(F.col("notice")))
     plain = literal_rows(spark, [{"line": x} for x in OTHERS], "line string")
     corpus = paragraphs(pick(docs, text=text_col)).where(
-        ~F.lower("line").rlike("licen[cs]|copyright|gpl|apache|creative commons|mozilla|\\bmit\\b|\\bbsd\\b|\\bcc\\b"))
+        ~F.lower("line").rlike("licen[cs]|copyright|gpl|apache|creative commons|mozilla|\\bmit\\b|\\bbsd\\b|\\bcc\\b|cc0"
+        "|redistribut|warrant|hereby|free software|provided that the following"))
     # different paragraphs, so that a common one counts once: those whose hash lies below a
     # bound that about four times the sample pass, then the smallest hashes among them
     hashed = corpus.select(F.substr(F.col("line"), F.lit(1), F.lit(4000)).alias("line"), F.xxhash64("line").alias("h"))
@@ -105,42 +173,28 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
         hashed = hashed.where(F.pmod("h", F.lit(1 << 40)) < F.lit((1 << 40) * 4 * sample // n))
     drawn = hashed.dropDuplicates(["h"]).orderBy("h").limit(sample)
     other = stored(plain.unionAll(drawn.select("line")).withColumn("w", words(F.col("line"))))
-    own = known.select("notice", F.explode("w").alias("x")).distinct().collect()
-    mine = literal_rows(spark, [{"x": x} for x in sorted({r.x for r in own})], "x string")
-    seen = {r.x for r in mine.join(other.select(F.explode("w").alias("x")), "x", "left_semi").collect()}
-    anchors = {r.x for r in own if r.x not in seen}
-    for notice in {r.notice for r in own}:  # each notice keeps one: its rarest word otherwise
-        mine = sorted({r.x for r in own if r.notice == notice})
-        if not anchors.intersection(mine):
-            anchors.add(max(mine, key=lambda x: (len(x), x)))
+    written = literal_rows(spark, [{"family": t["family"], "text": t["text"]} for t in templates()[len(notices()):]], "family string, text string")
     rows = stored(known.select("family", grams(F.col("w")).alias("g"))
                   .unionAll(other.select(F.lit(UNKNOWN).alias("family"), grams(F.col("w")).alias("g")))
-                  .withColumn("held", F.pmod(F.xxhash64("g", "family"), F.lit(5)) == 0).coalesce(1))
+                  .withColumn("held", F.pmod(F.xxhash64("g", "family"), F.lit(5)) == 0)
+                  .unionAll(written.select("family", grams(words(F.col("text"))).alias("g"), F.lit(False).alias("held"))).coalesce(1))
     classes = [UNKNOWN, *sorted(FAMILIES)]
     label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")).cast("double") - 1
-    vectors = CountVectorizer(inputCol="g", outputCol="x", binary=True, minDF=2.0).fit(rows.where(F.col("family") != UNKNOWN))
+    vectors = CountVectorizer(inputCol="g", outputCol="x", binary=True, minDF=1.0, vocabSize=1 << 20).fit(rows.where(F.col("family") != UNKNOWN))
     train = vectors.transform(rows.where(~F.col("held")).withColumn("label", label))
     lr = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-3, maxIter=ITERATIONS, standardization=False)
     model = lr.fit(train)
-    n_seen, coefficients, intercepts = model.numClasses, model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    weights = [{"gram": g, "w": [float(coefficients[c, i]) if c < n_seen else 0.0 for c in range(len(classes))]}
-               for i, g in enumerate(vectors.vocabulary)]
-    bias = [float(intercepts[c]) if c < n_seen else -100.0 for c in range(len(classes))]
-    out = {"classes": classes, "weights": weights, "bias": bias, "anchors": sorted(anchors), "temperature": 1.0}
+    out = {"classes": classes, "vectors": vectors, "regression": model, "temperature": 1.0}
     out["temperature"] = _temperature(rows.where("held"), out)
     return out
 
 
 def logits(rows: DataFrame, model: dict, keys: list[str], g: str = "g") -> DataFrame:
-    """``keys`` and the class scores ``z`` of each row, from its n-grams ``g``. Equal keys count
-    as copies of one row: the constant feature counts them."""
-    spark, n = rows.sparkSession, len(model["classes"])
-    table = literal_rows(spark, [*model["weights"], {"gram": "", "w": model["bias"]}], "gram string, w array<double>")
-    each = rows.select(*keys, F.explode(F.concat(F.col(g), F.array(F.lit("")))).alias("gram"))
-    sums = [F.sum(F.get("w", F.lit(i))).alias(f"z{i}") for i in range(n)]
-    copies = F.sum(F.when(F.col("gram") == "", 1).otherwise(0)).alias("copies")
-    out = each.join(F.broadcast(table), "gram").groupBy(*keys).agg(copies, *sums)
-    return out.select(*keys, "copies", F.array(*[F.col(f"z{i}") / F.col("copies") for i in range(n)]).alias("z"))
+    """``keys`` and the class scores ``z`` of each row, from its n-grams ``g``."""
+    x = model["vectors"].setInputCol(g).setOutputCol("x").transform(rows.select(*keys, g))
+    scored = model["regression"].transform(x)
+    # an explode of one, so that no filter on z moves below and has it computed again
+    return scored.select(*keys, F.explode(F.array(vector_to_array(F.col("rawPrediction")))).alias("z"))
 
 
 def probabilities(z: Column, temperature: Column) -> Column:
@@ -152,8 +206,7 @@ def probabilities(z: Column, temperature: Column) -> Column:
 
 def _temperature(held: DataFrame, model: dict) -> float:
     """The temperature of ``TEMPERATURES`` with the least log loss on the held-back rows."""
-    rows = held.select("g", "family").withColumn("k", F.xxhash64("g", "family"))
-    scored = logits(rows, model, ["k", "family"])
+    scored = logits(held, model, ["family"])
     grid = scored.select("family", "z", F.explode(F.array(*[F.lit(t) for t in TEMPERATURES])).alias("t"))
     at = F.array_position(F.array(*[F.lit(c) for c in model["classes"]]), F.col("family")).cast("int") - 1
     p = F.get(probabilities(F.col("z"), F.col("t")), at)
@@ -164,46 +217,48 @@ def _temperature(held: DataFrame, model: dict) -> float:
 
 def classify(docs: DataFrame, model: dict, keys: list[str], text: str = "text", threshold: float = THRESHOLD,
              confirm: float = CONFIRM) -> DataFrame:
-    """Licence paragraphs of ``docs``: ``keys``, ``pos``, ``family``, ``p``, ``likeness`` (share of
-    the best notice's word pairs that the paragraph holds) and ``confirmed``. Equal paragraphs
-    are classified once, however many documents share them."""
+    """Licence texts of ``docs``: ``keys``, ``pos`` of the paragraph, ``family``, ``p``, ``likeness``
+    (share of the best template's word pairs that the text holds) and ``confirmed``; a row for
+    the paragraph and each of its lines that are one."""
     spark = docs.sparkSession
-    anchors = F.array(*[F.lit(a) for a in model["anchors"]])
-    some = docs.where(F.arrays_overlap(words(F.col(text)), anchors)).select(*keys, text)
-    lines = paragraphs(some, text).where(F.arrays_overlap(words(F.col("line")), anchors))
-    each = lines.select("line").distinct().withColumn("w", words(F.col("line")))
-    z = logits(each.select("line", grams(F.col("w")).alias("g")), model, ["line"])
-    p = probabilities(F.col("z"), F.lit(model["temperature"]))
+    lines = paragraphs(docs.select(*keys, text), text).withColumn("w", words(F.col("line")))
+    z = logits(lines.withColumn("g", grams(F.col("w"))), model, [*keys, "pos", "line"])
     classes = F.array(*[F.lit(c) for c in model["classes"]])
-    best = z.withColumn("p_", p).withColumn("p", F.array_max("p_"))
+    best = z.withColumn("p_", probabilities(F.col("z"), F.lit(model["temperature"]))).withColumn("p", F.array_max("p_"))
     best = best.withColumn("family", F.get(classes, F.array_position("p_", F.col("p")).cast("int") - 1))
-    best = best.where((F.col("family") != UNKNOWN) & (F.col("p") >= threshold)).select("line", "family", "p")
-    known = literal_rows(spark, notices(), "family string, notice string").select(
-        "family", F.array_distinct(pairs(words(F.col("notice")))).alias("t"))
-    known = known.where(F.size("t") > 0)
-    two = F.array_distinct(pairs(words(F.col("line"))))
-    compared = best.withColumn("two", two).join(F.broadcast(known), "family").withColumn(
-        "likeness", F.size(F.array_intersect("two", "t")) / F.size("t"))
-    found = compared.groupBy("line", "family", "p").agg(F.max("likeness").alias("likeness"))
-    found = found.withColumn("confirmed", F.col("likeness") >= confirm)
-    return lines.join(found, "line").drop("line")
+    best = best.where((F.col("family") != UNKNOWN) & (F.col("p") >= threshold)).select(*keys, "pos", "line", "family", "p")
+
+    def marks(c: Column) -> Column:  # single words for names of one word
+        w = words(c)
+        return F.array_distinct(F.when(F.size(w) > 1, pairs(w)).otherwise(w))
+
+    known = literal_rows(spark, templates(), "family string, text string, need double").select(
+        "family", marks(F.col("text")).alias("t"), F.coalesce("need", F.lit(confirm)).alias("need"))
+    known = known.groupBy("family").agg(F.collect_list(F.struct("t", "need")).alias("known"))
+    found = best.join(F.broadcast(known), "family").withColumn("has", grams(words(F.col("line"))))
+    found = found.withColumn("shares", F.transform("known", lambda k: F.struct(
+        (F.size(F.array_intersect(F.col("has"), k["t"])) / F.size(k["t"])).alias("share"), k["need"].alias("need"))))
+    return found.select(*keys, "pos", "family", "p", F.array_max(F.transform("shares", lambda x: x["share"])).alias("likeness"),
+                        F.exists("shares", lambda x: x["share"] >= x["need"]).alias("confirmed"))
 
 
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, ``n_paragraphs`` (predicted licence notices), ``n_confirmed`` and
-    ``licences`` (sorted confirmed families, comma-joined)."""
+    """Per row of ``docs``: id, ``n_paragraphs`` (with a predicted family), ``n_confirmed`` of
+    them and ``licences`` (sorted confirmed families, comma-joined)."""
     d = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumn("h", F.xxhash64("text"))  # tells rows apart that share an id
     found = classify(d, model, ["id", "h"])
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    rows = d.select("id", "h", one.alias("copies"), zero.alias("n"), F.lit(None).cast("string").alias("family"))
-    hits = found.select("id", "h", zero.alias("copies"), one.alias("n"), F.when(F.col("confirmed"), F.col("family")).alias("family"))
+    no, never = F.lit(None).cast("string"), F.lit(None).cast("int")
+    rows = d.select("id", "h", one.alias("copies"), never.alias("pos"), never.alias("sure"), no.alias("family"))
+    sure = F.col("confirmed")
+    hits = found.select("id", "h", zero.alias("copies"), "pos", F.when(sure, F.col("pos")).alias("sure"), F.when(sure, F.col("family")).alias("family"))
     t = rows.unionAll(hits).groupBy("id", "h").agg(
-        F.sum("copies").alias("copies"), F.sum("n").alias("n_paragraphs"), F.count("family").alias("n_confirmed"),
+        F.sum("copies").alias("copies"), F.size(F.collect_set("pos")).cast("long").alias("n_paragraphs"),
+        F.size(F.collect_set("sure")).cast("long").alias("n_confirmed"),
         F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licences"))
-    # equal rows were counted together
-    return t.select("id", F.expr("n_paragraphs div copies").alias("n_paragraphs"),
-                    F.expr("n_confirmed div copies").alias("n_confirmed"), "licences", F.explode(F.sequence(one, F.col("copies"))).alias("i")).drop("i")
+    # equal rows have the same paragraphs
+    return t.select("id", "n_paragraphs", "n_confirmed", "licences", F.explode(F.sequence(one, F.col("copies"))).alias("i")).drop("i")
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -51,3 +51,25 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(docs):
     plan = licences.op5(docs)._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "Pandas" not in plan and "ArrowEval" not in plan and "BatchEval" not in plan
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+TEXTS = [(0, "MIT License", "mit"), (1, "The MIT License (MIT)", "mit"), (2, MIT, "mit"), (3, BSD, "bsd"),
+         (4, f"some words\n\nThe MIT License (MIT)\n \n{MIT}\n\n\n\nmore words\n\n{BSD}", "bsd,mit"),
+         (5, "Mozilla Public License Version 2.0", "mpl-2.0"), (6, "This work is licensed\nunder CC BY-SA 4.0.", "cc-by-sa"),
+         (7, "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "gpl-3"), (8, "permission was granted, and free of charge", "")]
+
+
+def test_licence_texts(spark, docs):
+    model = licences.fit(docs)
+    rows = spark.createDataFrame([(i, t) for i, t, _ in TEXTS], "doc_id int, text string")
+    got = {r.id: r for r in licences.scan(rows, model).collect()}
+    assert {i: r.licences for i, r in got.items()} == {i: f for i, _, f in TEXTS}
+    assert got[4].n_paragraphs == got[4].n_confirmed == 3 and got[2].n_paragraphs == 1
