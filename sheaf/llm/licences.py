@@ -155,24 +155,28 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return some.select(*rest, "pos", F.explode(several).alias("line"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
-    """Trains on the notices and ``sample`` different paragraphs of ``docs`` (drawn by their
-    hashes among paragraphs that name no licence). Everything returned is bounded by the lists
-    above and ``sample``."""
-    spark = docs.sparkSession
-    known = literal_rows(spark, notices(), "family string, notice string").withColumn("w", words(F.col("notice")))
-    plain = literal_rows(spark, [{"line": x} for x in OTHERS], "line string")
+def sampled(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """``sample`` different paragraphs (whole ``line``, hash ``h``) that name no licence."""
     corpus = paragraphs(pick(docs, text=text_col)).where(
         ~F.lower("line").rlike("licen[cs]|copyright|gpl|apache|creative commons|mozilla|\\bmit\\b|\\bbsd\\b|\\bcc\\b|cc0"
         "|redistribut|warrant|hereby|free software|provided that the following"))
     # different paragraphs, so that a common one counts once: those whose hash lies below a
     # bound that about four times the sample pass, then the smallest hashes among them
-    hashed = corpus.select(F.substr(F.col("line"), F.lit(1), F.lit(4000)).alias("line"), F.xxhash64("line").alias("h"))
+    hashed = corpus.select("line", F.xxhash64("line").alias("h"))
     n = hashed.agg(F.approx_count_distinct("h").alias("n")).first().n
     if n > 4 * sample:
         hashed = hashed.where(F.pmod("h", F.lit(1 << 40)) < F.lit((1 << 40) * 4 * sample // n))
-    drawn = hashed.dropDuplicates(["h"]).orderBy("h").limit(sample)
-    other = stored(plain.unionAll(drawn.select("line")).withColumn("w", words(F.col("line"))))
+    return hashed.dropDuplicates(["h"]).orderBy("h").limit(sample)
+
+
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict:
+    """Trains on the notices and ``sample`` different paragraphs of ``docs`` (drawn by their
+    hashes among paragraphs that name no licence). Everything returned is bounded by the lists
+    above and ``sample``."""
+    spark = docs.sparkSession
+    known = literal_rows(spark, notices(), "family string, notice string").withColumn("w", words(F.col("notice")))
+    plain = literal_rows(spark, [{"line": x} for x in OTHERS], "line string")
+    other = stored(plain.unionAll(sampled(docs, text_col, sample).select("line")).withColumn("w", words(F.col("line"))))
     written = literal_rows(spark, [{"family": t["family"], "text": t["text"]} for t in templates()[len(notices()):]], "family string, text string")
     rows = stored(known.select("family", grams(F.col("w")).alias("g"))
                   .unionAll(other.select(F.lit(UNKNOWN).alias("family"), grams(F.col("w")).alias("g")))

@@ -1,6 +1,6 @@
 """op5: the trained classifier on held-out wordings, and whole texts."""
 import pytest
-from hostile import empty, hostile
+from hostile import LONG, empty, hostile
 
 from sheaf.llm import licences
 from sheaf.llm.common import ship
@@ -73,3 +73,8 @@ def test_licence_texts(spark, docs):
     got = {r.id: r for r in licences.scan(rows, model).collect()}
     assert {i: r.licences for i, r in got.items()} == {i: f for i, _, f in TEXTS}
     assert got[4].n_paragraphs == got[4].n_confirmed == 3 and got[2].n_paragraphs == 1
+
+
+def test_sampled_paragraphs_are_whole(docs):
+    got = {r.line for r in licences.sampled(docs).collect()}
+    assert LONG in got and "x" * 70000 in got
