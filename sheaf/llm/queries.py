@@ -1,4 +1,4 @@
-"""Queries over the ten operators: ``(spark, sf_dir) -> DataFrame``, and their SQL."""
+"""Queries over the operators: ``(spark, sf_dir) -> DataFrame``, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, kneser_ney, licences, packing, pii, quality, simhash, tokens
+from . import ann, bpe, chat, kneser_ney, licences, packing, pii, quality, simhash, spelling, tokens
 from .common import ship
 
 
@@ -55,10 +55,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op10(spark, table(spark, sf_dir, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op11(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bpe_encode_decode, op2_pii_weak_supervision, op3_simhash_near_dedup, op4_approximate_neighbours, op5_licence_scan, op6_lm_scoring, op7_quality_rules, op8_token_counts,
-        op9_best_fit_packing, op10_chat_formatting)}
+        op9_best_fit_packing, op10_chat_formatting, op11_spelling_variants)}
 
 
 def oracles() -> dict[str, str]:
