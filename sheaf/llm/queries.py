@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, kneser_ney, licences, packing, pii, quality, simhash, spelling, tokens
+from . import ann, bpe, chat, hard_negatives, kneser_ney, licences, packing, pii, quality, secret_scan, simhash, spelling, tokens
 from .common import ship
 
 
@@ -59,11 +59,20 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.op11(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op12(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_bpe_encode_decode, op2_pii_weak_supervision, op3_simhash_near_dedup, op4_approximate_neighbours, op5_licence_scan, op6_lm_scoring, op7_quality_rules, op8_token_counts,
-        op9_best_fit_packing, op10_chat_formatting, op11_spelling_variants)}
+        op9_best_fit_packing, op10_chat_formatting, op11_spelling_variants, op12_hard_negatives, op13_secret_scan)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_quality_rules": quality.oracle_sql(), "op10_chat_formatting": chat.ORACLE}
+    return {"op7_quality_rules": quality.oracle_sql(), "op10_chat_formatting": chat.ORACLE,
+            "op12_hard_negatives": hard_negatives.ORACLE}
