@@ -73,10 +73,10 @@ class Wrangler:
         # by position: user names may clash with each other (case) or with hidden ones
         df = df.select("*", *keys, *more).toDF(
             *[inner(c) for c in names], *order, *([PART] if more else []))
-        self._init(df, order, (), order[0] if order else None, None, False, 0)
+        self._init(df, order, (), order[0] if order else None, None, False)
 
     # -- construction -------------------------------------------------------
-    def _init(self, df, order, prefix, qkey, bounds, prefix_unbounded, depth=0):
+    def _init(self, df, order, prefix, qkey, bounds, prefix_unbounded, depth=0, dense=False):
         self._dtypes = None
         self.created: tuple = ()  # columns made by the verb that returned this frame
         self.depth = depth  # ordered scans in the lineage since the last checkpoint
@@ -86,18 +86,21 @@ class Wrangler:
         self.qkey = qkey
         self.bounds = bounds
         self.prefix_unbounded = prefix_unbounded
+        self.dense = dense  # a text source none of whose rows are gone: positions have no gaps
 
     @classmethod
     def _raw(cls, df, order=(), prefix=(), qkey=None, bounds=None, prefix_unbounded=False,
-             depth=0):
+             depth=0, dense=False):
         w = cls.__new__(cls)
-        w._init(df, order, prefix, qkey, bounds, prefix_unbounded, depth)
+        w._init(df, order, prefix, qkey, bounds, prefix_unbounded, depth, dense)
         return w
 
     _KEEP = object()
 
     def _with(self, df=_KEEP, order=_KEEP, prefix=_KEEP, qkey=_KEEP, bounds=_KEEP,
-              prefix_unbounded=_KEEP, depth=_KEEP) -> "Wrangler":
+              prefix_unbounded=_KEEP, depth=_KEEP, dense=False) -> "Wrangler":
+        """A copy with some parts replaced. A new frame may hold other rows: verbs that keep
+        every row say so with ``dense=self.dense``."""
         k = Wrangler._KEEP
         return Wrangler._raw(
             self.df if df is k else df,
@@ -107,6 +110,7 @@ class Wrangler:
             self.bounds if bounds is k else bounds,
             self.prefix_unbounded if prefix_unbounded is k else prefix_unbounded,
             self.depth if depth is k else depth,
+            self.dense if df is k else dense,
         )
 
     def checkpoint(self) -> "Wrangler":
@@ -117,7 +121,7 @@ class Wrangler:
 
         if self.is_streaming or checkpoint_dir(self.spark) is None:
             return self
-        return self._with(df=self.df.checkpoint(eager=True), depth=0)
+        return self._with(df=self.df.checkpoint(eager=True), depth=0, dense=self.dense)
 
     # -- introspection ------------------------------------------------------
     @property
@@ -211,7 +215,7 @@ class Wrangler:
     def select_cells(self, exprs: dict[str, Column]) -> "Wrangler":
         """Replace the given data columns in place, keep everything else."""
         out = [exprs[c].alias(c) if c in exprs else F.col(c) for c in self.df.columns]
-        return self._with(df=self.df.select(*out))
+        return self._with(df=self.df.select(*out), dense=self.dense)
 
     def __repr__(self):
         return (f"Wrangler(columns={self.columns}, order={list(self.order)}, "
@@ -260,7 +264,7 @@ class Wrangler:
 
     def renamed(self, new: dict[str, str]) -> "Wrangler":
         """Data columns renamed all at once (so that names may be swapped)."""
-        return self._with(df=self.df.toDF(*[new.get(c, c) for c in self.df.columns]))
+        return self._with(df=self.df.toDF(*[new.get(c, c) for c in self.df.columns]), dense=self.dense)
 
     def __getitem__(self, column) -> "ColumnHandle":
         """H5: ``w["X"].split(" ")`` forwards ``columns="X"``."""
@@ -357,7 +361,7 @@ class Wrangler:
 
     def drop(self, columns) -> "Wrangler":
         names = self.resolve(columns)
-        return self._with(df=self.df.drop(*names))
+        return self._with(df=self.df.drop(*names), dense=self.dense)
 
     remove_columns = drop
 
@@ -488,10 +492,10 @@ class Wrangler:
         return sinks.force(self)
 
     def persist(self) -> "Wrangler":
-        return self._with(df=self.df.persist())
+        return self._with(df=self.df.persist(), dense=self.dense)
 
     def unpersist(self) -> "Wrangler":
-        return self._with(df=self.df.unpersist())
+        return self._with(df=self.df.unpersist(), dense=self.dense)
 
 
 class ColumnHandle:

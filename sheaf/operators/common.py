@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..frame import Wrangler
+from ..plans.order import addresses
 
 
 def _rows(rows) -> list[int]:
@@ -32,10 +33,23 @@ def check_range(w: Wrangler, rows) -> None:
 def row_hit(w: Wrangler, rows) -> tuple[Wrangler, Column, str | None]:
     """(wrangler, condition for the addressed rows, helper column to drop). An index is the
     row's number in the order, ties and all; no rows address nothing. An index beyond the
-    table raises; with a partition key, one beyond a partition addresses no row of it."""
+    table raises; with a partition key, one beyond a partition addresses no row of it.
+
+    The keys of the addressed rows are looked up (``plans.order.addresses``) and compared with
+    each row where it is read. Rows are numbered only per partition, in text, where numbers need
+    no exchange, and where an addressed row is equal to another in every column."""
     rows = _rows(rows)
     if not rows:
         return w, F.lit(False), None
+    w.require_batch("a row-addressed verb")
+    if not w.order:
+        raise ValueError("row positions need a row order (order_by=)")
+    if not w.has_part:
+        out, hit, _, names = addresses(w, rows)
+        if hit is not None:
+            extra = [c for c in names if c not in w.df.columns]
+            return out, hit, extra[0] if extra else None
+        w = out
     check_range(w, rows)
     df, rid, w2 = w._rid()
     return w2._with(df=df), F.col(rid).isin(rows), rid

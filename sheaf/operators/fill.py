@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..frame import Wrangler
 from ..functions.text import blank as is_empty
-from ..plans.order import ordered_scan
+from ..plans.order import addresses, is_one_of, ordered_scan
 from .common import _rows, check_range, row_hit
 
 
@@ -84,9 +84,19 @@ def fill_row(w: Wrangler, source: int, target, columns=None, blank=None) -> Wran
     test = blank_test(blank)
     names = w.resolve(columns)
     tgt = _rows(target)
-    check_range(w, [source, *tgt])
     if not tgt:
+        check_range(w, [source])
         return w
+    if not w.has_part and not w.prefix_unbounded and w.order:
+        w.require_batch("fill_row")
+        out, hit, key_of, keys = addresses(w, [source, *tgt])
+        if hit is not None:  # one row's cells, as literals; nothing is moved
+            cells = out.df.filter(is_one_of(out.df, keys, [key_of[source]])).select(*[w.text(n).alias(n) for n in names]).first()
+            here = is_one_of(out.df, keys, list(dict.fromkeys(key_of[r] for r in tgt)))
+            res = out.select_cells({n: F.when(here & test(w.text(n)), F.lit(cells[n])).otherwise(w.text(n))
+                                    for n in names if cells[n] is not None})
+            return res._with(df=res.df.drop(*[c for c in keys if c not in w.df.columns]), dense=w.dense)
+    check_range(w, [source, *tgt])
     # Spread the source row's cells over its table or partition with a
     # forward and a backward fill in row order (bucketed, so a partition
     # holding a third of all rows is still spread over all tasks; no join on

@@ -12,40 +12,50 @@ from pyspark.sql import functions as F
 from ..frame import Wrangler, inner, outer
 from ..functions.text import regex_found
 from ..match import Regex
-from ..plans.order import ordered_scan, sort_keys
+from ..plans.order import addresses, is_one_of, ordered_scan, sort_keys, tie_break
 from .common import row_hit
 
 
-def row_at(w: Wrangler, i: int) -> Row | None:
-    """Row ``i`` of the (global) order: data cells as text plus the order keys. Only this
-    row reaches the driver; ties are ordered as in every ordered verb."""
+def take_row(w: Wrangler, i: int) -> tuple[Row | None, Wrangler]:
+    """Row ``i`` of the whole order, its cells as text, and the table without it. Only this row
+    reaches the driver. Where keys tell rows apart, the row is told by its key; otherwise, and
+    for text sources, whose keys depend on how files are cut into splits, by its number."""
     w.require_batch("row access")
     if not w.order:
         raise ValueError("row positions need a row order (order_by=)")
     cells = [w.text(c).alias(c) for c in w.cells]
-    if i == 0:
-        picked = w.df.orderBy(*sort_keys(w)).limit(1)
-    else:
-        glob = Wrangler._raw(w.df.drop(*w.part_cols), w.order, w.prefix, w.qkey, w.bounds,
-                             w.prefix_unbounded, w.depth)
-        df, rid, _ = glob._rid()
-        picked = df.filter(F.col(rid) == i)
-    rows = picked.select(*cells, *[F.col(c) for c in w.order]).collect()
-    return rows[0] if rows else None
-
-
-def _same_keys(w: Wrangler, r: Row) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in w.order])
-
-
-def _without(w: Wrangler, i: int, r: Row) -> Wrangler:
-    """The table without row ``i`` (``r``). A key that no other row shares is a stable
-    address; otherwise, and for text sources, whose keys depend on how files are cut into
-    splits, the row is found by its number when the plan runs."""
-    if not w.prefix_unbounded and w.df.filter(_same_keys(w, r)).limit(2).count() == 1:
-        return w._with(df=w.df.filter(~_same_keys(w, r)))
-    df, rid, w2 = w._rid()
-    return w2._with(df=df.filter(F.col(rid) != i).drop(rid))
+    if w.prefix_unbounded:
+        if i == 0:
+            found = w.df.orderBy(*sort_keys(w)).limit(1)
+        else:
+            df, rid, _ = w._with(df=w.df.drop(*w.part_cols), dense=w.dense)._rid()
+            found = df.filter(F.col(rid) == i)
+        rows = found.select(*cells, *w.order).collect()
+        if not rows:
+            return None, w
+        if w.has_part:
+            return rows[0], w._with(df=w.df.filter(~is_one_of(w.df, list(w.order), [tuple(rows[0][c] for c in w.order)])))
+        df, rid, w2 = w._rid()
+        return rows[0], w2._with(df=df.filter(F.col(rid) != i).drop(rid))
+    if i == 0:  # one job gives the row and whether the next one shares its key
+        top = w.df.orderBy(*[F.col(c).asc_nulls_first() for c in w.order]).limit(2)
+        top = top.select(*cells, *w.order).collect()
+        keys = [tuple(r[c] for c in w.order) for r in top]
+        if not top:
+            return None, w
+        if len(top) == 1 or keys[0] != keys[1]:
+            return top[0], w._with(df=w.df.filter(~is_one_of(w.df, list(w.order), keys[:1])))
+    whole = w._with(df=w.df.drop(*w.part_cols))
+    out, hit, _, names = addresses(whole, [i])
+    if hit is None:
+        df, rid, w2 = whole._rid()
+        row = df.filter(F.col(rid) == i).select(*cells).first()
+        if w.has_part:
+            raise ValueError("rows equal in every column: merge_parts() before promoting one")
+        return row, w2._with(df=df.filter(F.col(rid) != i).drop(rid))
+    extra = [c for c in names if c not in whole.df.columns]
+    df = w.df.withColumns({c: tie_break(whole.df) for c in extra})
+    return out.df.filter(hit).select(*cells).first(), w._with(df=df.filter(~hit).drop(*extra), bounds=out.bounds)
 
 
 def promote(w: Wrangler, names=None, row=None) -> Wrangler:
@@ -67,13 +77,13 @@ def promote(w: Wrangler, names=None, row=None) -> Wrangler:
     i = 0 if row is None else row
     if i < 0:
         raise ValueError(f"negative row {i}")
-    r = row_at(w, i)
+    r, rest = take_row(w, i)
     if r is None:
         raise ValueError(f"cannot promote row {i}: the table is shorter")
     header = [r[c] if r[c] not in (None, "") else f"c{k}" for k, c in enumerate(cols)]
     if len(set(header)) != len(header):
         raise ValueError(f"row {i} would give a non-unique header: {header}")
-    return promote(_without(w, i, r), names=header)
+    return promote(rest, names=header)
 
 
 def demote(w: Wrangler, row: int = 0) -> Wrangler:

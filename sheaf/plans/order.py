@@ -3,17 +3,26 @@
 ``Window.orderBy(k)`` with no partition pulls every row into one task. Verbs
 that depend on row order (row ids, fill up/down, running match counts) instead
 
-1. cut the order into K contiguous buckets whose bounds are *literals*, keys
-   sampled by hash and compared as they sort, so the bucket expression is
-   deterministic across re-computation and even for any type and skew;
-2. aggregate a tiny per-bucket side table (count, last / first non-null value,
-   sums) – at most K rows per partition key;
-3. run windows over that side table to get each bucket's offset and carry-in,
-   and join it back (by plain equality; Spark broadcasts it if it is small);
-4. run the real window partitioned by (part, bucket) and add the carry.
-
-Each bucket holds ~N/K rows whatever the key skew of ``_part``; K grows with
-``spark.sql.shuffle.partitions`` (or ``sheaf.order.buckets``).
+1. cut the order into K contiguous buckets whose bounds are *literals*: quantiles of a
+   sample of rows, compared as they sort, so the bucket expression is deterministic
+   across re-computation and even for any type and skew. A key that covers several
+   quantiles is cut within by the hash of its rows' cells, which orders ties anyway;
+2. move the data once, by (part, bucket), and sort it; in-bucket windows give running
+   values, and the last (first) row of each bucket holds what the bucket adds;
+3. these rows, at most K per partition key, come from the *same* exchange (Spark reuses
+   it, since both branches ask for the same columns in the same distribution); windows over
+   them give each bucket's offset and carry-in, which are joined back by plain equality
+   (Spark broadcasts them if they are small).
+
+So a verb reads its input once, after one narrow job that counts it and samples keys (none
+if the bounds are known from an earlier verb). Columns dropped *after* an ordered verb make
+the branches differ, which costs a second exchange; drop them before. Each bucket holds ~N/K
+rows whatever the skew of the keys or of ``_part``; K grows with
+``spark.sql.shuffle.partitions`` (or ``sheaf.order.buckets``). Only rows that are equal in
+every column stay together.
+
+Verbs that address rows by number do not order the table at all: ``addresses`` finds the
+keys of these rows, and the plan compares every row with them where it is read.
 """
 
 from __future__ import annotations
@@ -21,7 +30,7 @@ from __future__ import annotations
 import warnings
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:  # pragma: no cover
@@ -29,6 +38,10 @@ if TYPE_CHECKING:  # pragma: no cover
 
 #: Sampled keys per bucket: with 16 a bucket of over 3N/K rows is a one-in-a-million event.
 SAMPLE_PER_BUCKET = 16
+#: Most sampled keys that the driver takes.
+MAX_SAMPLE = 1 << 18
+#: Rows with numbers below this are found from the top.
+NEAR_TOP = 10_000
 #: Rows per bucket that more buckets than 2 x shuffle partitions are made for.
 BUCKET_ROWS = 4_000_000
 _FAN = 16
@@ -55,34 +68,62 @@ def tie_break(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c, t in df.dtypes if "map<" not in t and t != "variant"])
 
 
-def compute_bounds(df: DataFrame, keys: list[str]) -> tuple:
-    """At most K-1 bounds, real values of the ordered key ``keys``, evenly spread over a
-    sample of keys chosen by their hash (so a retry takes the same). Rows are compared with
-    them as they sort, column by column: any bounds give right results, and these give even
-    buckets whatever the type and skew of the leading column."""
-    n = df.count()
-    k = bucket_count(df.sparkSession, n)
-    if k <= 1 or n == 0:
-        return ()
-    want, grain = SAMPLE_PER_BUCKET * k, 1 << 40
-    sample = df.select(*keys)
-    if n > want:
-        sample = sample.where(F.pmod(F.xxhash64(*keys), F.lit(grain)) < F.lit(int(grain * want / n)))
-    rows = sample.distinct().orderBy(*[F.col(c).asc_nulls_first() for c in keys]).collect()
-    picked = [tuple(rows[len(rows) * i // k]) for i in range(1, k)] if rows else []
-    return tuple(dict.fromkeys(picked))
+def _ascending(keys: list[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in keys]
+
+
+def _sampled(df: DataFrame, keys: list[str]) -> tuple[int, int, list[tuple]]:
+    """(rows, K, a sorted sample of the rows' keys), from one job: the rows are counted while
+    the smallest random numbers are picked. Only a table that needs more buckets than the
+    session's default is sampled again."""
+    spark = df.sparkSession
+    k = bucket_count(spark, 0)
+    seen, draw = Observation(), "__draw"
+    picked = (df.select(*keys).observe(seen, F.count(F.lit(1)).alias("n")).withColumn(draw, F.rand(7))
+              .orderBy(draw).limit(SAMPLE_PER_BUCKET * k).select(*keys).orderBy(*_ascending(keys)))
+    rows = [tuple(r) for r in picked.collect()]
+    n = seen.get["n"]
+    if bucket_count(spark, n) > k:
+        k = bucket_count(spark, n)
+        part = min(1.0, min(SAMPLE_PER_BUCKET * k, MAX_SAMPLE) / n)
+        rows = [tuple(r) for r in df.select(*keys).sample(part, seed=7).orderBy(*_ascending(keys)).collect()]
+    return n, k, rows
 
 
-def bucket_of(df: DataFrame, keys: list[str], bounds: tuple) -> Column:
+def compute_bounds(df: DataFrame, keys: list[str]) -> tuple:
+    """At most K-1 bounds, evenly spread over a sample of rows. Rows are compared with them as
+    they sort, column by column: any bounds give right results, and these give even buckets
+    whatever the type and skew of the keys. Where a key is drawn more than once, bounds get one
+    more part, for the hash that orders ties: it is spread evenly over its 64 bits."""
+    n, k, rows = _sampled(df, keys)
+    if k <= 1 or not rows:
+        return ()
+    at = [len(rows) * i // k for i in range(1, k)]
+    picked = list(dict.fromkeys(rows[i] for i in at))
+    if len(picked) == len(at):
+        return tuple(picked)
+    first, last = {}, {}
+    for i, r in enumerate(rows):
+        first.setdefault(r, i)
+        last[r] = i
+    low = -(1 << 63)
+    cut = [(*rows[i], low + ((i - first[rows[i]]) << 64) // (last[rows[i]] - first[rows[i]] + 1)) for i in at]
+    return tuple(dict.fromkeys(cut))
+
+
+def bucket_of(df: DataFrame, keys: list[str], bounds: tuple, tie: Column | None = None) -> Column:
     """Number of bounds at or below the row's key, by a search tree of literals."""
     types = dict(df.dtypes)
     if not bounds:
         return F.lit(0)
-    keys = keys[: len(bounds[0])]
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
+    cols = [(F.col(c), types[c]) for c in keys]
+    if len(bounds[0]) > len(keys):
+        cols.append((tie_break(df) if tie is None else tie, "bigint"))
+    cols = cols[: len(bounds[0])]
+    key = F.struct(*[c.alias(f"k{i}") for i, (c, _) in enumerate(cols)])
 
     def literal(bound: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(keys, bound))])
+        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, ((_, t), v) in enumerate(zip(cols, bound))])
 
     lits = [literal(b) for b in bounds]
     none = F.slice(F.array(lits[0]), F.lit(1), F.lit(0))
@@ -99,10 +140,10 @@ def bucket_of(df: DataFrame, keys: list[str], bounds: tuple) -> Column:
         steps = F.get(F.array(*blocks), at)
         at = at * _FAN + F.size(F.filter(steps, lambda b: b <= key))
         size = child
-    return at
+    return F.coalesce(at, F.lit(0))
 
 
-def bucketed(w: "Wrangler") -> tuple[DataFrame, list[str], "Wrangler"]:
+def bucketed(w: "Wrangler", tie: str | None = None) -> tuple[DataFrame, list[str], "Wrangler"]:
     """(frame with a bucket column, columns that name a row's bucket, wrangler with bounds)."""
     if not w.order:
         raise ValueError("this verb needs a row order: pass order_by= or read a text source")
@@ -114,11 +155,99 @@ def bucketed(w: "Wrangler") -> tuple[DataFrame, list[str], "Wrangler"]:
             bounds = compute_bounds(df, keys)
             w = w._with(bounds=bounds)
         name = w.fresh("__bkt")
-        df = df.withColumn(name, bucket_of(df, keys, bounds))
+        df = df.withColumn(name, bucket_of(df, keys, bounds, None if tie is None else F.col(tie)))
         cols.append(name)
     return df, cols, w
 
 
+# -- rows by number ------------------------------------------------------------
+
+def _literal_key(types: dict, keys: list[str], row: tuple) -> Column:
+    return F.struct(*[F.lit(v).cast(types[c]).alias(f"k{i}") for i, (c, v) in enumerate(zip(keys, row))])
+
+
+def is_one_of(df: DataFrame, keys: list[str], rows: list[tuple]) -> Column:
+    """The row's key is one of ``rows``; nulls equal nulls."""
+    types = dict(df.dtypes)
+    if len(keys) == 1 and all(r[0] is not None for r in rows):
+        return F.coalesce(F.col(keys[0]).isin(*[F.lit(r[0]).cast(types[keys[0]]) for r in rows]), F.lit(False))
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)])
+    return key.isin(*[_literal_key(types, keys, r) for r in rows])
+
+
+def _alone(around: list[tuple], i: int) -> bool:
+    """No neighbour of row ``i`` has its key."""
+    return all(around[j] != around[i] for j in (i - 1, i + 1) if 0 <= j < len(around))
+
+
+def _near_top(df: DataFrame, keys: list[str], top: int) -> list[tuple]:
+    """The keys of the first ``top + 2`` rows: each task keeps as many, none are moved."""
+    return [tuple(r) for r in df.select(*keys).orderBy(*_ascending(keys)).limit(top + 2).collect()]
+
+
+def _far_down(w: "Wrangler", df: DataFrame, keys: list[str], rows: list[int], tie: str | None) -> tuple[int, dict[int, tuple], bool, "Wrangler"]:
+    """(rows in the table, key of each addressed row, all alone?, wrangler with bounds). The
+    buckets are counted, and only those that hold an addressed row are sorted."""
+    bdf, bcols, w = bucketed(w._with(df=df), tie)
+    if tie is None and w.bounds and len(w.bounds[0]) > len(keys) - w.order.index(w.qkey):
+        return 0, {}, False, w  # a key lies in several buckets
+    counts = bdf.groupBy(*bcols).count().orderBy(*_ascending(bcols)).collect()  # one row a bucket
+    total, hold = 0, {}
+    for c in counts:
+        here = [r for r in rows if total <= r < total + c["count"]]
+        if here:
+            hold[tuple(c[b] for b in bcols)] = (total, here)
+        total += c["count"]
+    if not hold:
+        return total, {}, True, w
+    few = bdf.where(is_one_of(bdf, bcols, list(hold)))
+    win = Window.partitionBy(*bcols).orderBy(*_ascending(keys))
+    key = F.struct(*[F.col(c) for c in keys])
+    few = few.select(*bcols, *keys, F.row_number().over(win).alias("__n"),
+                     (F.coalesce(F.lag(key).over(win) == key, F.lit(False))
+                      | F.coalesce(F.lead(key).over(win) == key, F.lit(False))).alias("__twin"))
+    wanted = [(*b, r - start + 1) for b, (start, here) in hold.items() for r in here]
+    found = {tuple(r[b] for b in [*bcols, "__n"]): r for r in few.where(is_one_of(few, [*bcols, "__n"], wanted)).collect()}
+    out = {}
+    for b, (start, here) in hold.items():
+        for r in here:
+            out[r] = tuple(found[(*b, r - start + 1)][c] for c in keys)
+    return total, out, not any(r["__twin"] for r in found.values()), w
+
+
+def addresses(w: "Wrangler", rows: list[int]) -> tuple["Wrangler", Column | None, dict[int, tuple], list[str]]:
+    """(wrangler, condition that holds for exactly the rows with these numbers, key of each,
+    key columns); the condition is None where keys do not tell the rows apart (rows equal in
+    every column), or depend on how files are cut (text). A number beyond the table raises.
+
+    Few rows from the top are found by a top-k of keys, others in their buckets; ties of the
+    order key are looked at only where an addressed row has one."""
+    if w.prefix_unbounded:
+        return w, None, {}, []
+    top = max(rows)
+    keys = list(w.order)
+    tied = w.fresh("__tie")
+    for with_tie in (False, True):
+        df = w.df.withColumn(tied, tie_break(w.df)) if with_tie else w.df
+        names = [*keys, tied] if with_tie else keys
+        if top < NEAR_TOP:
+            around = _near_top(df, names, top)
+            total = len(around)
+            got = {r: around[r] for r in rows if r < total}
+            alone = all(_alone(around, r) for r in got)
+        else:
+            total, got, alone, seen = _far_down(w, df, names, sorted(set(rows)), tied if with_tie else None)
+            w = w._with(bounds=seen.bounds)
+            if not alone and not got:
+                continue
+        if len(got) < len(set(rows)):
+            raise ValueError(f"row {top} is out of range: the table has {total} rows")
+        if alone:
+            out = w._with(df=df) if with_tie else w
+            return out, is_one_of(df, names, list(dict.fromkeys(got.values()))), got, names
+    return w, None, {}, []
+
+
 def never_null(df: DataFrame, cols: list[str], taken: "Wrangler") -> tuple[DataFrame, list[str], list[str]]:
     """Grouping columns for ``cols`` without nulls, so that groups join by plain equality and
     keep the partitioning of the window: a null becomes an empty value, and for the partition
@@ -158,25 +287,24 @@ def ordered_scan(
     * ``last_hit`` – ``{out: cond}`` row index of the last row at or before
       this one where ``cond`` holds (null before the first).
 
-    Plan: the side table is a partial aggregate of the input per (part,
-    bucket) – a scan plus a K-row shuffle – so the data itself is shuffled
-    once, by (part, bucket), for the in-bucket window; the side table, after
-    its own windows over buckets, is joined back.
+    Plan: one exchange by (part, bucket), a sort, in-bucket windows; the side table is the
+    last (for ``bfill`` the first) row of each bucket, from the same exchange.
     """
     ffill, bfill, csum, last_hit = ffill or {}, bfill or {}, csum or {}, last_hit or {}
     w.require_batch("an ordered verb")
+    if w.dense and not w.has_part and not (ffill or bfill or csum or last_hit):
+        return _numbered(w, rid, count)
     w = _cut_lineage(w)
     tie = [] if w.prefix_unbounded else [w.fresh("__tie")]  # keys of a text source are unique
     if tie:
         w = w._with(df=w.df.withColumn(tie[0], tie_break(w.df)))
-    df, bcols, w = bucketed(w)
+    df, bcols, w = bucketed(w, *tie)
     df, part, made = never_null(df, w.part_cols, w)
     n_part = len(part)
     df, keys, more = never_null(df, [c for c in w.prefix], w._with(df=df))
     keys = [*part, *keys, *[c for c in bcols if c not in w.prefix]]
     bcols, made = keys[n_part:], [*made, *more, *[c for c in bcols if c not in w.prefix], *tie]
-    order = [F.col(c).asc_nulls_first() for c in [*w.order, *tie]]
-    okey = F.struct(*[F.col(c) for c in [*w.order, *tie]])
+    order = _ascending([*w.order, *tie])
 
     tmp: dict[str, str] = {}
 
@@ -190,31 +318,41 @@ def ordered_scan(
     for kind, out, expr in specs:
         src[(kind, out)] = t(f"in_{kind}_{out}")
         df = df.withColumn(src[(kind, out)], expr)
+    moved = df.columns
 
-    # -- side table: one partial aggregate over the input ---------------------
-    n_col = t("n")
-    aggs = [F.count(F.lit(1)).alias(n_col)]
+    # -- in-bucket running values ----------------------------------------------
+    win = Window.partitionBy(*keys).orderBy(*order)
+    upto = win.rowsBetween(Window.unboundedPreceding, 0)
+    # "first non-null at or after" as a running last() over the reversed order:
+    # (current, unbounded following) frames are re-aggregated per row (quadratic)
+    rev = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in [*w.order, *tie]])
+    after_row = rev.rowsBetween(Window.unboundedPreceding, 0)
+    rn = t("rn")
+    local = {rn: F.row_number().over(win)}
     for kind, out, _ in specs:
         s = F.col(src[(kind, out)])
-        name = t(f"agg_{kind}_{out}")
+        name = t(f"loc_{kind}_{out}")
         if kind == "f":
-            aggs.append(F.max_by(s, F.when(s.isNotNull(), okey)).alias(name))
+            local[name] = F.last(s, ignorenulls=True).over(upto)
         elif kind == "b":
-            aggs.append(F.min_by(s, F.when(s.isNotNull(), okey)).alias(name))
+            local[name] = F.last(s, ignorenulls=True).over(after_row)
         elif kind == "c":
-            aggs.append(F.sum(s).alias(name))
-        else:  # order key of the bucket's last hit
-            aggs.append(F.max(F.when(s, okey)).alias(name))
-    side = df.groupBy(*keys).agg(*aggs)
-    hits = [(out, tmp[f"agg_h_{out}"]) for kind, out, _ in specs if kind == "h"]
-    if hits:
-        # in-bucket position of the last hit = rows at or before its key
-        lk = side.select(*keys, *[a for _, a in hits])
-        pos = _join(df.select(*keys, okey.alias("__okey")), lk, keys, "inner").groupBy(*keys).agg(
-            *[F.count_if(F.col("__okey") <= F.col(a)).alias(t(f"pos_h_{out}")) for out, a in hits])
-        side = _join(side, pos, keys, "left")
-
-    ws = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in bcols])
+            local[name] = F.sum(s).over(upto)
+    df = df.withColumn(rn, local.pop(rn))
+    for kind, out, _ in specs:
+        if kind == "h":
+            local[tmp[f"loc_h_{out}"]] = F.last(F.when(F.col(src[("h", out)]), F.col(rn)), ignorenulls=True).over(upto)
+    if local:
+        df = df.withColumns(local)
+
+    # -- side table: the rows at the buckets' ends -------------------------------
+    side = _ends(df, keys, moved, F.lead(F.lit(1)).over(win), [
+        (F.col(rn), t("n")), *[(F.col(tmp[f"loc_{k}_{o}"]), t(f"agg_{k}_{o}")) for k, o, _ in specs if k != "b"]])
+    back = [(F.col(tmp[f"loc_b_{o}"]), t(f"agg_b_{o}")) for k, o, _ in specs if k == "b"]
+    if back:
+        side = _join(side, _ends(df, keys, moved, F.lead(F.lit(1)).over(rev), back), keys, "inner")
+    n_col = tmp["n"]
+    ws = Window.partitionBy(*part).orderBy(*_ascending(bcols))
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     following = ws.rowsBetween(1, Window.unboundedFollowing)
     off = t("off")
@@ -232,34 +370,9 @@ def ordered_scan(
         elif kind == "c":
             sel.append(F.coalesce(F.sum(a).over(before), F.lit(0)).alias(name))
         else:
-            p = F.col(tmp[f"pos_h_{out}"])
-            glob = F.when(a.isNotNull(), F.col(off) + p - 1)
+            glob = F.when(a.isNotNull(), F.col(off) + a - 1)
             sel.append(F.last(glob, ignorenulls=True).over(before).alias(name))
     side = side.select(*sel)
-
-    # -- the data: one shuffle by (part, bucket), in-bucket window, carry --------
-    win = Window.partitionBy(*keys).orderBy(*order)
-    upto = win.rowsBetween(Window.unboundedPreceding, 0)
-    # "first non-null at or after" as a running last() over the reversed order:
-    # (current, unbounded following) frames are re-aggregated per row (quadratic)
-    rev = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in [*w.order, *tie]])
-    after_row = rev.rowsBetween(Window.unboundedPreceding, 0)
-    rn = t("rn")
-    df = df.withColumn(rn, F.row_number().over(win))
-    local = {}
-    for kind, out, _ in specs:
-        s = F.col(src[(kind, out)])
-        name = t(f"loc_{kind}_{out}")
-        if kind == "f":
-            local[name] = F.last(s, ignorenulls=True).over(upto)
-        elif kind == "b":
-            local[name] = F.last(s, ignorenulls=True).over(after_row)
-        elif kind == "c":
-            local[name] = F.sum(s).over(upto)
-        else:
-            local[name] = F.last(F.when(s, F.col(rn)), ignorenulls=True).over(upto)
-    if local:
-        df = df.withColumns(local)
     df = _join(df, side, keys, "left")
 
     new_cols = {}
@@ -281,14 +394,41 @@ def ordered_scan(
     return df.drop(*drop), w._with(depth=w.depth + 1)
 
 
+def _ends(df: DataFrame, keys: list[str], moved: list[str], beyond: Column, values: list[tuple[Column, str]]) -> DataFrame:
+    """``values`` of the rows that have no row ``beyond`` them in their bucket. The test that
+    always holds names every column that the data's own exchange moves: then this branch asks
+    for the same exchange, and Spark makes it once."""
+    end = "__end"
+    return (df.withColumn(end, beyond).where(F.col(end).isNull() & (F.xxhash64(*moved) >= F.lit(-(1 << 63))))
+            .select(*keys, *[v.alias(name) for v, name in values]))
+
+
+def _numbered(w: "Wrangler", rid: str | None, count: str | None) -> tuple[DataFrame, "Wrangler"]:
+    """Row numbers of a text source none of whose rows are gone: a row's place in its split is
+    its position less the split's first, so only counts per split are moved, no lines."""
+    split = list(w.prefix)
+    pos = w.order[-1]
+    n, low, off = (w.fresh(f"__split_{x}") for x in ("n", "low", "off"))
+    side = w.df.groupBy(*split).agg(F.count(F.lit(1)).alias(n), F.min(pos).alias(low))
+    before = Window.orderBy(*_ascending(split)).rowsBetween(Window.unboundedPreceding, -1)
+    cols = [*split, low, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off)]
+    if count:
+        cols.append(F.sum(n).over(Window.partitionBy()).cast("long").alias(count))
+    df = _join(w.df, side.select(*cols), split, "left")
+    if rid:
+        df = df.withColumn(rid, F.col(off) + F.col(pos) - F.col(low))
+    made = [c for c in (rid, count) if c]
+    return df.select(*w.df.columns, *made), w._with(depth=w.depth + 1)
+
+
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join on the grouping columns, which hold no nulls."""
     return left.join(right, on=keys, how=how)
 
 
 def _cut_lineage(w: "Wrangler") -> "Wrangler":
-    """Each ordered scan reads its input twice (side aggregate and data), so a
-    chain of them would recompute the lineage 2^depth times; past
+    """Where a later verb drops columns, an ordered scan may read its input twice, so a long
+    chain of them could recompute the lineage 2^depth times; past
     ``sheaf.order.checkpointDepth`` (default 2) the input is checkpointed."""
     limit = int(w.spark.conf.get("sheaf.order.checkpointDepth", "2"))
     if w.depth < limit:

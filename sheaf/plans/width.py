@@ -42,7 +42,7 @@ def expand(w: Wrangler, parts: dict[str, list[Column]]) -> Wrangler:
                     for e, n in zip(parts[c], names)]
         else:
             sel.append(F.col(c))
-    out = w._with(df=w.df.select(*sel))
+    out = w._with(df=w.df.select(*sel), dense=w.dense)
     out.created = tuple(made)
     return out
 
@@ -104,6 +104,6 @@ def spread(w: Wrangler, arrays: dict[str, Column], width: int | dict | None = No
                     for i, n in enumerate(names)]
         else:
             sel.append(F.col(c))
-    out = w._with(df=df1.select(*sel))
+    out = w._with(df=df1.select(*sel), dense=w.dense)
     out.created = tuple(made)
     return out
