@@ -78,12 +78,36 @@ def _consumes(pattern: str) -> bool:
         return False
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once. Inside a lambda an expression is computed anew
+    for every element, and in ``when`` branches for every use; a lambda's variable is not."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def in_steps(steps, x: Column) -> Column:
+    """Run a stepwise computation (a generator function that yields columns to be computed once
+    and returns a column) as one expression, for use inside lambdas."""
+    gen = steps(x)
+
+    def go(sent):
+        try:
+            value = gen.send(sent)
+        except StopIteration as done:
+            return done.value
+        return bound(value, go)
+
+    return go(None)
+
+
 def first_match(c: Column, pattern: str) -> tuple[Column, Column, Column]:
     """(found, text before, text after) of the first match, from one ``split(c, P, 2)``: the
-    user's pattern stays whole, so the numbers of its groups and back-references do too. A
-    ``split`` passes over an empty match at the start; unless the pattern always consumes
+    user's pattern stays whole, so the numbers of its groups and back-references do too."""
+    return _around(c, pattern, F.split(c, pattern, 2))
+
+
+def _around(c: Column, pattern: str, parts: Column) -> tuple[Column, Column, Column]:
+    """A ``split`` passes over an empty match at the start; unless the pattern always consumes
     something, that case is asked for."""
-    parts = F.split(c, pattern, 2)
     found, pre, post = F.size(parts) == 2, F.get(parts, 0), F.get(parts, 1)
     if _consumes(pattern):
         return found, pre, post
@@ -92,6 +116,30 @@ def first_match(c: Column, pattern: str) -> tuple[Column, Column, Column]:
     return at_start | found, F.when(at_start, F.lit("")).otherwise(pre), F.when(at_start, c).otherwise(post)
 
 
+def locate(c: Column, value: str | None, pattern: str | None):
+    """Steps to (found, text before, text after) of the first literal or regex match."""
+    if value is not None:
+        p = yield F.instr(c, value)
+        return p > 0, head(c, p - 1), rest(c, p + len(value))
+    parts = yield F.split(c, pattern, 2)
+    return _around(c, pattern, parts)
+
+
+def range_pattern(a: str, b: str, inclusive: bool) -> tuple[str, int]:
+    """(regex of one range, number of the group that holds the text between its ends).
+
+    Ranges are found as a reader would from left to right: the first place where ``a`` matches
+    and a later ``b`` ends the range; then on behind it. With its ends (``inclusive``), ``b`` is
+    searched from the start of ``a`` and may overlap it. Without them, ``b`` is searched behind
+    the whole match of ``a`` (which is not shortened to make room), at least one character lies
+    between, and group 1 holds the text of ``a``; ``b`` stays for the next range to begin with."""
+    n = group_count(a)
+    if inclusive:
+        return f"(?=(?:{a}))(?s:.*?)(?:{shift_groups(b, n)})", 0
+    gap = n + group_count(b) + 2
+    return (f"((?>{shift_groups(a, 1)}))(?!(?:{shift_groups(b, n + 1)}))((?s:.+?))(?=(?:{shift_groups(b, gap)}))", gap)
+
+
 def first_regex_removed(c: Column, pattern: str) -> Column:
     """Remove the first match of ``pattern`` (Java ``replaceFirst(p, "")``)."""
     lit = plain_literal(pattern)
@@ -171,13 +219,11 @@ def jvm_split(c: Column, pattern: str) -> Column:
         return (F.when(c == F.lit(""), F.array(F.lit("")))
                 .when(stripped == F.lit(""), F.array().cast("array<string>"))
                 .otherwise(F.split(stripped, pattern, -1)))
-    arr = F.split(c, pattern, -1)
-    last_non_empty = F.array_max(
-        F.transform(arr, lambda y, i: F.when(y != F.lit(""), i + 1).otherwise(F.lit(0)))
-    )
-    return F.when(c == F.lit(""), F.array(F.lit(""))).otherwise(
-        F.slice(arr, F.lit(1), F.greatest(F.lit(0), last_non_empty))
-    )
+    def no_tail(arr: Column) -> Column:
+        last_non_empty = F.array_max(F.transform(arr, lambda y, i: F.when(y != F.lit(""), i + 1).otherwise(F.lit(0))))
+        return F.slice(arr, F.lit(1), F.greatest(F.lit(0), last_non_empty))
+
+    return F.when(c == F.lit(""), F.array(F.lit(""))).otherwise(bound(F.split(c, pattern, -1), no_tail))
 
 
 def _single_char(pattern: str) -> str | None:
@@ -203,18 +249,18 @@ def regex_through_len(c: Column, pattern: str) -> Column:
 
 def pieces_after(c: Column, pattern: str) -> Column:
     """The text cut behind every match of ``pattern``; no trailing empty piece."""
-    rests, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    cut = F.transform(rests, lambda x, i: F.concat(x, F.coalesce(F.get(found, i), F.lit(""))))
-    last = F.element_at(cut, -1) == F.lit("")
-    return F.when(c == F.lit(""), F.array(F.lit(""))).otherwise(
-        F.when(last & (F.size(cut) > 1), F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut))
+    cut = F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)),
+                     lambda x, m: F.concat(x, F.coalesce(m, F.lit(""))))
+    tail = lambda v: F.when((F.element_at(v, -1) == F.lit("")) & (F.size(v) > 1), F.slice(v, F.lit(1), F.size(v) - 1)).otherwise(v)
+    return F.when(c == F.lit(""), F.array(F.lit(""))).otherwise(bound(cut, tail))
 
 
 def pieces_before(c: Column, pattern: str) -> Column:
     """The text cut in front of every match of ``pattern``; no leading empty piece."""
-    rests, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    cut = F.transform(rests, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.get(found, i - 1), x)))
-    return F.when((F.get(cut, 0) == F.lit("")) & (F.size(cut) > 1), F.slice(cut, F.lit(2), F.size(cut) - 1)).otherwise(cut)
+    found = F.concat(F.array(F.lit("")), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+    cut = F.zip_with(F.split(c, pattern, -1), found, lambda x, m: F.concat(m, x))
+    lead = lambda v: F.when((F.get(v, 0) == F.lit("")) & (F.size(v) > 1), F.slice(v, F.lit(2), F.size(v) - 1)).otherwise(v)
+    return bound(cut, lead)
 
 
 def blank(c: Column) -> Column:

@@ -59,16 +59,11 @@ def _valid(c: Column, first: Column, second: Column) -> Column:
 def cut_range(c: Column, a, b, where: str, max: str) -> Column:
     if is_pattern(a) and is_pattern(b):
         A, B = as_pattern(a), as_pattern(b)
-        if where == ON:
-            # the end is searched from the START of the first match, as the
-            # positional form does (so it may overlap it)
-            pat = f"(?=(?:{A}))(?s:.*?)(?:{T.shift_groups(B, T.group_count(A))})"
-            if max == "all":
-                return F.regexp_replace(c, F.lit(pat), F.lit(""))
-            return T.first_regex_removed(c, pat)
         if max == "all":
-            return F.regexp_replace(c, F.lit(
-                f"((?:{T.shift_groups(A, 1)}))(?s:.*?)(?=(?:{T.shift_groups(B, 1 + T.group_count(A))}))"), F.lit("$1"))
+            pat, _ = T.range_pattern(A, B, where == ON)
+            return F.regexp_replace(c, F.lit(pat), F.lit("" if where == ON else "$1"))
+        if where == ON:
+            return T.first_regex_removed(c, T.range_pattern(A, B, True)[0])
         found, _, post = T.first_match(c, A)
         hit, gap, _ = T.first_match(post, B)
         kept = F.concat(T.head(c, F.length(c) - F.length(post)), T.rest(post, F.length(gap) + 1))

@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 
 from ..frame import Wrangler
 from ..functions import text as T
-from ..match import (AFTER, BEFORE, BETWEEN, ON, Spec, as_pattern, is_pattern, make_specs,
-                     order_specs)
-from ..plans.width import expand, split_within, spread
-from .cut import _valid, cut_range, range_bounds
-
+from ..match import AFTER, BEFORE, ON, Spec, as_pattern, is_pattern, make_specs, order_specs
+from ..plans.width import expand, expand_in_steps, split_within, spread
+from .cut import _valid, range_bounds
 
 
 def E() -> Column:
@@ -86,56 +84,78 @@ def split_all(w: Wrangler, pattern: str, columns=None, width: int | None = None,
 
 # -- OW-style spec forms -----------------------------------------------------
 
-def _locate(c: Column, t) -> tuple[Column, Column]:
-    """(start, end) 0-based offsets of the first match of a literal/regex, null if none."""
-    if isinstance(t, str):
-        p = F.instr(c, t)
-        return F.when(p > 0, p - 1), F.when(p > 0, p - 1 + len(t))
-    return T.regex_prefix_len(c, t.pattern), T.regex_through_len(c, t.pattern)
-
-
-def _two(c: Column, spec: Spec) -> tuple[Column, Column, Column]:
-    """(found, left, right) for a first-mode split spec."""
+def _locate(c: Column, t):
+    """Steps to (found, text before, text after) of the first match of a literal or regex."""
+    found = yield from (T.locate(c, t, None) if isinstance(t, str) else T.locate(c, None, t.pattern))
+    return found
+
+
+def _first_range(c: Column, a, b, where: str):
+    """Steps to (found, left, right, middle) of the first range. ``on`` takes its ends with it;
+    ``between`` leaves them, and looks at the first ``a`` only: with no ``b`` behind it, or right
+    behind it, the cell has no range."""
+    if not (is_pattern(a) and is_pattern(b)):
+        first, second = range_bounds(c, a, b, where)
+        ends = yield F.struct(first.alias("first"), second.alias("second"))
+        first, second = ends["first"], ends["second"]
+        return (F.coalesce(_valid(c, first, second), F.lit(False)), T.head(c, first), T.rest(c, second + 1),
+                F.substr(c, first + 1, second - first))
+    if where == ON and not (isinstance(a, str) and isinstance(b, str)):
+        pat, _ = T.range_pattern(as_pattern(a), as_pattern(b), True)
+        found, left, right = yield from T.locate(c, None, pat)
+        return found, left, right, F.substr(c, F.length(left) + 1, F.length(c) - F.length(left) - F.length(right))
+    if where == ON:  # literals: the end is searched from the start of the first match
+        p = yield F.instr(c, a)
+        q = yield F.when(p > 0, F.instr(T.rest(c, p), b)).otherwise(F.lit(0))
+        return q > 0, T.head(c, p - 1), T.rest(c, p + q - 1 + len(b)), F.substr(c, p, q - 1 + len(b))
+    found, _, post = yield from _locate(c, a)
+    post = yield F.when(found, post).otherwise(F.lit(""))
+    hit, gap, _ = yield from _locate(post, b)
+    gap = yield F.when(hit, gap).otherwise(F.lit(""))
+    return (gap != F.lit(""), T.head(c, F.length(c) - F.length(post)), T.rest(post, F.length(gap) + 1), gap)
+
+
+def _first(c: Column, spec: Spec):
+    """Steps to (found, left, right, middle) of a first-mode spec; ``middle`` is what an ``on``
+    match or a range holds."""
     t, where = spec.target, spec.where
     if isinstance(t, int):
         ok = F.length(c) > t
-        if where == ON:
-            return ok, T.head(c, t), T.rest(c, t + 2)
-        if where == AFTER:
-            return ok, T.head(c, t + 1), T.rest(c, t + 2)
-        return ok, T.head(c, t), T.rest(c, t + 1)
+        left = T.head(c, t + 1) if where == AFTER else T.head(c, t)
+        right = T.rest(c, t + 1) if where == BEFORE else T.rest(c, t + 2)
+        return ok, left, right, F.substr(c, F.lit(t + 1), F.lit(1))
     if isinstance(t, tuple):
-        first, second = range_bounds(c, t[0], t[1], where)
-        return _valid(c, first, second), T.head(c, first), T.rest(c, second + 1)
-    s, e = _locate(c, t)
-    ok = s.isNotNull()
+        found = yield from _first_range(c, t[0], t[1], where)
+        return found
+    ok, pre, post = yield from _locate(c, t)
     if where == ON:
-        return ok, T.head(c, s), T.rest(c, e + 1)
+        size = F.length(c) - F.length(pre) - F.length(post)
+        return ok, pre, post, F.substr(c, F.length(pre) + 1, size)
     if where == AFTER:
-        return ok, T.head(c, e), T.rest(c, e + 1)
-    return ok, T.head(c, s), T.rest(c, s + 1)
+        return ok, T.head(c, F.length(c) - F.length(post)), post, E()
+    return ok, pre, T.rest(c, F.length(pre) + 1), E()
 
 
-def _split_pieces(spec: Spec, max: str) -> Callable[[Column], Column]:
+def _split_pieces(spec: Spec, max: str):
+    """Steps from a piece to the array of its pieces."""
     t, where = spec.target, spec.where
-    if max == "all" and not isinstance(t, int):
-        if isinstance(t, tuple):
-            if is_pattern(t[0]) and is_pattern(t[1]):
-                A = as_pattern(t[0])
-                B = T.shift_groups(as_pattern(t[1]), T.group_count(A))
-                pat = (f"(?=(?:{A}))(?s:.*?)(?:{B})" if where == ON
-                       else f"(?<=(?:{A}))(?s:.*?)(?=(?:{B}))")
-                return lambda p: T.jvm_split(p, pat)
-        else:
-            P = as_pattern(t)
+    ranged = isinstance(t, tuple)
+    if max == "all" and not isinstance(t, int) and (not ranged or all(map(is_pattern, t))):
+        if not ranged:
             of = {ON: T.jvm_split, AFTER: T.pieces_after, BEFORE: T.pieces_before}[where]
-            return lambda p: of(p, P)
+            return lambda p: of(p, as_pattern(t))
+        pat, _ = T.range_pattern(as_pattern(t[0]), as_pattern(t[1]), where == ON)
+        if where == ON:
+            return lambda p: T.jvm_split(p, pat)
+        # the text of each start stays at the end of the piece before its range
+        return lambda p: F.zip_with(F.split(p, pat, -1), F.regexp_extract_all(p, F.lit(pat), F.lit(1)),
+                                    lambda x, m: F.concat(x, F.coalesce(m, E())))
 
-    def first(p: Column) -> Column:
-        ok, left, right = _two(p, spec)
+    def steps(p: Column):
+        ok, left, right, _ = yield from _first(p, spec)
         return F.when(ok, F.array(left, right)).otherwise(F.array(p))
 
-    return first
+    return lambda p: T.in_steps(steps, p)
 
 
 def _compose(fns: list[Callable[[Column], Column]]) -> Callable[[Column], Column]:
@@ -143,7 +163,7 @@ def _compose(fns: list[Callable[[Column], Column]]) -> Callable[[Column], Column
         arr = F.array(c)
         for fn in fns:
             arr = F.flatten(F.transform(arr, fn))
-        return arr
+        return F.when(c.isNotNull(), arr)
 
     return f
 
@@ -157,12 +177,11 @@ def split(w: Wrangler, on=None, after=None, before=None, between=None, columns=N
     specs = order_specs(make_specs(on=on, after=after, before=before, between=between))
     names = w.resolve(columns)
     if len(specs) == 1 and max == "first":
-        out = {}
-        for n in names:
-            c = w.text(n)
-            ok, left, right = _two(c, specs[0])
-            out[n] = [F.when(ok, left).otherwise(c), F.when(ok, right).otherwise(E())]
-        return expand(w, out)
+        def steps(c: Column):
+            ok, left, right, _ = yield from _first(c, specs[0])
+            return [F.when(ok, left).otherwise(c), F.when(ok, right).otherwise(E())]
+
+        return expand_in_steps(w, dict.fromkeys(names, steps))
     fn = _compose([_split_pieces(s, max) for s in specs])
     return spread(w, {n: fn(w.text(n)) for n in names}, max_columns=max_columns)
 
@@ -194,45 +213,21 @@ def extract_fn(w: Wrangler, fn: Callable[[Column], Column], columns=None) -> Wra
     return expand(w, out)
 
 
-def _extract_two(c: Column, spec: Spec) -> tuple[Column, Column, Column]:
-    """(found, cell without the match, match) for first mode."""
+def _extract_pieces(spec: Spec, max: str):
+    """Steps from a piece to the array of the piece without its matches, and the matches."""
     t, where = spec.target, spec.where
-    if isinstance(t, int):
-        ok = F.length(c) > t
-        return ok, T.delete_char(c, t), F.substr(c, F.lit(t + 1), F.lit(1))
-    if isinstance(t, tuple):
-        first, second = range_bounds(c, t[0], t[1], where)
-        return (_valid(c, first, second), T.remove_range(c, first, second),
-                F.substr(c, first + 1, second - first))
-    s, e = _locate(c, t)
-    return s.isNotNull(), T.remove_range(c, s, e), F.substr(c, s + 1, e - s)
+    ranged = isinstance(t, tuple)
+    if max == "all" and not isinstance(t, int) and (not ranged or all(map(is_pattern, t))):
+        pat, group = T.range_pattern(as_pattern(t[0]), as_pattern(t[1]), where == ON) if ranged else (as_pattern(t), 0)
+        left = F.lit("$1" if group else "")
+        return lambda p: F.concat(F.array(F.regexp_replace(p, F.lit(pat), left)),
+                                  F.regexp_extract_all(p, F.lit(pat), F.lit(group)))
 
+    def steps(p: Column):
+        ok, left, right, middle = yield from _first(p, spec)
+        return F.when(ok, F.array(F.concat(left, right), middle)).otherwise(F.array(p))
 
-def _extract_pieces(spec: Spec, max: str) -> Callable[[Column], Column]:
-    t, where = spec.target, spec.where
-    if max == "all" and not isinstance(t, int):
-        if isinstance(t, tuple):
-            if is_pattern(t[0]) and is_pattern(t[1]):
-                A = as_pattern(t[0])
-                B = T.shift_groups(as_pattern(t[1]), T.group_count(A))
-                if where == ON:
-                    pat = f"(?=(?:{A}))(?s:.*?)(?:{B})"
-                    return lambda p: F.concat(F.array(F.regexp_replace(p, F.lit(pat), E())),
-                                              F.regexp_extract_all(p, F.lit(pat), F.lit(0)))
-                pat = f"(?<=(?:{A}))(?s:.*?)(?=(?:{B}))"
-                return lambda p: F.concat(
-                    F.array(cut_range(p, t[0], t[1], BETWEEN, "all")),
-                    F.regexp_extract_all(p, F.lit(pat), F.lit(0)))
-        else:
-            P = as_pattern(t)
-            return lambda p: F.concat(F.array(F.regexp_replace(p, F.lit(P), E())),
-                                      F.regexp_extract_all(p, F.lit(P), F.lit(0)))
-
-    def first(p: Column) -> Column:
-        ok, left, right = _extract_two(p, spec)
-        return F.when(ok, F.array(left, right)).otherwise(F.array(p))
-
-    return first
+    return lambda p: T.in_steps(steps, p)
 
 
 def extract(w: Wrangler, on=None, between=None, after=None, before=None, columns=None,
@@ -246,11 +241,10 @@ def extract(w: Wrangler, on=None, between=None, after=None, before=None, columns
     specs = order_specs(make_specs(on=on, after=after, before=before, between=between))
     names = w.resolve(columns)
     if len(specs) == 1 and max == "first":
-        out = {}
-        for n in names:
-            c = w.text(n)
-            ok, left, right = _extract_two(c, specs[0])
-            out[n] = [F.when(ok, left).otherwise(c), F.when(ok, right).otherwise(E())]
-        return expand(w, out)
+        def steps(c: Column):
+            ok, left, right, middle = yield from _first(c, specs[0])
+            return [F.when(ok, F.concat(left, right)).otherwise(c), F.when(ok, middle).otherwise(E())]
+
+        return expand_in_steps(w, dict.fromkeys(names, steps))
     fn = _compose([_extract_pieces(s, max) for s in specs])
     return spread(w, {n: fn(w.text(n)) for n in names}, max_columns=max_columns)

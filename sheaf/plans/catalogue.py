@@ -451,6 +451,37 @@ def extract_range(spark, d):
             .extract(between=("{", "}"), columns="props").to_df())
 
 
+_BETWEEN_VOWELS = """
+WITH t AS (SELECT p_partkey, p_name AS x, regexp_extract(p_name, '^[^aeiou]*') AS a,
+                  CASE WHEN regexp_matches(p_name, '[aeiou]') THEN regexp_extract(p_name, '[^aeiou]*$') ELSE '' END AS z
+           FROM part),
+     u AS (SELECT *, substr(x, length(a) + 1, length(x) - length(a) - length(z)) AS m FROM t)
+"""
+
+
+def _pieces(w: Wrangler) -> DataFrame:
+    """The pieces of ``p_name`` as one cell, whatever their number in these tables."""
+    df = w.to_df()
+    return df.select("p_partkey", F.rtrim(F.concat_ws("|", *[c for c in df.columns if c != "p_partkey"]), F.lit("|")).alias("pieces"))
+
+
+@query("split_between_all", _BETWEEN_VOWELS + """
+SELECT p_partkey, a || regexp_replace(m, '[^aeiou]+', '|', 'g') || z AS pieces FROM u""")
+def split_between_all(spark, d):
+    # P9 all: the start, a run of vowels, has any length; the next range begins with the end
+    return _pieces(W(spark, d, "part", ["p_partkey", "p_name"])
+                   .split(between=(re_("[aeiou]+"), re_("[aeiou]")), max="all", columns="p_name"))
+
+
+@query("extract_between_all", _BETWEEN_VOWELS + """
+SELECT p_partkey, rtrim(a || regexp_replace(m, '[^aeiou]+', '', 'g') || z || '|' ||
+                        array_to_string(regexp_extract_all(m, '[^aeiou]+'), '|'), '|') AS pieces FROM u""")
+def extract_between_all(spark, d):
+    # E6 all: the cell without its ranges, then every range
+    return _pieces(W(spark, d, "part", ["p_partkey", "p_name"])
+                   .extract(between=(re_("[aeiou]+"), re_("[aeiou]")), max="all", columns="p_name"))
+
+
 @query("extract_all", """
 WITH t AS (SELECT event_id, regexp_replace(props, '[0-9]', '', 'g') AS r,
                   regexp_extract_all(props, '[0-9]') AS m FROM events)

@@ -47,6 +47,36 @@ def expand(w: Wrangler, parts: dict[str, list[Column]]) -> Wrangler:
     return out
 
 
+def expand_in_steps(w: Wrangler, steps: dict) -> Wrangler:
+    """``expand`` where the pieces are found step by step: ``steps[c]`` is a generator function
+    of the cell that yields columns to be computed once and returns the pieces. Every step is a
+    projection of its own, whose columns the next ones read."""
+    tmp: list[str] = []
+    df, running, pieces = w.df, {}, {}
+    for c, make in steps.items():
+        running[c] = (make(w.text(c)), None)
+    while running:
+        new, waiting = {}, {}
+        for c, (gen, sent) in running.items():
+            try:
+                value = gen.send(sent)
+            except StopIteration as done:
+                pieces[c] = done.value
+                continue
+            name = w.fresh(f"__step{len(tmp)}", extra=tmp)
+            tmp.append(name)
+            new[name] = value
+            waiting[c] = (gen, F.col(name))
+        if new:
+            df = df.withColumns(new)
+        running = waiting
+    wide = w._with(df=df, dense=w.dense)
+    out = expand(wide, {c: pieces[c] for c in steps})
+    res = out._with(df=out.df.drop(*tmp), dense=w.dense)
+    res.created = out.created
+    return res
+
+
 def split_within(c: Column, pattern: str, width: int):
     """(pieces of ``c`` up to ``width``, test that a cell has more). One ``split`` a cell: its
     last piece holds what lies beyond the width, which may only be delimiters, since trailing

@@ -219,3 +219,63 @@ def test_lookaround_and_range_all_forms(spark):
     assert got(w.cut(before=re_("[0-9]"), columns="s")) == [("a-b-c",), ("x",), ("1}{j:2}",)]
     # the end is searched from the start of the first match, so it may be that match
     assert got(w.split(on=("-", "-"), columns="s")) == [("a", "b-c"), ("x", ""), ("{k:1}{j:2}", "")]
+
+
+# -- ranges, left to right ------------------------------------------------------
+
+RANGES = [("a+", "b"), ("a", "b"), ("a+", "ab"), ("(a)(1)?", "b|1"), ("x?a", "(b)\\1?"), ("ab|b+", "b")]
+
+
+def ranges_of(text, a, b):
+    """(end of the start, begin of the end) of every range, by searching place after place."""
+    import re
+    out, at, kept = [], 0, 0
+    a, b = re.compile(a), re.compile(b)
+    while at <= len(text):
+        m = a.match(text, at)
+        e = b.search(text, m.end()) if m else None
+        if e and e.start() > m.end():
+            out.append((m.end(), e.start()))
+            at = e.start()
+        else:
+            at += 1
+    return out
+
+
+def test_ranges_equal_a_plain_search(spark):
+    import random
+    rng = random.Random(4)
+    texts = ["xaa1bz", "abccd", "abxb", "aab", "", "a", "aXb aYb", "aa1bbaa2b"] + [
+        "".join(rng.choice("ab1x ") for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, s string")
+    w = Wrangler(df)
+    for a, b in RANGES:
+        spec = {"between": (re_(a), re_(b)), "columns": "s", "max": "all"}
+        found = {t: ranges_of(t, a, b) for t in texts}
+        split, cut, out = ([list(r) for r in sorted(x.to_df().collect(), key=lambda r: r[0])]
+                           for x in (w.split(**spec), w.cut(**spec), w.extract(**spec)))
+        for i, t in enumerate(texts):
+            edges = [0, *[x for r in found[t] for x in r], len(t)]
+            pieces = [t[edges[j]:edges[j + 1]] for j in range(0, len(edges), 2)]
+            width = len(split[i]) - 1
+            assert split[i][1:] == pieces + [""] * (width - len(pieces)), (a, b, t)
+            assert cut[i][1] == "".join(pieces), (a, b, t)
+            mid = [t[x:y] for x, y in found[t]]
+            assert out[i][1:] == ["".join(pieces), *mid] + [""] * (len(out[i]) - 2 - len(mid)), (a, b, t)
+
+
+def test_range_stays_stated(spark):
+    df = spark.createDataFrame([("xaa1bz",), ("abccd",), (None,)], "s string")
+    w = Wrangler(df)
+    two = lambda x: [tuple(r) for r in x.to_df().collect()]
+    assert two(w.split(between=(re_("a+"), re_("b")))) == [("xaa", "bz"), ("abccd", ""), (None, None)]
+    assert two(w.extract(between=(re_("a+"), "b"))) == [("xaabz", "1"), ("abccd", ""), (None, None)]
+    assert two(w.extract(on=("a", "b"))) == [("xz", "aa1b"), ("ccd", "ab"), (None, None)]
+    assert two(w.split(on=[re_("a+"), "b"])) == [("x", "1", "z"), ("", "", "ccd"), (None, None, None)]
+
+
+def test_ranges_bind_what_they_find_once(spark):
+    from sheaf.plans.catalogue import queries
+    for name, token, most in [("extract_range", "instr(", 4), ("split_regex", "split(", 2)]:
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count(token) <= most, plan
