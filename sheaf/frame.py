@@ -87,6 +87,7 @@ class Wrangler:
         self.bounds = bounds
         self.prefix_unbounded = prefix_unbounded
         self.dense = dense  # a text source none of whose rows are gone: positions have no gaps
+        self.lean = None  # a frame with the same rows and order columns that is cheaper to read
 
     @classmethod
     def _raw(cls, df, order=(), prefix=(), qkey=None, bounds=None, prefix_unbounded=False,
@@ -98,11 +99,12 @@ class Wrangler:
     _KEEP = object()
 
     def _with(self, df=_KEEP, order=_KEEP, prefix=_KEEP, qkey=_KEEP, bounds=_KEEP,
-              prefix_unbounded=_KEEP, depth=_KEEP, dense=False) -> "Wrangler":
+              prefix_unbounded=_KEEP, depth=_KEEP, same_rows=False) -> "Wrangler":
         """A copy with some parts replaced. A new frame may hold other rows: verbs that keep
-        every row say so with ``dense=self.dense``."""
+        every row say so with ``same_rows``."""
         k = Wrangler._KEEP
-        return Wrangler._raw(
+        same_rows = same_rows or df is k
+        out = Wrangler._raw(
             self.df if df is k else df,
             self.order if order is k else order,
             self.prefix if prefix is k else prefix,
@@ -110,8 +112,16 @@ class Wrangler:
             self.bounds if bounds is k else bounds,
             self.prefix_unbounded if prefix_unbounded is k else prefix_unbounded,
             self.depth if depth is k else depth,
-            self.dense if df is k else dense,
+            self.dense and same_rows,
         )
+        if same_rows and out.order == self.order:
+            out.lean = self.lean
+        return out
+
+    @property
+    def keys(self) -> DataFrame:
+        """The frame to read order keys from."""
+        return self.df if self.lean is None else self.lean
 
     def checkpoint(self) -> "Wrangler":
         """Cut the lineage: a reliable checkpoint into the session's
@@ -121,7 +131,7 @@ class Wrangler:
 
         if self.is_streaming or checkpoint_dir(self.spark) is None:
             return self
-        return self._with(df=self.df.checkpoint(eager=True), depth=0, dense=self.dense)
+        return self._with(df=self.df.checkpoint(eager=True), depth=0, same_rows=True)
 
     # -- introspection ------------------------------------------------------
     @property
@@ -215,7 +225,7 @@ class Wrangler:
     def select_cells(self, exprs: dict[str, Column]) -> "Wrangler":
         """Replace the given data columns in place, keep everything else."""
         out = [exprs[c].alias(c) if c in exprs else F.col(c) for c in self.df.columns]
-        return self._with(df=self.df.select(*out), dense=self.dense)
+        return self._with(df=self.df.select(*out), same_rows=True)
 
     def __repr__(self):
         return (f"Wrangler(columns={self.columns}, order={list(self.order)}, "
@@ -264,7 +274,7 @@ class Wrangler:
 
     def renamed(self, new: dict[str, str]) -> "Wrangler":
         """Data columns renamed all at once (so that names may be swapped)."""
-        return self._with(df=self.df.toDF(*[new.get(c, c) for c in self.df.columns]), dense=self.dense)
+        return self._with(df=self.df.toDF(*[new.get(c, c) for c in self.df.columns]), same_rows=True)
 
     def __getitem__(self, column) -> "ColumnHandle":
         """H5: ``w["X"].split(" ")`` forwards ``columns="X"``."""
@@ -361,7 +371,7 @@ class Wrangler:
 
     def drop(self, columns) -> "Wrangler":
         names = self.resolve(columns)
-        return self._with(df=self.df.drop(*names), dense=self.dense)
+        return self._with(df=self.df.drop(*names), same_rows=True)
 
     remove_columns = drop
 
@@ -492,10 +502,10 @@ class Wrangler:
         return sinks.force(self)
 
     def persist(self) -> "Wrangler":
-        return self._with(df=self.df.persist(), dense=self.dense)
+        return self._with(df=self.df.persist(), same_rows=True)
 
     def unpersist(self) -> "Wrangler":
-        return self._with(df=self.df.unpersist(), dense=self.dense)
+        return self._with(df=self.df.unpersist(), same_rows=True)
 
 
 class ColumnHandle:

@@ -95,7 +95,7 @@ def fill_row(w: Wrangler, source: int, target, columns=None, blank=None) -> Wran
             here = is_one_of(out.df, keys, list(dict.fromkeys(key_of[r] for r in tgt)))
             res = out.select_cells({n: F.when(here & test(w.text(n)), F.lit(cells[n])).otherwise(w.text(n))
                                     for n in names if cells[n] is not None})
-            return res._with(df=res.df.drop(*[c for c in keys if c not in w.df.columns]), dense=w.dense)
+            return res._with(df=res.df.drop(*[c for c in keys if c not in w.df.columns]), same_rows=True)
     check_range(w, [source, *tgt])
     # Spread the source row's cells over its table or partition with a
     # forward and a backward fill in row order (bucketed, so a partition

@@ -28,7 +28,7 @@ def take_row(w: Wrangler, i: int) -> tuple[Row | None, Wrangler]:
         if i == 0:
             found = w.df.orderBy(*sort_keys(w)).limit(1)
         else:
-            df, rid, _ = w._with(df=w.df.drop(*w.part_cols), dense=w.dense)._rid()
+            df, rid, _ = w._with(df=w.df.drop(*w.part_cols), same_rows=True)._rid()
             found = df.filter(F.col(rid) == i)
         rows = found.select(*cells, *w.order).collect()
         if not rows:
@@ -37,14 +37,14 @@ def take_row(w: Wrangler, i: int) -> tuple[Row | None, Wrangler]:
             return rows[0], w._with(df=w.df.filter(~is_one_of(w.df, list(w.order), [tuple(rows[0][c] for c in w.order)])))
         df, rid, w2 = w._rid()
         return rows[0], w2._with(df=df.filter(F.col(rid) != i).drop(rid))
-    if i == 0:  # one job gives the row and whether the next one shares its key
-        top = w.df.orderBy(*[F.col(c).asc_nulls_first() for c in w.order]).limit(2)
-        top = top.select(*cells, *w.order).collect()
-        keys = [tuple(r[c] for c in w.order) for r in top]
-        if not top:
+    if i == 0:  # keys alone show the row and whether the next one shares its key
+        top = w.keys.select(*w.order).orderBy(*[F.col(c).asc_nulls_first() for c in w.order]).limit(2).collect()
+        keys = [tuple(r) for r in top]
+        if not keys:
             return None, w
-        if len(top) == 1 or keys[0] != keys[1]:
-            return top[0], w._with(df=w.df.filter(~is_one_of(w.df, list(w.order), keys[:1])))
+        if len(keys) == 1 or keys[0] != keys[1]:
+            here = is_one_of(w.df, list(w.order), keys[:1])
+            return w.df.filter(here).select(*cells).first(), w._with(df=w.df.filter(~here))
     whole = w._with(df=w.df.drop(*w.part_cols))
     out, hit, _, names = addresses(whole, [i])
     if hit is None:

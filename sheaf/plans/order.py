@@ -28,6 +28,7 @@ keys of these rows, and the plan compares every row with them where it is read.
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -45,6 +46,8 @@ NEAR_TOP = 10_000
 #: Rows per bucket that more buckets than 2 x shuffle partitions are made for.
 BUCKET_ROWS = 4_000_000
 _FAN = 16
+#: So many bounds are compared one by one, more by a search tree.
+FLAT = 64
 
 
 def bucket_count(spark, rows: int) -> int:
@@ -125,6 +128,13 @@ def bucket_of(df: DataFrame, keys: list[str], bounds: tuple, tie: Column | None
     def literal(bound: tuple) -> Column:
         return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, ((_, t), v) in enumerate(zip(cols, bound))])
 
+    if len(bounds) <= FLAT:  # comparisons that are compiled; more would make the code too long
+        if len(cols) == 1:  # nulls sort first: they are at or above null bounds only
+            (c, t), nulls = cols[0], sum(b[0] is None for b in bounds)
+            above = [F.coalesce((c >= F.lit(b[0]).cast(t)).cast("int"), F.lit(0)) for b in bounds if b[0] is not None]
+        else:
+            above, nulls = [(key >= literal(b)).cast("int") for b in bounds], 0
+        return F.coalesce(reduce(lambda x, y: x + y, above, F.lit(nulls)), F.lit(0))
     lits = [literal(b) for b in bounds]
     none = F.slice(F.array(lits[0]), F.lit(1), F.lit(0))
     size = _FAN
@@ -152,7 +162,7 @@ def bucketed(w: "Wrangler", tie: str | None = None) -> tuple[DataFrame, list[str
         keys = list(w.order[w.order.index(w.qkey):])
         bounds = w.bounds
         if bounds is None:
-            bounds = compute_bounds(df, keys)
+            bounds = compute_bounds(w.keys, keys)
             w = w._with(bounds=bounds)
         name = w.fresh("__bkt")
         df = df.withColumn(name, bucket_of(df, keys, bounds, None if tie is None else F.col(tie)))
@@ -231,7 +241,7 @@ def addresses(w: "Wrangler", rows: list[int]) -> tuple["Wrangler", Column | None
         df = w.df.withColumn(tied, tie_break(w.df)) if with_tie else w.df
         names = [*keys, tied] if with_tie else keys
         if top < NEAR_TOP:
-            around = _near_top(df, names, top)
+            around = _near_top(df if with_tie else w.keys, names, top)
             total = len(around)
             got = {r: around[r] for r in rows if r < total}
             alone = all(_alone(around, r) for r in got)

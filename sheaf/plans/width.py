@@ -42,7 +42,7 @@ def expand(w: Wrangler, parts: dict[str, list[Column]]) -> Wrangler:
                     for e, n in zip(parts[c], names)]
         else:
             sel.append(F.col(c))
-    out = w._with(df=w.df.select(*sel), dense=w.dense)
+    out = w._with(df=w.df.select(*sel), same_rows=True)
     out.created = tuple(made)
     return out
 
@@ -70,9 +70,9 @@ def expand_in_steps(w: Wrangler, steps: dict) -> Wrangler:
         if new:
             df = df.withColumns(new)
         running = waiting
-    wide = w._with(df=df, dense=w.dense)
+    wide = w._with(df=df, same_rows=True)
     out = expand(wide, {c: pieces[c] for c in steps})
-    res = out._with(df=out.df.drop(*tmp), dense=w.dense)
+    res = out._with(df=out.df.drop(*tmp), same_rows=True)
     res.created = out.created
     return res
 
@@ -121,19 +121,17 @@ def spread(w: Wrangler, arrays: dict[str, Column], width: int | dict | None = No
         df1 = df1.select(*[F.when(too_long(F.col(x)), F.raise_error(F.lit(
             f"more than width={width} pieces"))).otherwise(F.col(x)).alias(x)
             if x in tmp.values() else F.col(x) for x in df1.columns])
-    sel = []
-    made = []
-    existing = list(df1.columns)
-    for c in w.df.columns:
-        if c in arrays:
-            a = F.col(tmp[c])
-            names = _names(existing, c, widths[c])
-            existing += names
-            made += names
-            sel += [F.when(a.isNotNull(), F.coalesce(F.get(a, i), F.lit(""))).alias(n)
-                    for i, n in enumerate(names)]
-        else:
-            sel.append(F.col(c))
-    out = w._with(df=df1.select(*sel), dense=w.dense)
-    out.created = tuple(made)
+    names, cells, existing = {}, [], list(df1.columns)
+    for c in arrays:
+        a = F.col(tmp[c])
+        names[c] = _names(existing, c, widths[c])
+        existing += names[c]
+        cells += [F.when(a.isNotNull(), F.coalesce(F.get(a, i), F.lit(""))).alias(n) for i, n in enumerate(names[c])]
+    # a generator of one row: a later filter on a piece would be pushed below a projection, and
+    # compute the whole split once more for each time it looks at the piece
+    keep = [c for c in w.df.columns if c not in arrays]
+    wide = df1.select(*keep, F.inline(F.array(F.struct(*cells))))
+    out = w._with(df=wide.select(*[n for c in w.df.columns for n in names.get(c, [c])]), same_rows=True)
+    out.created = tuple(n for c in w.df.columns for n in names.get(c, []))
+    out.lean = w.keys
     return out

@@ -44,7 +44,7 @@ def split_lines(w: Wrangler, column: str = "value", cols: str | None = ",",
     fails the job."""
     if cols is None:
         return w
-    tmp = w._with(df=w.df.withColumnRenamed(column, "c"), dense=w.dense)
+    tmp = w._with(df=w.df.withColumnRenamed(column, "c"), same_rows=True)
     if width is None:
         out = spread(tmp, {"c": jvm_split(F.col("c"), cols)}, max_columns=max_columns)
     else:
@@ -52,7 +52,7 @@ def split_lines(w: Wrangler, column: str = "value", cols: str | None = ",",
         out = spread(tmp, {"c": pieces}, width=width, max_columns=max_columns, too_long=too_long)
     n = len(out.columns) - (len(w.cells) - 1)
     ren = {f"c_{i + 1}": f"c{i}" for i in range(n)}
-    return out._with(df=out.df.withColumnsRenamed(ren), dense=w.dense)
+    return out._with(df=out.df.withColumnsRenamed(ren), same_rows=True)
 
 
 def read_text(spark: SparkSession, path, rows: str = "\n", cols: str | None = None,
