@@ -7,9 +7,10 @@ drop or truncate rows).
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import PART, Wrangler, inner, outer
@@ -51,13 +52,26 @@ def wrap_rows(w: Wrangler, n: int, max_columns: int = 1000) -> Wrangler:
     df, rid, w2 = w._rid()
     g, k = w2.fresh("__g", extra=[rid]), w2.fresh("__k", extra=[rid])
     df = df.withColumn(g, F.floor(F.col(rid) / n).cast("long")).withColumn(k, F.col(rid) % n)
-    aggs = []
-    for j in range(n):
-        for m, c in enumerate(cols):
-            v = F.max(F.when(F.col(k) == j, w.text(c)))
-            aggs.append(F.coalesce(v, F.lit("")).alias(f"c{j * len(cols) + m}"))
-    out = df.groupBy(*w.part_cols, g).agg(*aggs)
-    return Wrangler._raw(out, order=(g,), qkey=g, depth=w2.depth)
+    out = gathered(df, [*w.part_cols, g], k, {c: w.text(c) for c in cols})
+    cells = [F.expr(_cell(f"{ROWS}.`{c}`", j, f"c{j * len(cols) + m}")) for j in range(n) for m, c in enumerate(cols)]
+    return Wrangler._raw(out.select(*w.part_cols, g, *cells), order=(g,), qkey=g, depth=w2.depth)
+
+
+ROWS = "__rows"
+
+
+def _cell(array: str, i: int, name: str) -> str:
+    """SQL for one cell of a wide row: hundreds of these are quicker to state than to build. All
+    names are spelled by ``inner``."""
+    return f"coalesce(get({array}, {i}), '') AS `{name}`"
+
+
+def gathered(df: DataFrame, by: list[str], pos: str, cells: dict[str, Column]) -> DataFrame:
+    """One row per group with its cells as an array of structs in the order of ``pos``, in
+    ``ROWS``. After an ordered scan the rows of a group lie together, so each task first joins its
+    own, and mostly whole arrays are moved. Groups are of a size that the caller has bounded."""
+    row = F.struct(F.col(pos).alias("__p"), *[e.alias(c) for c, e in cells.items()])
+    return df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias(ROWS))
 
 
 def wrap_cells(w: Wrangler, n: int) -> Wrangler:
@@ -108,32 +122,22 @@ def wrap_where(w: Wrangler, where, columns=None, max_columns: int = 1000,
     df, lw2 = ordered_scan(lw, rid=rid, csum={grp: hit.cast("long")}, last_hit={start: hit})
     # position inside the group = rid - rid of the group's first cell
     df = df.withColumn(pos, F.col(rid) - F.coalesce(F.col(start), F.lit(0)))
-    if as_array:
-        # one array column instead of a wide row; the longest row is checked
-        # first, so collect_list only ever holds a bounded group
-        need_row = df.agg(F.max(pos).alias("w")).first()
-        need = (need_row["w"] + 1) if need_row and need_row["w"] is not None else 1
-        _check_width(need, max_columns, "wrap(where=, as_array=True)")
-        cells = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(val).alias("v"))))
-        out = df.groupBy(*w.part_cols, grp).agg(cells.getField("v").alias("cells"))
-        return Wrangler._raw(out, order=(grp,), qkey=grp, depth=lw2.depth)
     if width is None:
-        width_row = df.agg(F.max(pos).alias("w")).first()
-        width = (width_row["w"] + 1) if width_row and width_row["w"] is not None else 1
-        _check_width(width, max_columns, "wrap(where=)")
-        guard = None
+        # the longest row is found first, so only bounded groups are gathered
+        longest = df.agg(F.max(pos).alias("w")).first()["w"]
+        width = 1 if longest is None else longest + 1
+        guarded = F.col(val)
     else:
         # no extra pass: a longer row fails the job instead of being cut
-        _check_width(width, max_columns, "wrap(where=)")
-        guard = F.max(pos) >= width
-    aggs = [F.coalesce(F.max(F.when(F.col(pos) == j, F.col(val))), F.lit("")).alias(f"c{j}")
-            for j in range(width)]
-    if guard is not None:
-        aggs[0] = F.when(guard, F.raise_error(F.lit(
-            f"wrap(where=) found a row longer than width={width}"))).otherwise(
-            F.coalesce(F.max(F.when(F.col(pos) == 0, F.col(val))), F.lit(""))).alias("c0")
-    out = df.groupBy(*w.part_cols, grp).agg(*aggs)
-    return Wrangler._raw(out, order=(grp,), qkey=grp, depth=lw2.depth)
+        guarded = F.when(F.col(pos) >= width, F.raise_error(F.lit(
+            f"wrap(where=) found a row longer than width={width}")).cast("string")).otherwise(F.col(val))
+    _check_width(width, max_columns, "wrap(where=)")
+    out = gathered(df, [*w.part_cols, grp], pos, {val: guarded})
+    if as_array:  # one array column instead of a wide row
+        cells = [F.col(ROWS)[val].alias("cells")]
+    else:
+        cells = [F.expr(_cell(f"{ROWS}.{val}", j, f"c{j}")) for j in range(width)]
+    return Wrangler._raw(out.select(*w.part_cols, grp, *cells), order=(grp,), qkey=grp, depth=lw2.depth)
 
 
 # -- fold / unfold -------------------------------------------------------------
@@ -229,23 +233,34 @@ def unfold(w: Wrangler, column, measure, values: list | None = None,
     names = ["_".join("null" if x is None else str(x) for x in v) for v in values]
     if len(set(names)) != len(names) or {inner(n) for n in names} & set(rest):
         raise ValueError(f"unfold would give columns that are not unique: {names}")
-    okey = F.struct(*[F.col(c) for c in w.order]) if w.order else None
-    aggs = []
-    for v, n in zip(values, names):  # every column is addressed by its place, never by its value
-        here = F.lit(True)
-        for c, x in zip(keys, v):
-            here = here & w.text(c).eqNullSafe(F.lit(None if x is None else str(x)))
-        cell = F.min_by(w.text(meas), F.when(here, okey)) if w.order else F.min(F.when(here, w.text(meas)))
-        aggs.append(F.coalesce(cell, F.lit("")).alias(inner(n)))
-    if not w.order:
-        out = w.df.groupBy(*w.part_cols, *rest).agg(*aggs) if aggs else w.df.select(*w.part_cols, *rest).distinct()
-        return Wrangler._raw(out.select(*w.part_cols, *rest, *[inner(n) for n in names]), depth=w.depth)
-    first_key = w.fresh("__first")
-    out = w.df.groupBy(*w.part_cols, *rest).agg(*aggs, F.min(okey).alias(first_key))
+    # the first cell of each (row key, value), then the cells of a row key by their places
+    first_key, place, cell, got = (w.fresh(x) for x in ("__first", "__place", "__cell", "__got"))
+    named = [w.fresh(f"__key{i}") for i in range(len(keys))]
+    by = [*w.part_cols, *rest]
+    if w.order:
+        okey = F.struct(*[F.col(c) for c in w.order])
+        aggs = [F.min_by(w.text(meas), okey).alias(cell), F.min(okey).alias(first_key)]
+    else:
+        aggs = [F.min(w.text(meas)).alias(cell)]
+    one = w.df.groupBy(*by, *[w.text(k).alias(n) for k, n in zip(keys, named)]).agg(*aggs)
+    # at most max_values rows, joined by a hash of all key columns
+    listed = w.spark.createDataFrame([(*[None if x is None else str(x) for x in v], i) for i, v in enumerate(values)],
+                                     ", ".join([*[f"{n}_ string" for n in named], f"{place} int"]))
+    same = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in named])
+    one = one.join(F.broadcast(listed), same, "left")
+    aggs = [F.sort_array(F.collect_list(F.when(F.col(place).isNotNull(), F.struct(F.col(place).alias("p"), F.col(cell).alias("v")))))
+            .alias(got)]
+    out = one.groupBy(*by).agg(*aggs, *([F.min(first_key).alias(first_key)] if w.order else []))
+
+    def with_gaps(e: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(F.col(got), i - 1)["p"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(""), e["p"] - before - 1), F.array(F.coalesce(e["v"], F.lit(""))))
+
     order = [f"__ord{i}" for i in range(len(w.order))]
-    out = out.select(*w.part_cols, *rest, *[inner(n) for n in names],
+    out = out.select(*by, F.flatten(F.transform(got, with_gaps)).alias(got),
                      *[F.col(first_key)[c].alias(o) for c, o in zip(w.order, order)])
-    return Wrangler._raw(out, order=tuple(order), qkey=order[0], depth=w.depth)
+    out = out.selectExpr(*[f"`{c}`" for c in by], *[_cell(got, i, inner(n)) for i, n in enumerate(names)], *order)
+    return Wrangler._raw(out, order=tuple(order), qkey=order[0] if order else None, depth=w.depth)
 
 
 def transpose(w: Wrangler, max_rows: int = 1000) -> Wrangler:

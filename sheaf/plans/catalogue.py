@@ -964,6 +964,25 @@ def unfold(spark, d):
             .unfold("event_type", "props").to_df())
 
 
+def _unfold_wide_sql() -> str:
+    cells = ",\n       ".join(f"coalesce(arg_min(l_returnflag, k) FILTER (WHERE b = {v}), '') AS \"{v}\"" for v in range(500))
+    return f"""
+WITH t AS (SELECT l_suppkey, l_returnflag, l_partkey % 500 AS b,
+                  l_orderkey * 1000 + l_linenumber * 10 + ascii(l_returnflag) % 10 AS k FROM lineitem)
+SELECT l_suppkey,
+       {cells}
+FROM t GROUP BY l_suppkey"""
+
+
+@query("unfold_wide", _unfold_wide_sql())
+def unfold_wide(spark, d):
+    # 500 values: each cell is placed once, not tried for every value
+    k = (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10 + F.ascii("l_returnflag") % 10).alias("k")
+    li = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") % 500).alias("b"), "l_returnflag", k)
+    w = Wrangler(li, order_by="k").drop("k")
+    return w.unfold("b", "l_returnflag", values=list(range(500))).to_df()
+
+
 @query("transpose", """
 WITH r AS (SELECT CAST(r_regionkey AS VARCHAR) AS a, r_name AS b,
                   row_number() OVER (ORDER BY r_regionkey) - 1 AS rn FROM region)

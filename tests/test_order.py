@@ -335,3 +335,112 @@ def test_rows_are_addressed_alike_at_any_index(spark):
     many = Wrangler(spark.range(3000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("v")), order_by="k")
     left = {r["k"] for r in many.delete(rows=[0, 999, 1000, 2999]).to_df().collect()}
     assert left == set(range(3000)) - {0, 999, 1000, 2999}
+
+
+def _sizes(w):
+    bdf, bcols, _ = order_plan.bucketed(w)
+    return [r["count"] for r in bdf.groupBy(*bcols).count().collect()]
+
+
+@pytest.mark.parametrize("k", [16, 400])
+@pytest.mark.parametrize("shape", ["few", "hot"])
+def test_equal_keys_are_cut_by_their_tie_order(spark, k, shape):
+    n = 40000
+    key = F.col("id") % 200 if shape == "few" else F.when(F.col("id") % 3 > 0, F.lit(-1)).otherwise(F.col("id"))
+    df = spark.range(n).select(key.alias("a"), F.col("id").cast("string").alias("v"))
+    spark.conf.set("sheaf.order.buckets", str(k))
+    try:
+        w = Wrangler(df, order_by="a")
+        sizes = _sizes(w)
+        ids = w.with_row_id().to_df().orderBy("row_id").collect()
+        again = w.with_row_id().to_df().orderBy("row_id").collect()
+    finally:
+        spark.conf.unset("sheaf.order.buckets")
+    assert sum(sizes) == n and max(sizes) < 3 * n / k + 60
+    assert [r["row_id"] for r in ids] == list(range(n)) and ids == again
+    assert [r["a"] for r in ids] == sorted(r["a"] for r in ids)
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_an_ordered_verb_reads_and_moves_its_input_once(spark):
+    w = Wrangler(events(spark).select("event_id", "event_type"), order_by="event_id")
+    for out in (w.fill_down("event_type", blank="error"), w.fill_up("event_type", blank="error"), w.with_row_id()):
+        plan = _plan(out.to_df())
+        assert plan.count("FileScan") == 1 and "SortAggregate" not in plan
+        assert plan.count("ReusedExchange") >= 1
+
+
+def test_rows_by_number_move_no_rows(spark):
+    w = Wrangler(events(spark).select("event_id", "event_type", "user_id"), order_by="event_id")
+    for out in (w.delete(rows=[0, 7, 100]), w.cut(on="e", row=[3], columns="event_type"), w.edit(value="x", rows=[5]),
+                w.fill_row(3, [4, 5], blank="error"), w.promote(row=2)):
+        assert "Exchange" not in _plan(out.to_df())
+
+
+@pytest.mark.parametrize("top", [order_plan.NEAR_TOP, 5])
+def test_rows_by_number_with_ties_and_equal_rows(spark, monkeypatch, top):
+    """Addressed rows: alone, tied on the key, equal to others in every column; top and far."""
+    monkeypatch.setattr(order_plan, "NEAR_TOP", top)
+    rows = [(None if i < 3 else i // 4, f"v{i % 7}") for i in range(200)] + [(60, "same")] * 30
+    df = spark.createDataFrame(rows, "k int, v string").repartition(3)
+    w = Wrangler(df, order_by="k")
+    full = [tuple(r) for r in w.with_row_id().to_df().orderBy("row_id").collect()]
+    for asked in ([0], [1, 2], [50, 51], [7, 198], [205], [200, 229], list(range(40, 60))):
+        left = sorted(map(repr, (tuple(r) for r in w.delete(rows=asked).to_df().collect())))
+        assert left == sorted(repr(r[:2]) for r in full if r[2] not in asked), asked
+        marked = sorted(map(repr, (tuple(r) for r in w.edit(value="!", columns="v", rows=asked).to_df().collect())))
+        assert marked == sorted(repr((r[0], "!" if r[2] in asked else r[1])) for r in full), asked
+    with pytest.raises(ValueError, match="out of range"):
+        w.delete(rows=[230])
+    spark.conf.set("sheaf.order.buckets", "9")
+    try:
+        known = w.with_row_id("n")  # bounds with a tie part, known before
+        assert known.delete(rows=[40, 199]).to_df().count() == 228
+    finally:
+        spark.conf.unset("sheaf.order.buckets")
+
+
+def test_text_rows_are_numbered_without_moving_lines(spark, tmp_path):
+    for f in range(3):
+        (tmp_path / f"f{f}.txt").write_text("".join(f"@{f}-{j},x\n" for j in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        w = read_text(spark, str(tmp_path), cols=",", width=2)
+        plan = _plan(w.with_row_id().to_df())
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("c0" in line for line in moved) and "BroadcastHashJoin" in plan
+        assert "ENSURE_REQUIREMENTS" not in "".join(line for line in moved if "c0" in line)
+        got = [tuple(r) for r in w.with_row_id().to_df().orderBy("row_id").collect()]
+        kept = w.delete(rows=[0, 700]).with_row_id().to_df().orderBy("row_id").collect()
+        wrapped = [tuple(r) for r in w.drop("c1").wrap_rows(4).ordered_df().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [f"@{f}-{j}" for f in range(3) for j in range(500)]
+    assert [r[0] for r in got] == want and [r[2] for r in got] == list(range(1500))
+    assert [r["c0"] for r in kept] == [x for i, x in enumerate(want) if i not in (0, 700)]
+    assert [r["row_id"] for r in kept] == list(range(1498))
+    assert wrapped == [tuple(want[i:i + 4]) for i in range(0, 1500, 4)]
+
+
+def test_unfold_places_many_values(spark):
+    import random
+    rng = random.Random(8)
+    rows = [(i, f"g{rng.randint(0, 20)}", None if rng.random() < 0.05 else f"k{rng.randint(0, 120)}", f"v{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, g string, k string, v string")
+    w = Wrangler(df, order_by="i").drop("i")
+    want = {}
+    for _, g, k, v in rows:
+        want.setdefault(g, {}).setdefault("null" if k is None else k, v)
+    out = w.unfold("k", "v").to_df()
+    names = [c for c in out.columns if c != "g"]
+    assert len(names) == len({k for d in want.values() for k in d})
+    assert {r["g"]: {c: r[c] for c in names if r[c]} for r in out.collect()} == want
+    some = w.unfold("k", "v", values=["k3", "absent", None]).to_df()  # other values only keep their row
+    assert some.columns == ["g", "k3", "absent", "null"]
+    assert {tuple(r) for r in some.collect()} == {(g, d.get("k3", ""), "", d.get("null", "")) for g, d in want.items()}
