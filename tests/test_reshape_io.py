@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf import Wrangler, read_lines, read_text
+from sheaf import Wrangler, re_, read_lines, read_text
 from sheaf.sources.text import output_name
 from sheaf.streaming.live import stream_text, to_memory
 
@@ -278,3 +278,48 @@ def test_force_runs_every_cell(spark):
 
 def test_wrap_column_n_form(small):
     assert rows(small.wrap_column(2, columns=["w", "y"])) == [("a", "c", "e", "g"), ("i", "k", "", "")]
+
+
+# -- S2: rows separated by a regex ------------------------------------------------
+
+def _split_rows(text, pattern):
+    import re
+    if text and not text.endswith("\n"):
+        text += "\n"
+    rows = re.split(pattern, text)
+    if rows[-1].endswith("\n"):
+        rows[-1] = rows[-1][:-1]
+    return rows[:-1] if rows[-1] == "" else rows
+
+
+@pytest.mark.parametrize("pattern", [r"\r?\n|;", "[;|]", r";\n?", r"\n", r"(?:;;|\|)", r";|\r\n"])
+def test_regex_row_separators_over_many_splits(spark, tmp_path, pattern):
+    import random
+    rng = random.Random(len(pattern))
+    texts = ["", "a", "a;b\n", "a;b;", ";;\n\n;", "x\r\ny;\nz|q", "a;b;\n", "one\ntwo\n\n"]
+    texts += ["".join(rng.choice(["ab", ";", "\n", "\r\n", "|", "é", "long text ", ";\n"]) for _ in range(400)) for _ in range(3)]
+    for i, t in enumerate(texts):
+        (tmp_path / f"f{i:02d}.txt").write_bytes(t.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        w = read_text(spark, str(tmp_path), rows=re_(pattern))
+        got = [r[0] for r in w.ordered_df().collect()]
+        ids = sorted((r["row_id"], r["value"]) for r in w.with_row_id().to_df().collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [r for t in texts for r in _split_rows(t, pattern)]
+    assert got == want
+    assert [v for _, v in ids] == want and [i for i, _ in ids] == list(range(len(want)))
+
+
+def test_regex_row_separator_splits_columns(spark, textfile):
+    w = read_text(spark, textfile("1,2;3,4\n5,6\r\n"), rows=re_(r"\r?\n|;"), cols=",")
+    assert [tuple(r) for r in rows(w)] == [("1", "2"), ("3", "4"), ("5", "6")]
+
+
+@pytest.mark.parametrize("pattern", ["\n+", "\n;", "a*", r"\s\s", "(?=;)", "^;", "(", r"(\n|;)x", r"[^a]+"])
+def test_regex_row_separators_that_cannot_be_read_by_lines(spark, textfile, pattern):
+    with pytest.raises(ValueError):
+        read_text(spark, textfile("a\n"), rows=re_(pattern))
