@@ -10,13 +10,13 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import PART, Wrangler, inner, outer
 from ..functions.text import regex_found
 from ..match import Regex
-from ..plans.order import ordered_scan, sort_keys
+from ..plans.order import ordered_scan, shift_fits, sort_keys, tie_break
 from .common import row_hit
 
 
@@ -339,6 +339,11 @@ def translate(w: Wrangler, column=None, direction: str = "down", distance: int =
     w.require_batch("translate")
     shifted = w.resolve(column)
     cols = w.cells
+    if distance == 0:
+        return w
+    w, fits = shift_fits(w, distance)
+    if fits:
+        return _translate_near(w, shifted, distance if direction == "down" else -distance)
     df, rid, w2 = w._rid()
     pos, side = w2.fresh("__pos", extra=[rid]), w2.fresh("__side", extra=[rid])
     delta = distance if direction == "down" else -distance
@@ -361,3 +366,24 @@ def translate(w: Wrangler, column=None, direction: str = "down", distance: int =
         out = out.filter(F.col(side) == 0)
     out = out.select(*cols, *w.part_cols, pos)
     return Wrangler._raw(out, order=(pos,), qkey=pos, depth=w2.depth)
+
+
+def _translate_near(w: Wrangler, shifted: list[str], step: int) -> Wrangler:
+    """W11 by ``step`` rows (down, or up if negative) with one exchange of the data. Down, the
+    table grows by ``step`` rows: they hold the last cells of the shifted columns."""
+    cols = w.cells
+    w = w.select_cells({c: w.text(c) for c in cols})
+    rid = w.fresh("__rid")
+    outs = {w.fresh(f"__moved{i}"): c for i, c in enumerate(shifted)}
+    df, w2 = ordered_scan(w, rid=rid, shift=(outs, step))
+    new = {c: o for o, c in outs.items()}
+    body = df.select(*[F.coalesce(new.get(c, c), F.lit("")).alias(c) for c in cols], rid)
+    if step > 0:
+        n = w.keys.count()
+        down = [F.col(c).desc_nulls_last() for c in w.order]
+        tie = [] if w.prefix_unbounded else [tie_break(w.df).desc()]
+        last = w.df.orderBy(*down, *tie).limit(step)  # at most step rows, each task keeps as many
+        last = last.select(*shifted, (F.lit(n + step) - F.row_number().over(Window.orderBy(*down, *tie))).cast("long").alias(rid))
+        more = w.spark.range(n, n + step).toDF(rid).join(F.broadcast(last), rid, "left")
+        body = body.unionByName(more.select(*[F.coalesce(c, F.lit("")).alias(c) if c in shifted else F.lit("").alias(c) for c in cols], rid))
+    return Wrangler._raw(body, order=(rid,), qkey=rid, depth=w2.depth)

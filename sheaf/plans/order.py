@@ -286,6 +286,7 @@ def ordered_scan(
     csum: dict[str, Column] | None = None,
     count: str | None = None,
     last_hit: dict[str, Column] | None = None,
+    shift: tuple[dict[str, str], int] | None = None,
 ) -> tuple[DataFrame, "Wrangler"]:
     """Add running columns computed in row order (per ``_part`` if present).
 
@@ -295,14 +296,17 @@ def ordered_scan(
     * ``csum``     – ``{out: expr}`` running sum of ``expr`` up to and incl. the row,
     * ``count``    – total rows of the row's partition (or table),
     * ``last_hit`` – ``{out: cond}`` row index of the last row at or before
-      this one where ``cond`` holds (null before the first).
+      this one where ``cond`` holds (null before the first),
+    * ``shift``    – ``({out: column}, d)`` the column's cell in the row ``d`` before this one (behind it, if
+      negative; null beyond the table): inside a bucket by ``lag``, across buckets from the |d|
+      rows at their ends, which are broadcast (``shift_fits`` bounds their number).
 
     Plan: one exchange by (part, bucket), a sort, in-bucket windows; the side table is the
     last (for ``bfill`` the first) row of each bucket, from the same exchange.
     """
     ffill, bfill, csum, last_hit = ffill or {}, bfill or {}, csum or {}, last_hit or {}
     w.require_batch("an ordered verb")
-    if w.dense and not w.has_part and not (ffill or bfill or csum or last_hit):
+    if w.dense and not w.has_part and not (ffill or bfill or csum or last_hit or shift):
         return _numbered(w, rid, count)
     w = _cut_lineage(w)
     tie = [] if w.prefix_unbounded else [w.fresh("__tie")]  # keys of a text source are unique
@@ -328,6 +332,7 @@ def ordered_scan(
     for kind, out, expr in specs:
         src[(kind, out)] = t(f"in_{kind}_{out}")
         df = df.withColumn(src[(kind, out)], expr)
+    moves, step = shift or ({}, 0)
     moved = df.columns
 
     # -- in-bucket running values ----------------------------------------------
@@ -352,6 +357,8 @@ def ordered_scan(
     for kind, out, _ in specs:
         if kind == "h":
             local[tmp[f"loc_h_{out}"]] = F.last(F.when(F.col(src[("h", out)]), F.col(rn)), ignorenulls=True).over(upto)
+    for out in moves:
+        local[t(f"loc_s_{out}")] = F.lag(F.col(moves[out]), step).over(win)
     if local:
         df = df.withColumns(local)
 
@@ -367,7 +374,7 @@ def ordered_scan(
     following = ws.rowsBetween(1, Window.unboundedFollowing)
     off = t("off")
     side = side.withColumn(off, F.coalesce(F.sum(n_col).over(before), F.lit(0)))
-    sel = [*keys, off]
+    sel = [*keys, off, *([n_col] if moves else [])]
     if count:
         sel.append(F.sum(n_col).over(Window.partitionBy(*part)).alias(t("tot")))
     for kind, out, _ in specs:
@@ -383,7 +390,18 @@ def ordered_scan(
             glob = F.when(a.isNotNull(), F.col(off) + a - 1)
             sel.append(F.last(glob, ignorenulls=True).over(before).alias(name))
     side = side.select(*sel)
+    edge = None
+    if moves:  # rows whose place d further on is in another bucket, by their number
+        edge = _ends(df, keys, moved, F.lead(F.lit(1), step).over(win),
+                     [(F.col(rn), rn), *[(F.col(c), t(f"edge_{o}")) for o, c in moves.items()]])
+        edge = _join(edge, side.select(*keys, off), keys, "inner").select(
+            (F.col(off) + F.col(rn) - 1 + step).alias(t("to")), *[tmp[f"edge_{o}"] for o in moves])
     df = _join(df, side, keys, "left")
+    if moves:
+        at = F.col(off) + F.col(rn) - 1
+        outside = (F.col(rn) <= step) if step >= 0 else (F.col(rn) - step > F.col(n_col))
+        df = df.withColumn(t("need"), F.when(outside, at))
+        df = df.join(F.broadcast(edge), F.col(tmp["need"]) == F.col(tmp["to"]), "left")
 
     new_cols = {}
     if rid:
@@ -399,6 +417,8 @@ def ordered_scan(
             new_cols[out] = carry + F.coalesce(loc, F.lit(0))
         else:
             new_cols[out] = F.coalesce((F.col(off) + loc - 1).cast("long"), carry.cast("long"))
+    for out in moves:
+        new_cols[out] = F.when(F.col(tmp["need"]).isNotNull(), F.col(tmp[f"edge_{out}"])).otherwise(F.col(tmp[f"loc_s_{out}"]))
     df = df.withColumns(new_cols)
     drop = [c for c in tmp.values() if c in df.columns] + made
     return df.drop(*drop), w._with(depth=w.depth + 1)
@@ -431,6 +451,18 @@ def _numbered(w: "Wrangler", rid: str | None, count: str | None) -> tuple[DataFr
     return df.select(*w.df.columns, *made), w._with(depth=w.depth + 1)
 
 
+#: Most rows at bucket ends that a shift broadcasts.
+EDGE_ROWS = 100_000
+
+
+def shift_fits(w: "Wrangler", distance: int) -> tuple["Wrangler", bool]:
+    """(wrangler with bounds, whether a shift by so many rows broadcasts at most ``EDGE_ROWS``)."""
+    if w.has_part or w.prefix or w.qkey is None:
+        return w, False  # the number of buckets is not known here
+    _, _, w = bucketed(w)
+    return w, distance * (len(w.bounds) + 1) <= EDGE_ROWS
+
+
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join on the grouping columns, which hold no nulls."""
     return left.join(right, on=keys, how=how)

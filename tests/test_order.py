@@ -444,3 +444,24 @@ def test_unfold_places_many_values(spark):
     some = w.unfold("k", "v", values=["k3", "absent", None]).to_df()  # other values only keep their row
     assert some.columns == ["g", "k3", "absent", "null"]
     assert {tuple(r) for r in some.collect()} == {(g, d.get("k3", ""), "", d.get("null", "")) for g, d in want.items()}
+
+
+@pytest.mark.parametrize("k", ["1", "7"])
+def test_translate_column_across_buckets(spark, k):
+    """Shifts shorter and longer than a bucket, and than the table."""
+    import random
+    spark.conf.set("sheaf.order.buckets", k)
+    try:
+        for n in (0, 1, 60):
+            ks = list(range(n))
+            random.Random(n).shuffle(ks)
+            df = spark.createDataFrame([(i, f"a{i}", None if i % 9 == 0 else f"b{i}") for i in ks], "k int, a string, b string")
+            w = Wrangler(df, order_by="k").drop("k")
+            a, b = [f"a{i}" for i in range(n)], ["" if i % 9 == 0 else f"b{i}" for i in range(n)]
+            for d in (1, 20, 100):
+                down = [tuple(r) for r in w.translate("b", "down", d).ordered_df().collect()]
+                assert down == list(zip(a + [""] * d, [""] * d + b))
+                up = [tuple(r) for r in w.translate("b", "up", d).ordered_df().collect()]
+                assert up == list(zip(a, (b[d:] + [""] * n)[:n]))
+    finally:
+        spark.conf.unset("sheaf.order.buckets")
