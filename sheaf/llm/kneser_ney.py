@@ -280,7 +280,7 @@ def _merge_pairs(key: tuple, t: pa.Table, model: dict) -> pa.Table:
     s, (k, c) = key[0].as_py(), _blobs(t)
     _write(model["folder"], f"pair-{s}.keys", k.astype("<u8"))
     _write_counts(model["folder"], f"pair-{s}", c)
-    return pa.table({"n": [len(k)]})
+    return pa.table({"shard": [s], "n": [len(k)]})
 
 
 class Pairs:
@@ -446,8 +446,8 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, fo
     model = {"folder": folder, "order": order, "bits": bits, "sizes": sizes, "base": base, "vocabulary": vocabulary, "tokens": tokens,
              "texts": sum(end),
              "hot": np.array([*hot, vocabulary], np.int64)}
-    (texts.mapInArrow(lambda it: _count_pairs(it, model), _BLOBS).groupBy("shard")
-     .applyInArrow(lambda k, t: _merge_pairs(k, t, model), "n bigint").agg(F.sum("n")).collect())
+    pairs = (texts.mapInArrow(lambda it: _count_pairs(it, model), _BLOBS).groupBy("shard")
+             .applyInArrow(lambda k, t: _merge_pairs(k, t, model), "shard bigint, n bigint").collect())  # a row a shard
     if order > 2:
         (texts.mapInArrow(lambda it: _count_triples(it, model), _BLOBS).groupBy("shard")
          .applyInArrow(lambda k, t: _merge_triples(k, t, model), _BLOBS).groupBy("shard")
@@ -462,9 +462,36 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, fo
     model["pair_discounts"] = discounts([int(x) for x in np.sum([r.pairs for r in of], 0)[1:5]])
     model["triple_discounts"] = discounts([int(x) for x in np.sum([r.triples for r in of], 0)[1:5]])
     model["seen"] = [int(x) for x in seen]
+    files = spark.range(1).mapInArrow(lambda it: _listed(it, folder), "name string, size bigint").collect()  # some a shard
+    model["files"] = {r.name: r.size for r in files}
+    written = {f"word-{r.shard}.keys": 8 * r.n for r in got} | {f"pair-{r.shard}.keys": 8 * r.n for r in pairs}
+    check_files(model["files"], written)
     return model
 
 
+def _listed(batches, folder: str) -> Iterator[pa.RecordBatch]:
+    """The model's files and their sizes, as one worker sees them."""
+    for _ in batches:
+        found = [(e.name, e.stat().st_size) for e in os.scandir(folder)] if os.path.isdir(folder) else []
+        yield pa.RecordBatch.from_pydict({"name": pa.array([n for n, _ in found], pa.string()),
+                                          "size": pa.array([z for _, z in found], pa.int64())})
+
+
+def check_files(found: dict[str, int], wanted: dict[str, int]) -> None:
+    """A missing or short file would score as an empty model: raise instead."""
+    wrong = sorted(n for n, z in wanted.items() if z and found.get(n) != z)
+    if wrong:
+        raise FileNotFoundError(f"{len(wrong)} files of the language model are missing or of another size, the first "
+                                f"{wrong[0]}: is its folder shared by the driver and all workers?")
+
+
+def check_model(model: dict) -> None:
+    """The files that the model was written with, as this worker sees them."""
+    folder = model["folder"]
+    paths = {n: os.path.join(folder, n) for n in model["files"]}
+    check_files({n: os.path.getsize(p) for n, p in paths.items() if os.path.exists(p)}, model["files"])
+
+
 def _counts_of_counts(batches, model: dict) -> Iterator[pa.RecordBatch]:
     pairs, total = Pairs(model), np.zeros((2, 6), np.int64)
     for b in batches:
@@ -507,6 +534,7 @@ class Scorer:
     """A model's arrays mapped into a worker's memory."""
 
     def __init__(self, model: dict):
+        check_model(model)
         self.model, self.words = model, Words(model)
         n = 1 << model["bits"]
         self.counts = [_map(model["folder"], f"word-{s}.counts", "<i8") for s in range(n)]

@@ -177,3 +177,23 @@ def test_packed_keys():
               (rng.integers(0, 9, 1000, np.uint64) << np.uint64(32)) | rng.integers(0, 1 << 32, 1000, np.uint64)):
         for keys in (k, np.sort(k)):
             assert (kn._unpacked(kn._packed(keys)) == keys).all()
+
+
+def test_a_lost_file_is_an_error_not_an_empty_model(spark):
+    import os
+    model = kn.train(hostile(spark), order=3)
+    assert kn.score(hostile(spark), model).count() > 0
+    name = next(n for n, z in sorted(model["files"].items()) if z and n.startswith("word-") and n.endswith(".counts"))
+    path = os.path.join(model["folder"], name)
+    whole = open(path, "rb").read()
+    for left in (whole[:-8], None):
+        os.remove(path)
+        if left is not None:
+            with open(path, "wb") as f:
+                f.write(left)
+        with pytest.raises(Exception, match="language model"):
+            kn.score(hostile(spark), model).collect()
+        if left is None:
+            break
+    with pytest.raises(FileNotFoundError, match="word-0.keys"):
+        kn.check_files({}, {"word-0.keys": 8})
