@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,11 +113,13 @@ def matches(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
         more += [(m.start(), m.end(), 0) for m in HIDDEN_MAIL.finditer(text)]
     base.sort()
     if more:  # candidates give way to base spans and to earlier candidates
-        taken, free = [(a, b) for a, b, _ in base], []
+        starts, reach, free, end = [a for a, _, _ in base], [0], [], 0
+        for _, b, _ in base:
+            reach.append(max(reach[-1], b))  # furthest end of the base spans up to here
         for a, b, k in sorted(more, key=lambda s: (s[0], -s[1])):
-            if not any(x < b and a < y for x, y in taken):
+            if a >= end and reach[bisect_left(starts, b)] <= a:
                 free.append((a, b, k))
-                taken.append((a, b))
+                end = b
         more = free
     return base, more
 
@@ -208,10 +211,15 @@ def design(kind: np.ndarray, v: np.ndarray, f: np.ndarray) -> np.ndarray:
                            np.eye(8)[f[:, 0]], np.eye(3)[f[:, 1]], f[:, 2:3]], 1)
 
 
+#: What the counts of all patterns together weigh against the ridge term, whatever the size of the table.
+WEIGHT = 10_000
+
+
 def train_classifier(x: np.ndarray, p: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Logistic regression on soft labels ``p`` of patterns counted ``n`` times (Newton steps)."""
+    """Logistic regression on soft labels ``p`` of patterns counted ``n`` times (Newton steps).
+    Patterns weigh by their share of the whole count."""
     w = np.zeros(x.shape[1])
-    n = np.minimum(n, 1e4) if len(n) else n  # very common patterns weigh no more than 10,000
+    n = n * (WEIGHT / n.sum()) if len(n) else n
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (n * (p - q)) - ridge * w

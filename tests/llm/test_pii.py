@@ -96,3 +96,20 @@ def test_redact(spark):
     assert got[11] == "mail [EMAIL] or [IP], card [CARD], call [PHONE] now"
     assert got[4] is None and got[3] == "" and got[1] == texts()[0][1]
     assert pii.redact(empty(spark), frozenset()).count() == 0
+
+
+def test_candidates_give_way_in_one_pass():
+    import time
+    text = "999.1.1.1 10.0.0.1 x " * 20000
+    t = time.time()
+    base, more = pii.matches(text)
+    assert time.time() - t < 5 and len(base) == 20000 and len(more) == 20000
+    spans = sorted((a, b) for a, b, _ in [*base, *more])
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_the_classifier_acts_alike_at_every_size():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x, p, n = rng.random((20, 4)), rng.random(20), rng.integers(1, 50, 20)
+    assert np.allclose(pii.train_classifier(x, p, n), pii.train_classifier(x, p, n * 100_000), atol=1e-6)
