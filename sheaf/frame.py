@@ -454,6 +454,10 @@ class Wrangler:
         from .operators import reshape
         return reshape.transpose(self, max_rows)
 
+    def transpose_tiles(self, block_rows: int = 1000) -> "Wrangler":
+        from .operators import reshape
+        return reshape.transpose_tiles(self, block_rows)
+
     def translate_left(self, distance: int = 1) -> "Wrangler":
         from .operators import reshape
         return reshape.translate_cols(self, distance, left=True)
@@ -493,6 +497,10 @@ class Wrangler:
         from .sources import sinks
         sinks.write_text(self, path, sep, header, mode, ordered)
 
+    def write_transposed(self, path: str, sep: str = ",", block_rows: int = 1000, mode: str = "overwrite") -> None:
+        from .sources import sinks
+        sinks.write_transposed(self, path, sep, block_rows, mode)
+
     def preview(self, n: int = 20) -> str:
         from .sources import sinks
         return sinks.preview(self, n)
@@ -516,7 +524,7 @@ class ColumnHandle:
     #: Verbs on the whole table: the handle passes them on as they are.
     TABLE = frozenset({"promote", "demote", "merge_all", "wrap_rows", "wrap_cells", "transpose", "translate_left",
                        "translate_right", "translate_up", "translate_down", "union", "merge_parts", "with_row_id",
-                       "write_text", "preview", "force", "persist", "unpersist", "checkpoint", "to_df", "ordered_df"})
+                       "write_text", "write_transposed", "transpose_tiles", "preview", "force", "persist", "unpersist", "checkpoint", "to_df", "ordered_df"})
 
     def __init__(self, w: Wrangler, name: str):
         self.w, self.name = w, name

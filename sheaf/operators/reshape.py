@@ -280,6 +280,24 @@ def transpose(w: Wrangler, max_rows: int = 1000) -> Wrangler:
     return Wrangler._raw(out, order=(m,), qkey=m, depth=w2.depth)
 
 
+def transpose_tiles(w: Wrangler, block_rows: int = 1000) -> Wrangler:
+    """W8 in tiles, for a table of any length: ``(row, block, cells)`` holds the cells of the
+    transposed row ``row`` from ``block * block_rows`` on, as an array of at most so many."""
+    w.require_batch("transpose")
+    if w.has_part:
+        raise ValueError("transpose works on one table: merge_parts() first")
+    if block_rows < 1:
+        raise ValueError("block_rows must be >= 1")
+    df, rid, w2 = w._rid()
+    cells = F.array(*[w.text(c) for c in w.cells])
+    # one tile of all columns is gathered, then taken apart, so a row is moved once
+    block = F.floor(F.col(rid) / block_rows).cast("long").alias("block")
+    out = gathered(df.select(block, rid, cells.alias("cells")), ["block"], rid, {"cells": F.col("cells")})
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(len(w.cells) - 1)), lambda m: F.transform(F.col(ROWS), lambda r: F.get(r["cells"], m)))
+    out = out.select("block", F.posexplode(tiles).alias("row", "cells")).select("row", "block", "cells")
+    return Wrangler._raw(out, order=("row", "block"), qkey="row", depth=w2.depth)
+
+
 # -- translate -------------------------------------------------------------------
 
 def translate_cols(w: Wrangler, distance: int, left: bool) -> Wrangler:

@@ -6,6 +6,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..frame import PART, Wrangler
+from ..operators.reshape import transpose_tiles
 from ..plans.order import sort_keys
 
 
@@ -27,7 +28,7 @@ def write_text(w: Wrangler, path: str, sep: str = ",", header: bool = True,
     if header:
         names = F.lit(sep.join(w.columns)).alias("value")
         if w.has_part:
-            top = w.df.select(*w.part_cols).distinct().coalesce(1).select(names, *w.part_cols)
+            top = w.df.select(*w.part_cols).distinct().select(names, *w.part_cols)
         else:
             top = w.spark.range(0, 1, 1, 1).select(names)
         df = top.union(df)  # the partitions of a union keep their order: the header's is the first
@@ -37,6 +38,16 @@ def write_text(w: Wrangler, path: str, sep: str = ",", header: bool = True,
     writer.text(path)
 
 
+def write_transposed(w: Wrangler, path: str, sep: str = ",", block_rows: int = 1000, mode: str = "overwrite") -> None:
+    """W8 for a table of any length: each column becomes one line of text, which no task or cell
+    ever holds whole. Folder ``row=i`` holds the line of column ``i``: its files in name order, each
+    of them tiles of ``block_rows`` cells in order, and ``sep`` behind every tile."""
+    tiles = transpose_tiles(w, block_rows)
+    line = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), sep).alias("value")
+    df = tiles.df.orderBy("row", "block").select(line, "row")
+    df.write.mode(mode).partitionBy("row").option("lineSep", sep).text(path)
+
+
 def preview(w: Wrangler, n: int = 20) -> str:
     """Header plus the first ``n`` rows in order (bounded: a top-k)."""
     rows = w.ordered_df(with_part=False).limit(n).collect()

@@ -323,3 +323,29 @@ def test_regex_row_separator_splits_columns(spark, textfile):
 def test_regex_row_separators_that_cannot_be_read_by_lines(spark, textfile, pattern):
     with pytest.raises(ValueError):
         read_text(spark, textfile("a\n"), rows=re_(pattern))
+
+
+def test_long_table_is_transposed_in_tiles(spark, tmp_path):
+    n = 50000
+    df = spark.range(n).select(*[F.concat(F.lit(x), ((F.col("id") * 7919) % n).cast("string")).alias(x) for x in "abcd"],
+                               F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("e"), "id")
+    w = Wrangler(df.repartition(7), order_by="id").drop("id")
+    w.write_transposed(str(tmp_path / "t"), sep=",", block_rows=777)
+    want = {i: [f"{x}{j * 7919 % n}" for j in range(n)] for i, x in enumerate("abcd")}
+    want[4] = [str(j) if j % 5 else "" for j in range(n)]
+    for i in range(5):
+        parts = sorted(glob.glob(str(tmp_path / "t" / f"row={i}" / "part-*")))
+        assert "".join(open(p).read() for p in parts) == ",".join(want[i]) + ","
+    small = Wrangler(spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, s string"), order_by="k")
+    assert [tuple(r) for r in small.transpose_tiles(2).ordered_df().collect()] == [
+        (0, 0, ["1", "2"]), (0, 1, ["3"]), (1, 0, ["x", "y"]), (1, 1, [None])]
+
+
+def test_headers_of_many_partition_keys(spark, tmp_path):
+    df = spark.range(600).select((F.col("id") % 40).alias("g"), F.col("id").cast("string").alias("v"))
+    w = Wrangler(df, order_by="v", part="g").drop("g")
+    w.write_text(str(tmp_path / "t"))
+    for g in range(40):
+        parts = sorted(glob.glob(str(tmp_path / "t" / f"_part={g}" / "part-*")))
+        lines = "".join(open(p).read() for p in parts).splitlines()
+        assert lines == ["v", *sorted(str(i) for i in range(600) if i % 40 == g)]
