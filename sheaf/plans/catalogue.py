@@ -646,7 +646,7 @@ def fill_down_part(spark, d):
           order_by=["conv_id", "turn"], part="conv_id")
     w = w.edit(fn=lambda c: F.when(F.col("role") == "assistant", F.lit("")).otherwise(c),
                columns="text")
-    return w.fill_down("text").drop("role").to_df(with_part=False)
+    return w.drop("role").fill_down("text").to_df(with_part=False)
 
 
 # -------------------------------------------------------- order / header

@@ -314,6 +314,7 @@ def ordered_scan(
         w = w._with(df=w.df.withColumn(tie[0], tie_break(w.df)))
     df, bcols, w = bucketed(w, *tie)
     df, part, made = never_null(df, w.part_cols, w)
+    df = df.drop(*w.part_cols)  # put together again below, so that it is moved once
     n_part = len(part)
     df, keys, more = never_null(df, [c for c in w.prefix], w._with(df=df))
     keys = [*part, *keys, *[c for c in bcols if c not in w.prefix]]
@@ -419,6 +420,8 @@ def ordered_scan(
             new_cols[out] = F.coalesce((F.col(off) + loc - 1).cast("long"), carry.cast("long"))
     for out in moves:
         new_cols[out] = F.when(F.col(tmp["need"]).isNotNull(), F.col(tmp[f"edge_{out}"])).otherwise(F.col(tmp[f"loc_s_{out}"]))
+    for c, (copy, is_null) in zip(w.part_cols, [part]):
+        new_cols[c] = F.when(~F.col(is_null), F.col(copy))
     df = df.withColumns(new_cols)
     drop = [c for c in tmp.values() if c in df.columns] + made
     return df.drop(*drop), w._with(depth=w.depth + 1)
