@@ -41,35 +41,54 @@ _MARK = re.compile(rb"[.,](?:(?<=[a-zA-Z][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\
 
 def split_words(text: bytes) -> list[bytes]:
     """Words whose ids, one after another, are those of the text: ASCII white space separates
-    pre-tokens and is dropped, a full stop or comma never joins the letter before it, and the
-    tokenizer lower-cases all but its special strings, so A-Z may be lower-cased where no such
-    string can begin. This leaves far fewer distinct words."""
-    if b"<|" not in text:
-        text = text.lower()
-    return _MARK.sub(rb" \g<0>", text).split()
+    pre-tokens and is dropped, and the tokenizer lower-cases all but its special strings, so A-Z
+    may be lower-cased where no such string can begin. This leaves far fewer distinct words."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
+def word_parts(word: bytes) -> list[bytes]:
+    """A word cut where a full stop or comma follows a letter, which it never joins."""
+    return _MARK.sub(rb" \g<0>", word).split() if b"." in word or b"," in word else [word]
 
 
 class WordIds:
     """Ids of texts as little-endian 32-bit integers, word by word through a bounded cache of
     two generations: when the young one is full it becomes the old one, and what is used
-    again moves back."""
+    again moves back. Only words not known are cut at marks, and only parts not known encoded."""
 
     def __init__(self, tokenizer: str = WORD_BPE, keep: int = CACHE_WORDS):
         self.tokenizer, self.keep, self.known, self.old = load_tokenizer(tokenizer), keep, {}, {}
 
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, from one text of all of them; tokens tell where they begin."""
+        texts = [w.decode() for w in words]
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+        cuts = (4 * np.searchsorted(begins, np.concatenate([[0], np.cumsum(size)]))).tolist()
+        raw = np.array(got.ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Puts these words into the young generation."""
+        known, old = self.known, self.old
+        known.update((w, old[w]) for w in words.intersection(old))
+        new = list(words.difference(known))
+        for a in range(0, len(new), 4096):
+            some = new[a : a + 4096]
+            known.update(zip(some, self._encode(some), strict=True))
+
     def many(self, texts: list[bytes]) -> list[bytes]:
         words = [split_words(t) for t in texts]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > self.keep:
             self.known, self.old = {}, self.known
             new = set().union(*words)
-        known = self.known
-        known.update((w, self.old[w]) for w in new.intersection(self.old))
-        new = list(new.difference(known))
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            known.update(zip(some, (np.array(g.ids, "<u4").tobytes() for g in got), strict=True))
+        known, old = self.known, self.old
+        known.update((w, old[w]) for w in new.intersection(old))
+        parts = {w: word_parts(w) for w in new.difference(known)}
+        self._learn({p for w in parts.values() for p in w}.difference(known))
+        known.update((w, b"".join([known[p] for p in of])) for w, of in parts.items() if len(of) > 1)
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
     def __call__(self, text: bytes) -> bytes:
