@@ -42,6 +42,7 @@ ROLES = {"human": "user", "user": "user", "gpt": "assistant", "bot": "assistant"
 LOSS_ROLE = "assistant"
 #: Mark, replacement; the escape character first when escaping, last when reading back.
 ESCAPES = [("\\", "\\b"), ("<", "\\l"), (">", "\\g")]
+CLOSE = "</turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -110,43 +111,66 @@ def canonical(record: Column) -> Column:
     return out
 
 
-def segments(turns: Column) -> Column:
-    """The output in order, as pieces of text that are under the loss mask or not."""
-    def of(t: Column) -> Column:
-        def piece(text: Column, loss: Column) -> Column:
-            return F.struct(text.alias("text"), loss.alias("loss"))
-        return F.array(piece(F.concat(F.lit("<turn "), escape(t["role"]), F.lit(">")), F.lit(False)),
-                       piece(escape(t["text"]), t["role"] == LOSS_ROLE), piece(F.lit("</turn>\n"), F.lit(False)))
-    return F.flatten(F.transform(turns, of))
+def opening(role: Column) -> Column:
+    return F.concat(F.lit("<turn "), escape(role), F.lit(">"))
 
 
-def text_of(parts: Column) -> Column:
-    return F.array_join(F.transform(parts, lambda s: s["text"]), "")
+def formatted_text(turns: Column) -> Column:
+    lines = F.transform(turns, lambda t: F.concat(opening(t["role"]), escape(t["text"]), F.lit(CLOSE)))
+    return F.array_join(lines, "")
+
+
+def loss_mask(turns: Column) -> Column:
+    """What is under the loss mask, as places in the output: array<struct<turn, start, end>>, code
+    points in the turn's own line, end exclusive."""
+    def of(t: Column, i: Column) -> Column:
+        start = F.length(opening(t["role"]))
+        return F.struct(i.alias("turn"), start.alias("start"), (start + F.length(escape(t["text"]))).alias("end"),
+                        (t["role"] == LOSS_ROLE).alias("loss"))
+    kept = F.filter(F.transform(turns, of), lambda m: m["loss"])
+    return F.transform(kept, lambda m: F.struct(m["turn"], m["start"], m["end"]))
+
+
+def lines_of(formatted: Column) -> Column:
+    return F.split(formatted, CLOSE)
+
+
+def masked(lines: Column, mask: Column) -> Column:
+    """The text under the mask, cut from the output's lines and unescaped."""
+    return F.array_join(F.transform(mask, lambda m: unescape(F.substr(
+        F.get(lines, m["turn"]), m["start"] + 1, m["end"] - m["start"]))), "")
 
 
 def parse(formatted: Column) -> Column:
     """Turns of a formatted text: the inverse of the template."""
-    lines = F.filter(F.split(formatted, "</turn>\n"), lambda x: x != "")
+    lines = F.filter(lines_of(formatted), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(
         unescape(F.substring_index(F.substr(x, F.lit(len("<turn ") + 1)), ">", 1)).alias("role"),
         unescape(F.substr(x, F.instr(x, ">") + 1)).alias("text")))
 
 
 def format_records(records: DataFrame, id_col: str = "id", record_col: str = "record") -> DataFrame:
-    """``(id, turns, formatted, segments)`` of JSON records."""
+    """``(id, turns, formatted, mask)`` of JSON records."""
     r = pick(records, id=id_col, record=record_col).select("id", canonical(F.col("record")).alias("turns"))
-    r = r.withColumn("segments", segments(F.col("turns")))
-    return r.select("id", "turns", text_of(F.col("segments")).alias("formatted"), "segments")
+    return r.select("id", "turns", formatted_text(F.col("turns")).alias("formatted"), loss_mask(F.col("turns")).alias("mask"))
 
 
 def records_of(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                text_col: str = "text") -> DataFrame:
-    """Conversation rows as one JSON record each, turns in order (ties by role, then text)."""
+    """Conversation rows as one JSON record each, turns in order (ties by role, then text). The
+    records come in several layouts, dealt by a hash of the id, as those of several sources do."""
     r = pick(rows, id=id_col, turn=turn_col, role=role_col, content=text_col)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("content", F.lit("")).alias("content"))
     g = r.groupBy("id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return g.select("id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+
+    def as_record(layout: str) -> Column:
+        array, role, text = LAYOUTS[layout]["each"]
+        turns = F.transform("t", lambda x: F.struct(x["role"].alias(role), x["content"].alias(text)))
+        return F.to_json(F.struct(turns.alias(array)))
+
+    source = F.pmod(F.xxhash64("id"), F.lit(3))
+    record = F.when(source == 0, as_record("messages")).when(source == 1, as_record("turns")).otherwise(as_record("from_value"))
+    return g.select("id", record.alias("record"))
 
 
 def op10(spark: SparkSession, conversations: DataFrame) -> DataFrame:
@@ -156,9 +180,9 @@ def op10(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     extra = extra.select(F.lit(-7).cast("long").alias("conv_id"), F.when(F.col("role") == "user", 0).otherwise(1).cast("long").alias("turn"),
                          "role", F.lit(text).alias("text"))
     out = format_records(records_of(rows.unionByName(extra)))
-    back = out.select("id", "formatted", "segments", parse(F.col("formatted")).alias("turns"))
+    back = out.select("id", "formatted", "mask", lines_of(F.col("formatted")).alias("lines"), parse(F.col("formatted")).alias("turns"))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = unescape(text_of(F.filter("segments", lambda s: s["loss"])))
+    loss = masked(F.col("lines"), F.col("mask"))
     return back.select(F.col("id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
                        F.sha2(spoken, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
                        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

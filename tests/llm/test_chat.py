@@ -52,10 +52,13 @@ def test_template_is_reversible(spark, turns):
 
 def check(spark, turns):
     df = spark.createDataFrame([([{"role": r, "text": t} for r, t in turns],)], f"turns {chat.TURNS}")
-    s = chat.segments(F.col("turns"))
-    row = df.select(chat.parse(chat.text_of(s)).alias("back"), s.alias("s")).first()
+    out = df.select(chat.formatted_text(F.col("turns")).alias("f"), chat.loss_mask(F.col("turns")).alias("m"))
+    row = out.select("f", "m", chat.parse(F.col("f")).alias("back"), chat.masked(chat.lines_of(F.col("f")), F.col("m")).alias("loss")).first()
     assert [(t.role, t.text) for t in row.back] == list(turns)
-    assert sum(x.loss for x in row.s) == sum(r == "assistant" for r, _ in turns)
+    assert row.loss == "".join(t for r, t in turns if r == "assistant")
+    lines = row.f.split("</turn>\n")  # the places hold in the output itself
+    cut = [lines[m.turn][m.start:m.end] for m in row.m]
+    assert [c.replace("\\g", ">").replace("\\l", "<").replace("\\b", "\\") for c in cut] == [t for r, t in turns if r == "assistant"]
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -86,3 +89,15 @@ def test_query(spark):
 def test_no_python_in_the_plan(spark):
     plan = chat.op10(spark, spark.createDataFrame([], CONVERSATIONS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_records_come_in_several_layouts(spark):
+    rows = spark.range(60).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.lit("hi").alias("text"))
+    got = chat.records_of(rows).select("id", "record", chat.fingerprint(chat.field_paths(F.col("record"))).alias("p"),
+                                       chat.canonical(F.col("record")).alias("t")).collect()
+    assert len({r.p for r in got}) == 3 and all([(t.role, t.text) for t in r.t] == [("user", "hi")] for r in got)
+
+
+def test_no_conversations(spark):
+    none = spark.createDataFrame([], CONVERSATIONS)
+    assert [r.conv_id for r in chat.op10(spark, none).collect()] == [-7]
