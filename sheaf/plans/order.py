@@ -68,7 +68,11 @@ def sort_keys(w: "Wrangler") -> list[Column]:
 
 
 def tie_break(df: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(c) for c, t in df.dtypes if "map<" not in t and t != "variant"])
+    return F.xxhash64(*[F.col(c) for c, t in df.dtypes if _hashable(t)])
+
+
+def _hashable(kind: str) -> bool:
+    return "map<" not in kind and "variant" not in kind
 
 
 def _ascending(keys: list[str]) -> list[Column]:
@@ -431,8 +435,9 @@ def _ends(df: DataFrame, keys: list[str], moved: list[str], beyond: Column, valu
     """``values`` of the rows that have no row ``beyond`` them in their bucket. The test that
     always holds names every column that the data's own exchange moves: then this branch asks
     for the same exchange, and Spark makes it once."""
-    end = "__end"
-    return (df.withColumn(end, beyond).where(F.col(end).isNull() & (F.xxhash64(*moved) >= F.lit(-(1 << 63))))
+    end, types = "__end", dict(df.dtypes)
+    named = [F.col(c) if _hashable(types[c]) else F.col(c).isNull() for c in moved]
+    return (df.withColumn(end, beyond).where(F.col(end).isNull() & (F.xxhash64(*named) >= F.lit(-(1 << 63))))
             .select(*keys, *[v.alias(name) for v, name in values]))
 
 

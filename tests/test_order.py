@@ -465,3 +465,10 @@ def test_translate_column_across_buckets(spark, k):
                 assert up == list(zip(a, (b[d:] + [""] * n)[:n]))
     finally:
         spark.conf.unset("sheaf.order.buckets")
+
+
+def test_columns_that_cannot_be_hashed(spark):
+    df = spark.range(50).select(F.col("id").alias("k"), F.create_map(F.lit("a"), "id").alias("m"),
+                                F.when(F.col("id") % 3 == 0, F.lit("x")).otherwise("").alias("v"))
+    got = Wrangler(df, order_by="k").fill_down("v").with_row_id().to_df().orderBy("row_id").collect()
+    assert [r["k"] for r in got] == list(range(50)) and {r["v"] for r in got} == {"x"} and got[7]["m"] == {"a": 7}
