@@ -30,7 +30,7 @@ END_ID = 1
 #: Pieces packed together in one task.
 GROUP_PIECES = 20000
 #: Words whose ids a worker keeps, in each of two generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Bytes of short texts that are looked up together.
 TOGETHER = 1 << 20
 
