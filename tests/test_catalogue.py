@@ -45,6 +45,22 @@ def test_query_matches_oracle(spark, con, name):
     assert ok, msg
 
 
+def test_headers_that_differ_by_case_are_written_and_read(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [("F", 1), ("F", 3), ("O", 2), ("O", 7)]
+    pq.write_table(pa.table({"l_linestatus": [s for s, _ in rows], "l_linenumber": [n for _, n in rows]}), tmp_path / "lineitem.parquet")
+    out, was = str(tmp_path / "out"), spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    try:
+        catalogue.queries()["unfold_any_value"](spark, str(tmp_path)).write.parquet(out)
+        back = spark.read.parquet(out).select("l_linestatus", "`a.1`", "`a.2`", "null", "`A.1`")
+        assert sorted(tuple(r) for r in back.collect()) == [("F", "1", "", "", "1"), ("O", "", "1", "1", "")]
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", was)
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
