@@ -17,6 +17,8 @@ repeated ids keep a row each; other columns are ignored.
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -105,6 +107,10 @@ BODIES: dict[str, list[str]] = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
                 "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
+#: What names a licence, as part of a line and as a word of it.
+NAMES = ["licenc", "licens", "copyright", "gpl", "apache", "creative commons", "mozilla", "cc0", "redistribut", "warrant", "hereby",
+         "free software", "provided that the following"]
+NAME_WORDS = ["mit", "bsd", "cc"]
 #: Bound of the training sample (paragraphs of the corpus).
 SAMPLE = 2000
 ITERATIONS = 40
@@ -145,21 +151,51 @@ def templates() -> list[dict]:
     return out + [{"family": f, "text": n, "need": 1.0} for f, names in FAMILIES.items() for n in names]
 
 
-def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
+PARAGRAPH_END = "\n[ \t\r\f\x0B]*\n"
+
+
+def with_words(paragraph: str) -> Column:
+    """The lines of a paragraph that hold a word."""
+    return F.filter(F.split(paragraph, "\n"), lambda x: x.rlike("[A-Za-z0-9]"))
+
+
+def paragraphs(docs: DataFrame, text: str = "text", **more: Column) -> DataFrame:
     """Paragraphs with a word (``pos``: number in the document; ``line``: the paragraph, and if it
-    has several lines each of them), with all other columns of ``docs`` kept."""
+    has several lines each of them), with all other columns of ``docs`` kept and ``more`` made
+    from the column ``paragraph``."""
     rest = [c for c in docs.columns if c != text]
-    some = docs.select(*rest, F.posexplode(F.split(F.col(text), "\n[ \t\r\f\x0B]*\n")).alias("pos", "paragraph"))
-    lines = F.filter(F.split("paragraph", "\n"), lambda x: x.rlike("[A-Za-z0-9]"))
+    some = docs.select(*rest, F.posexplode(F.split(F.col(text), PARAGRAPH_END)).alias("pos", "paragraph"))
+    some = some.select("*", *[e.alias(c) for c, e in more.items()])
+    lines = with_words("paragraph")
     several = F.when(F.size(lines) > 1, F.concat(F.array("paragraph"), lines)).otherwise(lines)
-    return some.select(*rest, "pos", F.explode(several).alias("line"))
+    return some.select(*rest, "pos", *more, F.explode(several).alias("line"))
+
+
+def in_words(docs: DataFrame, known: list[str], text: str = "text") -> DataFrame:
+    """``paragraphs`` with the words ``w`` of each ``line``, null for a word that is not ``known``;
+    those of a paragraph are its lines'."""
+    rest = [c for c in docs.columns if c != text]
+    some = docs.select(*rest, F.posexplode(F.split(F.col(text), PARAGRAPH_END)).alias("pos", "paragraph"))
+    parts = F.transform(with_words("paragraph"), lambda x: F.struct(
+        x.alias("line"), F.transform(words(x), lambda w: F.when(w.isin(known), w)).alias("w")))
+    each = some.select(*rest, "pos", "paragraph", F.explode(F.array(parts)).alias("parts"))
+    whole = F.struct(F.col("paragraph").alias("line"), F.flatten(F.transform("parts", lambda x: x["w"])).alias("w"))
+    several = F.when(F.size("parts") > 1, F.concat(F.array(whole), F.col("parts"))).otherwise(F.col("parts"))
+    return each.select(*rest, "pos", F.inline(several))
+
+
+def names_one(text: str) -> Column:
+    """Whether a text names a licence. Plain substrings are found much quicker than a regex, which
+    looks only at texts that may match."""
+    low = F.lower(text)
+    whole = [low.contains(x) & low.rlike(rf"\b{x}\b") for x in NAME_WORDS]
+    return reduce(or_, [low.contains(x) for x in NAMES] + whole)
 
 
 def sampled(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``sample`` different paragraphs (whole ``line``, hash ``h``) that name no licence."""
-    corpus = paragraphs(pick(docs, text=text_col)).where(
-        ~F.lower("line").rlike("licen[cs]|copyright|gpl|apache|creative commons|mozilla|\\bmit\\b|\\bbsd\\b|\\bcc\\b|cc0"
-        "|redistribut|warrant|hereby|free software|provided that the following"))
+    # what no name stands in, has no line with one: lines are looked at only in other paragraphs
+    corpus = paragraphs(pick(docs, text=text_col), named=names_one("paragraph")).where(~(F.col("named") & names_one("line")))
     # different paragraphs, so that a common one counts once: those whose hash lies below a
     # bound that about four times the sample pass, then the smallest hashes among them
     hashed = corpus.select("line", F.xxhash64("line").alias("h"))
@@ -225,8 +261,14 @@ def classify(docs: DataFrame, model: dict, keys: list[str], text: str = "text",
     (share of the best template's word pairs that the text holds) and ``confirmed``; a row for
     the paragraph and each of its lines that are one."""
     spark = docs.sparkSession
-    lines = paragraphs(docs.select(*keys, text), text).withColumn("w", words(F.col("line")))
-    z = logits(lines.withColumn("g", grams(F.col("w"))), model, [*keys, "pos", "line"])
+    # words and pairs that no n-gram of the model holds are nulls, dropped before they are looked up;
+    # the vectors are binary, so repeated n-grams may stay
+    known_words = sorted({w for g in model["vectors"].vocabulary for w in g.split(" ")})
+    lines = in_words(docs.select(*keys, text), known_words, text)
+    z = logits(lines.withColumn("g", F.array_compact(F.concat(F.col("w"), pairs(F.col("w"))))), model, [*keys, "pos", "line"])
+    # a class before unknown in probability is so in its score: after an explode of one, the
+    # probabilities are for few rows
+    z = z.where(F.get("z", F.lit(0)) < F.array_max("z")).select(*keys, "pos", "line", F.explode(F.array("z")).alias("z"))
     classes = F.array(*[F.lit(c) for c in model["classes"]])
     best = z.withColumn("p_", probabilities(F.col("z"), F.lit(model["temperature"]))).withColumn("p", F.array_max("p_"))
     best = best.withColumn("family", F.get(classes, F.array_position("p_", F.col("p")).cast("int") - 1))
@@ -239,7 +281,9 @@ def classify(docs: DataFrame, model: dict, keys: list[str], text: str = "text",
     known = literal_rows(spark, templates(), "family string, text string, need double").select(
         "family", marks(F.col("text")).alias("t"), F.coalesce("need", F.lit(confirm)).alias("need"))
     known = known.groupBy("family").agg(F.collect_list(F.struct("t", "need")).alias("known"))
-    found = best.join(F.broadcast(known), "family").withColumn("has", grams(words(F.col("line"))))
+    # explodes of one, so that the n-grams are made once for a text and not for every template
+    found = best.withColumn("w", F.explode(F.array(words(F.col("line"))))).withColumn("has", F.explode(F.array(grams(F.col("w")))))
+    found = found.join(F.broadcast(known), "family")
     found = found.withColumn("shares", F.transform("known", lambda k: F.struct(
         (F.size(F.array_intersect(F.col("has"), k["t"])) / F.size(k["t"])).alias("share"), k["need"].alias("need"))))
     return found.select(*keys, "pos", "family", "p", F.array_max(F.transform("shares", lambda x: x["share"])).alias("likeness"),

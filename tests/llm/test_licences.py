@@ -78,3 +78,21 @@ def test_licence_texts(spark, docs):
 def test_sampled_paragraphs_are_whole(docs):
     got = {r.line for r in licences.sampled(docs).collect()}
     assert LONG in got and "x" * 70000 in got
+
+
+def test_words_of_a_line_are_made_once(spark, docs):
+    """A word outside the model is looked up in no table, and the n-grams of a hit are made once,
+    not for every template."""
+    got = {r.line: r.w for r in licences.in_words(
+        spark.createDataFrame([(1, "The MIT\n--\nzq license\n \nalone")], "id int, text string"), ["alone", "license", "mit", "the"]).collect()}
+    assert got == {"The MIT\n--\nzq license": ["the", "mit", None, "license"], "The MIT": ["the", "mit"], "zq license": [None, "license"],
+                   "alone": ["alone"]}
+    model = licences.fit(docs)
+    plan = licences.classify(docs.select("doc_id", "text"), model, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("LocalRelation")[0].count("array_distinct(") <= 2 and "INSET" in plan
+
+
+def test_names_in_lines_and_paragraphs(spark):
+    text = "plain words\nthe Mit of old\ncommit it\n\nlicen\ncs\n\nits cc0"
+    rows = spark.createDataFrame([(text,)], "text string")
+    assert {r.line for r in licences.sampled(rows).collect()} == {"plain words", "commit it", "licen\ncs", "licen", "cs"}
