@@ -183,18 +183,18 @@ def _map(folder: str, name: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r")
 
 
-def _write_counts(folder: str, name: str, c: np.ndarray) -> None:
+def _write_counts(folder: str, name: str, c: np.ndarray, small: str = "small") -> None:
     """Counts as a byte each, those from 255 on also as a place and a number."""
     big = np.flatnonzero(c >= 255)
-    _write(folder, f"{name}.small", np.minimum(c, 255).astype(np.uint8))
+    _write(folder, f"{name}.{small}", np.minimum(c, 255).astype(np.uint8))
     _write(folder, f"{name}.big", np.stack([big, c[big]]).astype("<i8").ravel())
 
 
 class Counts:
     """Mapped counts, read at places."""
 
-    def __init__(self, folder: str, name: str):
-        self.small = _map(folder, f"{name}.small", np.uint8)
+    def __init__(self, folder: str, name: str, small: str = "small"):
+        self.small = _map(folder, f"{name}.{small}", np.uint8)
         self.places, self.numbers = _map(folder, f"{name}.big", "<i8").reshape(2, -1)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
@@ -257,7 +257,7 @@ def _count_words(batches, bits: int) -> Iterator[pa.RecordBatch]:
 def _merge_words(key: tuple, t: pa.Table, folder: str, hot: int) -> pa.Table:
     s, (k, c) = key[0].as_py(), _blobs(t)
     _write(folder, f"word-{s}.keys", k.astype("<u8"))
-    _write(folder, f"word-{s}.counts", c.astype("<i8"))
+    _write_counts(folder, f"word-{s}", c, "counts")
     top = np.sort(np.argsort(-c, kind="stable")[:hot])
     return pa.table({"shard": [s], "n": [len(k)], "total": [int(c.sum())],
                      "at": pa.array([top.tolist()], pa.list_(pa.int64())),
@@ -400,9 +400,10 @@ def _merge_stats(key: tuple, t: pa.Table, model: dict) -> pa.Table:
     s, (k, n) = key[0].as_py(), _blobs(t)
     size = model["sizes"][s] + (1 if s == (1 << model["bits"]) - 1 else 0)
     at, kind = (k >> np.uint64(3)).astype(np.int64) - model["base"][s], (k & np.uint64(7)).astype(np.int64)
-    stats = np.zeros((5, size), "<i8")
+    stats = np.zeros((5, size), np.int64)
     stats[kind, at] = n
-    _write(model["folder"], f"word-{s}.stats", stats.ravel())
+    for i, facts in enumerate(stats):
+        _write_counts(model["folder"], f"facts{i}-{s}", facts)
     return pa.table({"seen": [np.bincount(np.minimum(stats[0], 5), minlength=6).tolist()], "types": [int(stats[0].sum())]})
 
 
@@ -537,9 +538,8 @@ class Scorer:
         check_model(model)
         self.model, self.words = model, Words(model)
         n = 1 << model["bits"]
-        self.counts = [_map(model["folder"], f"word-{s}.counts", "<i8") for s in range(n)]
-        self.stats = [_map(model["folder"], f"word-{s}.stats", "<i8").reshape(5, -1)
-                      for s in range(n)]
+        self.counts = [Counts(model["folder"], f"word-{s}", "counts") for s in range(n)]
+        self.stats = [[Counts(model["folder"], f"facts{i}-{s}") for i in range(5)] for s in range(n)]
         self.pairs, self.triples = Pairs(model), [Triples(model, s) for s in range(2 * n)] if model["order"] > 2 else []
         self.base = np.array([*model["base"], model["vocabulary"] + 1], np.int64)
 
@@ -554,12 +554,11 @@ class Scorer:
             part = ids[cuts[s] : cuts[s + 1]] - self.base[s]
             if not len(part):
                 continue
-            real = part < len(self.counts[s])
+            real = part < len(self.counts[s].small)
             out[0, cuts[s] : cuts[s + 1]][real] = self.counts[s][part[real]]
-            if self.stats[s].size:
-                ok = part < self.stats[s].shape[1]
-                for j in range(5):
-                    out[j + 1, cuts[s] : cuts[s + 1]][ok] = self.stats[s][j][part[ok]]
+            for j, facts in enumerate(self.stats[s]):
+                ok = part < len(facts.small)
+                out[j + 1, cuts[s] : cuts[s + 1]][ok] = facts[part[ok]]
         return out
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:

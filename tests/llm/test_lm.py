@@ -197,3 +197,11 @@ def test_a_lost_file_is_an_error_not_an_empty_model(spark):
             break
     with pytest.raises(FileNotFoundError, match="word-0.keys"):
         kn.check_files({}, {"word-0.keys": 8})
+
+
+def test_facts_of_words_take_few_bytes(spark):
+    ship(spark)
+    docs = hostile(spark, [(i, " ".join(f"v{i}x{k}" for k in range(200))) for i in range(20)])
+    model = kn.train(docs, shards=4, order=3)
+    facts = sum(z for n, z in model["files"].items() if n.startswith(("word-", "facts")) and not n.endswith(".keys"))
+    assert model["vocabulary"] > 4000 and facts < 10 * model["vocabulary"]
