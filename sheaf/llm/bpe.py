@@ -1,6 +1,6 @@
 """BPE encoding by a distinct-word table, decoding by an id-to-piece table.
 
-``encode``: words are split in Spark and counted, each distinct word is encoded once, and
+``encode``: words are split in the tasks and counted, each distinct word is encoded once, and
 ids come back to the documents by position. Occurrences of frequent words are places in a
 broadcast table of bounded size; only the other occurrences travel, as (document, position),
 to the word's row and with its ids back to the document. ``decode`` joins ids to pieces and
@@ -18,27 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WORD_BPE, load_tokenizer, pick, stored, with_row_key
-from .words import HOT_WORDS, ID_TYPE, encode_words, hot_words, word_counts, words_of
-
-
-class HotTable:
-    """The frequent words and their ids as two Arrow columns, sent to workers once."""
-
-    def __init__(self, spark: SparkSession, top: DataFrame):
-        rows = top.select("word", "ids").toArrow().combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema) as w:
-            w.write_table(rows)
-        self.sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-
-    def table(self) -> pa.Table:
-        return pa.ipc.open_stream(self.sent.value).read_all().combine_chunks()
+from .words import HOT_WORDS, ID_TYPE, HotTable, encode_words, hot_words, ranked, seldom, word_counts
 
 
 def _planes(ranks: np.ndarray) -> bytes:
@@ -55,13 +40,7 @@ def _ranks(packed: bytes) -> np.ndarray:
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], hot: HotTable) -> Iterator[pa.RecordBatch]:
-    words = hot.table()["word"].combine_chunks()
-    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-    for b in batches:
-        lists = b.column(2)
-        flat = lists.flatten()
-        at = pc.index_in(flat.cast(words.type), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
-        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    for b, _, at, ends in ranked(batches, hot, 2):
         packed = [_planes(at[ends[i] : ends[i + 1]]) for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(np.full(b.num_rows, -1, np.int32)), pa.array(packed, pa.binary())],
@@ -102,14 +81,13 @@ def encode(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_co
     table = stored(encode_words(word_counts(d, "text"), tokenizer))
     top = stored(hot_words(table, hot).select("word", "ids"))
     sent = HotTable(spark, top)
-    split = d.select("id", "h", words_of("text").alias("words"))
-    ranked = split.mapInArrow(lambda it: _ranked(it, sent), f"id {kind}, h bigint, pos int, data binary")
+    split = d.select("id", "h", "text")
+    often = split.mapInArrow(lambda it: _ranked(it, sent), f"id {kind}, h bigint, pos int, data binary")
     rest = table.select("word", "ids").join(F.broadcast(top.select("word")), "word", "left_anti")
-    far = (split.select("id", "h", F.posexplode("words").alias("pos", "word"))
-           .join(F.broadcast(top.select("word")), "word", "left_anti")
+    far = (split.mapInArrow(lambda it: seldom(it, sent), f"id {kind}, h bigint, pos int, word string")
            .join(rest, "word").select("id", "h", "pos", F.col("ids").alias("data")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = ranked.unionAll(far).repartition(n, "id", "h").sortWithinPartitions("id", "h", "pos")
+    both = often.unionAll(far).repartition(n, "id", "h").sortWithinPartitions("id", "h", "pos")
     return both.mapInArrow(lambda it: finish(_merged(it, sent), arrow), schema.replace("{id}", kind))
 
 

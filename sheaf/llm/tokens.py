@@ -11,15 +11,30 @@ repeated ids keep a row each; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_BPE, pick, stored, with_row_key
-from .words import HOT_WORDS, hot_words, measure_words, word_counts, words_of
+from .words import HOT_WORDS, HotTable, hot_words, measure_words, ranked, seldom, word_counts
 
 LIMIT = 2048
 
 
+def _often(batches: Iterator[pa.RecordBatch], hot: HotTable) -> Iterator[pa.RecordBatch]:
+    """Per row its bytes, and the pieces of its frequent words."""
+    n_ids = np.append(hot.table()["n_ids"].to_numpy(), 0)  # place -1: none
+    for b, _, at, ends in ranked(batches, hot, 2):
+        total = np.concatenate([[0], np.cumsum(n_ids[at])]).astype(np.int64)
+        n_bytes = pc.binary_length(b.column(2)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n_bytes, pa.array(np.diff(total[ends]))],
+                                         names=["id", "h", "n_bytes", "n"])
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = WORD_BPE,
                  hot: int = HOT_WORDS) -> DataFrame:
     """``(id, n_bytes, n_tokens)`` for every row of ``docs``."""
@@ -28,15 +43,13 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = stored(measure_words(word_counts(d, "text"), tokenizer))
     top = stored(hot_words(table, hot).select("word", "n_ids"))
     rest = table.join(F.broadcast(top.select("word")), "word", "left_anti").select("word", "n_ids")
-    zero = F.lit(0).cast("long")
-    rows = d.select("id", "h", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n"))
-    each = d.select("id", "h", F.explode(words_of("text")).alias("word"))
-    often = (each.join(F.broadcast(top), "word").groupBy("id", "h").agg(F.sum("n_ids").alias("n")))
-    seldom = (each.join(F.broadcast(top.select("word")), "word", "left_anti").groupBy("word", "id", "h")
-              .agg(F.count(F.lit(1)).alias("f")).join(rest, "word")
-              .groupBy("id", "h").agg(F.sum(F.col("f") * F.col("n_ids")).alias("n")))
-    parts = [x.select("id", "h", zero.alias("n_bytes"), "n") for x in (often, seldom)]
-    total = (rows.unionAll(parts[0]).unionAll(parts[1]).groupBy("id", "h")
+    sent, kind = HotTable(docs.sparkSession, top), d.schema["id"].dataType.simpleString()
+    split = d.select("id", "h", "text")
+    often = split.mapInArrow(lambda it: _often(it, sent), f"id {kind}, h bigint, n_bytes bigint, n bigint")
+    far = (split.mapInArrow(lambda it: seldom(it, sent), f"id {kind}, h bigint, pos int, word string")
+           .groupBy("word", "id", "h").agg(F.count(F.lit(1)).alias("f")).join(rest, "word")
+           .groupBy("id", "h").agg(F.sum(F.col("f") * F.col("n_ids")).alias("n")))
+    total = (often.unionAll(far.select("id", "h", F.lit(0).cast("long").alias("n_bytes"), "n")).groupBy("id", "h")
              .agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")))
     return total.select("id", "n_bytes", "n_tokens")
 

@@ -17,13 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_BPE, load_tokenizer
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CUT = r"[ \t\n\x0B\f\r]+|(?<=[A-Za-z])(?=[.,])"
+#: Kinds of bytes: white space, ASCII letters, and the marks before which a letter ends a word.
+SPACE, LETTER, MARK = 1, 2, 3
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(b" \t\n\x0b\x0c\r")] = SPACE
+KINDS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = LETTER
+KINDS[list(b".,")] = MARK
+#: Bytes of text that are split together.
+SLICE = 8 << 20
 #: Bounds of the table that is broadcast: so many words of at most so many bytes.
 HOT_WORDS = 300_000
 #: Ids on their way: the vocabularies of this size fit 16 bits.
@@ -31,19 +38,97 @@ ID_TYPE = "<u2"
 HOT_BYTES = 24
 
 
-def words_of(text: str) -> Column:
-    """Array of the words of a text column, in order; null counts as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    ascii_only = F.octet_length(t) == F.length(t)  # lower() is quick there, and lowers A-Z only
-    low = F.when(ascii_only, F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-    t = F.when(F.instr(t, "<|") > 0, t).otherwise(low)
-    return F.filter(F.split(t, CUT), lambda w: w != "")
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string array without nulls, and where each text begins in them, with the end."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+    size = int(offsets[-1]) - int(offsets[0])
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(offsets[0])) if size else np.empty(0, np.uint8)
+    return data, offsets.astype(np.int64) - int(offsets[0])
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (strings, null: empty) in order, and where those of each text begin
+    among them, with the end."""
+    data, ends = _bytes(texts.cast(pa.string()).fill_null(""))
+    if not len(data):
+        return pa.array([], pa.string()), np.zeros(len(ends), np.int64)
+    upper = (data >= 65) & (data <= 90)
+    at = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|"
+    row = np.searchsorted(ends, at, side="right") - 1
+    for r in np.unique(row[at + 1 < ends[row + 1]]).tolist():
+        upper[ends[r] : ends[r + 1]] = False
+    data = data + (upper.view(np.uint8) << 5)
+    kind = KINDS[data]
+    space = kind == SPACE
+    begins = np.empty(len(data), bool)
+    begins[1:] = space[:-1] | ((kind[1:] == MARK) & (kind[:-1] == LETTER))
+    begins[ends[:-1][ends[:-1] < len(data)]] = True
+    begins &= ~space
+    at = np.flatnonzero(begins)
+    kept = data[~space]
+    offsets = np.append(at - np.cumsum(space)[at], len(kept)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(kept))
+    return words, np.searchsorted(at, ends)
+
+
+def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with about ``SLICE`` bytes of text in column ``at``."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, before + SLICE, side="right")))
+            yield b.slice(start, end - start)
+            start = end
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 0):
+        found = split_words(b.column(0))[0].value_counts()
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """``(word, n)``: counted in each task first, so a frequent word is one row a task."""
-    return (docs.select(F.explode(words_of(text)).alias("word")).groupBy("word")
-            .agg(F.count(F.lit(1)).alias("n")))
+    each = docs.select(text).mapInArrow(_counted, "word string, n bigint")
+    return each.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class HotTable:
+    """A table of frequent words and a fact of each as Arrow columns, sent to workers once."""
+
+    def __init__(self, spark: SparkSession, top: DataFrame):
+        rows = top.toArrow().combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as w:
+            w.write_table(rows)
+        self.sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+    def table(self) -> pa.Table:
+        return pa.ipc.open_stream(self.sent.value).read_all().combine_chunks()
+
+
+def ranked(batches: Iterator[pa.RecordBatch], hot: HotTable, at: int) -> Iterator[tuple]:
+    """Runs of rows with text in column ``at``, their words, the place of each word in the table (-1:
+    none), and where the words of each row begin, with the end."""
+    table = hot.table()["word"].combine_chunks()
+    table = table.chunk(0) if isinstance(table, pa.ChunkedArray) else table
+    for b in slices(batches, at):
+        words, ends = split_words(b.column(at))
+        places = pc.index_in(words.cast(table.type), value_set=table).fill_null(-1).to_numpy(zero_copy_only=False)
+        yield b, words, places, ends
+
+
+def seldom(batches: Iterator[pa.RecordBatch], hot: HotTable) -> Iterator[pa.RecordBatch]:
+    """``(id, h, pos, word)`` of the words that are not in the table, from rows ``(id, h, text)``."""
+    for b, words, places, ends in ranked(batches, hot, 2):
+        far = np.flatnonzero(places < 0)
+        row = np.searchsorted(ends, far, side="right") - 1
+        pos = (far - ends[row]).astype(np.int32)
+        row = pa.array(row)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(pos), words.take(pa.array(far))],
+                                         names=["id", "h", "pos", "word"])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, ids: bool) -> Iterator[pa.RecordBatch]:

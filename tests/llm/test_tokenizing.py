@@ -1,6 +1,7 @@
 """op1, op8, op9: against the tokenizer on whole texts."""
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -42,6 +43,26 @@ def test_encode_and_decode(spark, docs, hot):
     assert got == want
 
 
+def test_split_words(monkeypatch):
+    import pyarrow as pa
+
+    from sheaf.llm import words
+
+    def plain(t):
+        t = t or ""
+        low = t if "<|" in t else t.translate({c: c + 32 for c in range(65, 91)})
+        return [w for w in re.split(r"[ \t\n\x0B\f\r]+|(?<=[A-Za-z])(?=[.,])", low) if w]
+
+    every = [t for _, t in [*TEXTS, *RANDOM]] + [None, "", " ", "a<", "|B", "Ab.,c <|X", "A.B,C", "é.x", "x\x0b.y"]
+    for size in (1, 100, 8 << 20):
+        monkeypatch.setattr(words, "SLICE", size)
+        got = []
+        for b in words.slices([pa.RecordBatch.from_pydict({"t": pa.array(every, pa.string())}).slice(k, 7) for k in range(0, len(every), 7)], 0):
+            found, ends = words.split_words(b.column(0))
+            got += [found.to_pylist()[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+        assert got == [plain(t) for t in every]
+
+
 def test_ids_round_trip(spark, docs):
     table = bpe.encode(docs, bpe.ids_table, "id {id}, ids array<int>")
     got = Counter((r.id, tuple(r.ids)) for r in table.collect())
