@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_BPE, byte_chunks, load_tokenizer, pick, stored
+from .words import slices, split_words
 
 CAPACITY = 4096
 END_ID = 1
@@ -31,49 +33,80 @@ END_ID = 1
 GROUP_PIECES = 20000
 #: Words whose ids a worker keeps, in each of two generations.
 CACHE_WORDS = 500_000
-#: Bytes of short texts that are looked up together.
-TOGETHER = 1 << 20
+#: New words of letters that are encoded as one text.
+LINE = 256
+#: Bytes of texts that are looked up together; a longer text goes in chunks.
+TOGETHER = 4 << 20
 
-
-#: A full stop or comma after an ASCII or Latin-1 letter (bytes): a pre-token starts there.
-_MARK = re.compile(rb"[.,](?:(?<=[a-zA-Z][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))")
-
-
-def split_words(text: bytes) -> list[bytes]:
-    """Words whose ids, one after another, are those of the text: ASCII white space separates
-    pre-tokens and is dropped, a full stop or comma never joins the letter before it, and the
-    tokenizer lower-cases all but its special strings, so A-Z may be lower-cased where no such
-    string can begin. This leaves far fewer distinct words."""
-    if b"<|" not in text:
-        text = text.lower()
-    return _MARK.sub(rb" \g<0>", text).split()
+#: Words that are one pre-token: ASCII and Latin-1 letters.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit integers, word by word through a bounded cache of
-    two generations: when the young one is full it becomes the old one, and what is used
-    again moves back."""
+    """Ids of texts as little-endian 32-bit integers, by their distinct words and through a
+    bounded cache of two generations: when the young one is full it becomes the old one, and
+    what is used again moves back."""
 
     def __init__(self, tokenizer: str = WORD_BPE, keep: int = CACHE_WORDS):
         self.tokenizer, self.keep, self.known, self.old = load_tokenizer(tokenizer), keep, {}, {}
-
-    def many(self, texts: list[bytes]) -> list[bytes]:
-        words = [split_words(t) for t in texts]
-        new = set().union(*words).difference(self.known)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        if suffix:
+            self.last[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+
+    def _each(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word, encoded as a text of its own."""
+        for a in range(0, len(words), 4096):
+            for g in self.tokenizer.encode_batch_fast(words[a : a + 4096], add_special_tokens=False):
+                yield np.array(g.ids, "<u4").tobytes()
+
+    def _lines(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word, many words encoded as one text with spaces between. Every word is
+        one pre-token, so its ids end at the only one among them that ends a pre-token."""
+        lines = [words[a : a + LINE] for a in range(0, len(words), LINE)]
+        for a in range(0, len(lines), 16):
+            some = lines[a : a + 16]
+            got = self.tokenizer.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)
+            for line, g in zip(some, got, strict=True):
+                ids = np.array(g.ids, "<u4")
+                ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+                if len(ends) != len(line):  # a vocabulary that does not mark them
+                    yield from self._each(line)
+                    continue
+                raw, at = ids.tobytes(), 0
+                for end in ends:
+                    yield raw[at:end]
+                    at = end
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of ``words`` into the young generation."""
+        known, old, letters, others = self.known, self.old, [], []
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+            else:
+                (letters if _LETTERS.fullmatch(w) else others).append(w)
+        known.update(zip(letters, self._lines(letters), strict=True))
+        known.update(zip(others, self._each(others), strict=True))
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        found, ends = split_words(texts, fine=True)
+        found = found.dictionary_encode()
+        words = found.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.keep:
             self.known, self.old = {}, self.known
-            new = set().union(*words)
-        known = self.known
-        known.update((w, self.old[w]) for w in new.intersection(self.old))
-        new = list(new.difference(known))
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            known.update(zip(some, (np.array(g.ids, "<u4").tobytes() for g in got), strict=True))
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+            new = words
+        self._learn(new)
+        ids = pa.array([self.known[w] for w in words], pa.large_binary()).take(found.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        places, data = np.frombuffer(ids.buffers()[1], np.int64)[ends].tolist(), memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[a:z]) for a, z in zip(places[:-1], places[1:], strict=True)]
 
     def __call__(self, text: bytes) -> bytes:
-        return self.many([text])[0]
+        return self.many(pa.array([text.decode()]))[0]
 
 
 _IDS: dict[str, WordIds] = {}
@@ -106,31 +139,14 @@ def cut_pieces(parts: Iterator[bytes], capacity: int, end_id: int) -> Iterator[t
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     ids = word_ids(tokenizer)
-    for b in batches:
-        rows, at, some, size = [], [], [], 0
-
-        def add(i, parts):
-            for p in cut_pieces(parts, capacity, end_id):
-                rows.append(p)
-                at.append(i)
-
-        def done():
-            for (i, _), x in zip(some, ids.many([t for _, t in some]), strict=True):
-                add(i, iter([x]))
-            some.clear()
-
-        for i, t in enumerate(b.column(1)):
-            data = (t.as_py() or "").encode()
-            if len(data) > TOGETHER:
-                add(i, map(ids, byte_chunks(data)))
-                continue
-            some.append((i, data))
-            size += len(data)
-            if size > TOGETHER:
-                done()
-                size = 0
-        done()
-        cols = list(zip(*rows, strict=True)) or [()] * 4
+    for b in slices(batches, 1, TOGETHER):
+        texts = b.column(1).fill_null("")
+        if b.num_rows == 1 and pc.binary_length(texts)[0].as_py() > TOGETHER:
+            found = [map(ids, byte_chunks(texts[0].as_py().encode()))]
+        else:
+            found = [iter([x]) for x in ids.many(texts)]
+        rows = [(i, *p) for i, parts in enumerate(found) for p in cut_pieces(parts, capacity, end_id)]
+        at, *cols = zip(*rows, strict=True)
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, types, strict=True)]],

@@ -175,3 +175,77 @@ def test_worker_cache_forgets(spark):
     for t in ("a b c d e", "f g a", "a a b z y x w"):
         assert np.frombuffer(w(t.encode()), "<u4").tolist() == ids(t)
     assert len(TEXTS) > 10
+
+
+def test_words_end_before_any_mark():
+    import pyarrow as pa
+
+    from sheaf.llm import words
+
+    def plain(t):
+        marks = r"[.,]" if "<|" in t else r"[!-/:-@\[-`{-~]"
+        low = t if "<|" in t else t.translate({c: c + 32 for c in range(65, 91)})
+        return [w for w in re.split(r"[ \t\n\x0B\f\r]+|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=" + marks + ")", low) if w]
+
+    every = [t for _, t in [*TEXTS, *RANDOM] if t is not None]
+    every += ["cat*** cat&&& Cat###", "é?x", "×!", "a÷b'c", "é.x", "a_b", "é*<|endoftext|>é*,", "a<", "|B*", "ć.", "1.2", ""]
+    found, ends = words.split_words(pa.array(every), fine=True)
+    found = found.to_pylist()
+    assert [found[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)] == [plain(t) for t in every]
+
+
+def test_ids_by_words_are_those_of_the_text():
+    """Contractions, marks, digits, accents and special strings in all orders, one text and many at once."""
+    import pyarrow as pa
+
+    some = ["'", "'s", "'re", "t", "re", "team", "S", "é", "É", "ß", "×", "÷", "ª", "\u0301", "\u0338", "<", "=", "|", "<|endoftext|>",
+            "*", "_", ".", ",", "7", "\u00b2", "ć", "Σ", "İ", "ÿ", "中", " ", "\n", "\x85", "\xa0", "\x1c", "\x7f", "-"]
+    r = random.Random(9)
+    every = ["".join(r.choice(some) for _ in range(r.randrange(40))) for _ in range(3000)]
+    got = packing.WordIds(keep=500).many(pa.array([*every, None, ""]))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids(t) for t in [*every, "", ""]]
+    one = packing.WordIds(keep=50)
+    for t in every[:300]:
+        assert np.frombuffer(one(t.encode()), "<u4").tolist() == ids(t)
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.n = inner, 0
+
+    def encode_batch_fast(self, some, **kw):
+        self.n += len(some)
+        return self.inner.encode_batch_fast(some, **kw)
+
+
+def test_new_words_go_to_the_tokenizer_in_lines():
+    r = random.Random(3)
+    every = ["".join(r.choice("abcdeéßÑ") for _ in range(8)) for _ in range(5000)]
+    text = " ".join(w + r.choice(["***", "&&&", "", "."]) for w in every)
+    w = packing.WordIds()
+    w.tokenizer = Counting(w.tokenizer)
+    assert np.frombuffer(w(text.encode()), "<u4").tolist() == ids(text)
+    assert w.tokenizer.n <= len(every) / packing.LINE + 5
+
+
+def test_words_whose_ends_are_not_marked_go_one_by_one():
+    w = packing.WordIds()
+    w.last[:] = False
+    text = "some words of letters, and é"
+    assert np.frombuffer(w(text.encode()), "<u4").tolist() == ids(text)
+
+
+def test_pieces_of_a_text_longer_than_is_looked_up_together(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "TOGETHER", 50)
+    every = ["a b", None, "one two, three " * 40, "x" * 60, "", "last"]
+    b = pa.RecordBatch.from_pydict({"id": pa.array(range(6)), "text": pa.array(every)})
+    got = [tuple(r.values()) for o in packing._pieces(iter([b]), packing.WORD_BPE, 16, 1) for r in o.to_pylist()]
+    want = []
+    for i, t in enumerate(every):
+        x = np.array([*ids(t or ""), 1], "<u4")
+        want += [(i, k // 16, k, len(x[k : k + 16]), zlib.crc32(x[k : k + 16].tobytes())) for k in range(0, len(x), 16)]
+    assert got == want
