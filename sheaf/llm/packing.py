@@ -36,7 +36,7 @@ CACHE_WORDS = 500_000
 #: New words of letters that are encoded as one text.
 LINE = 256
 #: Bytes of texts that are looked up together; a longer text goes in chunks.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 
 #: Words that are one pre-token: ASCII and Latin-1 letters.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
